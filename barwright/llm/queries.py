@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import mixing, quality, sql, warc
+from barwright.llm import huffman, mixing, quality, sql, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,8 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_warc", sql.WARC)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op6_huffman")
+def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"))
