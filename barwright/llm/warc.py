@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import scale_partitions, scratch_path, stash
+from barwright.llm.common import scratch_path, stash
 
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
@@ -64,7 +64,7 @@ def _line(*parts) -> Column:
 
 
 def record(date: str) -> Column:
-    """The record of a row with page_id, url, html, largest_id (of its payload's group) and payload_digest, without its closing CRLF CRLF.
+    """The record of a row with page_id, url, html, payload_digest, record_type and refers_to, without its closing CRLF CRLF.
 
     Header values can't hold line breaks, so those in a url become spaces.
     """
@@ -89,18 +89,17 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
 
     Null html is an empty payload, a null url ``urn:unknown``. An empty table writes no record.
     """
-    spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
-    plan = stash(plan_records(pages, least_bytes), "warc-plan")
-    total = plan.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(scale_partitions(spark), -(-total // archive_bytes))
-    # The digest tells rows with equal page_id apart, so the join is one to one but for rows that are equal in both.
-    roles = plan.dropDuplicates(["page_id", "payload_digest"]).withColumnRenamed("page_id", "_id")
-    digest = base32_sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    rows = pages.withColumn("_digest", digest)
-    rows = rows.join(roles, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("payload_digest")))
-    rows = rows.select(record(date).alias("value"), "page_id").repartition(files, F.xxhash64("page_id", "value"))
-    rows.select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    plan = plan_records(pages, least_bytes)
+    revisits = plan.filter("record_type = 'revisit'").select(F.col("page_id").alias("_id"), "payload_digest", "refers_to")
+    # The digest tells rows with equal page_id apart. Spark broadcasts the revisits if they are few, so that payloads stay where they are.
+    revisits = stash(revisits.dropDuplicates(["_id", "payload_digest"]), "warc-revisits").withColumnRenamed("payload_digest", "_digest")
+    rows = pages.withColumn("payload_digest", base32_sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    rows = rows.withColumn("record_type", F.when(F.col("_digest").isNotNull(), "revisit").otherwise("response"))
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col("html"), F.lit(""))))).first()[0] or 1
+    per_file = max(1, int(archive_bytes / max(mean, 256)))
+    rows.select(record(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 # --- reading ---
