@@ -70,3 +70,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
