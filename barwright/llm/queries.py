@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import hmm, huffman, jaccard, mixing, packing, quality, sql, substrings, toxicity, warc
+from barwright.llm import hamming, hmm, huffman, jaccard, mixing, packing, quality, sql, substrings, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +82,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_hmm_language_model")
 def op5_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op2_multi_index_hashing", sql.HAMMING)
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(vectors, vectors.filter("vec_id % 20 = 0"))

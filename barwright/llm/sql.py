@@ -61,3 +61,12 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM m
 """
+
+HAMMING = """
+WITH p AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+         list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: ((x[1] > 0) <> (x[2] > 0))::INTEGER))::BIGINT AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
+SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10
+"""
