@@ -111,14 +111,19 @@ def _arrays(rows: DataFrame, value: str) -> list[np.ndarray]:
     return out
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 9) -> Model:
-    """Fit on ``labelled`` (text, toxic, doc_id): at most ``sample`` texts of each class, whole. Rows whose label is neither 0 nor 1 are left out.
+def fit(texts: DataFrame, sample: int = SAMPLE, seed: int = 9, labels: DataFrame | None = None) -> Model:
+    """Fit on ``texts`` (doc_id, text, and toxic unless ``labels`` has doc_id and toxic): at most ``sample`` texts of each class, whole. Rows whose label is neither 0 nor 1 are left out.
 
     Without texts of a class every score is the smoothed rate of the class that is there, 0.5 if there is none.
     """
-    labelled = labelled.filter("toxic in (0, 1)").select("text", F.col("toxic").cast("long").alias("toxic"), F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
-    chosen = [labelled.filter(F.col("toxic") == k).orderBy("_h").limit(sample) for k in (0, 1)]
-    rows = stash(chosen[0].unionByName(chosen[1]).select("text", "toxic").repartition(16), "toxicity-sample")
+    labels = (texts if labels is None else labels).filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
+    # Ids are chosen before texts are touched; the chosen ones are at most 2 * sample rows, however large the table is.
+    ids = labels.distinct().withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    chosen = [ids.filter(F.col("toxic") == k).orderBy("_h", "doc_id").limit(sample) for k in (0, 1)]
+    chosen = stash(chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")), "toxicity-ids")
+    own = texts.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = own.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumnRenamed("_toxic", "toxic")
+    rows = stash(rows.select("text", "toxic").repartition(16), "toxicity-sample")
     pairs = rows.mapInArrow(_counts, "toxic long, before long, word long, n long").groupBy("toxic", "before", "word").agg(F.sum("n").alias("n"))
     pairs = stash(pairs, "toxicity-pairs")
     # Both tables have at most one row for a class and a slot.
@@ -196,8 +201,9 @@ def held_out(folds: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """Fit on the labelled documents that aren't held out."""
-    labels = labels.filter(~held_out(folds)).select("doc_id", "toxic")
-    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    labels = labels.filter(~held_out(folds) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+    ids = docs.select("doc_id").join(labels, "doc_id")
+    return fit(docs.select("doc_id", "text"), labels=ids)
 
 
 def classify(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
