@@ -222,7 +222,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     wanted = groups.join(sizes, "label").join(classes.drop("bands"), "key").withColumnRenamed("first", "_id")
     wanted = stash(wanted, "jaccard-wanted")
 
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Texts are dealt out by doc_id at every size, not only once the candidates are too many to broadcast.
+    found = docs.select("doc_id", "text").hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = found.select("text", "key", "label", "copies", "size").mapInArrow(_sets(n), "key binary, label binary, copies long, size long, grams binary")
     members = wanted.count()
     units = max(1, members // UNIT)
