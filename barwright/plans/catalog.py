@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barwright.plans import edges, features  # noqa: F401
+from barwright.plans import analytics, edges, features  # noqa: F401
 from barwright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
