@@ -54,6 +54,11 @@ def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Rows that Spark hands to Python at once from now on: what a worker holds follows it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def hash_words(vocabulary: list[bytes], seed: int = 0) -> np.ndarray:
     """64-bit hash of each word."""
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))

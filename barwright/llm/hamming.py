@@ -22,7 +22,7 @@ K = 10
 #: Distinct codes of an index block and of a query block, about.
 BLOCK, QUERIES = 1 << 20, 1 << 13
 #: Probes that are looked up at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 def codes_of(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +66,10 @@ class Index:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         bits = codes.shape[1] * 64
-        self.width = int(np.clip(np.log2(max(len(codes), 2)), 8, 20))
-        self.spans = [(a, min(self.width, bits - a)) for a in range(0, bits, self.width)]
+        # Segments of about log2 of the number of codes bits, so that a bucket holds about one; none much shorter than the others.
+        parts = -(-bits // 20) if len(codes) >= 1 << 20 else max(-(-bits // 20), round(bits / max(np.log2(max(len(codes), 2)), 8)))
+        edges = np.linspace(0, bits, parts + 1).astype(int).tolist()
+        self.spans = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
         self.tables = []
         for a, n in self.spans:
             value = self.segment(codes, a, n)
@@ -105,8 +107,7 @@ class Index:
                     active = active[:0]
                     break
                 order, starts = self.tables[s]
-                for at in range(0, len(active), max(1, CHUNK // len(masks))):
-                    q = active[at : at + max(1, CHUNK // len(masks))]
+                for q in self._portions(active, own[s], masks, starts):
                     probe = own[s][q][:, None] ^ masks[None, :]
                     lo, size = starts[probe], starts[probe + 1] - starts[probe]
                     who = np.repeat(np.repeat(q, len(masks)), size.ravel())
@@ -121,7 +122,9 @@ class Index:
                     who, code = who[fresh], code[fresh]
                     d = np.bitwise_count(self.codes[code] ^ queries[who]).sum(1).astype(np.int64)
                     np.add.at(seen, (who, d), weights[code])
-                    found.append((who, code, d))
+                    # What is farther than the k nearest so far can't be in the answer.
+                    near = d <= self._limits(seen[q], k)[np.searchsorted(q, who)]
+                    found.append((who[near], code[near], d[near]))
                 covered = len(self.spans) * radius + s
                 active = active[seen[active, : covered + 1].sum(1) < k]
                 if not len(active):
@@ -129,6 +132,26 @@ class Index:
             radius += 1
         return self._collect(found, seen, n, k)
 
+    @staticmethod
+    def _portions(active: np.ndarray, values: np.ndarray, masks: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Queries whose probes, and what they find, fit into ``CHUNK`` together; one query at least."""
+        step = max(1, CHUNK // len(masks))
+        for at in range(0, len(active), step):
+            q = active[at : at + step]
+            probe = values[q][:, None] ^ masks[None, :]
+            cost = np.cumsum((starts[probe + 1] - starts[probe]).sum(1))
+            place = 0
+            while place < len(q):
+                end = max(place + 1, int(np.searchsorted(cost, (cost[place - 1] if place else 0) + CHUNK, side="right")))
+                yield q[place:end]
+                place = end
+
+    @staticmethod
+    def _limits(seen: np.ndarray, k: int) -> np.ndarray:
+        """Distance of each query's kth entry so far, or the largest there is."""
+        full = np.cumsum(seen, 1) >= k
+        return np.where(full.any(1), full.argmax(1), seen.shape[1])
+
     @staticmethod
     def _collect(found: list, seen: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         limit = np.argmax(np.cumsum(seen, 1) >= np.minimum(k, seen.sum(1))[:, None], axis=1)

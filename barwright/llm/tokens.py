@@ -14,8 +14,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: A space beside other white space: such texts are encoded in one piece.
 _UNSAFE = re.compile(r" \s|\s ")
 _PUNCTUATION = ",.;:!?"
-#: Words that a worker remembers; beyond it forgets all and starts anew.
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers, about: those met since the cache was last half full, and those met in the half before.
+CACHE_WORDS = 600_000
 
 
 def default_path() -> str:
@@ -40,6 +40,7 @@ class Encoder:
         self.by_word = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -47,17 +48,20 @@ class Encoder:
 
     def _learn(self, wanted: list[str]) -> None:
         """Put the missing words among ``wanted`` in the cache; a last punctuation mark after a letter is a pre-token of its own."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self.known) > CACHE_WORDS // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         whole, split = set(), []
         for w in wanted:
             if w not in known:
-                if len(w) > 1 and w[-1] in _PUNCTUATION and w[-2].isalpha():
+                if w in older:
+                    known[w] = older[w]
+                elif len(w) > 1 and w[-1] in _PUNCTUATION and w[-2].isalpha():
                     split.append(w)
                     whole.update((w[:-1], w[-1]))
                 else:
                     whole.add(w)
+        known.update((w, older[w]) for w in whole if w in older)
         new = [w for w in whole if w not in known]
         for w, ids in zip(new, self._encode(new), strict=True):
             known[w] = ids.tobytes()
@@ -81,7 +85,7 @@ class Encoder:
         for k in simple:
             group.append(k)
             size += len(texts[k])
-            if size > 8 << 20:
+            if size > 6 << 20:
                 self._by_words(texts, group, out)
                 group, size = [], 0
         if group:
@@ -114,6 +118,7 @@ class Encoder:
         bounds = np.concatenate([[0], done])[ends]
         for k, a, b in zip(group, bounds[:-1], bounds[1:], strict=True):
             out[k] = ids[a:b]
+        pa.default_memory_pool().release_unused()
 
 
 _ENCODERS: dict[str, Encoder] = {}

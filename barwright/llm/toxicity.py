@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import hash_words, intern_words, stash
+from barwright.llm.common import arrow_rows, hash_words, intern_words, stash
 
 #: Labelled texts of each class that the models are fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 8000
@@ -178,6 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     A column ``score`` of the input is replaced.
     """
+    arrow_rows(docs.sparkSession, 2000)
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     # The frozen tables have a fixed number of slots, a few MB when packed.
     frozen = docs.sparkSession.sparkContext.broadcast(_freeze(model))
