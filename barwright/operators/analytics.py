@@ -146,3 +146,17 @@ SELECT symbol, edge_key, count(f10) AS n, {r('avg(f10)', 'mean_return')}, {r('av
     "ml_01": f"WITH {RETURNS}, l AS (SELECT symbol, ntile(5) OVER (PARTITION BY symbol ORDER BY lag_y, t) AS a, ntile(5) OVER (PARTITION BY symbol ORDER BY y, t) AS b FROM (SELECT symbol, t, y, lag(y) {W} AS lag_y FROM x) z WHERE lag_y IS NOT NULL), c AS (SELECT symbol, a, b, CAST(count(*) AS DOUBLE) AS n FROM l GROUP BY symbol, a, b), m AS (SELECT *, sum(n) OVER (PARTITION BY symbol) AS s, sum(n) OVER (PARTITION BY symbol, a) AS na, sum(n) OVER (PARTITION BY symbol, b) AS nb FROM c) SELECT symbol, {r('sum(n / s * ln(n * s / (na * nb)))', 'mutual_information')} FROM m GROUP BY symbol",
     "ml_02": f"WITH {RETURNS}, f AS (SELECT symbol, lead(y) {W} AS target, y, volume, high - low AS rng FROM x), s AS (SELECT symbol, 'return_1' AS feature_name, abs(corr(y, target)) AS c FROM f GROUP BY symbol UNION ALL SELECT symbol, 'volume' AS feature_name, abs(corr(volume, target)) AS c FROM f GROUP BY symbol UNION ALL SELECT symbol, 'range' AS feature_name, abs(corr(rng, target)) AS c FROM f GROUP BY symbol) SELECT symbol, feature_name, {r('c', 'importance')}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY c DESC) AS BIGINT) AS rk FROM s",
 }
+
+SQL["pre_12"] = SQL["join_02"]
+SQL["par_04"] = (
+    f"WITH {PAIRS}, o AS (SELECT pair, regr_slope(ca, cb) AS b, regr_intercept(ca, cb) AS a FROM ab GROUP BY pair), e AS (SELECT ab.pair, t, ca - a - b * cb AS e FROM ab JOIN o ON ab.pair = o.pair), d AS (SELECT pair, e - lag(e) OVER (PARTITION BY pair ORDER BY t) AS de, lag(e) OVER (PARTITION BY pair ORDER BY t) AS pe FROM e), "
+    f"c AS (SELECT pair, count(*) AS n, sum(de * pe) AS sxy, sum(pe * pe) AS sxx, sum(de * de) AS syy FROM d WHERE de IS NOT NULL GROUP BY pair), u AS (SELECT pair, n, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx) AS adf FROM c) SELECT pair, n, {r('adf', 'adf_statistic', 4)}, CASE WHEN adf < -3.34 THEN 1 ELSE 0 END AS cointegrated FROM u"
+)
+_DIFF = f"""WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, avg(CASE WHEN rn % 2 = 0 THEN y END) - avg(CASE WHEN rn % 2 = 1 THEN y END) AS obs FROM h GROUP BY symbol), b AS (SELECT {{{{explode(sequence(0, 99))¦unnest(range(0, 100))}}}} AS b),
+w AS (SELECT h.symbol, b.b, h.y, CASE WHEN (CAST(b.b AS BIGINT) * 7919 + h.rn * 104729 + CAST(b.b AS BIGINT) * h.rn * 31 + 12345) * 48271 % 2147483647 % 2 = 0 THEN 0 ELSE 1 END AS grp FROM h CROSS JOIN b), p AS (SELECT symbol, b, avg(CASE WHEN grp = 0 THEN y END) - avg(CASE WHEN grp = 1 THEN y END) AS df FROM w GROUP BY symbol, b)
+SELECT c.symbol, count(*) AS n_permutations, {r('max(c.obs)', 'observed')}, {r('avg(CASE WHEN abs(p.df) >= abs(c.obs) THEN 1e0 ELSE 0e0 END)', 'p_value')} FROM c JOIN p ON c.symbol = p.symbol GROUP BY c.symbol"""
+SQL["boo_05"] = _DIFF
+SQL["vlm_01"] = "SELECT symbol, t, coalesce(volume, 1) AS volume FROM BARS"
+SQL["src_10"] = "SELECT symbol, t, close FROM BARS WHERE t % 24 < 6 AND volume > 1"
+SQL["src_03"] = "SELECT DISTINCT split_part(concat(symbol, '_H1'), '_', 1) AS symbol FROM BARS"
+SQL["src_15"] = "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM BARS WHERE symbol IN (SELECT symbol FROM BARS GROUP BY symbol ORDER BY symbol LIMIT 2) GROUP BY symbol"

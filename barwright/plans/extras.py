@@ -117,12 +117,30 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_json(QUERIES["mrv_08"](spark, sf_dir))
 
 
-@query("eng_03", " UNION ALL ".join(f"SELECT * FROM ({ORACLES[k]})" for k in ("tim_01", "tim_03", "tre_08", "mrv_08", "vle_05", "vle_06", "str_e7")))
-def eng_03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name in ("tim_01", "tim_03", "tre_08", "mrv_08", "vle_05", "vle_06", "str_e7"):
-        one = QUERIES[name](spark, sf_dir)
-        out = one if out is None else out.unionByName(one)
-    return out
+def union_of(names: tuple[str, ...]):
+    """Query and SQL of several queries with the same columns."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = None
+        for name in names:
+            one = QUERIES[name](spark, sf_dir)
+            out = one if out is None else out.unionByName(one)
+        return out
 
+    return run, " UNION ALL ".join(f"SELECT * FROM ({ORACLES[k]})" for k in names)
+
+
+for _name, _parts in {"tim_08": ("tim_01", "tim_02", "tim_03", "tim_04", "tim_05", "tim_07"), "vle_07": ("vle_05", "vle_06")}.items():
+    _run, _sql = union_of(_parts)
+    query(_name, _sql)(_run)
+
+
+@query("eng_04", f"SELECT e.symbol, count(*) AS validated, max(b.bootstrap_mean) AS bootstrap_mean, max(b.ci_lo) AS ci_lo, max(b.ci_hi) AS ci_hi FROM ({ORACLES['mrv_08']}) e JOIN ({ORACLES['boo_01']}) b ON e.symbol = b.symbol WHERE e.is_significant GROUP BY e.symbol")
+def eng_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Significant edges of each symbol beside the bootstrap of its returns."""
+    found = QUERIES["mrv_08"](spark, sf_dir).filter("is_significant").groupBy("symbol").agg(F.count("*").alias("validated"))
+    return found.join(QUERIES["boo_01"](spark, sf_dir), "symbol").select("symbol", "validated", "bootstrap_mean", "ci_lo", "ci_hi")
+
+
+_run, _sql = union_of(("tim_01", "tim_03", "tre_08", "mrv_08", "vle_05", "vle_06", "str_e7"))
+query("eng_03", _sql)(_run)
