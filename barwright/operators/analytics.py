@@ -160,3 +160,5 @@ SQL["vlm_01"] = "SELECT symbol, t, coalesce(volume, 1) AS volume FROM BARS"
 SQL["src_10"] = "SELECT symbol, t, close FROM BARS WHERE t % 24 < 6 AND volume > 1"
 SQL["src_03"] = "SELECT DISTINCT split_part(concat(symbol, '_H1'), '_', 1) AS symbol FROM BARS"
 SQL["src_15"] = "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM BARS WHERE symbol IN (SELECT symbol FROM BARS GROUP BY symbol ORDER BY symbol LIMIT 2) GROUP BY symbol"
+SQL["par_11"] = f"SELECT pair, lag_bars, n, correlation FROM ({SQL['par_03']}) z WHERE p_value < 0.05 AND abs(correlation) > 0.1"
+SQL["ml_09"] = f"SELECT a.symbol, a.feature_name, {r('a.importance + coalesce(b.mutual_information, 0)', 'score')} FROM ({SQL['ml_02']}) a LEFT JOIN ({SQL['ml_01']}) b ON a.symbol = b.symbol AND a.feature_name = 'return_1'"

@@ -134,6 +134,10 @@ add("vlm_09", [{"move": f"(high + low) / 2 - ({lag('high')} + {lag('low')}) / 2"
 add("vlm_10", [R1, RETURNS, {"vpt": f"CASE WHEN r1 IS NOT NULL THEN sum(volume * r1) {RUNNING} END"}], ["vpt"], 2)
 add("vlm_11", [R1, {"pv": lag("volume")}, {"g": f"CASE WHEN volume < pv THEN {ln('close / nullif(prev, 0)')} ELSE 0 END"}, {"nvi": f"ln(1000) + sum(coalesce(g, 0)) {RUNNING}"}], ["nvi"])
 
+add("vlm_12", [{"m": roll("avg", "volume", 20), "s": roll("stddev_samp", "volume", 20), "tpv": f"{TP} * volume"}, *MFI, *OBV, *AD, {"z": "CASE WHEN s > 1e-9 THEN (volume - m) / s END", "vw": div(roll("sum", "tpv", 20), roll("sum", "volume", 20))},
+               {"mfi_overbought": flag("mfi > 80"), "mfi_oversold": flag("mfi < 20"), "is_high_volume": flag("z > 2"), "is_low_volume": flag("z < -2"), "price_above_vwap": flag("close > vw + 1e-9")}],
+    dict.fromkeys(["mfi_overbought", "mfi_oversold", "is_high_volume", "is_low_volume", "price_above_vwap", "obv_trend"]))
+
 # --- candles ---
 BODY_RATIO, UW, LW = div(BODY, RANGE), "(high - greatest(open, close))", "(least(open, close) - low)"
 PREV = {"o1": lag("open"), "c1": lag("close"), "h1": lag("high"), "l1": lag("low"), "o2": lag("open", 2), "c2": lag("close", 2)}

@@ -144,3 +144,37 @@ def eng_04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _run, _sql = union_of(("tim_01", "tim_03", "tre_08", "mrv_08", "vle_05", "vle_06", "str_e7"))
 query("eng_03", _sql)(_run)
+
+
+@query("src_11", "SELECT o_orderkey AS ticket, (epoch(o_orderdate) / 3600)::BIGINT AS t, o_orderpriority AS symbol, o_orderstatus AS type, o_totalprice AS price FROM orders")
+def src_11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order log: a projection of the order table."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.selectExpr("o_orderkey AS ticket", f"{bars.hour_index('o_orderdate')} AS t", "o_orderpriority AS symbol", "o_orderstatus AS type", "o_totalprice AS price")
+
+
+@query("src_12", "SELECT event_type AS symbol, count(*) AS ticks, count(DISTINCT user_id) AS users, min(value) AS least, max(value) AS most FROM events GROUP BY ALL")
+def src_12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each symbol: a small table."""
+    return bars.events(spark, sf_dir).groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("ticks"), F.countDistinct("user_id").alias("users"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("src_14")
+def src_14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.Resolver(spark).load(["EURUSD", "GBPUSD"], "H1", "2022-01-03", "2022-01-31")
+
+
+@query("src_17")
+def src_17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.simulate(spark, ["EURUSD", "GBPUSD", "USDJPY"], "H1", "2022-01-03", "2022-02-28", seed=7)
+
+
+@query("ml_06")
+def ml_06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.regimes(bars.bars_h1(spark, sf_dir), 4)
+
+
+@query("str_05")
+def str_05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars in append mode: windows come out once the watermark has passed them, later ticks are dropped."""
+    return _drain(spark, ticks.tumbling_bars(_stream(spark, sf_dir)), "append").selectExpr("symbol", f"{_SECONDS} AS t", "open", "close", "volume")
