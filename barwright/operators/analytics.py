@@ -37,6 +37,8 @@ PAIRS = f"{RETURNS}, ab AS (SELECT concat(a.symbol, '/', b.symbol) AS pair, a.sy
 HALVES = f"{RETURNS}, h AS (SELECT symbol, t, y, row_number() {W} AS rn FROM x)"
 RANKED = "k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY v) + (count(*) OVER (PARTITION BY symbol, v) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY symbol, v) AS ties FROM g)"
 FOLDS = "n AS (SELECT symbol, count(*) AS rows_all FROM BARS GROUP BY symbol)"
+#: Every row once for each fold that it lies in, to the end of its series (in Spark; the DuckDB form joins the first 41 folds). Folds that the series ends in are kept.
+IN_FOLDS = "f AS (SELECT {{*, explode(sequence(greatest((rn - 295) DIV 21, 0), (rn - 1) DIV 21))¦unnest(range(0, 41))}} AS k{{ FROM h¦}})"
 #: Deterministic draws for resampling: a multiplicative congruence of replicate and draw.
 DRAW = "((b * 7919 + i * 104729 + b * i * 31 + 12345) * 48271 % 2147483647)"
 REPLICATES, DRAWS = 200, 150
@@ -131,9 +133,9 @@ SELECT symbol, edge_key, count(f10) AS n, {r('avg(f10)', 'mean_return')}, {r('av
     "par_09": f"WITH {PAIRS}, m AS (SELECT t, sa, sb, ya - yb AS v FROM ab), l AS (SELECT t, sa AS ccy, v FROM m UNION ALL SELECT t, sb AS ccy, -v AS v FROM m) SELECT t, ccy, {r('avg(v)', 'strength')} FROM l GROUP BY t, ccy",
     "par_10": f"WITH {PAIRS}, m AS (SELECT t, sa, sb, ya - yb AS v FROM ab), l AS (SELECT t, sa AS ccy, v FROM m UNION ALL SELECT t, sb AS ccy, -v AS v FROM m), a AS (SELECT t, ccy, {_r('avg(v)', 9)} AS s FROM l GROUP BY t, ccy), k AS (SELECT t, ccy, row_number() OVER (PARTITION BY t ORDER BY s DESC, ccy) AS hi, row_number() OVER (PARTITION BY t ORDER BY s, ccy) AS lo FROM a) SELECT t, max(CASE WHEN hi = 1 THEN ccy END) AS strongest, max(CASE WHEN lo = 1 THEN ccy END) AS weakest FROM k GROUP BY t",
     # folds
-    "wfo_01": f"WITH {FOLDS}, k AS (SELECT {{{{explode(sequence(0, 40))¦unnest(range(0, 41))}}}} AS k) SELECT symbol, CAST(k AS BIGINT) AS fold, CAST(k * 21 AS BIGINT) AS train_start, CAST(k * 21 + 252 AS BIGINT) AS train_end, CAST(k * 21 + 315 AS BIGINT) AS test_end FROM n CROSS JOIN k WHERE k * 21 + 315 <= rows_all",
-    "wfo_02": f"WITH {HALVES}, f AS (SELECT {{{{explode(sequence(0, 40))¦unnest(range(0, 41))}}}} AS k) SELECT symbol, CAST(k AS BIGINT) AS fold, CASE WHEN rn <= k * 21 + 252 THEN 'train' ELSE 'test' END AS role, count(*) AS n, {r('avg(y)', 'mean_return')}, {r('avg(y) / nullif(stddev_samp(y), 0) * sqrt(252)', 'sharpe', 4)} FROM h JOIN f ON rn > k * 21 AND rn <= k * 21 + 315 GROUP BY ALL",
-    "wfo_03": f"WITH {HALVES}, f AS (SELECT {{{{explode(sequence(0, 40))¦unnest(range(0, 41))}}}} AS k), m AS (SELECT symbol, k, avg(CASE WHEN rn <= k * 21 + 252 THEN y END) AS tr, avg(CASE WHEN rn > k * 21 + 252 THEN y END) AS te FROM h JOIN f ON rn > k * 21 AND rn <= k * 21 + 315 GROUP BY symbol, k) SELECT symbol, count(*) AS folds, {r('avg(tr)', 'train_mean')}, {r('avg(te)', 'test_mean')}, {r('stddev_pop(te)', 'test_std')}, {r('avg(te) / nullif(avg(tr), 0)', 'efficiency', 3)}, CASE WHEN avg(te) < 0.5 * avg(tr) THEN 'overfit' ELSE 'stable' END AS verdict FROM m GROUP BY symbol",
+    "wfo_01": f"WITH {FOLDS}, k AS (SELECT {{{{symbol AS of, explode(sequence(0, greatest(rows_all - 315, 0) DIV 21))¦unnest(range(0, 41))}}}} AS k{{{{ FROM n¦}}}}) SELECT symbol, CAST(k AS BIGINT) AS fold, CAST(k * 21 AS BIGINT) AS train_start, CAST(k * 21 + 252 AS BIGINT) AS train_end, CAST(k * 21 + 315 AS BIGINT) AS test_end FROM n {{{{JOIN k ON symbol = of¦CROSS JOIN k}}}} WHERE k * 21 + 315 <= rows_all",
+    "wfo_02": f"WITH {HALVES}, {IN_FOLDS} SELECT symbol, CAST(k AS BIGINT) AS fold, CASE WHEN rn <= k * 21 + 252 THEN 'train' ELSE 'test' END AS role, count(*) AS n, {r('avg(y)', 'mean_return')}, {r('avg(y) / nullif(stddev_samp(y), 0) * sqrt(252)', 'sharpe', 4)} FROM {{{{f¦h JOIN f ON rn > k * 21 AND rn <= k * 21 + 315}}}} GROUP BY ALL",
+    "wfo_03": f"WITH {HALVES}, {IN_FOLDS}, m AS (SELECT symbol, k, avg(CASE WHEN rn <= k * 21 + 252 THEN y END) AS tr, avg(CASE WHEN rn > k * 21 + 252 THEN y END) AS te FROM {{{{f¦h JOIN f ON rn > k * 21 AND rn <= k * 21 + 315}}}} GROUP BY symbol, k) SELECT symbol, count(*) AS folds, {r('avg(tr)', 'train_mean')}, {r('avg(te)', 'test_mean')}, {r('stddev_pop(te)', 'test_std')}, {r('avg(te) / nullif(avg(tr), 0)', 'efficiency', 3)}, CASE WHEN avg(te) < 0.5 * avg(tr) THEN 'overfit' ELSE 'stable' END AS verdict FROM m GROUP BY symbol",
     "wfo_04": f"WITH {FOLDS}, k AS (SELECT {{{{explode(sequence(1, 5))¦unnest(range(1, 6))}}}} AS k) SELECT symbol, CAST(k AS BIGINT) AS fold, CAST(floor(rows_all / 6e0) * k AS BIGINT) AS train_end, CAST(CASE WHEN k = 5 THEN rows_all ELSE floor(rows_all / 6e0) * (k + 1) END AS BIGINT) AS test_end FROM n CROSS JOIN k",
     "wfo_05": f"WITH {FOLDS}, k AS (SELECT {{{{explode(sequence(0, 4))¦unnest(range(0, 5))}}}} AS k), s AS (SELECT symbol, k, rows_all, CAST(floor(rows_all / 5e0) AS BIGINT) AS size FROM n CROSS JOIN k), b AS (SELECT symbol, k, rows_all, size * k AS a, CASE WHEN k = 4 THEN rows_all ELSE size * (k + 1) END AS z FROM s) SELECT symbol, CAST(k AS BIGINT) AS fold, a AS test_start, z AS test_end, greatest(a - 10, 0) + greatest(rows_all - z - 5, 0) AS train_rows FROM b",
     # resampling
