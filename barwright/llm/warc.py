@@ -2,12 +2,14 @@
 
 Writer: each row becomes one record; Spark's text writer appends the record's closing CRLF CRLF, so archives go to any file system
 that Spark can write. Reader: files arrive as bytes, checked record by record; after a failed check the next valid gzip member or
-version line is searched for, later records are recovered, and the bytes between are logged as a quarantined gap.
+version line is searched for, later records are recovered, and the bytes between are logged as a quarantined gap. The same is done
+within the bytes of a gzip member, and within those that a damaged member still gives.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -105,6 +107,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
 # --- reading ---
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
+_VERSION_LINE = re.compile(rb"WARC/1\.[^\r\n]{0,32}\r\n")
+TRUNCATED = "gzip: truncated"
 
 
 def _digest_ok(field: bytes | None, data: bytes) -> bool:
@@ -115,24 +119,21 @@ def _digest_ok(field: bytes | None, data: bytes) -> bool:
 
 def parse_record(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | str:
     """Headers, block start and block end of the record at ``at``, or the name of the check that failed."""
-    if data[at : at + 7] != VERSION:
+    line = _VERSION_LINE.match(data, at)
+    if not line:
         return "no version line"
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if end < 0:
-        return "headers do not end"
-    first = data.find(b"\r\n", at, end + 2) + 2
     head: dict[bytes, bytes] = {}
-    place = first
-    while place < end + 2:
-        m = _HEADER.match(data, place, end + 2)
+    place = line.end()
+    while data[place : place + 2] != b"\r\n":
+        m = _HEADER.match(data, place)
         if not m:
-            return "bad header line"
+            return "bad header line" if data.find(b"\r\n", place) >= 0 else "headers do not end"
         head[m[1].strip().lower()] = m[2].strip()
         place = m.end()
     length = head.get(b"content-length", b"")
-    if not length.isdigit():
+    if not length.isdigit() or len(length) > 18:
         return "no content length"
-    start, stop = end + 4, end + 4 + int(length)
+    start, stop = place + 2, place + 2 + int(length)
     if stop + 4 > len(data):
         return "truncated"
     if data[stop : stop + 4] != b"\r\n\r\n":
@@ -142,63 +143,120 @@ def parse_record(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] |
     return head, start, stop
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The gzip member at ``at`` and where it ends, or the failed check."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` gives, where it ends or breaks, and the failed check if there is one."""
     engine, view, out, place = zlib.decompressobj(31), memoryview(data), [], at
     try:
         while place < len(data) and not engine.eof:
+            before = engine.copy()
             out.append(engine.decompress(view[place : place + STEP]))
             place += STEP
     except zlib.error as e:
-        return f"gzip: {e}"
-    return (b"".join(out), min(place, len(data)) - len(engine.unused_data)) if engine.eof else "gzip: truncated"
+        with contextlib.suppress(zlib.error):  # the failed step again, byte by byte, for what comes before the break
+            while place < len(data):
+                out.append(before.decompress(view[place : place + 1]))
+                place += 1
+        return b"".join(out), place, f"gzip: {e}"
+    return b"".join(out), min(place, len(data)) - len(engine.unused_data), "" if engine.eof else TRUNCATED
+
+
+def _plain(data: bytes) -> Iterator[tuple]:
+    """Records and gaps of the bytes of a member, as :func:`scan` yields them; every byte lies in exactly one."""
+    at, size, gap, why = 0, len(data), None, ""
+    while at < size:
+        r = parse_record(data, at)
+        if isinstance(r, str):
+            if gap is None:
+                gap, why = at, r
+            at = data.find(VERSION, at + 1)
+            at = size if at < 0 else at
+            continue
+        if gap is not None:
+            yield ("gap", gap, at, why)
+            gap = None
+        yield ("record", at, r[2] + 4, r[0], data[r[1] : r[2]])
+        at = r[2] + 4
+    if gap is not None:
+        yield ("gap", gap, size, why)
+
+
+def _member(inner: bytes, problem: str) -> tuple[list[tuple], int]:
+    """Records and gaps of a member's bytes without offsets, and where the last record ends.
+
+    After broken data only records with a block digest count as checked.
+    """
+    sure, out, last = problem in ("", TRUNCATED), [], 0
+    for kind, a, b, *rest in _plain(inner):
+        if kind == "record" and (sure or rest[0].get(b"warc-block-digest", b"").lower().startswith(b"sha1:")):
+            out.append((kind, *rest))
+            last = b
+        else:
+            out.append(("gap", f"{rest[0] if kind == 'gap' else 'no digest after ' + problem}, inflated bytes {a} to {b}"))
+    return out + ([("gap", problem)] if problem else []), last
+
+
+def _candidates(data: bytes, at: int) -> Iterator[int]:
+    """Places after ``at`` where a version line or a gzip member may begin."""
+    marks = {m: data.find(m, at + 1) for m in (VERSION, GZIP)}
+    while places := [p for p in marks.values() if p >= 0]:
+        at = min(places)
+        yield at
+        marks = {m: data.find(m, at + 1) if p == at else p for m, p in marks.items()}
+
+
+def _after_break(data: bytes, at: int, last: int) -> int:
+    """Where to go on after a broken member: the next mark behind the bytes that its first ``last`` inflated bytes came from.
+
+    The inflater may run over the next member's beginning before it notices, so its own place would be too late.
+    """
+    engine, view, place = zlib.decompressobj(31), memoryview(data), at
+    step = STEP
+    while last > 0 and place < len(data):
+        piece, before = view[place : place + step], engine.copy()
+        try:
+            last -= len(engine.decompress(piece, last))
+        except zlib.error:  # the break is in this step: byte by byte, the bytes looked for come before it
+            if step == 1:
+                break
+            engine, step = before, 1
+            continue
+        place += len(piece) - len(engine.unconsumed_tail)
+    # It may have looked two bytes ahead.
+    return next(_candidates(data, max(at, place - 3)), len(data))
 
 
 def scan(data: bytes) -> Iterator[tuple]:
     """Records and gaps of an archive, in file order.
 
     Yields ``("record", offset, end, headers, block)`` and ``("gap", offset, end, failed check)``. Every byte of ``data`` lies in exactly one of them,
-    but for gzip members that hold several records, which share the member's offsets.
+    but for gzip members that hold several records or gaps, which share the member's offsets.
     """
     at, size, gap, why = 0, len(data), None, ""
     while at < size:
         found: list[tuple] = []
         end = at
         if data[at : at + 3] == GZIP:
-            got = _inflate(data, at)
-            problem = got if isinstance(got, str) else ""
-            if not problem:
-                inner, end = got
-                place = 0
-                while place < len(inner) and not problem:
-                    r = parse_record(inner, place)
-                    if isinstance(r, str):
-                        problem = r
-                    else:
-                        found.append((r[0], inner[r[1] : r[2]]))
-                        place = r[2] + 4
-                problem = problem or ("" if found else "empty member")
+            inner, end, problem = _inflate(data, at)
+            found, last = _member(inner, problem)
+            if all(x[0] == "gap" for x in found):
+                problem = problem or (found[0][1] if found else "empty member")
+                found = []
+            elif problem:
+                end = _after_break(data, at, last)
         else:
             r = parse_record(data, at)
             problem = r if isinstance(r, str) else ""
             if not problem:
-                found, end = [(r[0], data[r[1] : r[2]])], r[2] + 4
-        if problem:
+                found, end = [("record", r[0], data[r[1] : r[2]])], r[2] + 4
+        if not found:
             if gap is None:
                 gap, why = at, problem
-            steps = [p for p in (data.find(VERSION, at + 1), data.find(GZIP, at + 1)) if p >= 0]
-            if found and end > at:  # a sound member whose records stop being sound: what came before is kept
-                yield from (("record", at, end, h, b) for h, b in found)
-                yield ("gap", at, end, problem)
-                gap = None
-                at = end
-            else:
-                at = min(steps, default=size)
+            at = next(_candidates(data, at), size)
             continue
         if gap is not None:
             yield ("gap", gap, at, why)
             gap = None
-        yield from (("record", at, end, h, b) for h, b in found)
+        yield from ((kind, at, end, *rest) for kind, *rest in found)
         at = end
     if gap is not None:
         yield ("gap", gap, size, why)
