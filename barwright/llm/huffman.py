@@ -153,13 +153,13 @@ def read_block(body: bytes, decoder: Decoder) -> tuple[int, np.ndarray, np.ndarr
 _STASH = "part int, place long, first long, doc_ids binary, nulls binary, sizes binary, ids binary, seen array<int>, counts array<long>"
 
 
-def _tokenize(path: str):
+def _tokenize(path: str, specials_as_text: bool):
     """Blocks of a partition's documents in their order, then its count of each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode_texts = TaskContext.get().partitionId(), encoder(path)
+        part, encode_texts = TaskContext.get().partitionId(), encoder(path, specials_as_text)
         counts = np.zeros(encode_texts.tokenizer.get_vocab_size() + 1, np.int64)
         schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("first", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "nulls", "sizes", "ids")), ("seen", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
         place, first = 0, 0
@@ -190,7 +190,7 @@ def _tokenize(path: str):
     return run
 
 
-def write_archive(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+def write_archive(docs: DataFrame, path: str, tokenizer: str | None = None, specials_as_text: bool = True) -> None:
     """Tokenize ``docs`` (doc_id, text; other columns are ignored) and write the archive under ``path``.
 
     Null texts are empty; every document ends with id 0. Documents stand in ascending doc_id order, null first; equal doc_ids follow their texts.
@@ -200,7 +200,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str | None = None) -> N
     tokenizer = tokenizer or default_path()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(scale_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = stash(ordered.mapInArrow(_tokenize(tokenizer), _STASH), "huffman-ids")
+    blocks = stash(ordered.mapInArrow(_tokenize(tokenizer, specials_as_text), _STASH), "huffman-ids")
 
     # One number for each id of the vocabulary and one for each partition: neither grows with the rows.
     tally = blocks.filter("seen IS NOT NULL").select(F.explode(F.arrays_zip("seen", "counts")).alias("x"))
@@ -216,7 +216,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str | None = None) -> N
     for part, n in totals:
         base[part] = before
         before += n
-    width = "<u2" if encoder(tokenizer).width == "<u2" else "<u4"
+    width = "<u2" if encoder(tokenizer, specials_as_text).width == "<u2" else "<u4"
 
     framed = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("frame", pa.binary())])
 
@@ -258,8 +258,8 @@ def read_archive(spark: SparkSession, path: str, keep_ids: bool = False) -> Data
     return spark.read.format("binaryFile").load(f"{path}/blocks").select("content").mapInArrow(read, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = False, specials_as_text: bool = True) -> DataFrame:
     """Write ``docs`` as an archive in the shared folder and return what the reader finds in it."""
     path = scratch_path(docs.sparkSession, "huffman")
-    write_archive(docs, path, tokenizer)
+    write_archive(docs, path, tokenizer, specials_as_text)
     return read_archive(docs.sparkSession, path, keep_ids)

@@ -31,13 +31,13 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(a, min(most, n - a)) for a in range(0, n, most)]
 
 
-def _pieces(path: str, most: int, keep_ids: bool):
+def _pieces(path: str, most: int, keep_ids: bool, specials_as_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if keep_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode_texts, seen = TaskContext.get().partitionId(), encoder(path), [0] * (most + 1)
+        part, encode_texts, seen = TaskContext.get().partitionId(), encoder(path, specials_as_text), [0] * (most + 1)
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 piece = batch.slice(a, 2048)
@@ -107,7 +107,7 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, most: int = LENGTH, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, most: int = LENGTH, keep_ids: bool = False, specials_as_text: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if ``keep_ids``.
 
     ``docs``: doc_id and text; other columns are ignored. Null texts are empty; every document ends with id 0, so each has a piece.
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = LENGTH, keep
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = _PIECE + (", ids array<int>" if keep_ids else "")
-    pieces = stash(source.mapInArrow(_pieces(tokenizer or default_path(), most, keep_ids), schema), "packing-pieces")
+    pieces = stash(source.mapInArrow(_pieces(tokenizer or default_path(), most, keep_ids, specials_as_text), schema), "packing-pieces")
     counts = stash(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "packing-counts")
     # At most one row for each length.
     hist = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

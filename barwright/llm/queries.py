@@ -48,12 +48,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_huffman")
 def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.round_trip(table(spark, sf_dir, "documents"))
+    return huffman.round_trip(table(spark, sf_dir, "documents"), specials_as_text=False)
 
 
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), specials_as_text=False)
 
 
 @query("op8_substring_dedup")

@@ -29,14 +29,17 @@ class Encoder:
 
     A single space between two characters that aren't white space always starts a new pre-token, so a text is the sum of its
     words, each with the space before it; the library encodes each distinct word once. It isn't used for tokenizers with a
-    normalizer or another pre-tokenizer: those get whole texts.
+    normalizer or another pre-tokenizer: those get whole texts, as does every text that contains an added token.
+
+    ``specials_as_text``: spelled special tokens are ordinary text. Otherwise they are ids of their own, the library's default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and specials_as_text)]
         self.by_word = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
@@ -75,7 +78,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.zeros(0, self.width)
-            elif not self.by_word or _UNSAFE.search(text):
+            elif not self.by_word or _UNSAFE.search(text) or any(t in text for t in self.added):
                 rest.append(k)
             else:
                 simple.append(k)
@@ -121,11 +124,12 @@ class Encoder:
         pa.default_memory_pool().release_unused()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials_as_text: bool = True) -> Encoder:
     """The encoder of this process for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, specials_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
