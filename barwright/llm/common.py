@@ -30,9 +30,11 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one if that is unset, as in tests."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one if that is unset in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="barwright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -54,9 +56,14 @@ def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows that Spark hands to Python at once from now on: what a worker holds follows it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that none of ``columns`` has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def hash_words(vocabulary: list[bytes], seed: int = 0) -> np.ndarray:
@@ -65,7 +72,7 @@ def hash_words(vocabulary: list[bytes], seed: int = 0) -> np.ndarray:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64: spreads the bits of 64-bit values."""
+    """Finaliser of splitmix64: spreads the bits of 64-bit values; products wrap around."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))

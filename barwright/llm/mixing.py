@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import stash, word_count
+from barwright.llm.common import stash, unused, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -115,32 +115,44 @@ def cuts(draws: DataFrame, groups: DataFrame) -> DataFrame:
     return whole
 
 
+ADDED = ("size", "source_size", "target", "copies")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 20) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies``: how many times the mix takes each row.
 
-    ``docs`` needs doc_id, source and text; further columns stay, but those of the names above are replaced. A null source is a
+    ``docs`` needs doc_id, source and text; further columns stay whatever their names, but those of the names above are replaced. A null source is a
     source of its own; null and empty texts have size 0 and are never taken. A source whose words can't reach its target
     (it is at ``cap``) is taken whole ``cap`` times. Rows that are equal in doc_id, source and text tie, and are taken alike; among ties
-    at the cut all are taken. An empty table gives an empty table.
+    at the cut all are taken. An empty table gives an empty table. Long texts count whole.
     """
-    own = docs.drop("size", "class", "tie", "uniform", "source_size", "target", "copies", "_s")
-    small = own.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text"))
-    draws = stash(with_draws(small, seed).select("source", "class", "size", "uniform", "tie"), "mix-draws")
+    kept = docs.drop(*ADDED)
+    # Columns are numbered while the plan adds its own, so that no name can clash.
+    numbered = [f"_{k}" for k in range(len(kept.columns))]
+    place = {name: number for name, number in zip(kept.columns, numbered, strict=True)}
+    own = kept.toDF(*numbered).withColumns({"doc_id": F.col(place["doc_id"]), "source": F.col(place["source"]).cast("string"), "text": F.col(place["text"])})
+    draws = stash(with_draws(own.select("doc_id", "source", "text"), seed).select("source", "class", "size", "uniform", "tie"), "mix-draws")
     groups = stash(plan(draws, weights, cap), "mix-plan")
     params = groups.join(cuts(draws, groups), "_s", "left").select("_s", "class", "source_size", "target", "whole", "part", "cut")
     params = stash(params, "mix-cuts")
-    rows = with_draws(own, seed).withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
+    rows = with_draws(own, seed).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     rows = rows.join(params, ["_s", "class"])
     taken = F.struct(ranking_key(F.col("uniform"), F.nullif(F.col("part"), F.lit(0.0))).alias("key"), F.col("tie")) <= F.col("cut")
     extra = F.coalesce((F.col("part") > 0) & taken, F.lit(False)).cast("long")
-    return rows.withColumn("copies", F.col("whole") + extra).select(*own.columns, "size", "source_size", "target", "copies")
+    return rows.withColumn("copies", F.col("whole") + extra).select(*(F.col(k).alias(name) for name, k in place.items()), *ADDED)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    taken = mix(docs, **options)
-    kept = [c for c in docs.columns]
-    return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*kept)
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it, with the columns that ``docs`` has but for those that :func:`mix` replaces.
+
+    Those keep the values of ``docs`` too: they are set aside while the mix is planned.
+    """
+    spare = dict(zip(ADDED, unused(docs.columns, *(f"{c}_before" for c in ADDED)), strict=True))
+    present = {c: spare[c] for c in ADDED if c in docs.columns}
+    taken = mix(docs.withColumnsRenamed(present), **options)
+    (copy,) = unused(taken.columns, "copy")
+    rows = taken.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*(F.col(present.get(c, c)).alias(c) for c in docs.columns))
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -74,3 +74,44 @@ def test_empty_table_and_all_empty_texts(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, None, "a", None), (2, "", None, None)], SCHEMA)).collect()
     assert [(r.size, r.source_size, r.target, r.copies) for r in got] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_columns_with_the_names_of_the_plan_stay(spark):
+    names = ["part", "cut", "whole", "class", "tie", "uniform", "_s", "share", "rest", "weight", "copy", "_0"]
+    rows = [(k, f"a{k} b c d", "ab"[k % 2], *names, 7, "t") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names) + ", copies int, target string")
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns[:-2], *mixing.ADDED]
+    assert all([r[c] for c in names] == names for r in got.collect()) and got.count() == 40
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and all(r.copies == 7 and r.target == "t" and r.part == "part" for r in out.collect())
+
+
+def test_pareto_order_by_brute_force(spark):
+    import math
+
+    rows = [(k, " ".join(["w"] * (1 + k * 7 % 50)), ["a", "b"][k % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    draws = {r.doc_id: r for r in mixing.with_draws(df, 20).collect()}
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    for s in "ab":
+        own = [k for k, _, source in rows if source == s]
+        target = got[own[0]].target
+        size = {k: draws[k].size for k in own}
+        bits = {k: size[k].bit_length() for k in own}
+        # Expected copies are c * bits, at most 3, with the words of all copies at the target.
+        lo, hi = 0.0, 3.0
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(c * bits[k], 3) * size[k] for k in own) < target else (lo, c)
+        copies = {k: round(min(c * bits[k], 3), 9) for k in own}
+        whole = {k: math.floor(copies[k]) for k in own}
+        part = {k: copies[k] - whole[k] for k in own}
+        odds = {k: draws[k].uniform / (1 - draws[k].uniform) / (part[k] / (1 - part[k])) for k in own if part[k] > 0}
+        words, want = sum(whole[k] * size[k] for k in own), dict(whole)
+        for k in sorted(odds, key=odds.get):
+            if words + size[k] / 2 > target:
+                break
+            words += size[k]
+            want[k] += 1
+        assert {k: got[k].copies for k in own} == want
