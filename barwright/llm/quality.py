@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import SPACE, SPACE_CHARS
+from barwright.llm.common import SPACE, SPACE_CHARS, unused
 
 SYMBOLS = "#*$%&|<>"
 
@@ -47,23 +47,18 @@ RULES = (
 )
 
 
-def repeat_columns(df: DataFrame, n: int = 5) -> DataFrame:
+def repeat_words(df: DataFrame, words: str, n: int = 5) -> DataFrame:
     """Add ``n_repeat_words``: the words inside windows of ``n`` words that occur twice or more in the array ``words``."""
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("words") - n),
-        lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(n))),
-    )
-    df = df.withColumn("windows", F.when(F.size("words") >= n, window).otherwise(F.array().cast("array<bigint>")))
-    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    windows, placed, starts = unused(df.columns, "windows", "placed", "starts")
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(n))))
+    df = df.withColumn(windows, F.when(F.size(words) >= n, hashes).otherwise(F.array().cast("array<bigint>")))
+    sorted_ = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = df.withColumn("placed", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed).otherwise(none)).drop("windows")
-    twice = F.filter(
-        "placed",
-        lambda x, j: (x["h"] == F.get(F.col("placed"), j - 1)["h"]) | (x["h"] == F.get(F.col("placed"), j + 1)["h"]),
-    )
-    df = df.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("placed")
-    reach = F.transform("starts", lambda p, j: F.least(F.lit(n), F.coalesce(F.get(F.col("starts"), j + 1) - p, F.lit(n))))
-    return df.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda total, x: total + x)).drop("starts")
+    df = df.withColumn(placed, F.when(F.size(F.array_distinct(windows)) < F.size(windows), sorted_).otherwise(none)).drop(windows)
+    twice = F.filter(placed, lambda x, j: (x["h"] == F.get(F.col(placed), j - 1)["h"]) | (x["h"] == F.get(F.col(placed), j + 1)["h"]))
+    df = df.withColumn(starts, F.sort_array(F.transform(twice, lambda x: x["i"]))).drop(placed)
+    reach = F.transform(starts, lambda p, j: F.least(F.lit(n), F.coalesce(F.get(F.col(starts), j + 1) - p, F.lit(n))))
+    return df.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda total, x: total + x)).drop(starts)
 
 
 def ratios(df: DataFrame) -> dict[str, Column]:
@@ -79,27 +74,34 @@ def ratios(df: DataFrame) -> dict[str, Column]:
     }
 
 
+#: What :func:`measure` and :func:`verdict` add, and replace where the input has it.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
+VERDICTS = ("base_failed", "failed_rules", "kept")
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of each text, leaving every other column alone.
+    """Add ``COUNTS`` for each text, leaving every other column alone.
 
-    Null and empty texts have zero of everything. Columns of ``df`` with the same names are replaced.
+    Null and empty texts have zero of everything. Columns of ``df`` named in ``COUNTS`` are replaced. Nothing is cut off: a text of n words takes
+    memory in proportion to n.
     """
+    df = df.drop(*COUNTS)
+    words, lines = unused([*df.columns, *COUNTS], "words", "lines")
     base = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("words", F.filter(F.split(base, SPACE), lambda w: w != ""))
-    lines = F.filter(F.split(base, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
-    df = df.withColumn("lines", lines)
-    bare = F.transform("words", lambda w: F.btrim(F.lower(w), F.lit(".,;:!?\"'()")))
+    df = df.withColumn(words, F.filter(F.split(base, SPACE), lambda w: w != ""))
+    df = df.withColumn(lines, F.filter(F.split(base, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0))
+    bare = F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(".,;:!?\"'()")))
     df = df.withColumns(
         {
-            "n_words": F.size("words").cast("long"),
+            "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.regexp_replace(base, SPACE, "")).cast("long"),
             "n_symbols": F.regexp_count(base, F.lit(f"[{SYMBOLS}]")).cast("long"),
-            "n_lines": F.size("lines").cast("long"),
-            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_stop_words": F.size(F.filter(bare, lambda w: w.isin(*STOP_WORDS))).cast("long"),
         }
-    ).drop("lines")
-    return repeat_columns(df).drop("words")
+    ).drop(lines)
+    return repeat_words(df, words).drop(words)
 
 
 def verdict(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -108,6 +110,7 @@ def verdict(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated windows. ``kept``: neither that nor
     any rule fails; a ratio that is null fails its rule.
     """
+    df = df.drop(*VERDICTS)
     columns = ratios(df)
     tests = []
     for rule in rules:
@@ -126,7 +129,7 @@ def verdict(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measure and judge every text: all columns of ``df`` plus the counts, ``base_failed``, ``failed_rules``, ``kept``.
 
-    An empty table gives an empty table; repeated rows are judged alike; a null text fails.
+    An empty table gives an empty table; repeated rows are judged alike; a null or empty text fails. Columns with the names of what is added are replaced.
     """
     return verdict(measure(df, text), rules)
 
