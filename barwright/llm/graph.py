@@ -7,31 +7,38 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import stash
 
+#: A node is heavy that has more than one in so many of all edges, so there are fewer than twice as many heavy nodes; and more than the second number.
+SHARE, LEAST = 1000, 500
 
-def _least_neighbours(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+def _with_least(rows: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the least of u and its v. Heavy nodes, whose number ``SHARE`` bounds, are looked up by broadcast, so no join meets all rows of one."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumn("m", F.least("m", "u"))
+    heavy = least.filter(F.col("d") > max(LEAST, edges // SHARE)).select("u", "m")
+    light = rows.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+    return rows.join(F.broadcast(heavy), "u").unionByName(light)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, label`` for every node of ``edges`` (u, v of one ordered type), the label being the least node of its component.
 
-    Nulls and loops are left out. Each step aggregates before it joins, and joins on single edges, so that a node with very many
-    neighbours is dealt out like any skewed join; what a step leaves is written to the shared folder.
+    Nulls and loops are left out. Each step aggregates before it joins; what a step leaves is written to the shared folder.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges = stash(edges, "edges")
-    state = None
+    state, size = None, edges.count()
+    if not size:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least_neighbours(both).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = _least_neighbours(large)
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = _with_least(both, size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = _with_least(large, size)
+        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        edges = stash(small.distinct(), "edges")
         # The sum wraps around on purpose: it is a fingerprint of the edge set.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             roots = edges.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
-        state = now
+        state, size = now, now[0]
     raise RuntimeError("components did not settle")

@@ -54,9 +54,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_against_brute_force(spark, monkeypatch, seed):
+    # With one class beside another already hot, everything is compared in blocks; with seed 2 only large groups are.
     monkeypatch.setattr(jaccard, "BLOCK", 5 if seed == 1 else 1000)
+    monkeypatch.setattr(jaccard, "HOT", {1: 1, 2: 4, 3: 32}[seed])
     rows = corpus(seed)
     out = jaccard.join(spark.createDataFrame([(*r, None, "x") for r in rows], SCHEMA).repartition(4)).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in out), key=str) == brute(rows)
@@ -86,3 +88,20 @@ def test_bands_reach_the_recall():
         every = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
         met += bool((minhash(every[:90]) == minhash(every[10:])).any())
     assert met >= 198
+
+
+def test_columns_with_the_names_of_the_plan_stay(spark):
+    names = ["_hash", "_id", "_text", "id", "hash", "own", "group", "key", "class_id", "text_hash", "n_links"]
+    rows = [(1, "a b c d e f", *names), (2, "a b c d e f", *names), (3, None, *names), (4, "", *names), (4, "", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = jaccard.keep_one(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
+def test_very_long_text_and_chain_of_near_copies(spark):
+    long = [f"v{k % 7001}x{k % 97}" for k in range(300_000)]
+    chain = [f"c{k}" for k in range(400)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:250_000]))] + [(10 + k, " ".join(chain[8 * k : 200 + 8 * k])) for k in range(20)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted((d, *x) for d, x in got.items()) == sorted(brute(rows))
+    assert got[29] == (10, 2)
