@@ -2,8 +2,9 @@
 
 A state emits a word's class (a hash of the word, so that their number is fixed) and the class the word, by its share of the class's discounted count;
 words that training has not seen are one symbol, with the mass that discounting frees. Documents are read once into blocks of word numbers.
-Counts of words travel as packed sorted hashes, by hash range, and come back to the blocks in the same order, so no vocabulary is broadcast or held
-in one place. Expected counts of an iteration are vectors of fixed size, summed in a tree.
+Counts of words are rows of (block, hash), summed by hash in Spark and sent back to their blocks, so no vocabulary is broadcast or held
+in one place. Expected counts of an iteration are vectors of fixed size, summed in Spark by position. Texts are trained on whole: long ones are worked off in
+spans side by side, after the messages that pass from span to span have been computed.
 """
 
 from __future__ import annotations
@@ -13,19 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import Interner, arrow_rows, hash_words, stash
-from barwright.llm.substrings import pack_sorted, unpack_sorted
+from barwright.llm.common import Interner, hash_words, stash
 
 STATES, CLASSES, ROUNDS = 6, 4096, 8
-#: Texts are trained on in stretches of so many tokens; scoring takes them whole.
-STRETCH = 128
-BLOCK_BYTES, RANGE_WORDS = 8 << 20, 1 << 20
+#: Tokens of a span, and of the spans that are worked off at once.
+SPAN, BATCH = 512, 1 << 20
+BLOCK_BYTES = 8 << 20
 #: What the end of a text is called, and its class after the hashed ones.
 END_HASH = np.uint64(0xE7037ED1A0B428DB)
-_FAN = 32
 #: Smoothing counts of transitions, and of emissions in proportion to the classes' shares.
 PRIOR_MOVE, PRIOR_EMIT = 10.0, 2000.0
 
@@ -78,75 +77,34 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(rows)
 
 
-def _order(hashes: np.ndarray) -> np.ndarray:
-    return np.argsort(hashes, kind="stable")
-
-
-def _splits(ordered: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash ranges of ascending hashes, and where each begins."""
-    return np.unique(ordered >> np.uint64(64 - bits), return_index=True)
-
-
-def _send(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block, hashes, train = (batch.column(c)[k].as_py() for c in range(3))
-                hashes, train = np.frombuffer(hashes, np.uint64), np.frombuffer(train, np.uint32)
-                order = _order(hashes)
-                ranges, starts = _splits(hashes[order], bits)
-                out = [(pack_sorted(a), pa.compress(b.tobytes(), "zstd", asbytes=True)) for a, b in zip(np.split(hashes[order], starts[1:]), np.split(train[order], starts[1:]), strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {"range": ranges.astype(np.int64), "block": np.full(len(ranges), block), "hashes": pa.array([a for a, _ in out], pa.binary()), "train": pa.array([b for _, b in out], pa.binary())}
-                )
-
-    return run
-
-
-_COUNTED = "block long, range long, counts binary, stats binary"
-
-
-def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
-
-
-def _count(key: tuple, rows: pa.Table) -> pa.Table:
-    """Global counts of a range's words, for every block in the block's order; and what the model needs to know of the range."""
-    hashes = [unpack_sorted(x.as_py()) for x in rows["hashes"]]
-    train = np.concatenate([_unpack(x.as_py(), np.uint32, len(h)) for x, h in zip(rows["train"], hashes, strict=True)])
-    distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(inverse, train, len(distinct)).astype(np.int64)
-    ends = np.cumsum([len(h) for h in hashes])[:-1]
-    blobs = [pa.compress(x.astype(np.int64).tobytes(), "zstd", asbytes=True) for x in np.split(total[inverse], ends)]
-    seen = total > 0
-    classes = classes_of(distinct[seen])
-    head = [seen.sum(), total.sum(), (total == 1).sum(), (total == 2).sum()]
-    stats = np.concatenate([head, np.bincount(classes, total[seen], CLASSES + 1), np.bincount(classes, minlength=CLASSES + 1)]).astype(np.float64)
-    n = len(blobs)
-    return pa.table({
-        "block": pa.array([*rows["block"].to_pylist(), -1], pa.int64()), "range": pa.array([key[0].as_py()] * (n + 1), pa.int64()),
-        "counts": pa.array([*blobs, None], pa.binary()), "stats": pa.array([None] * n + [stats.tobytes()], pa.binary()),
-    })
-
-
-def tree_sum(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of the vectors in ``v`` of (id long, v binary), ``_FAN`` at a time until few are left for the driver."""
-
-    def add(key: tuple, part: pa.Table) -> pa.Table:
-        total = np.zeros(size)
-        for x in part["v"]:
-            total += np.frombuffer(x.as_buffer())
-        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
-
-    spread = rows.count()
-    rows = rows.withColumn("id", F.pmod(F.xxhash64("id"), F.lit(max(1, spread // _FAN))))
-    groups = max(1, spread // _FAN)
-    while True:
-        rows = rows.groupBy("id").applyInArrow(add, "id long, v binary")
-        if groups <= _FAN:
-            return sum((np.frombuffer(r.v) for r in rows.select("v").collect()), np.zeros(size))
-        groups //= _FAN
-        rows = rows.withColumn("id", F.pmod("id", F.lit(groups)))
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a block: its hash, and its count in the block's training texts."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            hashes, train = np.frombuffer(batch.column("hashes")[k].as_py(), np.int64), np.frombuffer(batch.column("train")[k].as_py(), np.uint32)
+            for at in range(0, len(hashes), 1 << 18):
+                part = slice(at, at + (1 << 18))
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(hashes[part]), batch.column("block")[k].as_py(), np.int64), "hash": hashes[part], "train": train[part].astype(np.int64)})
+
+
+def _statistics(counted: DataFrame) -> np.ndarray:
+    """Distinct words, tokens, words met once and twice in training, then tokens and words of each class; a row for each class goes to the driver."""
+    kind = F.when(F.col("hash") == int(END_HASH.astype(np.int64)), CLASSES).otherwise(F.col("hash").bitwiseAND(CLASSES - 1))
+    rows = counted.filter("leads AND n > 0").groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("tokens"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")
+    ).collect()
+    tokens, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    for r in rows:
+        tokens[r.kind], kinds[r.kind] = r.tokens, r.kinds
+    return np.concatenate([[kinds.sum(), tokens.sum(), sum(r.once for r in rows), sum(r.twice for r in rows)], tokens, kinds])
+
+
+def vector_sum(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of vectors of ``size`` given as rows of (place, x)."""
+    got = rows.groupBy("place").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(size)
+    out[got["place"].to_numpy()] = got["x"].to_numpy()
+    return out
 
 
 @dataclass
@@ -182,38 +140,92 @@ class Model:
         result[order] = out
         return result
 
+    def _messages(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each span gets from the one before it (state shares at that one's end) and, up to a factor, from those after it.
+
+        A span's tokens are one matrix: it takes shares at the end of the span before to shares at its own end, and the other way round for what follows.
+        """
+        k, n = len(self.start), len(sizes)
+        state = np.zeros((n, k))
+        # A text of several spans fills its first one.
+        heads, later = np.flatnonzero(first), np.flatnonzero(~first)
+        a = self.start * emit[symbols[starts[heads]]]
+        for t in range(1, SPAN):
+            a = (a / a.sum(1, keepdims=True)) @ self.move * emit[symbols[starts[heads] + t]]
+        state[heads] = a / a.sum(1, keepdims=True)
+        through = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+        order = later[np.argsort(-sizes[later], kind="stable")]
+        for t in range(int(sizes[later].max())):
+            alive = order[: int(np.searchsorted(-sizes[order], -t, side="left"))] if t else order
+            step = (through[alive].reshape(-1, k) @ self.move).reshape(-1, k, k) * emit[symbols[starts[alive] + t]][:, None, :]
+            through[alive] = step / step.sum((1, 2), keepdims=True)
+        incoming, outgoing = np.zeros((n, k)), np.ones((n, k))
+        place = np.arange(n) - heads[np.cumsum(first) - 1]
+        for j in range(1, int(place.max()) + 1):
+            at = np.flatnonzero(place == j)
+            incoming[at] = state[at - 1]
+            ahead = np.einsum("ik,ikl->il", state[at - 1], through[at])
+            state[at] = ahead / ahead.sum(1, keepdims=True)
+        for j in range(int(place.max()), 0, -1):
+            at = np.flatnonzero(place == j)
+            back = np.einsum("ikl,il->ik", through[at], outgoing[at])
+            outgoing[at - 1] = back / back.sum(1, keepdims=True)
+        return incoming, outgoing
+
     def expected(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Expected starts, moves and emissions over sequences of seen classes, as one vector."""
+        """Expected starts, moves and emissions over sequences of seen classes, as one vector. Exact, whatever the length of a sequence."""
+        emit = np.ascontiguousarray(self.emit.T)
+        spans = -(-sizes // SPAN)
+        text = np.repeat(np.arange(len(sizes)), spans)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans)
+        starts = (np.cumsum(sizes) - sizes)[text] + place * SPAN
+        length = np.minimum(SPAN, sizes[text] - place * SPAN)
+        first = place == 0
+        incoming, outgoing = np.zeros((len(text), len(self.start))), np.ones((len(text), len(self.start)))
+        long = np.flatnonzero(spans[text] > 1)
+        if len(long):
+            incoming[long], outgoing[long] = self._messages(symbols, starts[long], length[long], first[long], emit)
+        total = np.zeros(len(self.start) * (1 + len(self.start) + CLASSES + 1))
+        done = np.cumsum(length)
+        cuts = np.searchsorted(done, np.arange(BATCH, done[-1] + BATCH, BATCH), side="left") + 1
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            if a < min(b, len(text)):
+                part = slice(a, b)
+                total += self._spans(symbols, starts[part], length[part], first[part], incoming[part], outgoing[part], emit)
+        return total
+
+    def _spans(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, incoming: np.ndarray, outgoing: np.ndarray, emit: np.ndarray) -> np.ndarray:
+        """Expected counts of spans, given what reaches them from both sides."""
         k = len(self.start)
-        ends = np.cumsum(sizes)
         order = np.argsort(-sizes, kind="stable")
-        first, length = (ends - sizes)[order], sizes[order]
-        steps = int(length[0])
-        alive = [int(np.searchsorted(-length, -t, side="left")) if t else len(order) for t in range(steps)]
-        emit = np.ascontiguousarray(self.emit.T)
-        alphas, scales = [], []
-        for t in range(steps):
-            e = emit[symbols[first[: alive[t]] + t]]
-            a = self.start[None, :] * e if t == 0 else (alphas[-1][: alive[t]] @ self.move) * e
+        at, length, opens, before = starts[order], sizes[order], first[order], incoming[order]
+        alive = [int(np.searchsorted(-length, -t, side="left")) if t else len(order) for t in range(int(length[0]))]
+        prior = np.where(opens[:, None], self.start[None, :], before @ self.move)
+        alphas, scales, seen = [], [], []
+        for t, n in enumerate(alive):
+            seen.append(symbols[at[:n] + t])
+            a = (prior if t == 0 else alphas[-1][:n] @ self.move) * emit[seen[-1]]
             s = a.sum(1, keepdims=True)
             alphas.append(a / s)
             scales.append(s)
-        moves, counts = np.zeros((k, k)), np.zeros((CLASSES + 1, k))
-        beta = np.ones((alive[-1], k))
-        for t in range(steps - 1, -1, -1):
-            n = alive[t]
-            if t < steps - 1:
-                m = alive[t + 1]
-                ahead = emit[symbols[first[:m] + t + 1]] * beta / scales[t + 1]
-                moves += alphas[t][:m].T @ ahead
-                full = np.ones((n, k))
-                full[:m] = ahead @ self.move.T
-                beta = full
-            gamma = alphas[t] * beta
-            at = symbols[first[:n] + t]
-            for z in range(k):
-                counts[:, z] += np.bincount(at, gamma[:, z], CLASSES + 1)
-        return np.concatenate([(alphas[0] * beta).sum(0), (moves * self.move).ravel(), counts.T.ravel()])
+        moves, gammas = np.zeros((k, k)), []
+        beta = np.zeros((0, k))
+        for t in range(len(alive) - 1, -1, -1):
+            n, m = alive[t], len(beta)
+            now = outgoing[order[:n]]
+            if m:
+                now[:m] = ahead @ self.move.T  # noqa: F821
+            # Spans that end here take what comes after them, scaled so that their shares sum to one.
+            now[m:] /= (alphas[t][m:] * now[m:]).sum(1, keepdims=True)
+            beta = now
+            gammas.append(alphas[t] * beta)
+            ahead = emit[seen[t]] * beta / scales[t]
+            if t:
+                moves += alphas[t - 1][:n].T @ ahead
+        moves += (before[~opens]).T @ ahead[~opens]
+        every, where = np.concatenate(gammas), np.concatenate(seen[::-1])
+        counts = np.stack([np.bincount(where, every[:, z], CLASSES + 1) for z in range(k)])
+        return np.concatenate([gammas[-1][opens].sum(0), (moves * self.move).ravel(), counts.ravel()])
 
     def improved(self, total: np.ndarray) -> Model:
         """The model of expected counts, smoothed towards even moves and the classes' shares."""
@@ -238,16 +250,6 @@ def initial(stats: np.ndarray, states: int, seed: int = 5) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), lean / lean.sum(1, keepdims=True) * (1 - min(unseen, 0.5)), discount, mass, min(unseen, 0.5), int(tokens), int(kinds))
 
 
-def _stretches(sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the training stretches that texts are cut into."""
-    full, rest = np.divmod(sizes, STRETCH)
-    n = full + (rest > 0)
-    out = np.full(n.sum(), STRETCH, np.int64)
-    last = np.cumsum(n) - 1
-    out[last[rest > 0]] = rest[rest > 0]
-    return out
-
-
 def _arrays(batch: pa.RecordBatch, k: int, names: dict[str, type]) -> list[np.ndarray]:
     return [np.frombuffer(batch.column(name)[k].as_py(), kind) for name, kind in names.items()]
 
@@ -257,44 +259,41 @@ def train(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     if not model.tokens:
         return model
     size = len(model.start) * (1 + len(model.start) + CLASSES + 1)
-    rows = blocks.select("block", "held", "sizes", "codes", "hashes")
+    rows = blocks.select("held", "sizes", "codes", "hashes")
     for _ in range(rounds):
         shared = blocks.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, total, name = shared.value, None, 0
+            own, total = shared.value, None
             for batch in batches:
                 for k in range(batch.num_rows):
                     held, sizes, codes, hashes = _arrays(batch, k, {"held": np.bool_, "sizes": np.int32, "codes": np.int32, "hashes": np.uint64})
                     kept = ~held
                     symbols = classes_of(hashes)[codes[np.repeat(kept, sizes)]]
-                    name = batch.column("block")[k].as_py()
                     if len(symbols):
-                        got = own.expected(symbols, _stretches(sizes[kept].astype(np.int64)))
+                        got = own.expected(symbols, sizes[kept].astype(np.int64))
                         total = got if total is None else total + got
             if total is not None:
-                yield pa.RecordBatch.from_pydict({"id": pa.array([name], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"place": np.arange(len(total)), "x": total})
 
-        model = model.improved(tree_sum(stash(rows.mapInArrow(expect, "id long, v binary"), "hmm-expected"), size))
+        model = model.improved(vector_sum(rows.mapInArrow(expect, "place long, x double"), size))
     return model
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(bits: int, shared):
+def _score(shared):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model: Model = shared.value
-        flat = {r: c for r, c in zip(right["range"].to_pylist(), right["counts"].to_pylist(), strict=True)}
+        found, n = right["hash"].to_numpy(), right["n"].to_numpy()
+        order = np.argsort(found)
+        found, n = found[order], n[order]
         out = []
         for batch in left.to_batches():
             for k in range(batch.num_rows):
                 docs, nulls, held, sizes, codes, hashes = _arrays(batch, k, {"docs": np.int64, "nulls": np.bool_, "held": np.bool_, "sizes": np.int32, "codes": np.int32, "hashes": np.uint64})
-                order = _order(hashes)
-                ranges, starts = _splits(hashes[order], bits)
-                spans = np.diff([*starts, len(hashes)])
-                counts = np.empty(len(hashes), np.int64)
-                counts[order] = np.concatenate([_unpack(flat[int(r)], np.int64, n) for r, n in zip(ranges, spans, strict=True)])
+                counts = n[np.searchsorted(found, hashes.view(np.int64))]
                 classes = classes_of(hashes)
                 symbols = np.where(counts > 0, classes, CLASSES + 1)
                 inner = np.where(counts > 0, (counts - model.discount) / np.maximum(model.class_total[classes], 1e-300), 1.0)
@@ -321,16 +320,15 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, logs being to base 10. Null texts are empty: their one token is the end. Rows without
     a doc_id are trained on; repeated rows count as often as they are there. An empty table gives an empty table.
     """
-    arrow_rows(docs.sparkSession, 2000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), F.col("text").cast("string").alias("text"))
     blocks = stash(docs.mapInArrow(_read, _BLOCK_SQL), "hmm-blocks")
-    words = blocks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
-    bits = max(1, int(words // 8 // RANGE_WORDS).bit_length())
-    sent = blocks.select("block", "hashes", "train").mapInArrow(_send(bits), "range long, block long, hashes binary, train binary")
-    counted = stash(sent.groupBy("range").applyInArrow(_count, _COUNTED), "hmm-counts")
-    stats = tree_sum(counted.filter("block = -1").select(F.col("range").alias("id"), F.col("stats").alias("v")), 4 + 2 * (CLASSES + 1))
-    model = train(blocks, initial(stats, states), rounds)
+    words = blocks.select("block", "hashes", "train").mapInArrow(_words, "block long, hash long, train long")
+    # A word has at most one row for a block, so that the commonest ones make no large group.
+    same = Window.partitionBy("hash")
+    counted = words.select("block", "hash", F.sum("train").over(same).alias("n"), (F.min("block").over(same) == F.col("block")).alias("leads"))
+    counted = stash(counted, "hmm-counts")
+    model = train(blocks, initial(_statistics(counted), states), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = blocks.select("block", "docs", "nulls", "held", "sizes", "codes", "hashes")
-    back = counted.filter("block <> -1").select("block", "range", "counts")
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(bits, shared), _SCORED)
+    back = counted.select("block", "hash", "n")
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(shared), _SCORED)

@@ -68,7 +68,6 @@ def corpus():
 @pytest.mark.parametrize("block", [2000, 1 << 23])
 def test_base_and_held_out(spark, monkeypatch, block):
     monkeypatch.setattr(hmm, "BLOCK_BYTES", block)
-    monkeypatch.setattr(hmm, "RANGE_WORDS", 20)
     rows = corpus()
     got = hmm.score(spark.createDataFrame([(*r, None) for r in rows], SCHEMA).repartition(3), states=3, rounds=6).collect()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
@@ -87,3 +86,37 @@ def test_base_and_held_out(spark, monkeypatch, block):
 
 def test_empty_table(spark):
     assert hmm.score(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("batch", [1 << 20, 40])
+def test_spans_change_nothing(monkeypatch, batch):
+    model = small(4, 7)
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 5, 6, 7, 12, 13, 100, 3, 18, 250])
+    symbols = rng.integers(0, 50, sizes.sum())
+    whole = model.expected(symbols, sizes)
+    monkeypatch.setattr(hmm, "SPAN", 6)
+    monkeypatch.setattr(hmm, "BATCH", batch)
+    assert np.allclose(model.expected(symbols, sizes), whole, rtol=1e-9, atol=1e-12)
+
+
+def test_expected_counts_by_brute_force():
+    model, seqs = small(3, 2), [[5, 9, 9, 2, 7], [hmm.CLASSES], [1, 2, 3]]
+    k, want = 3, np.zeros(3 * (1 + 3 + hmm.CLASSES + 1))
+    starts, moves, emits = want[:k], want[k : k + k * k].reshape(k, k), want[k + k * k :].reshape(k, -1)
+    for s in seqs:
+        weights = {}
+        for path in itertools.product(range(k), repeat=len(s)):
+            p = model.start[path[0]] * model.emit[path[0], s[0]]
+            for a, b, x in zip(path, path[1:], s[1:], strict=False):
+                p *= model.move[a, b] * model.emit[b, x]
+            weights[path] = p
+        total = sum(weights.values())
+        for path, p in weights.items():
+            starts[path[0]] += p / total
+            for a, b in zip(path, path[1:], strict=False):
+                moves[a, b] += p / total
+            for z, x in zip(path, s, strict=True):
+                emits[z, x] += p / total
+    got = model.expected(np.concatenate(seqs), np.array([len(s) for s in seqs]))
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
