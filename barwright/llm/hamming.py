@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from barwright.llm.common import stash
 
 K = 10
-#: Distinct codes of an index block and of a query block, about.
-BLOCK, QUERIES = 1 << 20, 1 << 13
+#: Distinct codes of an index block, about; queries that are searched at once, and the fewest for which a block's index is copied to another core.
+BLOCK, QUERIES, LEAST_QUERIES = 1 << 20, 1 << 13, 1 << 9
 #: Probes that are looked up at once.
 CHUNK = 1 << 17
 
@@ -167,20 +167,53 @@ class Index:
         return [(code[order[a:b]], d[order[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _search(k: int):
-    schema = pa.schema([("query", pa.binary()), ("near", pa.list_(pa.struct([("distance", pa.int32()), ("id", pa.int64())])))])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        as_codes = lambda column: np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
-        ids = left["ids"].to_pylist()
-        index = Index(as_codes(left["code"]))
+_NEAR = pa.schema([("query", pa.binary()), ("near", pa.list_(pa.struct([("distance", pa.int32()), ("id", pa.int64())])))])
+
+
+class _Block:
+    """The index of one block, built once from its rows; queries pass by in batches."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, pa.ListArray]] = []
+        self.index: Index | None = None
+
+    @staticmethod
+    def codes(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.parts.append((self.codes(rows.column("code")), rows.column("ids")))
+
+    def answer(self, rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        if self.index is None:
+            self.index = Index(np.concatenate([c for c, _ in self.parts]))
+            lists = pa.chunked_array([x for _, x in self.parts]).combine_chunks()
+            self.sizes, self.ids = np.asarray(lists.value_lengths()).astype(np.int64), np.asarray(lists.flatten())
+            self.starts, self.parts = np.cumsum(self.sizes) - self.sizes, []
         out = []
-        for codes, distances in index.search(as_codes(right["code"]), np.array([len(x) for x in ids]), k):
-            near = sorted((int(d), i) for c, d in zip(codes, distances, strict=True) for i in ids[c])[:k]
+        for codes, distances in self.index.search(self.codes(rows.column("code")), self.sizes, k):
+            near = sorted((int(d), int(i)) for c, d in zip(codes, distances, strict=True) for i in self.ids[self.starts[c] : self.starts[c] + self.sizes[c]])[:k]
             out.append([{"distance": d, "id": i} for d, i in near])
-        return pa.table({"query": right["code"], "near": pa.array(out, schema.field("near").type)}, schema=schema)
+        return pa.RecordBatch.from_arrays([rows.column("code"), pa.array(out, _NEAR.field("near").type)], schema=_NEAR)
+
+
+def _search(k: int):
+    """Rows come by block and share of the queries, a block's codes before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block = None, _Block()
+        for batch in batches:
+            place = np.asarray(batch.column("place"))
+            asks = np.asarray(batch.column("asks"))
+            cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(asks) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True):
+                if place[a] != current:
+                    current, block = place[a], _Block()
+                if not asks[a]:
+                    block.add(batch.slice(a, b - a))
+                    continue
+                for at in range(a, b, QUERIES):
+                    yield block.answer(batch.slice(at, min(QUERIES, b - at)), k)
 
     return run
 
@@ -189,7 +222,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``query_id, vec_id, distance, rank``: for every row of ``queries`` its ``k`` nearest rows of ``vectors`` by distance, then id.
 
     Both have vec_id and embedding; other columns are ignored. A bit is set where the component is over 0 (null, NaN and missing components aren't). Rows without an embedding
-    or id are in no result; a query that is also a vector finds itself. Repeated rows of ``vectors`` are found as often as they are there, up to ``k``.
+    or id are in no result; a query that is also a vector finds itself. Repeated rows of ``vectors`` are found as often as they are there, up to ``k``; repeated queries are
+    answered each. No vectors or no queries give an empty table.
     """
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.when(F.isnan(x), 0.0).otherwise(x).cast("double")).alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     vectors, queries = pick(vectors), pick(queries)
@@ -200,12 +234,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     entries = stash(entries, "hamming-index")
     asked = stash(queries.mapInArrow(_entries(width, 1 << 30), "code binary, ids array<long>").select(F.col("code"), F.explode("ids").alias("query_id")), "hamming-queries")
     distinct = stash(asked.select("code").distinct(), "hamming-codes")
-    blocks, parts = -(-entries.count() // BLOCK) or 1, -(-distinct.count() // QUERIES) or 1
-    deal = lambda n: F.pmod(F.xxhash64("code"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = entries.select("code", "ids", deal(blocks).alias("block"), every(parts).alias("part"))
-    right = distinct.select("code", every(blocks).alias("block"), deal(parts).alias("part"))
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(k), "query binary, near array<struct<distance:int,id:long>>")
+    blocks = -(-entries.count() // BLOCK) or 1
+    # Each block's index is sent and built once, and all queries pass it. Only while there are fewer blocks than cores are the queries shared out among copies of it.
+    shares = max(1, min(vectors.sparkSession.sparkContext.defaultParallelism // blocks, -(-distinct.count() // LEAST_QUERIES)))
+    deal = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = entries.withColumn("share", every(shares)).select((deal(blocks) * shares + F.col("share")).alias("place"), F.lit(False).alias("asks"), "code", "ids")
+    right = distinct.withColumn("block", every(blocks)).select((F.col("block") * shares + deal(shares)).alias("place"), F.lit(True).alias("asks"), "code", F.lit(None).cast("array<long>").alias("ids"))
+    rows = left.unionByName(right).repartitionById(blocks * shares, "place").sortWithinPartitions("place", "asks")
+    near = rows.mapInArrow(_search(k), "query binary, near array<struct<distance:int,id:long>>")
     best = near.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     out = asked.join(best, asked["code"] == best["query"]).select("query_id", F.posexplode("near").alias("place", "x"))
     return out.select("query_id", F.col("x.id").alias("vec_id"), F.col("x.distance").cast("long").alias("distance"), (F.col("place") + 1).cast("long").alias("rank"))

@@ -27,6 +27,7 @@ def test_index_against_brute_force(n, bits, flip):
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(hamming, "BLOCK", block)
     monkeypatch.setattr(hamming, "QUERIES", 7)
+    monkeypatch.setattr(hamming, "LEAST_QUERIES", 4)
     rng = random.Random(1)
     rows = [(k, [rng.gauss(0, 1) for _ in range(20)]) for k in range(300)] + [(k, [1.0, -1.0] * 10) for k in range(300, 400)]
     rows += [(400, None), (None, [1.0] * 20), (401, []), (402, [float("nan"), None] * 10), (420, [1.0]), (7, rows[7][1])]
