@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import arrow_rows, stash
+from barwright.llm.common import stash
 from barwright.llm.tokens import default_path, encoder
 
 END_ID = 0
 LENGTH = 1024
+#: Ranks are cut into so many stretches, about.
+STRETCHES = 1 << 16
 
 _PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, place long"
 
@@ -113,7 +115,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = LENGTH, keep
     ``docs``: doc_id and text; other columns are ignored. Null texts are empty; every document ends with id 0, so each has a piece.
     Repeated rows are packed as documents of their own; an empty table gives an empty table.
     """
-    arrow_rows(docs.sparkSession, 4096)
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = _PIECE + (", ids array<int>" if keep_ids else "")
@@ -124,13 +125,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = LENGTH, keep
     places = slots(pattern_counts(hist, most))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # The number of slots is bounded by the lengths and patterns: at most a few for each pair of lengths.
-    table = spark.createDataFrame(places, "length int, lo long, hi long, first long, offset long")
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
-    small = len(places) <= 4 * most * most
-    placed = ranked.join(F.broadcast(table) if small else table, "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    # Full pieces are sequences of their own. The others meet the slots of their length by stretches of ranks, so that no length is one key.
+    columns = list(zip(*(x for x in places if x[0] < most), strict=True)) or [[]] * 5
+    table = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 4), strict=True)], names=["length", "lo", "hi", "first", "offset"]))
+    width = -(-sum(hist.values()) // STRETCHES) or 1
+    table = table.withColumn("stretch", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
+    short = ranked.filter(F.col("length") < most).withColumn("stretch", F.expr(f"rank div {width}"))
+    short = short.join(table, ["length", "stretch"]).filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     out = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens"]
-    return placed.select(*out, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", *(["ids"] if keep_ids else []))
+    ids = ["ids"] if keep_ids else []
+    short = short.select(*out, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", *ids)
+    alone = next((first for length, _, _, first, _ in places if length == most), 0)
+    return short.unionByName(ranked.filter(F.col("length") == most).select(*out, (F.col("rank") + alone).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *ids))
 
 
 def padding(sequences: DataFrame, most: int = LENGTH) -> DataFrame:
