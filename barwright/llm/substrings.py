@@ -5,6 +5,9 @@ its window hashes, packed, to hash ranges; a range tells every cell which of its
 remove the words under those windows and under windows that they have had before. A window that many documents share reaches its range once
 per cell, so no passage, however frequent, makes a group large.
 
+Cells and hash ranges grow with the square root of the input, up to what a worker holds, so that the packed rows between them grow in proportion to it; beyond that
+a row holds fewer hashes, down to about one at 100 TB, which is then the plain exchange of (hash, cell).
+
 Windows count as equal when their 64-bit hashes are; among w windows about w * w / 2**65 pairs are expected to be so by chance.
 """
 
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from barwright.llm.common import hash_words, intern_words, mix, rolling
 
 WINDOW = 20
-#: Bytes of text in a cell and windows in a hash range, about.
-CELL_BYTES, RANGE_WINDOWS = 8 << 20, 2 << 20
+#: Bytes of text in a cell and windows in a hash range, about, for inputs of ``BASE`` bytes; both grow as its square root, up to ``MOST`` times.
+CELL_BYTES, RANGE_WINDOWS, BASE, MOST = 8 << 20, 2 << 20, 1 << 29, 3.0
 
 
 def pack_table(table: pa.Table) -> bytes:
@@ -46,7 +49,7 @@ def deal(bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("doc_id")
-            cell = np.searchsorted(edges, np.asarray(names.fill_null(0)), side="left")
+            cell = np.searchsorted(edges, np.asarray(names.fill_null(0)), side="right")
             cell[np.asarray(names.is_null())] = len(edges) + 1
             table = pa.Table.from_batches([batch])
             order = np.argsort(cell, kind="stable")
@@ -167,12 +170,14 @@ def _run(docs: DataFrame, n: int, digest: bool) -> DataFrame:
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     size = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).agg(F.sum("bytes").alias("bytes"), F.count("doc_id").alias("ids")).first()
     total = size["bytes"] or 0
-    cells = max(2, min(-(-total // CELL_BYTES), size["ids"]))
-    shares = [k / cells for k in range(1, cells)]
-    bounds = docs.select("doc_id").agg(F.percentile_approx("doc_id", shares, 20 * cells).alias("b")).first()["b"] or []
+    growth = min(max((total / BASE) ** 0.5, 0.125), MOST)
+    cells = max(2, min(int(total / (CELL_BYTES * growth)) + 1, size["ids"]))
+    # Spark's range partitions of the ids alone; the least id of each, one number a cell, goes to the driver.
+    ranges = docs.select("doc_id").filter("doc_id IS NOT NULL").repartitionByRange(cells, "doc_id")
+    bounds = sorted(r.m for r in ranges.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("m")).collect())[1:]
     # A range is the top bits of a hash; a word takes about six bytes.
-    bits = max(1, int(total // 6 // RANGE_WINDOWS).bit_length())
-    dealt = docs.mapInArrow(deal(sorted(set(bounds))), "cell long, docs binary")
+    bits = max(1, int(total / 6 / (RANGE_WINDOWS * growth)).bit_length())
+    dealt = docs.mapInArrow(deal(bounds), "cell long, docs binary")
     sent = dealt.groupBy("cell").applyInArrow(_send(n, bits), "range long, cell long, hashes binary")
     flags = sent.groupBy("range").applyInArrow(_compare, "cell long, range long, bits binary")
     if digest:
@@ -192,6 +197,7 @@ def dedup(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     Texts that lose words become their kept words joined by one space; others stay as they are. ``removed_spans`` lists start and end, in
     words, of the maximal removed intervals, one after another. Columns n_words, n_removed and removed_spans of the input are replaced. Null texts have no
-    words; a null doc_id comes after all others; rows with equal doc_id follow the order of their texts, and of equal rows all but one lose their windows.
+    words; a null doc_id comes after all others; rows with equal doc_id follow the order of their texts, and of equal rows all but one lose their windows. Other columns stay, whatever
+    their names; an empty table gives an empty table; texts count whole, however long, and none is cut at a cell's border.
     """
     return _run(docs.drop("n_words", "n_removed", "removed_spans"), n, False)
