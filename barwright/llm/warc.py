@@ -26,6 +26,8 @@ GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archives are filled to about this many bytes of payload.
 ARCHIVE_BYTES = 32 << 20
+#: No file's payloads and urls exceed this, unless a single record does.
+FILE_LIMIT = 1 << 30
 #: Bytes given to the inflater at a time, so that a member costs its own length only.
 STEP = 1 << 16
 
@@ -99,9 +101,20 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     rows = pages.withColumn("payload_digest", base32_sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     rows = rows.withColumn("record_type", F.when(F.col("_digest").isNotNull(), "revisit").otherwise("response"))
-    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col("html"), F.lit(""))))).first()[0] or 1
-    per_file = max(1, int(archive_bytes / max(mean, 256)))
-    rows.select(record(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit(""))).cast("long") + F.octet_length(F.coalesce(F.col("url"), F.lit("")))
+    stats = pages.agg(F.avg(size).alias("mean"), F.max(size).alias("most")).first()
+    per_file = max(1, int(archive_bytes / max(stats["mean"] or 1, 256)))
+
+    def write(part: DataFrame, records: int) -> None:
+        part.select(record(date).alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
+
+    # Files of the usual number of records stay readable in one piece unless some records are very large: those get files with fewer.
+    if per_file * (stats["most"] or 0) <= FILE_LIMIT:
+        write(rows, per_file)
+    else:
+        large = size > FILE_LIMIT // per_file
+        write(rows.filter(~large), per_file)
+        write(rows.filter(large), max(1, FILE_LIMIT // stats["most"]))
 
 
 # --- reading ---

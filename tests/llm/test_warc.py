@@ -97,3 +97,14 @@ def test_reader_logs_gaps(spark, tmp_path):
     assert [r.page_id for r in got if r.gap is None] == ["1", "2"]
     assert [(r.offset, r.end_offset) for r in got if r.gap] == [(len(make(1)), len(make(1)) + 10)]
     assert [bytes(r.payload) for r in got if r.gap is None] == [b"hello"] * 2
+
+
+def test_large_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_LIMIT", 40_000)
+    rows = [(k, f"http://x/{k}", "p" * (30_000 if k % 50 == 7 else 100) + str(k), "clash") for k in range(200)]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"), archive_bytes=60_000)
+    files = [p for p in (tmp_path / "a").iterdir() if p.name.startswith("part")]
+    assert max(p.stat().st_size for p in files) < 60_000 + 200 * 700
+    got = {int(r.page_id): r.payload_bytes for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert got == {k: len(h) for k, _, h, _ in rows}
