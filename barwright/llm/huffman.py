@@ -27,6 +27,8 @@ from barwright.llm.tokens import default_path, encoder
 END_ID = 0
 #: Ids of a block, about, and ids between two checkpoints.
 BLOCK_IDS, CHECKPOINT = 1 << 20, 128
+#: Bytes of text in a partition, at most but for sampling: its file, about half as large, is read in one piece.
+PART_BYTES = 64 << 20
 _HEAD = struct.Struct("<qIIII")
 
 
@@ -198,7 +200,10 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str | None = None, spec
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(scale_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    total = ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(scale_partitions(spark), -(-total // PART_BYTES))
+    # The text's beginning orders like the text, and deals out rows without a doc_id, or with the same one.
+    ordered = ordered.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
     blocks = stash(ordered.mapInArrow(_tokenize(tokenizer, specials_as_text), _STASH), "huffman-ids")
 
     # One number for each id of the vocabulary and one for each partition: neither grows with the rows.
