@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A space beside other white space: such texts are encoded in one piece.
-_UNSAFE = re.compile(r" \s|\s ")
+#: A space beside other white space, in the regular expressions of Arrow: such texts are encoded in one piece.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNSAFE = f" {_WHITE}|{_WHITE} "
 _PUNCTUATION = ",.;:!?"
 #: Words that a worker remembers, about: those met since the cache was last half full, and those met in the half before.
 CACHE_WORDS = 600_000
@@ -42,48 +43,55 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and specials_as_text)]
         self.by_word = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Ids of words that follow a space (" ") and of others (""): those met lately, and those met before them.
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed."""
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, self.width) for x in fast(texts, add_special_tokens=False)]
-
-    def _learn(self, wanted: list[str]) -> None:
-        """Put the missing words among ``wanted`` in the cache; a last punctuation mark after a letter is a pre-token of its own."""
-        if len(self.known) > CACHE_WORDS // 2:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        whole, split = set(), []
-        for w in wanted:
+        kind = "H" if self.width == "<u2" else "I"
+        return [array(kind, x.ids).tobytes() for x in fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[str], space: str) -> list[bytes]:
+        """Ids of distinct words, each with ``space`` before it; a last punctuation mark after a letter is a pre-token of its own."""
+        if len(self.known[space]) > CACHE_WORDS // 2:
+            self.older[space], self.known[space] = self.known[space], {}
+        known, older = self.known[space], self.older[space]
+        missing = [w for w in words if w not in known]
+        for w in missing:
+            if w in older:
+                known[w] = older[w]
+        fresh, split = {}, []
+        for w in missing:
             if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                elif len(w) > 1 and w[-1] in _PUNCTUATION and w[-2].isalpha():
+                if len(w) > 1 and w[-1] in _PUNCTUATION and w[-2].isalpha():
                     split.append(w)
-                    whole.update((w[:-1], w[-1]))
+                    if w[:-1] not in known:
+                        fresh[w[:-1]] = None
                 else:
-                    whole.add(w)
-        known.update((w, older[w]) for w in whole if w in older)
-        new = [w for w in whole if w not in known]
-        for w, ids in zip(new, self._encode(new), strict=True):
-            known[w] = ids.tobytes()
-        for w in split:
-            known[w] = known[w[:-1]] + known[w[-1]]
+                    fresh[w] = None
+        known.update(zip(fresh, self._encode([space + w for w in fresh]), strict=True))
+        if split:
+            marks = dict(zip(_PUNCTUATION, self._encode(list(_PUNCTUATION)), strict=True))
+            for w in split:
+                known[w] = known[w[:-1]] + marks[w[-1]]
+        return [known[w] for w in words]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, null counting as empty."""
         out: list = [None] * len(texts)
         rest, simple = [], []
+        unsafe = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNSAFE).to_pylist()
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.zeros(0, self.width)
-            elif not self.by_word or _UNSAFE.search(text) or any(t in text for t in self.added):
+            elif not self.by_word or unsafe[k] or any(t in text for t in self.added):
                 rest.append(k)
             else:
                 simple.append(k)
         for k, ids in zip(rest, self._encode([texts[k] for k in rest]), strict=True):
-            out[k] = ids
+            out[k] = np.frombuffer(ids, self.width)
         group, size = [], 0
         for k in simple:
             group.append(k)
@@ -103,11 +111,10 @@ class Encoder:
         codes = np.asarray(coded.indices)
         first = ends[:-1]
         heads = [vocabulary[c] for c in codes[first]]
-        tails = [" " + w for w in vocabulary]
-        self._learn(heads + tails)
-        known = self.known
+        opening = self._ids(list(dict.fromkeys(heads)), "")
+        opening = dict(zip(dict.fromkeys(heads), opening, strict=True))
         # First words have no space before them: they get entries of their own, after those of the vocabulary.
-        parts = [known[w] for w in tails] + [known[w] for w in heads]
+        parts = self._ids(vocabulary, " ") + [opening[w] for w in heads]
         codes = codes.copy()
         codes[first] = np.arange(len(heads)) + len(vocabulary)
         unit = np.dtype(self.width).itemsize
