@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.common import stash
@@ -14,15 +14,19 @@ SHARE, LEAST = 1000, 500
 def _with_least(rows: DataFrame, edges: int) -> DataFrame:
     """``rows`` (u, v) with ``m``, the least of u and its v. Heavy nodes, whose number ``SHARE`` bounds, are looked up by broadcast, so no join meets all rows of one."""
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumn("m", F.least("m", "u"))
-    heavy = least.filter(F.col("d") > max(LEAST, edges // SHARE)).select("u", "m")
-    light = rows.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
-    return rows.join(F.broadcast(heavy), "u").unionByName(light)
+    heavy = F.broadcast(least.filter(F.col("d") > max(LEAST, edges // SHARE)).select("u", "m"))
+    light = rows.join(heavy, "u", "left_anti").join(least.select("u", "m"), "u")
+    return rows.join(heavy, "u").unionByName(light)
+
+
+def _both(a: str, b: str) -> list[Column]:
+    return [F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v"))]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, label`` for every node of ``edges`` (u, v of one ordered type), the label being the least node of its component.
 
-    Nulls and loops are left out. Each step aggregates before it joins; what a step leaves is written to the shared folder.
+    Nulls and loops are left out. What a step leaves is written to the shared folder.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges = stash(edges, "edges")
@@ -30,15 +34,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if not size:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _with_least(large, size)
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = stash(small.distinct(), "edges")
+        # Large star: a node's larger neighbours go to its least one. A hub is the least of very many.
+        both = edges.select(F.explode(F.array(*_both("u", "v"))).alias("e")).select("e.*")
+        large = _with_least(both, size).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours go to the least of them, and large stars leave a node few smaller neighbours.
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        edges = stash(small.select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct(), "edges")
         # The sum wraps around on purpose: it is a fingerprint of the edge set.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
-            roots = edges.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+            return edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")), F.struct(F.col("v").alias("node"), F.col("v").alias("label")))).alias("e")).select("e.*").distinct()
         state, size = now, now[0]
     raise RuntimeError("components did not settle")

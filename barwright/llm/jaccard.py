@@ -27,8 +27,8 @@ RECALL, HASHES = 0.9999, 128
 HOT = 32
 #: Classes of a block, and n-grams of it, at most but for single larger sets; two blocks are compared in one piece.
 BLOCK, BLOCK_GRAMS = 384, 2_000_000
-#: Bytes of sets in a unit of candidate pairs, about.
-UNIT_BYTES = 32 << 20
+#: Bytes of sets in a unit of candidate pairs, and pairs, about.
+UNIT_BYTES, UNIT_PAIRS = 8 << 20, 2000
 
 
 def band_shape(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -287,7 +287,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     wanted = classes.drop("bands").join(ends, "key", "left").join(groups, "key", "left").filter("anchors IS NOT NULL OR label IS NOT NULL")
     wanted = stash(wanted.withColumnRenamed("first", "_id"), "jaccard-wanted")
     totals = wanted.agg(F.sum(F.size(F.coalesce("anchors", F.array())) * F.col("size"))).first()[0] or 0
-    units = max(1, totals * 8 // UNIT_BYTES)
+    units = max(1, totals * 8 // UNIT_BYTES, pairs.count() // UNIT_PAIRS)
     sizes = wanted.filter("label IS NOT NULL").groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     asked = wanted.join(sizes, "label", "left")
     # Texts are dealt out by doc_id at every size, not only once the candidates are too many to broadcast.

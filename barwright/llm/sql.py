@@ -70,3 +70,32 @@ WITH p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
 SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10
 """
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words FROM documents),
+g AS (
+  SELECT DISTINCT r, list_aggregate(words[i : i + 4], 'string_agg', chr(10)) AS gram
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)),
+s AS (SELECT r, count(*) AS n, md5(string_agg(gram, chr(9) ORDER BY gram)) AS k FROM g GROUP BY r),
+c AS (SELECT k, min(r) AS r, max(n) AS n, min(doc_id) AS first, count(*) AS copies FROM s JOIN d USING (r) GROUP BY k),
+cg AS (SELECT k, gram FROM c JOIN g USING (r)),
+i AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM cg a JOIN cg b ON a.gram = b.gram AND a.k < b.k GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN c x ON x.k = a JOIN c y ON y.k = b WHERE 5 * common >= 4 * (x.n + y.n - common)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+reach(u, v) AS (SELECT k, k FROM c UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.v),
+m AS (SELECT reach.u AS k, min(first) AS class_id FROM reach JOIN c ON c.k = reach.v GROUP BY reach.u),
+n AS (SELECT e.u AS k, sum(copies) AS links FROM e JOIN c ON c.k = e.v GROUP BY e.u)
+SELECT doc_id, CASE WHEN s.k IS NULL THEN doc_id ELSE class_id END AS class_id,
+       CASE WHEN s.k IS NULL THEN 0 ELSE copies - 1 + coalesce(links, 0) END::BIGINT AS n_links, coalesce(copies, 1)::BIGINT AS n_copies
+FROM d LEFT JOIN s USING (r) LEFT JOIN c ON c.k = s.k LEFT JOIN m ON m.k = s.k LEFT JOIN n ON n.k = s.k
+"""
+
+SUBSTRINGS = rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, {WORDS} AS words FROM documents),
+w AS (SELECT r, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM d),
+x AS (SELECT r, i, CASE WHEN i + 19 <= len(words) THEN list_aggregate(words[i : i + 19], 'string_agg', chr(10)) END AS k FROM w JOIN d USING (r)),
+a AS (SELECT r, i, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY r, i) > 1 AS again FROM x),
+g AS (SELECT r, i, max(again::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM a),
+o AS (SELECT r, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM w JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (r)
+"""
