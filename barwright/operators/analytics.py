@@ -29,9 +29,10 @@ def r(x: str, name: str, digits: int = 6) -> str:
 W = "OVER (PARTITION BY symbol ORDER BY t)"
 RUN = "OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 DAY = "{{date_add(DATE'1970-01-01', CAST(floor(t / 24) AS INT))¦(DATE '1970-01-01' + floor(t / 24)::INTEGER)}}"
-#: Returns of each symbol, bounded so that products stay in range.
-RETURNS = f"x0 AS (SELECT symbol, t, close, high, low, volume, close / nullif(lag(close) {W}, 0) - 1 AS raw FROM BARS), x AS (SELECT *, greatest(least(raw, 0.05), -0.05) AS y, {DAY} AS d FROM x0 WHERE raw IS NOT NULL)"
-EQUITY = f"{RETURNS}, e AS (SELECT *, exp(sum(ln(1 + y)) {RUN}) AS equity FROM x), p AS (SELECT *, max(equity) {RUN} AS peak FROM e), q AS (SELECT *, (equity - peak) / peak AS drawdown FROM p)"
+#: Returns of each symbol, as they are: their growth factors are summed as logarithms wherever they are multiplied.
+RETURNS = f"x0 AS (SELECT symbol, t, close, high, low, volume, close / nullif(lag(close) {W}, 0) - 1 AS y FROM BARS), x AS (SELECT *, {DAY} AS d FROM x0 WHERE y IS NOT NULL)"
+GROWTH = "ln(CASE WHEN 1 + y > 0 THEN 1 + y END)"
+EQUITY = f"{RETURNS}, e AS (SELECT *, exp(sum({GROWTH}) {RUN}) AS equity FROM x), p AS (SELECT *, max(equity) {RUN} AS peak FROM e), q AS (SELECT *, (equity - peak) / peak AS drawdown FROM p)"
 ISLANDS = f"i AS (SELECT *, sum(CASE WHEN y > 0 THEN 0 ELSE 1 END) {RUN} AS gw, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) {RUN} AS gl FROM x), j AS (SELECT *, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, gw) AS ws, sum(CASE WHEN y > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, gl) AS ls FROM i)"
 PAIRS = f"{RETURNS}, ab AS (SELECT concat(a.symbol, '/', b.symbol) AS pair, a.symbol AS sa, b.symbol AS sb, a.t, a.close AS ca, b.close AS cb, a.y AS ya, b.y AS yb FROM x a JOIN x b ON a.t = b.t AND a.symbol < b.symbol)"
 HALVES = f"{RETURNS}, h AS (SELECT symbol, t, y, row_number() {W} AS rn FROM x)"
@@ -39,9 +40,27 @@ RANKED = "k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY v) + (count(
 FOLDS = "n AS (SELECT symbol, count(*) AS rows_all FROM BARS GROUP BY symbol)"
 #: Every row once for each fold that it lies in, to the end of its series (in Spark; the DuckDB form joins the first 41 folds). Folds that the series ends in are kept.
 IN_FOLDS = "f AS (SELECT {{*, explode(sequence(greatest((rn - 295) DIV 21, 0), (rn - 1) DIV 21))¦unnest(range(0, 41))}} AS k{{ FROM h¦}})"
-#: Deterministic draws for resampling: a multiplicative congruence of replicate and draw.
-DRAW = "((b * 7919 + i * 104729 + b * i * 31 + 12345) * 48271 % 2147483647)"
-REPLICATES, DRAWS = 200, 150
+#: Replicates of a resampled statistic, steps of a simulated path, permutations.
+REPLICATES, STEPS, PERMUTATIONS = 1000, 252, 500
+QUANTILES, LAST = (5, 25, 50, 75, 95), "last"
+
+
+def draws(table: str, keep: str, name: str = "w") -> str:
+    """``table`` (b, i and ``keep``) with ``u``, a number under 2**31 that depends on replicate and draw alone: two squarings of a congruence, so that draws are not a lattice."""
+    return (
+        f"{name}0 AS (SELECT {keep}, b, i, ((b + 1) * 69621 + (i + 1) * 104729 + 12345) * 48271 % 2147483647 AS h FROM {table}), "
+        f"{name}1 AS (SELECT {keep}, b, i, h, (h * h + i * 7919 + b) % 2147483647 AS g FROM {name}0), {name} AS (SELECT {keep}, b, i, (g * g + h) % 2147483647 AS u FROM {name}1)"
+    )
+
+
+def sig(x: str, name: str, digits: int = 6) -> str:
+    """``x`` to so many digits after the first, for values of any size."""
+    return f"CAST({{{{format_string('%.{digits}e', CAST({x} AS DOUBLE))¦printf('%.{digits}e', CAST({x} AS DOUBLE))}}}} AS DOUBLE) AS {name}"
+
+
+def series(n: int | str) -> str:
+    """0 to n - 1 as rows."""
+    return f"{{{{explode(sequence(0L, CAST({n} AS BIGINT) - 1))¦unnest(range(0, {n}))}}}}"
 
 
 def corr_over(a: str, b: str, frame: str) -> str:
@@ -53,19 +72,26 @@ _F19 = "OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 18 PRECEDING AND CURRE
 _P20 = "OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 
 
+def quantile_of(x: str, q: float) -> str:
+    return f"{{{{percentile({x}, {q})¦quantile_cont({x}, {q})}}}}"
+
+
 def _boot(stat: str, name: str) -> str:
-    series = "explode(sequence(0, {n}))"
+    """As many draws with replacement as the series has returns, for each replicate; the statistic of the series itself stands beside those of the replicates."""
     return (
-        f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n FROM h GROUP BY symbol), "
-        f"b AS (SELECT {{{{{series.format(n=REPLICATES - 1)}¦unnest(range(0, {REPLICATES}))}}}} AS b), i AS (SELECT {{{{{series.format(n=DRAWS - 1)}¦unnest(range(0, {DRAWS}))}}}} AS i), "
-        f"g AS (SELECT c.symbol, CAST(b.b AS BIGINT) AS b, CAST(i.i AS BIGINT) AS i, c.n FROM c CROSS JOIN b CROSS JOIN i), "
-        f"w AS (SELECT symbol, b, {DRAW} % n + 1 AS pick FROM g), v AS (SELECT w.symbol, w.b, h.y FROM w JOIN h ON h.symbol = w.symbol AND h.rn = w.pick), "
-        f"s AS (SELECT symbol, b, {stat} AS s FROM v GROUP BY symbol, b), "
-        f"a AS (SELECT symbol, count(*) AS n_bootstrap, avg(s) AS m, stddev_pop(s) AS sd, {{{{percentile(s, 0.025)¦quantile_cont(s, 0.025)}}}} AS lo, {{{{percentile(s, 0.975)¦quantile_cont(s, 0.975)}}}} AS hi, avg(CASE WHEN s > 0 THEN 1e0 ELSE 0e0 END) AS up FROM s GROUP BY symbol) "
-        f"SELECT symbol, '{name}' AS statistic_name, n_bootstrap, {r('m', 'bootstrap_mean')}, {r('sd', 'bootstrap_std')}, {r('lo', 'ci_lo')}, {r('hi', 'ci_hi')}, {r('2 * least(up, 1 - up)', 'p_value')} FROM a"
+        f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, {stat} AS observed FROM h GROUP BY symbol HAVING count(*) >= 10), "
+        f"bs AS (SELECT symbol, n, {series(REPLICATES)} AS b FROM c), g AS (SELECT symbol, n, b, {series('n')} AS i FROM bs), {draws('g', 'symbol, n')}, "
+        f"v AS (SELECT w.symbol, w.b, h.y FROM w JOIN h ON h.symbol = w.symbol AND h.rn = w.u % w.n + 1), s AS (SELECT symbol, b, {stat} AS s FROM v GROUP BY symbol, b), "
+        f"a AS (SELECT symbol, count(*) AS n_bootstrap, avg(s) AS m, stddev_pop(s) AS sd, {quantile_of('s', 0.025)} AS lo, {quantile_of('s', 0.975)} AS hi, avg(CASE WHEN s <= 0 THEN 1e0 ELSE 0e0 END) AS down, avg(CASE WHEN s >= 0 THEN 1e0 ELSE 0e0 END) AS up FROM s GROUP BY symbol), "
+        f"o AS (SELECT a.*, c.observed, CASE WHEN c.observed > 0 THEN down ELSE up END AS p FROM a JOIN c ON a.symbol = c.symbol) "
+        f"SELECT symbol, '{name}' AS statistic_name, n_bootstrap, {r('observed', 'observed_value')}, {r('m', 'bootstrap_mean')}, {r('sd', 'bootstrap_std')}, {r('lo', 'ci_lo')}, {r('hi', 'ci_hi')}, {r('2 * least(p, 1 - p)', 'p_value')} FROM o"
     )
 
 
+#: One t-test for each symbol and hour: a family of p-values to correct.
+FAMILY = f"{RETURNS}, hs AS (SELECT symbol, CAST(t % 24 AS INT) AS hour, count(*) AS n, avg(y) AS m, stddev_samp(y) AS sd FROM x GROUP BY ALL HAVING count(*) > 2), ht AS (SELECT symbol, hour, n, m / nullif(sd / sqrt(n), 0) AS t0 FROM hs), p AS (SELECT symbol, hour, {t_p('t0', 'n - 1')} AS p FROM ht WHERE t0 IS NOT NULL)"
+
+
 SQL: dict[str, str] = {
     # cleaning and joins
     "pre_01": "SELECT symbol, count(*) AS n, count(CASE WHEN high < greatest(open, close) THEN 1 END) AS bad_high, count(CASE WHEN low > least(open, close) THEN 1 END) AS bad_low, count(CASE WHEN least(open, high, low, close) <= 0 THEN 1 END) AS not_positive, count(CASE WHEN close IS NULL THEN 1 END) AS missing FROM BARS GROUP BY symbol",
@@ -87,14 +113,19 @@ e AS (SELECT symbol, CAST(k AS BIGINT) AS bin, lo + (hi - lo) / 20 * k AS a, lo
 max(CASE WHEN wd = 0 THEN high END) AS mh, min(CASE WHEN wd = 0 THEN low END) AS ml FROM d GROUP BY ALL), f AS (SELECT symbol, CASE WHEN ml <= fri AND mh >= fri THEN 1e0 ELSE 0e0 END AS filled FROM g WHERE fri IS NOT NULL AND mon IS NOT NULL AND mon <> fri), s AS (SELECT symbol, count(*) AS n, avg(filled) AS fill FROM f GROUP BY symbol HAVING count(*) >= 30),
 u AS (SELECT *, 4 * n * pow(fill - 0.5, 2) AS chi FROM s) SELECT symbol, n, {r('fill', 'fill_rate')}, {r('chi', 'chi_squared', 4)}, {r(chi2_p('chi', 1), 'p_value', 5)} FROM u""",
     "tre_03": f"""WITH l AS (SELECT symbol, t, CASE WHEN close > 0 AND lag(close) {W} > 0 THEN ln(close / lag(close) {W}) END AS lr FROM BARS), v AS (SELECT * FROM l WHERE lr IS NOT NULL), k AS (SELECT {{{{explode(sequence(2, 20))¦unnest(range(2, 21))}}}} AS k), n AS (SELECT symbol, lr, row_number() {W} AS rn FROM v),
-d AS (SELECT a.symbol, k.k, stddev_pop(a.lr - b.lr) AS tau FROM k JOIN n a ON true JOIN n b ON b.symbol = a.symbol AND b.rn = a.rn - k.k GROUP BY a.symbol, k.k), f AS (SELECT symbol, regr_slope(ln(tau), ln(k)) AS h, count(*) AS lags FROM d GROUP BY symbol) SELECT symbol, lags, {r('h', 'hurst')}, CASE WHEN h > 0.55 THEN 'trending' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'random' END AS regime FROM f""",
-    "tre_07": f"""WITH {RETURNS}, s AS (SELECT symbol, t, CASE WHEN raw > 0 THEN 1 ELSE -1 END AS sg FROM x WHERE raw <> 0), c AS (SELECT *, CASE WHEN sg <> lag(sg) {W} THEN 1 ELSE 0 END AS ch FROM s), g AS (SELECT symbol, count(*) AS n, sum(ch) + 1 AS runs, CAST(count(CASE WHEN sg > 0 THEN 1 END) AS DOUBLE) AS a, CAST(count(CASE WHEN sg < 0 THEN 1 END) AS DOUBLE) AS b FROM c GROUP BY symbol),
+d AS (SELECT a.symbol, k.k, stddev_pop(a.lr - b.lr) AS tau FROM k JOIN n a ON true JOIN n b ON b.symbol = a.symbol AND b.rn = a.rn - k.k GROUP BY a.symbol, k.k), f AS (SELECT d.symbol, regr_slope(ln(tau), ln(k)) AS h, corr(ln(tau), ln(k)) AS rho, regr_syy(ln(tau), ln(k)) AS syy, regr_sxx(ln(tau), ln(k)) AS sxx, count(*) AS lags FROM d GROUP BY d.symbol), z AS (SELECT symbol, count(*) AS n FROM v GROUP BY symbol),
+u AS (SELECT f.symbol, z.n, lags, h, sqrt((1 - rho * rho) * syy / sxx / (lags - 2)) AS se, rho * sqrt((lags - 2) / (1 - rho * rho)) AS t0 FROM f JOIN z ON f.symbol = z.symbol)
+SELECT symbol, n, lags, {r('h', 'hurst')}, {r('se', 'std_err')}, {r(t_p('t0', 'lags - 2'), 'p_value', 5)}, CASE WHEN h > 0.55 THEN 'trending' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'random' END AS regime FROM u""",
+    "tre_07": f"""WITH {RETURNS}, s AS (SELECT symbol, t, CASE WHEN y > 0 THEN 1 ELSE -1 END AS sg FROM x WHERE y <> 0), c AS (SELECT *, CASE WHEN sg <> lag(sg) {W} THEN 1 ELSE 0 END AS ch FROM s), g AS (SELECT symbol, count(*) AS n, sum(ch) + 1 AS runs, CAST(count(CASE WHEN sg > 0 THEN 1 END) AS DOUBLE) AS a, CAST(count(CASE WHEN sg < 0 THEN 1 END) AS DOUBLE) AS b FROM c GROUP BY symbol),
 z AS (SELECT symbol, n, CAST(runs AS BIGINT) AS runs, (runs - (2 * a * b / (a + b) + 1)) / sqrt(2 * a * b * (2 * a * b - a - b) / (pow(a + b, 2) * (a + b - 1))) AS z FROM g) SELECT symbol, n, runs, {r('z', 'z')}, {r(normal_p('z'), 'p_value', 5)} FROM z""",
-    "vle_01": f"""WITH {RETURNS}, a AS (SELECT symbol, t, abs(y) AS v, lag(abs(y)) {W} AS pv FROM x), w AS (SELECT symbol, t, CASE WHEN count(pv) {_F19} = 19 THEN {corr_over("v", "pv", _F19)} END AS c FROM a)
-SELECT symbol, count(c) AS n, {r('avg(c)', 'avg_autocorrelation')}, {r('stddev_samp(c)', 'std_autocorrelation')} FROM w GROUP BY symbol""",
+    "vle_01": f"""WITH {RETURNS}, a AS (SELECT symbol, t, abs(y) AS v, lag(abs(y)) {W} AS pv, avg(abs(y)) OVER (PARTITION BY symbol) AS m FROM x), w AS (SELECT symbol, t, CASE WHEN count(pv) {_F19} = 19 THEN {corr_over("v", "pv", _F19)} END AS c FROM a),
+k AS (SELECT symbol, v - m AS v, {", ".join(f"lag(v - m, {k}) {W} AS v{k}" for k in range(1, 11))} FROM a), l AS (SELECT symbol, count(*) AS n, CAST(count(*) AS DOUBLE) * (count(*) + 2) * ({" + ".join(f"pow(sum(v * v{k}) / nullif(sum(v * v), 0), 2) / nullif(count(*) - {k}, 0)" for k in range(1, 11))}) AS q FROM k GROUP BY symbol),
+g AS (SELECT symbol, count(c) AS windows, avg(c) AS m, stddev_samp(c) AS sd FROM w GROUP BY symbol), u AS (SELECT g.symbol, l.n, g.windows, g.m, g.sd, l.q, {chi2_p("l.q", 10)} AS p FROM g JOIN l ON g.symbol = l.symbol)
+SELECT symbol, n, windows, {r('m', 'avg_autocorrelation')}, {r('sd', 'std_autocorrelation')}, {r('q', 'ljung_box', 4)}, {r('p', 'p_value', 5)}, coalesce(m > 0.2 AND p < 0.05, false) AS is_significant FROM u""",
     "str_e2": f"""WITH d AS (SELECT *, {DAY} AS d, lead(close, 10) {W} / nullif(close, 0) - 1 AS f10 FROM BARS), y AS (SELECT symbol, d, max(high) AS h, min(low) AS l, {{{{max_by¦arg_max}}}}(close, t) AS c FROM d GROUP BY symbol, d), p AS (SELECT symbol, d, lag(h) OVER (PARTITION BY symbol ORDER BY d) AS ph, lag(l) OVER (PARTITION BY symbol ORDER BY d) AS pl, lag(c) OVER (PARTITION BY symbol ORDER BY d) AS pc FROM y),
-j AS (SELECT d.symbol, d.close, d.f10, p.ph, p.pl, p.pc FROM d LEFT JOIN p ON d.symbol = p.symbol AND d.d = p.d), k AS (SELECT symbol, 'prev_high' AS edge_key, f10 FROM j WHERE abs(close - ph) / nullif(close, 0) < 0.01 UNION ALL SELECT symbol, 'prev_low' AS edge_key, f10 FROM j WHERE abs(close - pl) / nullif(close, 0) < 0.01 UNION ALL SELECT symbol, 'prev_close' AS edge_key, f10 FROM j WHERE abs(close - pc) / nullif(close, 0) < 0.01)
-SELECT symbol, edge_key, count(f10) AS n, {r('avg(f10)', 'mean_return')}, {r('avg(CASE WHEN f10 > 0 THEN 1e0 ELSE 0e0 END)', 'win_rate')} FROM k WHERE f10 IS NOT NULL GROUP BY symbol, edge_key""",
+j AS (SELECT d.symbol, d.close, d.f10, avg(abs(d.f10)) OVER (PARTITION BY d.symbol) AS usual, p.ph, p.pl, p.pc FROM d LEFT JOIN p ON d.symbol = p.symbol AND d.d = p.d), k AS (SELECT symbol, 'prev_high' AS edge_key, f10, usual FROM j WHERE abs(close - ph) / nullif(close, 0) < 0.001 UNION ALL SELECT symbol, 'prev_low' AS edge_key, f10, usual FROM j WHERE abs(close - pl) / nullif(close, 0) < 0.001 UNION ALL SELECT symbol, 'prev_close' AS edge_key, f10, usual FROM j WHERE abs(close - pc) / nullif(close, 0) < 0.001),
+s AS (SELECT symbol, edge_key, count(f10) AS n, avg(f10) AS m, stddev_samp(f10) AS sd, avg(CASE WHEN f10 > 0 THEN 1e0 ELSE 0e0 END) AS win, (avg(abs(f10)) - max(usual)) / nullif(stddev_samp(abs(f10)) / sqrt(count(f10)), 0) AS t0 FROM k WHERE f10 IS NOT NULL GROUP BY symbol, edge_key HAVING count(f10) >= 30), u AS (SELECT *, {t_p("t0", "n - 1")} AS p FROM s)
+SELECT symbol, edge_key, n, {r("m", "mean_return")}, {r("sd", "std_return")}, {r("t0", "t_statistic", 5)}, {r("p", "p_value", 5)}, {r("win", "win_rate")}, {r("coalesce(m / nullif(sd, 0) * sqrt(25.2e0), 0)", "sharpe_ratio", 5)}, coalesce(p < 0.05, false) AS is_significant FROM u""",
     # tests
     "sta_01": f"WITH {RETURNS}, s AS (SELECT symbol, count(y) AS n, avg(y) AS m, stddev_samp(y) AS sd FROM x GROUP BY symbol), u AS (SELECT *, m / nullif(sd / sqrt(n), 0) AS t0 FROM s) SELECT symbol, n, {r('t0', 'statistic', 5)}, {r(t_p('t0', 'n - 1'), 'p_value', 5)}, {r('m / nullif(sd, 0)', 'effect_size')} FROM u",
     "sta_02": f"WITH {HALVES}, s AS (SELECT symbol, CAST(count(CASE WHEN rn % 2 = 0 THEN y END) AS DOUBLE) AS n1, avg(CASE WHEN rn % 2 = 0 THEN y END) AS m1, var_samp(CASE WHEN rn % 2 = 0 THEN y END) AS v1, CAST(count(CASE WHEN rn % 2 = 1 THEN y END) AS DOUBLE) AS n2, avg(CASE WHEN rn % 2 = 1 THEN y END) AS m2, var_samp(CASE WHEN rn % 2 = 1 THEN y END) AS v2 FROM h GROUP BY symbol), u AS (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t0, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM s) SELECT symbol, {r('t0', 'statistic', 5)}, {r('df', 'df', 3)}, {r(t_p('t0', 'df'), 'p_value', 5)}, {r('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))', 'effect_size')} FROM u",
@@ -105,23 +136,21 @@ SELECT symbol, edge_key, count(f10) AS n, {r('avg(f10)', 'mean_return')}, {r('av
     "sta_07": f"WITH d AS (SELECT symbol, CAST(t % 24 / 6 AS INT) AS q FROM BARS), c AS (SELECT symbol, q, CAST(count(*) AS DOUBLE) AS o FROM (SELECT symbol, CAST(floor(t % 24 / 8) AS INT) AS q FROM BARS) z GROUP BY symbol, q), e AS (SELECT *, sum(o) OVER (PARTITION BY symbol) AS n FROM c), s AS (SELECT symbol, max(n) AS n, sum(pow(o - n / 3, 2) / (n / 3)) AS chi FROM e GROUP BY symbol) SELECT symbol, {r('chi', 'statistic', 4)}, {r(chi2_p('chi', 2), 'p_value', 5)}, {r('sqrt(chi / n)', 'effect_size', 5)} FROM s",
     "sta_08": f"WITH {HALVES}, c AS (SELECT symbol, CAST(count(CASE WHEN y > 0 AND rn % 2 = 0 THEN 1 END) AS DOUBLE) AS a, CAST(count(CASE WHEN y > 0 AND rn % 2 = 1 THEN 1 END) AS DOUBLE) AS b, CAST(count(CASE WHEN y <= 0 AND rn % 2 = 0 THEN 1 END) AS DOUBLE) AS c, CAST(count(CASE WHEN y <= 0 AND rn % 2 = 1 THEN 1 END) AS DOUBLE) AS d FROM h GROUP BY symbol), s AS (SELECT symbol, a + b + c + d AS n, (a + b + c + d) * pow(greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi FROM c) SELECT symbol, {r('chi', 'statistic', 5)}, {r(chi2_p('chi', 1), 'p_value', 5)}, {r('sqrt(chi / n)', 'cramers_v', 5)} FROM s",
     "sta_09": f"WITH {PAIRS}, q AS (SELECT pair, count(*) AS n, corr(ya, yb) AS rho FROM ab GROUP BY pair HAVING count(*) > 2), u AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t0 FROM q) SELECT pair, n, {r('rho', 'statistic')}, {r(t_p('t0', 'n - 2'), 'p_value', 5)} FROM u",
-    "sta_10": f"WITH {RETURNS}, p AS (SELECT symbol, CAST(count(CASE WHEN y > 0 THEN 1 END) AS DOUBLE) / count(*) / 10 AS p FROM x GROUP BY symbol) SELECT symbol, {r('p', 'p_value')}, {r('least(p * count(*) OVER (PARTITION BY 1), 1)', 'adjusted')} FROM p",
-    "sta_11": f"WITH {RETURNS}, p AS (SELECT symbol, avg(abs(y)) AS p FROM x GROUP BY symbol), o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, {r('p', 'p_value')}, {r('least(max(p * (n - i + 1)) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)', 'adjusted')} FROM o",
-    "sta_12": f"WITH {RETURNS}, p AS (SELECT symbol, avg(abs(y)) AS p FROM x GROUP BY symbol), o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, {r('p', 'p_value')}, {r('least(min(p * n / i) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1)', 'adjusted')} FROM o",
+    "sta_10": f"WITH {FAMILY} SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(p * count(*) OVER (PARTITION BY 1), 1)', 'adjusted', 5)} FROM p",
+    "sta_11": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(max(p * (n - i + 1)) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)', 'adjusted', 5)} FROM o",
+    "sta_12": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(min(p * n / i) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1)', 'adjusted', 5)} FROM o",
     "sta_13": f"WITH {PAIRS}, q AS (SELECT pair, abs(corr(ya, yb)) AS rho FROM ab GROUP BY pair) SELECT pair, CASE WHEN rho < 0.1 THEN 'negligible' WHEN rho < 0.3 THEN 'weak' WHEN rho < 0.5 THEN 'moderate' WHEN rho < 0.7 THEN 'strong' ELSE 'very strong' END AS strength FROM q",
     # metrics and reports
     "met_01": f"WITH {RETURNS}, {ISLANDS}, m AS (SELECT symbol, count(*) AS n, count(CASE WHEN y > 0 THEN 1 END) AS wins, count(CASE WHEN y < 0 THEN 1 END) AS losses, coalesce(avg(CASE WHEN y > 0 THEN y END), 0) AS aw, coalesce(-avg(CASE WHEN y < 0 THEN y END), 0) AS al, coalesce(sum(CASE WHEN y > 0 THEN y END), 0) AS gp, coalesce(-sum(CASE WHEN y < 0 THEN y END), 0) AS gl, CAST(max(ws) AS BIGINT) AS mw, CAST(max(ls) AS BIGINT) AS ml FROM j GROUP BY symbol) SELECT symbol, n AS total_trades, wins AS winning_trades, losses AS losing_trades, {r('CAST(wins AS DOUBLE) / n', 'win_rate')}, {r('aw', 'avg_win')}, {r('al', 'avg_loss')}, {r('coalesce(aw / nullif(al, 0), 0)', 'win_loss_ratio')}, {r('CAST(wins AS DOUBLE) / n * aw - (1 - CAST(wins AS DOUBLE) / n) * al', 'expectancy')}, {r('coalesce(gp / nullif(gl, 0), 0)', 'profit_factor')}, mw AS max_consecutive_wins, ml AS max_consecutive_losses FROM m",
-    "met_02": f"WITH {EQUITY}, g AS (SELECT *, count(CASE WHEN drawdown >= 0 THEN 1 END) {RUN} AS island FROM q), c AS (SELECT symbol, island, count(CASE WHEN drawdown < 0 THEN 1 END) AS len FROM g GROUP BY symbol, island), l AS (SELECT symbol, max(len) AS dur FROM c GROUP BY symbol), m AS (SELECT symbol, count(*) AS n, avg(y) AS mean_y, stddev_samp(y) AS sd, stddev_samp(CASE WHEN y < 0 THEN y END) AS dn, exp(sum(ln(1 + y))) - 1 AS total, -min(drawdown) AS mdd, sqrt(avg(drawdown * drawdown)) AS ulcer FROM q GROUP BY symbol) SELECT m.symbol, {r('total', 'total_return', 4)}, {r('mean_y * sqrt(252) / nullif(sd, 0)', 'sharpe_ratio', 5)}, {r('mean_y * sqrt(252) / nullif(dn, 0)', 'sortino_ratio', 5)}, {r('mdd', 'max_drawdown')}, l.dur AS max_drawdown_duration, {r('total / nullif(mdd, 0)', 'recovery_factor', 4)}, {r('ulcer', 'ulcer_index')} FROM m JOIN l ON m.symbol = l.symbol",
+    "met_02": f"WITH {EQUITY}, g AS (SELECT *, count(CASE WHEN drawdown >= 0 THEN 1 END) {RUN} AS island FROM q), c AS (SELECT symbol, island, count(CASE WHEN drawdown < 0 THEN 1 END) AS len FROM g GROUP BY symbol, island), l AS (SELECT symbol, max(len) AS dur FROM c GROUP BY symbol), m AS (SELECT symbol, count(*) AS n, avg(y) AS mean_y, stddev_samp(y) AS sd, stddev_samp(CASE WHEN y < 0 THEN y END) AS dn, exp(sum({GROWTH})) - 1 AS total, -min(drawdown) AS mdd, sqrt(avg(drawdown * drawdown)) AS ulcer FROM q GROUP BY symbol) SELECT m.symbol, {r('total', 'total_return', 4)}, {r('mean_y * sqrt(252) / nullif(sd, 0)', 'sharpe_ratio', 5)}, {r('mean_y * sqrt(252) / nullif(dn, 0)', 'sortino_ratio', 5)}, {r('mdd', 'max_drawdown')}, l.dur AS max_drawdown_duration, {r('total / nullif(mdd, 0)', 'recovery_factor', 4)}, {r('ulcer', 'ulcer_index')} FROM m JOIN l ON m.symbol = l.symbol",
     "met_03": f"WITH {RETURNS}, y AS (SELECT symbol, CAST(extract(year FROM d) AS INT) AS yr, sum(y) AS s, count(*) AS n FROM x GROUP BY ALL) SELECT symbol, yr, n, {r('s', 'yearly_return')} FROM y",
     "met_04": f"WITH {RETURNS}, m AS (SELECT symbol, CAST(count(CASE WHEN y > 0 THEN 1 END) AS DOUBLE) / count(*) AS w, avg(CASE WHEN y > 0 THEN y END) AS aw, -avg(CASE WHEN y < 0 THEN y END) AS al, avg(y) AS mean_y FROM x GROUP BY symbol) SELECT symbol, {r('mean_y - 0.0002', 'net_mean')}, {r('al / (aw + al)', 'breakeven_win_rate')}, {r('greatest(w - (1 - w) / (aw / al), 0)', 'kelly')} FROM m",
     "met_05": f"WITH {RETURNS}, m AS (SELECT symbol, avg(y) * 252 AS a, stddev_samp(y) * sqrt(252) AS s FROM x GROUP BY symbol) SELECT symbol, {r('a - 0.02', 'excess_return')}, {r('(a - 0.02) / nullif(s, 0)', 'sharpe_ratio', 5)}, {r('(a - 0.02) / nullif(s, 0) * 0.15 + 0.02', 'm2_measure', 5)}, {r('s', 'volatility')} FROM m",
     "rpt_01": f"WITH {EQUITY} SELECT symbol, t, {r('equity', 'equity')}, {r('drawdown', 'drawdown')} FROM q",
-    "rpt_02": f"WITH {RETURNS} SELECT symbol, CAST(extract(year FROM d) AS INT) AS yr, CAST(extract(month FROM d) AS INT) AS mon, {r('exp(sum(ln(1 + y))) - 1', 'monthly_return')} FROM x GROUP BY ALL",
+    "rpt_02": f"WITH {RETURNS} SELECT symbol, CAST(extract(year FROM d) AS INT) AS yr, CAST(extract(month FROM d) AS INT) AS mon, {r(f'exp(sum({GROWTH})) - 1', 'monthly_return')} FROM x GROUP BY ALL",
     "rpt_03": f"WITH {RETURNS}, w AS (SELECT symbol, t, count(y) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS n, avg(y) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS m, stddev_samp(y) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS s FROM x) SELECT symbol, t, {r('m / nullif(s, 0) * sqrt(252)', 'rolling_sharpe', 4)} FROM w WHERE n = 252",
-    "rpt_04": f"WITH {RETURNS}, b AS (SELECT symbol, least(CAST(floor((y + 0.05) / 0.1 * 49 + 1e-9) AS BIGINT), 48) AS bin FROM x) SELECT symbol, bin, count(*) AS n FROM b GROUP BY symbol, bin",
+    "rpt_04": f"WITH {RETURNS}, m AS (SELECT symbol, min(y) AS lo, max(y) AS hi FROM x GROUP BY symbol), b AS (SELECT x.symbol, least(CAST(floor((y - lo) / nullif(hi - lo, 0) * 49 + 1e-9) AS BIGINT), 48) AS bin, lo, hi FROM x JOIN m ON x.symbol = m.symbol) SELECT symbol, coalesce(bin, 0) AS bin, count(*) AS n, {r('max(lo + (hi - lo) / 49 * coalesce(bin, 0))', 'left_edge')} FROM b GROUP BY symbol, coalesce(bin, 0)",
     "rpt_06": f"WITH {RETURNS} SELECT symbol, CAST(t % 24 AS INT) AS hour, count(*) AS n, {r('avg(y)', 'mean_return')} FROM x GROUP BY ALL",
-    "rpt_07": f"WITH {RETURNS}, v AS (SELECT symbol, t, close, stddev_samp(y) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vol FROM x) SELECT symbol, t, {r('close', 'close')}, {r('vol', 'vol')}, CASE WHEN vol > 0.045 THEN 'high' WHEN vol < 0.04 THEN 'low' ELSE 'normal' END AS band FROM v WHERE vol IS NOT NULL AND abs(vol - 0.045) > 1e-9 AND abs(vol - 0.04) > 1e-9",
-    "eng_05": f"WITH {RETURNS}, l AS (SELECT symbol, CASE WHEN t % 24 < 8 THEN 'asian' WHEN t % 24 < 16 THEN 'london' ELSE 'ny' END AS session, y FROM x) SELECT coalesce(symbol, 'ALL') AS symbol, coalesce(session, 'ALL') AS session, count(*) AS n, {r('avg(y)', 'mean_return')} FROM l GROUP BY GROUPING SETS ((symbol, session), (symbol), (session), ())",
     # pairs
     "par_01": f"WITH {PAIRS}, w AS (SELECT pair, t, count(ya) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n, {corr_over('ya', 'yb', _P20)} AS c FROM ab) SELECT pair, t, {r('c', 'rolling_correlation')} FROM w WHERE n = 20",
     "par_02": f"WITH {PAIRS}, w AS (SELECT pair, t, CASE WHEN count(ya) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN {corr_over('ya', 'yb', _P20)} END AS c, abs((lead(ca, 10) OVER (PARTITION BY pair ORDER BY t) / nullif(ca, 0)) - (lead(cb, 10) OVER (PARTITION BY pair ORDER BY t) / nullif(cb, 0))) AS dv FROM ab), b AS (SELECT *, CASE WHEN c < -0.3 THEN 1 ELSE 0 END AS broken FROM w) SELECT pair, broken, count(dv) AS n, {r('avg(dv)', 'mean_divergence', 5)} FROM b WHERE dv IS NOT NULL GROUP BY pair, broken",
@@ -142,7 +171,11 @@ SELECT symbol, edge_key, count(f10) AS n, {r('avg(f10)', 'mean_return')}, {r('av
     "boo_01": _boot("avg(y)", "mean"),
     "boo_02": _boot("avg(y) / nullif(stddev_pop(y), 0) * sqrt(252)", "sharpe"),
     "boo_03": _boot("avg(CASE WHEN y > 0 THEN 1e0 ELSE 0e0 END) - 0.5", "win_rate_over_half"),
-    "boo_04": _boot("exp(sum(ln(1 + y))) - 1", "terminal_return"),
+    "boo_04": f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n FROM h GROUP BY symbol HAVING count(*) >= 30), bs AS (SELECT symbol, n, {series(REPLICATES)} AS b FROM c), g AS (SELECT symbol, n, b, {series(STEPS)} AS i FROM bs), {draws('g', 'symbol, n')}, v AS (SELECT w.symbol, w.b, w.i, h.y FROM w JOIN h ON h.symbol = w.symbol AND h.rn = w.u % w.n + 1), "
+    f"e AS (SELECT symbol, b, i, sum({GROWTH}) OVER (PARTITION BY symbol, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grown FROM v), k AS (SELECT symbol, b, i, grown, greatest(max(grown) OVER (PARTITION BY symbol, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS peak FROM e), "
+    f"f AS (SELECT symbol, b, exp(max(CASE WHEN i = {STEPS - 1} THEN grown END)) AS last, exp(least(min(grown - peak), 0)) - 1 AS dd FROM k GROUP BY symbol, b), "
+    f"z AS (SELECT symbol, count(*) AS n_paths, {', '.join(f'{quantile_of(LAST, q / 100)} AS q{q:02d}' for q in QUANTILES)}, avg(last) AS m, stddev_pop(last) AS sd, avg(CASE WHEN last > 1 THEN 1e0 ELSE 0e0 END) AS up, avg(dd) AS dd, {quantile_of('dd', 0.05)} AS worst FROM f GROUP BY symbol) "
+    f"SELECT symbol, n_paths, {', '.join(sig(f'q{q:02d}', f'p{q:02d}') for q in QUANTILES)}, {sig('m', 'mean_final')}, {sig('sd', 'std_final')}, {r('up', 'prob_profit')}, {r('dd', 'expected_max_dd')}, {r('worst', 'worst_case_dd')} FROM z",
     "boo_06": _boot("avg(y) - 0.001", "mean_over_target"),
     # features and targets
     "ml_01": f"WITH {RETURNS}, l AS (SELECT symbol, ntile(5) OVER (PARTITION BY symbol ORDER BY lag_y, t) AS a, ntile(5) OVER (PARTITION BY symbol ORDER BY y, t) AS b FROM (SELECT symbol, t, y, lag(y) {W} AS lag_y FROM x) z WHERE lag_y IS NOT NULL), c AS (SELECT symbol, a, b, CAST(count(*) AS DOUBLE) AS n FROM l GROUP BY symbol, a, b), m AS (SELECT *, sum(n) OVER (PARTITION BY symbol) AS s, sum(n) OVER (PARTITION BY symbol, a) AS na, sum(n) OVER (PARTITION BY symbol, b) AS nb FROM c) SELECT symbol, {r('sum(n / s * ln(n * s / (na * nb)))', 'mutual_information')} FROM m GROUP BY symbol",
@@ -154,13 +187,17 @@ SQL["par_04"] = (
     f"WITH {PAIRS}, o AS (SELECT pair, regr_slope(ca, cb) AS b, regr_intercept(ca, cb) AS a FROM ab GROUP BY pair), e AS (SELECT ab.pair, t, ca - a - b * cb AS e FROM ab JOIN o ON ab.pair = o.pair), d AS (SELECT pair, e - lag(e) OVER (PARTITION BY pair ORDER BY t) AS de, lag(e) OVER (PARTITION BY pair ORDER BY t) AS pe FROM e), "
     f"c AS (SELECT pair, count(*) AS n, sum(de * pe) AS sxy, sum(pe * pe) AS sxx, sum(de * de) AS syy FROM d WHERE de IS NOT NULL GROUP BY pair), u AS (SELECT pair, n, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx) AS adf FROM c) SELECT pair, n, {r('adf', 'adf_statistic', 4)}, CASE WHEN adf < -3.34 THEN 1 ELSE 0 END AS cointegrated FROM u"
 )
-_DIFF = f"""WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, avg(CASE WHEN rn % 2 = 0 THEN y END) - avg(CASE WHEN rn % 2 = 1 THEN y END) AS obs FROM h GROUP BY symbol), b AS (SELECT {{{{explode(sequence(0, 99))¦unnest(range(0, 100))}}}} AS b),
-w AS (SELECT h.symbol, b.b, h.y, CASE WHEN (CAST(b.b AS BIGINT) * 7919 + h.rn * 104729 + CAST(b.b AS BIGINT) * h.rn * 31 + 12345) * 48271 % 2147483647 % 2 = 0 THEN 0 ELSE 1 END AS grp FROM h CROSS JOIN b), p AS (SELECT symbol, b, avg(CASE WHEN grp = 0 THEN y END) - avg(CASE WHEN grp = 1 THEN y END) AS df FROM w GROUP BY symbol, b)
-SELECT c.symbol, count(*) AS n_permutations, {r('max(c.obs)', 'observed')}, {r('avg(CASE WHEN abs(p.df) >= abs(c.obs) THEN 1e0 ELSE 0e0 END)', 'p_value')} FROM c JOIN p ON c.symbol = p.symbol GROUP BY c.symbol"""
-SQL["boo_05"] = _DIFF
+SQL["boo_05"] = (
+    f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, count(CASE WHEN rn % 2 = 0 THEN 1 END) AS n1, sum(y) AS total, avg(CASE WHEN rn % 2 = 0 THEN y END) - avg(CASE WHEN rn % 2 = 1 THEN y END) AS obs FROM h GROUP BY symbol HAVING count(*) >= 30), "
+    f"bs AS (SELECT symbol, n1, {series(PERMUTATIONS)} AS b FROM c), g AS (SELECT h.symbol, bs.n1, bs.b, h.rn AS i, h.y FROM h JOIN bs ON h.symbol = bs.symbol), {draws('g', 'symbol, n1, y')}, "
+    # A permutation keeps the sizes of both groups: the first n1 rows of a random order are group one.
+    f"o AS (SELECT symbol, b, y, CASE WHEN row_number() OVER (PARTITION BY symbol, b ORDER BY u, i) <= n1 THEN 1 ELSE 0 END AS one FROM w), "
+    f"s AS (SELECT symbol, b, avg(CASE WHEN one = 1 THEN y END) - avg(CASE WHEN one = 0 THEN y END) AS s FROM o GROUP BY symbol, b) "
+    f"SELECT s.symbol, count(*) AS n_permutations, {r('max(c.obs)', 'observed')}, {r('avg(s)', 'permutation_mean')}, {r('stddev_pop(s)', 'permutation_std')}, {r(quantile_of('s', 0.025), 'ci_lo')}, {r(quantile_of('s', 0.975), 'ci_hi')}, {r('avg(CASE WHEN abs(s) >= abs(c.obs) THEN 1e0 ELSE 0e0 END)', 'p_value')} FROM s JOIN c ON s.symbol = c.symbol GROUP BY s.symbol"
+)
 SQL["vlm_01"] = "SELECT symbol, t, coalesce(volume, 1) AS volume FROM BARS"
 SQL["src_10"] = "SELECT symbol, t, close FROM BARS WHERE t % 24 < 6 AND volume > 1"
 SQL["src_03"] = "SELECT DISTINCT split_part(concat(symbol, '_H1'), '_', 1) AS symbol FROM BARS"
-SQL["src_15"] = "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM BARS WHERE symbol IN (SELECT symbol FROM BARS GROUP BY symbol ORDER BY symbol LIMIT 2) GROUP BY symbol"
+SQL["src_15"] = "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM BARS GROUP BY symbol"
 SQL["par_11"] = f"SELECT pair, lag_bars, n, correlation FROM ({SQL['par_03']}) z WHERE p_value < 0.05 AND abs(correlation) > 0.1"
 SQL["ml_09"] = f"SELECT a.symbol, a.feature_name, {r('a.importance + coalesce(b.mutual_information, 0)', 'score')} FROM ({SQL['ml_02']}) a LEFT JOIN ({SQL['ml_01']}) b ON a.symbol = b.symbol AND a.feature_name = 'return_1'"

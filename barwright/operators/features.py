@@ -164,6 +164,9 @@ add("cnd_13", RUNS, dict.fromkeys(["consecutive_bullish", "consecutive_bearish"]
 _every = {k: flag(v) for c in CANDLES.values() for k, v in c.items()}
 add("cnd_14", [PREV, _every, {"bullish_reversal_pattern": flag("hammer + bullish_engulfing + morning_star + bullish_harami + tweezer_bottom + piercing_line > 0"), "bearish_reversal_pattern": flag("inverted_hammer + bearish_engulfing + evening_star + bearish_harami + tweezer_top + dark_cloud_cover > 0")}],
     dict.fromkeys(["bullish_reversal_pattern", "bearish_reversal_pattern"]))
+# --- regimes: price with trend strength and volatility band ---
+add("rpt_07", [*ADX, {"lr1": RETURNS["lr1"]}, {"hist_vol_20": HV[2]["hist_vol_20"]}, *PCTL[3:], {"band": "CASE WHEN vol_percentile < 25 THEN 'low' WHEN vol_percentile > 75 THEN 'high' WHEN vol_percentile IS NOT NULL THEN 'normal' END", "trend": "CASE WHEN adx > 25 THEN 'trending' WHEN adx IS NOT NULL THEN 'ranging' END"}],
+    {"close": 6, "adx": 4, "vol_percentile": 4, "band": None, "trend": None})
 # --- cleaning ---
 add("pre_11", [{"gap_hours": f"t - {lag('t')}"}, {"is_gap": flag("gap_hours > 1.5"), "gap_length": "coalesce(gap_hours, 0)"}], dict.fromkeys(["is_gap", "gap_length"]))
 __all__ = ["PLANS", "WHOLE"]
