@@ -7,7 +7,8 @@ Samples under 30 give no row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,8 +134,8 @@ SIGNED["mrv_01"] = (
     [Signed(f"zscore_{n}_{int(z * 10)}", f"z{n} < -{z}", f"z{n} > {z}") for n, z in _z],
 )
 SIGNED["mrv_02"] = (
-    [{"a20": roll("avg", "close", 20), "d20": roll("stddev_samp", "close", 20)} | forward(10), {"z20": "CASE WHEN f10 IS NOT NULL THEN (close - a20) / (CASE WHEN d20 > 1e-9 THEN d20 END) END"}, {"q1": f"{{{{percentile(z20, 0.2)¦quantile_cont(z20, 0.2)}}}} {_window}"}],
-    [Signed("zscore_quintile_1", "z20 <= q1", "false")],
+    [{f"a{n}": roll("avg", "close", n) for n in (20, 50)} | {f"d{n}": roll("stddev_samp", "close", n) for n in (20, 50)} | forward(10), {f"z{n}": f"CASE WHEN f10 IS NOT NULL THEN (close - a{n}) / (CASE WHEN d{n} > 1e-9 THEN d{n} END) END" for n in (20, 50)}, {f"q{n}": f"{{{{percentile(z{n}, 0.2)¦quantile_cont(z{n}, 0.2)}}}} {_window}" for n in (20, 50)}],
+    [Signed(f"zscore_quintile_{n}", f"z{n} <= q{n}", "false") for n in (20, 50)],
 )
 SIGNED["mrv_03"] = ([*rsi(14), forward(10)], [Signed(f"rsi_{a}_{b}", f"rsi_14 < {a}", f"rsi_14 > {b}") for a, b in ((30, 70), (25, 75), (20, 80), (45, 55))])
 SIGNED["mrv_04"] = ([*STOCH, forward(10)], [Signed("stochastic_20_80", "stoch_k < 20", "stoch_k > 80")])
@@ -192,6 +193,9 @@ CONTRASTS["ml_08"] = (
     [Contrast("anomaly_abs_return", "abs(f10)", "abs(r - m) > 1 * s")],
 )
 
+#: Hour of the day, for series whose bars are not longer than an hour.
+HOURS = [Signed(f"hour_{h:02d}", f"hour = {h}", "false", 1, "r1", 24 * 252) for h in range(24)]
+
 # Calendar tests: returns of a bar by a label of its time.
 CALENDAR = [{"d": DAY, "hour": "CAST(t % 24 AS INT)", "weekday": "CAST((floor(t / 24) + 3) % 7 AS INT)", "r1": f"{div('close', lag('close'))} - 1"}, {"month": "CAST(extract(month FROM d) AS INT)", "rn": "row_number() OVER (PARTITION BY symbol, d ORDER BY t)", "rl": "row_number() OVER (PARTITION BY symbol, d ORDER BY t DESC)"}]
 SIGNED["tim_02"] = (CALENDAR, [Signed(f"day_{k}", f"weekday = {k}", "false", 1, "r1", 252) for k in range(5)])
@@ -201,4 +205,64 @@ SIGNED["tim_07"] = (CALENDAR, [Signed("first_hour", "rn = 1 AND rl > 1", "false"
 _or = [{"d": DAY}, {"i": "row_number() OVER (PARTITION BY symbol, d ORDER BY t)", "n": "count(*) OVER (PARTITION BY symbol, d)", "f4": "lead(close, 4) OVER (PARTITION BY symbol, d ORDER BY t) / nullif(close, 0) - 1"},
        {"oh": "max(CASE WHEN i = 1 THEN high END) OVER (PARTITION BY symbol, d)", "ol": "min(CASE WHEN i = 1 THEN low END) OVER (PARTITION BY symbol, d)"}]
 SIGNED["tim_05"] = (_or, [Signed("opening_range_breakout", "n >= 5 AND i BETWEEN 2 AND 5 AND close > oh", "n >= 5 AND i BETWEEN 2 AND 5 AND close < ol", 4)])
+#: The members of each family of tests. Those of ``EXTRA`` are statements of :mod:`barwright.operators.analytics` with columns of their own.
+FAMILIES = {
+    "tim_08": ("hours", "tim_02", "tim_03", "tim_04", "tim_05", "tim_06", "tim_07"),
+    "tre_08": ("tre_01", "tre_02", "tre_03", "tre_04", "tre_05", "tre_06", "tre_07"),
+    "mrv_08": ("mrv_01", "mrv_02", "mrv_03", "mrv_04", "mrv_05", "mrv_06", "mrv_07"),
+    "vle_07": ("vle_01", "vle_02", "vle_03", "vle_04", "vle_05", "vle_06"),
+    "str_e7": ("str_e1", "str_e2", "str_e3", "str_e4", "str_e5", "str_e6"),
+}
+#: Tests that stand in the catalogue but not in a family.
+ALONE = {"rsi_45_55"}
+RESULT = ("symbol", "edge_key", "n", "mean_return", "std_return", "t_statistic", "p_value", "win_rate", "sharpe_ratio", "is_significant")
+_NONE = "CAST(NULL AS DOUBLE)"
+CONTRAST_RESULT = ["symbol", "edge_key", "n", "mean_in AS mean_return", f"{_NONE} AS std_return", "t_statistic", "p_value", f"{_NONE} AS win_rate", "0e0 AS sharpe_ratio", f"coalesce(p_value < {ALPHA}, false) AS is_significant"]
+EXTRA = {
+    "tim_06": ["symbol", "'weekend_gap' AS edge_key", "n", "fill_rate AS mean_return", f"{_NONE} AS std_return", "chi_squared AS t_statistic", "p_value", "fill_rate AS win_rate", "0e0 AS sharpe_ratio", f"coalesce(p_value < {ALPHA}, false) AS is_significant"],
+    "tre_03": ["symbol", "'hurst' AS edge_key", "n", f"{rounded('(hurst - 0.5e0)')} AS mean_return", "std_err AS std_return", f"{rounded('((hurst - 0.5e0) / nullif(std_err, 0))', 3)} AS t_statistic", "p_value", "0e0 AS win_rate", "0e0 AS sharpe_ratio", "abs(hurst - 0.5e0) > 0.05 AS is_significant"],
+    "tre_07": ["symbol", "'runs_test' AS edge_key", "n", "0e0 AS mean_return", f"{_NONE} AS std_return", "z AS t_statistic", "p_value", "0e0 AS win_rate", "0e0 AS sharpe_ratio", f"coalesce(p_value < {ALPHA}, false) AS is_significant"],
+    "vle_01": ["symbol", "'volatility_clustering' AS edge_key", "n", "avg_autocorrelation AS mean_return", "std_autocorrelation AS std_return", f"{rounded('(avg_autocorrelation / nullif(std_autocorrelation, 0))', 4)} AS t_statistic", "p_value", "0e0 AS win_rate", "0e0 AS sharpe_ratio", "is_significant"],
+    "str_e2": list(RESULT),
+}
+
+
+def merged(parts: list[tuple[list[dict], list]]) -> tuple[list[dict], list]:
+    """Several catalogue entries as one plan: equal expressions are computed once, and names that clash are told apart."""
+    known: dict[str, tuple[str, int]] = {}
+    levels: list[dict] = []
+    depth: dict[str, int] = {}
+    edges = []
+    for k, (own, tests) in enumerate(parts):
+        names: dict[str, str] = {}
+        put = lambda text, names=names: re.sub(r"\b[a-z_]\w*\b", lambda m: names.get(m[0], m[0]), text)
+        for level in own:
+            fresh = {}
+            for name, spec in level.items():
+                spec = put(spec) if isinstance(spec, str) else replace(spec, source=names.get(spec.source, spec.source))
+                if repr(spec) not in known:
+                    used = re.findall(r"\b[a-z_]\w*\b", spec) if isinstance(spec, str) else [spec.source]
+                    at = 1 + max((depth[u] for u in used if u in depth), default=-1)
+                    while len(levels) <= at:
+                        levels.append({})
+                    known[repr(spec)] = (f"{name}__{k}", at)
+                    levels[at][f"{name}__{k}"] = spec
+                    depth[f"{name}__{k}"] = at
+                fresh[name] = known[repr(spec)][0]
+            names.update(fresh)
+        for test in tests:
+            if isinstance(test, Signed):
+                edges.append(replace(test, up=put(test.up), down=put(test.down), value=put(test.returns())))
+            else:
+                edges.append(replace(test, value=put(test.value), condition=put(test.condition)))
+    return levels, edges
+
+
+def catalogue(family: str) -> tuple[list, list, list[str]]:
+    """Signed entries, contrasts, and statements of a family."""
+    members = FAMILIES[family]
+    signed = [(CALENDAR, HOURS) if m == "hours" else (SIGNED[m][0], [e for e in SIGNED[m][1] if e.key not in ALONE]) for m in members if m == "hours" or m in SIGNED]
+    return signed, [CONTRASTS[m] for m in members if m in CONTRASTS], [m for m in members if m in EXTRA]
+
+
 __all__ = ["CONTRASTS", "SIGNED", "RUNS", "TP", "last_n"]

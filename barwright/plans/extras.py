@@ -89,63 +89,42 @@ def ml_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.anomalies(bars.bars_h1(spark, sf_dir))
 
 
-_ALL = ORACLES["mrv_08"]
+#: All families of the hourly bars: what the reports read.
+_ALL = ORACLES["eng_03"]
 
 
 @query("eng_01", f"SELECT * FROM ({_ALL}) WHERE n >= 100 AND p_value <= 0.05 AND win_rate >= 0.45")
 def eng_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.significant(QUERIES["mrv_08"](spark, sf_dir))
+    return report.significant(QUERIES["eng_03"](spark, sf_dir))
 
 
 @query("eng_02", f"SELECT * FROM ({_ALL}) ORDER BY sharpe_ratio DESC, symbol, edge_key LIMIT 10")
 def eng_02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.top_edges(QUERIES["mrv_08"](spark, sf_dir))
+    return report.top_edges(QUERIES["eng_03"](spark, sf_dir))
 
 
 @query("rpt_08", f"SELECT split_part(edge_key, '_', 1) AS family, count(*) AS total, sum(is_significant::INT)::BIGINT AS significant FROM ({_ALL}) GROUP BY ALL")
 def rpt_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary(QUERIES["mrv_08"](spark, sf_dir))
+    return report.summary(QUERIES["eng_03"](spark, sf_dir))
 
 
 @query("rpt_05", f"SELECT * FROM ({_ALL}) WHERE is_significant ORDER BY sharpe_ratio DESC, symbol, edge_key LIMIT 15")
 def rpt_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.top_edges(QUERIES["mrv_08"](spark, sf_dir).filter("is_significant"), 15)
+    return report.top_edges(QUERIES["eng_03"](spark, sf_dir).filter("is_significant"), 15)
 
 
 @query("snk_01")
 def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.as_json(QUERIES["mrv_08"](spark, sf_dir))
+    return report.as_json(QUERIES["eng_03"](spark, sf_dir))
 
 
-def union_of(names: tuple[str, ...]):
-    """Query and SQL of several queries with the same columns."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = None
-        for name in names:
-            one = QUERIES[name](spark, sf_dir)
-            out = one if out is None else out.unionByName(one)
-        return out
-
-    return run, " UNION ALL ".join(f"SELECT * FROM ({ORACLES[k]})" for k in names)
-
-
-for _name, _parts in {"tim_08": ("tim_01", "tim_02", "tim_03", "tim_04", "tim_05", "tim_07"), "vle_07": ("vle_05", "vle_06")}.items():
-    _run, _sql = union_of(_parts)
-    query(_name, _sql)(_run)
-
-
-@query("eng_04", f"SELECT e.symbol, count(*) AS validated, max(b.bootstrap_mean) AS bootstrap_mean, max(b.ci_lo) AS ci_lo, max(b.ci_hi) AS ci_hi FROM ({ORACLES['mrv_08']}) e JOIN ({ORACLES['boo_01']}) b ON e.symbol = b.symbol WHERE e.is_significant GROUP BY e.symbol")
+@query("eng_04", f"SELECT e.symbol, count(*) AS validated, max(b.bootstrap_mean) AS bootstrap_mean, max(b.ci_lo) AS ci_lo, max(b.ci_hi) AS ci_hi FROM ({ORACLES['eng_03']}) e JOIN ({ORACLES['boo_01']}) b ON e.symbol = b.symbol WHERE e.is_significant GROUP BY e.symbol")
 def eng_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Significant edges of each symbol beside the bootstrap of its returns."""
-    found = QUERIES["mrv_08"](spark, sf_dir).filter("is_significant").groupBy("symbol").agg(F.count("*").alias("validated"))
+    found = QUERIES["eng_03"](spark, sf_dir).filter("is_significant").groupBy("symbol").agg(F.count("*").alias("validated"))
     return found.join(QUERIES["boo_01"](spark, sf_dir), "symbol").select("symbol", "validated", "bootstrap_mean", "ci_lo", "ci_hi")
 
 
-_run, _sql = union_of(("tim_01", "tim_03", "tre_08", "mrv_08", "vle_05", "vle_06", "str_e7"))
-query("eng_03", _sql)(_run)
-
-
 @query("src_11", "SELECT o_orderkey AS ticket, (epoch(o_orderdate) / 3600)::BIGINT AS t, o_orderpriority AS symbol, o_orderstatus AS type, o_totalprice AS price FROM orders")
 def src_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order log: a projection of the order table."""
