@@ -21,7 +21,9 @@ from barwright.llm.common import Interner, hash_words, stash
 
 STATES, CLASSES, ROUNDS = 6, 4096, 8
 #: Tokens of a span, and of the spans that are worked off at once.
-SPAN, BATCH = 512, 1 << 20
+SPAN, BATCH = 1024, 1 << 20
+#: Steps between rescalings: so many emissions in a row stay far from the smallest doubles.
+RESCALE = 8
 BLOCK_BYTES = 8 << 20
 #: What the end of a text is called, and its class after the hashed ones.
 END_HASH = np.uint64(0xE7037ED1A0B428DB)
@@ -107,6 +109,14 @@ def vector_sum(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _by_step(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Sequences, longest first; how many there are at each step; and the place of every token, step by step."""
+    order = np.argsort(-sizes, kind="stable")
+    at, length = starts[order], sizes[order]
+    alive = (len(order) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), side="right")).tolist()
+    return order, alive, np.concatenate([at[:n] + t for t, n in enumerate(alive)]) if alive else np.zeros(0, np.int64)
+
+
 @dataclass
 class Model:
     """Start, moves and class emissions of the states (log is not taken); discount and class totals of the words; mass of unseen words."""
@@ -122,21 +132,21 @@ class Model:
 
     def forward(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each sequence of classes, ``CLASSES + 1`` being the unseen symbol: scaled forward recursion, all sequences together."""
-        ends = np.cumsum(sizes)
-        order = np.argsort(-sizes, kind="stable")
-        first, length = (ends - sizes)[order], sizes[order]
-        out = np.zeros(len(sizes))
+        order, alive, where = _by_step(np.cumsum(sizes) - sizes, sizes)
+        begin = np.cumsum([0, *alive])
+        out, result = np.zeros(len(sizes)), np.empty(len(sizes))
         emit = np.vstack([self.emit.T, np.full((1, len(self.start)), self.unseen)])
-        alpha = self.start[None, :] * emit[symbols[first]]
-        alive = len(order)
-        for t in range(int(length[0]) if len(length) else 0):
-            if t:
-                alive = int(np.searchsorted(-length, -t, side="left"))
-                alpha = (alpha[:alive] @ self.move) * emit[symbols[first[:alive] + t]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            out[:alive] += np.log(scale)
-        result = np.empty_like(out)
+        for t, n in enumerate(alive):
+            if t % SPAN == 0:
+                chance, base = emit[symbols[where[begin[t] : begin[min(t + SPAN, len(alive))]]]], begin[t]
+            own = chance[begin[t] - base : begin[t + 1] - base]
+            alpha = self.start[None, :] * own if t == 0 else alpha[:n] @ self.move * own  # noqa: F821
+            left = alive[t + 1] if t + 1 < len(alive) else 0
+            if t % RESCALE == 0 or left < n:
+                rows = slice(0 if t % RESCALE == 0 else left, n)
+                scale = alpha[rows].sum(1)
+                alpha[rows] /= scale[:, None]
+                out[rows] += np.log(scale)
         result[order] = out
         return result
 
@@ -151,14 +161,20 @@ class Model:
         heads, later = np.flatnonzero(first), np.flatnonzero(~first)
         a = self.start * emit[symbols[starts[heads]]]
         for t in range(1, SPAN):
-            a = (a / a.sum(1, keepdims=True)) @ self.move * emit[symbols[starts[heads] + t]]
+            a = a @ self.move * emit[symbols[starts[heads] + t]]
+            if t % RESCALE == 0:
+                a /= a.sum(1, keepdims=True)
         state[heads] = a / a.sum(1, keepdims=True)
-        through = np.broadcast_to(np.eye(k), (n, k, k)).copy()
-        order = later[np.argsort(-sizes[later], kind="stable")]
-        for t in range(int(sizes[later].max())):
-            alive = order[: int(np.searchsorted(-sizes[order], -t, side="left"))] if t else order
-            step = (through[alive].reshape(-1, k) @ self.move).reshape(-1, k, k) * emit[symbols[starts[alive] + t]][:, None, :]
-            through[alive] = step / step.sum((1, 2), keepdims=True)
+        through = np.zeros((n, k, k))
+        order, alive, where = _by_step(starts[later], sizes[later])
+        steps, at = np.broadcast_to(np.eye(k), (len(later), k, k)).copy(), 0
+        for t, m in enumerate(alive):
+            step = (steps[:m].reshape(-1, k) @ self.move).reshape(-1, k, k) * emit[symbols[where[at : at + m]]][:, None, :]
+            at += m
+            if t % RESCALE == 0 or t == len(alive) - 1 or alive[t + 1] < m:
+                step /= step.sum((1, 2), keepdims=True)
+            steps[:m] = step
+        through[later[order]] = steps
         incoming, outgoing = np.zeros((n, k)), np.ones((n, k))
         place = np.arange(n) - heads[np.cumsum(first) - 1]
         for j in range(1, int(place.max()) + 1):
@@ -195,37 +211,41 @@ class Model:
         return total
 
     def _spans(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, incoming: np.ndarray, outgoing: np.ndarray, emit: np.ndarray) -> np.ndarray:
-        """Expected counts of spans, given what reaches them from both sides."""
+        """Expected counts of spans, given what reaches them from both sides. Shares are rescaled every few steps, which cancels in the counts."""
         k = len(self.start)
-        order = np.argsort(-sizes, kind="stable")
-        at, length, opens, before = starts[order], sizes[order], first[order], incoming[order]
-        alive = [int(np.searchsorted(-length, -t, side="left")) if t else len(order) for t in range(int(length[0]))]
-        prior = np.where(opens[:, None], self.start[None, :], before @ self.move)
-        alphas, scales, seen = [], [], []
+        order, alive, where = _by_step(starts, sizes)
+        opens, before = first[order], incoming[order]
+        symbols = symbols[where]
+        chance, begin = emit[symbols], np.cumsum([0, *alive])
+        alphas, scales = np.empty_like(chance), {}
+        a = np.where(opens[:, None], self.start[None, :], before @ self.move) * chance[: alive[0]]
         for t, n in enumerate(alive):
-            seen.append(symbols[at[:n] + t])
-            a = (prior if t == 0 else alphas[-1][:n] @ self.move) * emit[seen[-1]]
-            s = a.sum(1, keepdims=True)
-            alphas.append(a / s)
-            scales.append(s)
-        moves, gammas = np.zeros((k, k)), []
-        beta = np.zeros((0, k))
+            if t:
+                a = a[:n] @ self.move
+                a *= chance[begin[t] : begin[t + 1]]
+            if t % RESCALE == 0:
+                scales[t] = a.sum(1, keepdims=True)
+                a /= scales[t]
+            alphas[begin[t] : begin[t + 1]] = a
+        moves, back = np.zeros((k, k)), np.ascontiguousarray(self.move.T)
+        ahead = np.zeros((0, k))
         for t in range(len(alive) - 1, -1, -1):
-            n, m = alive[t], len(beta)
-            now = outgoing[order[:n]]
-            if m:
-                now[:m] = ahead @ self.move.T  # noqa: F821
-            # Spans that end here take what comes after them, scaled so that their shares sum to one.
-            now[m:] /= (alphas[t][m:] * now[m:]).sum(1, keepdims=True)
-            beta = now
-            gammas.append(alphas[t] * beta)
-            ahead = emit[seen[t]] * beta / scales[t]
+            n, m, own = alive[t], len(ahead), slice(begin[t], begin[t + 1])
+            beta = np.empty((n, k))
+            beta[:m] = ahead @ back
+            if n > m:
+                # Spans that end here take what comes after them, scaled so that their shares sum to one.
+                beta[m:] = outgoing[order[m:n]]
+                beta[m:] /= (alphas[own][m:] * beta[m:]).sum(1, keepdims=True)
+            ahead = chance[own] * beta
+            if t in scales:
+                ahead /= scales[t]
             if t:
-                moves += alphas[t - 1][:n].T @ ahead
-        moves += (before[~opens]).T @ ahead[~opens]
-        every, where = np.concatenate(gammas), np.concatenate(seen[::-1])
-        counts = np.stack([np.bincount(where, every[:, z], CLASSES + 1) for z in range(k)])
-        return np.concatenate([gammas[-1][opens].sum(0), (moves * self.move).ravel(), counts.ravel()])
+                moves += alphas[begin[t - 1] : begin[t - 1] + n].T @ ahead
+            alphas[own] *= beta  # now the shares given the whole text
+        moves += before[~opens].T @ ahead[~opens]
+        counts = np.stack([np.bincount(symbols, alphas[:, z], CLASSES + 1) for z in range(k)])
+        return np.concatenate([alphas[: alive[0]][opens].sum(0), (moves * self.move).ravel(), counts.ravel()])
 
     def improved(self, total: np.ndarray) -> Model:
         """The model of expected counts, smoothed towards even moves and the classes' shares."""
