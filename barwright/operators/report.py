@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,22 @@ def top_edges(edges: DataFrame, k: int = 10) -> DataFrame:
     return edges.orderBy(F.desc("sharpe_ratio"), "symbol", "edge_key").limit(k)
 
 
+def matrix(edges: DataFrame) -> DataFrame:
+    """One row for each symbol and timeframe: tests, significant ones, and the best significant test by Sharpe ratio. ``edges``: results with symbol and timeframe."""
+    best = F.max_by(F.struct("edge_key", "sharpe_ratio", "win_rate", "p_value", "n"), F.when(F.col("is_significant"), F.struct("sharpe_ratio", "edge_key")))
+    out = edges.groupBy("symbol", "timeframe").agg(F.count("*").alias("total_edges"), F.sum(F.col("is_significant").cast("long")).alias("significant_edges"), best.alias("best"))
+    found = F.col("significant_edges") > 0
+    return out.select(
+        "symbol", "timeframe", "total_edges", "significant_edges", F.when(found, F.col("best.edge_key")).otherwise("None").alias("top_edge"), F.when(found, F.split("best.edge_key", "_")[0]).otherwise("-").alias("top_edge_type"),
+        *(F.when(found, F.col(f"best.{c}")).otherwise(F.lit(d)).alias(c) for c, d in (("sharpe_ratio", 0.0), ("win_rate", 0.0), ("p_value", 1.0))), F.when(found, F.col("best.n")).otherwise(0).cast("long").alias("sample_size"),
+    )
+
+
+def pivot(rows: DataFrame, timeframes: list[str]) -> DataFrame:
+    """Significant tests by symbol and timeframe, a column for each timeframe."""
+    return rows.groupBy("symbol").pivot("timeframe", timeframes).agg(F.first("significant_edges"))
+
+
 def as_json(edges: DataFrame) -> DataFrame:
     return edges.select("symbol", "edge_key", F.to_json(F.struct(*[c for c in edges.columns if c not in ("symbol", "edge_key")])).alias("payload"))
 
@@ -31,12 +46,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).mode("overwrite").csv(path)
 
 
-def write_json(edges: DataFrame, path: str, k: int = 10) -> None:
-    """One JSON document: counts by family, the top ``k``, all results."""
-    rows = [r.asDict() for r in edges.collect()]
-    body = {"families": [r.asDict() for r in summary(edges).collect()], "top": [r.asDict() for r in top_edges(edges, k).collect()], "results": rows}
-    with open(path, "w") as f:
-        json.dump(body, f, default=str)
+def nested(edges: DataFrame, k: int = 10) -> DataFrame:
+    """The whole report as one row: counts, counts by family, the top ``k``. Results stay a table of their own, which grows with the series (:func:`write_report`)."""
+    totals = edges.agg(F.count("*").alias("total_edges"), F.sum(F.col("is_significant").cast("long")).alias("significant_edges"))
+    families = summary(edges).agg(F.sort_array(F.collect_list(F.struct("family", "total", "significant"))).alias("families"))
+    fields = [c for c in ("sharpe_ratio", "symbol", "edge_key", "n", "win_rate", "p_value", "is_significant") if c in edges.columns]
+    best = top_edges(edges, k).agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("top"))
+    return totals.join(families).join(best)
+
+
+def write_report(edges: DataFrame, path: str, k: int = 10) -> None:
+    """The nested report under ``path/report``, one line of JSON, and every result under ``path/results``, written by the executors."""
+    nested(edges, k).coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    edges.write.mode("overwrite").json(f"{path}/results")
 
 
 def to_html(edges: DataFrame, title: str = "Edge report", k: int = 20) -> str:

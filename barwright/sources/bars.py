@@ -51,9 +51,10 @@ min(o_totalprice / 1000) AS low, arg_max(o_totalprice / 1000, o_orderkey) AS clo
 
 def read_csv(spark: SparkSession, folder: str, symbols: list[str] | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars of ``<SYMBOL>_<TF>.csv`` files, from ``start`` to ``end`` inclusive; no rows if nothing matches."""
-    df = spark.read.schema(SCHEMA).option("header", True).option("pathGlobFilter", "*_*.csv").csv(folder)
-    name = F.split(F.element_at(F.split(F.input_file_name(), "/"), -1), r"[_.]")
-    df = df.withColumns({"symbol": F.get(name, F.lit(0)), "timeframe": F.get(name, F.lit(1))})
+    df = spark.read.schema(SCHEMA).option("header", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(folder)
+    # The name is the file's, or that of the folder of files which :func:`write_csv` leaves.
+    found = lambda k: F.regexp_extract(F.input_file_name(), r"(?:/|file=)([^/_=]+)_([^/_.=]+)(?:\.csv$|/part-[^/]*$)", k)
+    df = df.withColumns({"symbol": found(1), "timeframe": found(2)}).drop("file")
     if symbols:
         df = df.filter(F.col("symbol").isin(symbols))
     if timeframe:
@@ -65,6 +66,84 @@ def read_csv(spark: SparkSession, folder: str, symbols: list[str] | None = None,
     return df
 
 
+def to_series(bars: DataFrame) -> DataFrame:
+    """Series for the operators from bars (symbol, timeframe, time, prices, tick_volume or real_volume, as :func:`read_csv`, :func:`simulate` and :class:`Resolver` give them).
+
+    A series is one symbol at one timeframe, named ``SYMBOL|TF``, so that windows never mix timeframes. ``t`` is hours since 1970, with a fraction where bars are shorter. Ticks
+    count as volume, real volume stands in where there is no tick volume, and 1 where there is neither.
+    """
+    there = [F.col(c).cast("double") for c in ("tick_volume", "real_volume") if c in bars.columns]
+    hours = F.unix_micros("time") / 3_600_000_000
+    name = F.concat_ws("|", "symbol", "timeframe") if "timeframe" in bars.columns else F.col("symbol")
+    return bars.select(name.alias("symbol"), hours.alias("t"), *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")), F.coalesce(*there, F.lit(1.0)).alias("volume"))
+
+
+def by_series(results: DataFrame) -> DataFrame:
+    """Results of :func:`to_series` series with symbol and timeframe apart again."""
+    parts = F.split("symbol", r"\|")
+    return results.withColumns({"symbol": parts[0], "timeframe": F.get(parts, F.lit(1))})
+
+
+def resample(bars: DataFrame, hours: int) -> DataFrame:
+    """Bars of ``hours`` hours from series of shorter ones; days begin at midnight."""
+    bucket = F.expr(f"CAST(floor(t / {hours}) AS BIGINT) * {hours}")
+    return bars.groupBy("symbol", bucket.alias("t")).agg(F.min_by("open", "t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "t").alias("close"), F.sum("volume").alias("volume"))
+
+
+#: Hours of the timeframes that an analysis of several is made of.
+MULTI = {"H1": 1, "H4": 4, "D1": 24}
+
+
+def multi_timeframe(bars: DataFrame, timeframes: dict[str, int] = MULTI) -> DataFrame:
+    """Hourly series at several timeframes, each a series of its own."""
+    out = None
+    for name, hours in timeframes.items():
+        one = (bars if hours == 1 else resample(bars, hours)).withColumn("symbol", F.concat("symbol", F.lit(f"|{name}")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def multi_timeframe_sql(base: str, timeframes: dict[str, int] = MULTI) -> str:
+    each = "SELECT concat(symbol, '|{n}') AS symbol, (floor(t / {h}) * {h})::BIGINT AS t, arg_min(open, t) AS open, max(high) AS high, min(low) AS low, arg_max(close, t) AS close, sum(volume) AS volume FROM ({base}) GROUP BY symbol, (floor(t / {h}) * {h})::BIGINT"
+    return " UNION ALL ".join(each.format(n=n, h=h, base=base) for n, h in timeframes.items())
+
+
+def write_csv(bars: DataFrame, folder: str) -> None:
+    """Bars as a folder of CSV files for each symbol and timeframe, named like :func:`read_csv` expects them."""
+    columns = ["time", "open", "high", "low", "close", "tick_volume", "real_volume", "spread"]
+    name = F.concat_ws("_", "symbol", "timeframe")
+    stamped = bars.withColumn("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"))
+    stamped.select(name.alias("file"), *columns).write.partitionBy("file").option("header", True).csv(folder)
+
+
+class Source:
+    """Where bars come from: ``load`` gives those of some symbols at a timeframe, ``symbols`` names what there is, ``available`` tells whether it can be asked."""
+
+    def load(self, symbols: list[str], timeframe: str = "H1", start: str | None = None, end: str | None = None) -> DataFrame:
+        raise NotImplementedError
+
+    def symbols(self) -> DataFrame:
+        raise NotImplementedError
+
+    def available(self) -> bool:
+        return True
+
+
+class Table(Source):
+    """A table with symbol, timeframe and time; filters reach its files."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def load(self, symbols: list[str], timeframe: str = "H1", start: str | None = None, end: str | None = None) -> DataFrame:
+        out = self.table.filter(F.col("symbol").isin(symbols) & (F.col("timeframe") == timeframe))
+        out = out.filter(F.col("time") >= F.lit(start).cast("timestamp")) if start else out
+        return out.filter(F.col("time") <= F.lit(end).cast("timestamp")) if end else out
+
+    def symbols(self) -> DataFrame:
+        return self.table.select("symbol").distinct()
+
+
 def csv_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, folder).select("symbol").distinct()
 

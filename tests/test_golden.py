@@ -9,6 +9,7 @@ import pytest
 from barwright.functions import dist
 from barwright.operators import edges
 from barwright.operators.features import PLANS
+from barwright.plans.edges import detect
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +49,19 @@ def test_published_edges(golden, name):
         assert r.n == n and abs(r.win_rate - win) < 2e-6 and abs(r.sharpe_ratio - sharpe) < 2e-5
 
 
+def test_published_report(spark, golden):
+    """How many tests of each kind the report of this series counts, and how many of all are significant (one more of each kind of pair is left out here)."""
+    found = {r.edge_key: r for r in detect(golden).collect()}
+    kinds = {"hour": 24, "day": 5, "session": 5, "month": 12, "ma_crossover": 3, "momentum": 3, "hurst": 1, "donchian": 3, "bollinger_breakout": 1, "adx": 2, "runs_test": 1, "zscore": 10, "vwap": 1, "rsi": 3, "stochastic": 1, "bollinger_reversion": 1, "consecutive": 3,
+             "volatility_clustering": 1, "contraction": 3, "bollinger_squeeze": 1, "nr": 2, "atr_breakout": 3, "regime": 3, "round_number": 3, "prev": 3, "swing": 3, "breakout_retest": 1, "failed_breakout": 1, "hh_hl_trend": 1}
+    got = {k: sum(key.startswith(k) for key in found) for k in kinds}
+    assert got == kinds
+    hurst, level = found["hurst"], found["prev_close"]
+    assert hurst.n == 9599 and abs(hurst.p_value - 0.258940) < 2e-5
+    assert level.n == 1952 and abs(level.win_rate - 0.532787) < 2e-6 and abs(level.sharpe_ratio - 0.333529) < 2e-5 and abs(level.p_value - 0.0230495) < 2e-5
+    assert abs(found["bollinger_reversion"].p_value - 0.00503541) < 2e-5 and abs(found["atr_breakout_10"].p_value - 0.0352077) < 2e-5 and abs(found["breakout_retest"].p_value - 0.00714424) < 2e-5
+
+
 def test_hour_12(golden):
     hours = [edges.Signed("hour_12", "hour = 12", "false", 1, "r1", 24 * 252)]
     row = edges.signed_spark(edges.CALENDAR, hours, golden).first()

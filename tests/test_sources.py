@@ -23,12 +23,32 @@ def test_simulation_is_sound_and_repeats(spark):
 
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", "x_1", 200, 0.01, 0.6, 1.5, True), ("a", "y_1", 20, 0.5, 0.4, -1.0, False)], "symbol string, edge_key string, n long, p_value double, win_rate double, sharpe_ratio double, is_significant boolean")
-    report.write_json(df, str(tmp_path / "r.json"))
-    body = json.loads((tmp_path / "r.json").read_text())
-    assert len(body["results"]) == 2 and body["top"][0]["edge_key"] == "x_1"
+    report.write_report(df, str(tmp_path / "r"))
+    body = json.loads(next((tmp_path / "r" / "report").glob("part*")).read_text())
+    assert body["total_edges"] == 2 and body["top"][0]["edge_key"] == "x_1" and body["families"] == [{"family": "x", "total": 1, "significant": 1}, {"family": "y", "total": 1, "significant": 0}]
+    assert spark.read.json(str(tmp_path / "r" / "results")).count() == 2
     assert "x_1" in report.to_html(df) and report.significant(df).count() == 1
 
 
 def test_config():
     c = Config.from_dict({"edges": {"lookahead": 5}})
     assert c.edges.lookahead == 5 and Config.from_dict(c.to_dict()) == c
+
+
+def test_from_csv_to_edges(spark, tmp_path):
+    """Two timeframes of one symbol and another symbol, from files to tests, are told apart."""
+    from barwright.plans.edges import detect
+
+    bars.simulate(spark, ["EURUSD", "USDJPY"], "H1", "2022-01-03", "2022-02-28").drop("timeframe").toPandas().groupby("symbol").apply(lambda g: g.assign(time=g.time.dt.strftime("%Y-%m-%dT%H:%M:%S")).drop(columns="symbol", errors="ignore").to_csv(tmp_path / f"{g.name}_H1.csv", index=False), include_groups=False)
+    bars.simulate(spark, ["EURUSD"], "M15", "2022-01-03", "2022-01-20").drop("timeframe", "symbol").toPandas().assign(time=lambda g: g.time.dt.strftime("%Y-%m-%dT%H:%M:%S")).to_csv(tmp_path / "EURUSD_M15.csv", index=False)
+    series = bars.to_series(bars.read_csv(spark, str(tmp_path))).cache()
+    assert {r.symbol for r in series.select("symbol").distinct().collect()} == {"EURUSD|H1", "EURUSD|M15", "USDJPY|H1"}
+    found = bars.by_series(detect(series))
+    both = {(r.symbol, r.timeframe, r.edge_key): r for r in found.collect()}
+    alone = {r.edge_key: r for r in detect(series.filter("symbol = 'EURUSD|M15'")).collect()}
+    assert len({k[:2] for k in both}) == 3 and len(alone) > 40
+    for key, r in alone.items():
+        other = both["EURUSD", "M15", key]
+        assert other.n == r.n and abs(other.mean_return - r.mean_return) < 2e-6
+    rows = report.matrix(found).collect()
+    assert {(r.symbol, r.timeframe) for r in rows} == {("EURUSD", "H1"), ("EURUSD", "M15"), ("USDJPY", "H1")} and all(r.total_edges > 40 for r in rows)
