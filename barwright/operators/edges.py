@@ -188,11 +188,6 @@ CONTRASTS["vle_02"] = (
 )
 CONTRASTS["vle_03"] = ([*SQUEEZE, ahead(20)], [Contrast("bollinger_squeeze", "range20", "vol_squeeze = 1")])
 CONTRASTS["vle_04"] = ([{"rng": "high - low"}, {"m4": roll("min", "rng", 4), "m7": roll("min", "rng", 7)} | ahead(10)], [Contrast("nr4", "range10", "rng = m4"), Contrast("nr7", "range10", "rng = m7")])
-CONTRASTS["ml_08"] = (
-    [{"r": f"{div('close', lag('close'))} - 1"} | forward(10), {"m": f"avg(r) OVER (PARTITION BY symbol)", "s": "stddev_samp(r) OVER (PARTITION BY symbol)"}],
-    [Contrast("anomaly_abs_return", "abs(f10)", "abs(r - m) > 1 * s")],
-)
-
 #: Hour of the day, for series whose bars are not longer than an hour.
 HOURS = [Signed(f"hour_{h:02d}", f"hour = {h}", "false", 1, "r1", 24 * 252) for h in range(24)]
 

@@ -12,36 +12,68 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.functions.dist import binomial_sf
+from barwright.functions.dist import binomial_sf, t_p
 from barwright.functions.dsl import Plan, div, lag, lead, roll
-
-FEATURES = ["r1", "vol", "rng", "volume"]
-
-
-def frame(bars: DataFrame) -> DataFrame:
-    """Features that look back only, the forward return, and each bar's place in its series from 0 to 1."""
-    levels = [{"r1": f"{div('close', lag('close'))} - 1", "rng": "high - low", "f10": f"{div(lead('close', 10), 'close')} - 1", "place": "percent_rank() OVER (PARTITION BY symbol ORDER BY t)"}, {"vol": roll("stddev_samp", "r1", 20)}]
-    return Plan(levels).spark(bars).dropna(subset=[*FEATURES, "f10"])
-
-
-def direction(bars: DataFrame, model: str = "forest", test_share: float = 0.3) -> DataFrame:
-    """Accuracy on the last ``test_share`` of each series, its chance under guessing, and the strategy's mean return."""
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame(bars).withColumn("label", (F.col("f10") > 0).cast("double")))
-    learner = RandomForestClassifier(numTrees=100, maxDepth=5, seed=42) if model == "forest" else GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, seed=42)
+from barwright.operators.edges import Contrast, merged
+from barwright.operators.features import PLANS
+from barwright.sources.bars import shared
+
+#: Plans whose columns are a model's features: they look back only.
+PLANS_OF_FRAME = ("mom_02", "mom_03", "mom_04", "mom_05", "mom_06", "mom_07", "mom_08", "mom_09", "trd_03", "trd_05", "trd_08", "vol_02", "vol_03", "vol_06", "vol_07", "vol_08", "vol_10", "vlm_02", "vlm_06", "cnd_01")
+#: What regimes and anomalies are told by.
+REGIME, ANOMALY = ("vol_std_20", "adx", "return_20"), ("return_1", "vol_std_20", "rng", "volume")
+_OWN = [{"return_1": f"{div('close', lag('close'))} - 1", "return_20": f"{div('close', lag('close', 20))} - 1", "rng": "high - low"}, {"vol_std_20": roll("stddev_samp", "return_1", 20)}]
+LEAST = 200
+
+
+def frame(bars: DataFrame, ahead: int = 10, columns: tuple[str, ...] | None = None) -> tuple[DataFrame, list[str]]:
+    """Features of every bar in one plan, the forward return ``f``, and the bar's ``place`` in its series from 0 to 1; and the names of the features. Rows without all of them are left out."""
+    plans = [(PLANS[name].levels, [Contrast(c, c, "true") for c, digits in PLANS[name].out.items() if digits is not None]) for name in PLANS_OF_FRAME if columns is None or set(columns) & set(PLANS[name].out)]
+    own = [Contrast(c, c, "true") for c in ("return_1", "return_20", "rng", "vol_std_20")]
+    extra = [{"f": f"{div(lead('close', ahead), 'close')} - 1", "place": "percent_rank() OVER (PARTITION BY symbol ORDER BY t)"}]
+    levels, wanted = merged([*plans, (_OWN, own), (extra, [Contrast("f", "f", "true"), Contrast("place", "place", "true")])])
+    names = {test.key: test.value for test in wanted} | {"volume": "volume"}
+    features = [c for c in (columns or names) if c not in ("f", "place")]
+    df = Plan(levels).spark(bars).selectExpr("symbol", "t", *(f"CAST(`{names[c]}` AS DOUBLE) AS `{c}`" for c in [*features, "f", "place"]))
+    return df.dropna(subset=[*features, "f"]), features
+
+
+def _row(spark, name: str, values: dict) -> DataFrame:
+    return spark.createDataFrame([(name, *values.values())], "edge_key string, n long, mean_return double, std_return double, t_statistic double, p_value double, win_rate double, sharpe_ratio double, is_significant boolean")
+
+
+def direction(bars: DataFrame, model: str = "forest", test_share: float = 0.3, ahead: int = 10) -> DataFrame:
+    """Accuracy on the last ``test_share`` of each series, its chance under guessing, and the returns of following the prediction; no row under 200 bars."""
+    spark = bars.sparkSession
+    data, features = frame(bars, ahead)
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(data.withColumn("label", (F.col("f") > 0).cast("double"))).select("features", "label", "f", "place").cache()
+    if data.count() < LEAST:
+        return _row(spark, "", dict.fromkeys("abcdefgh")).limit(0)
+    learner = RandomForestClassifier(numTrees=100, maxDepth=5, seed=42) if model == "forest" else GBTClassifier(maxIter=50, maxDepth=3, stepSize=0.1, seed=42)
     fitted = learner.fit(data.filter(F.col("place") < 1 - test_share))
     tested = fitted.transform(data.filter(F.col("place") >= 1 - test_share))
-    hit = (F.col("prediction") == F.col("label")).cast("int")
-    row = tested.agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.avg(F.when(F.col("prediction") > 0, F.col("f10")).otherwise(-F.col("f10"))).alias("m")).first()
-    p = binomial_sf(int(row["hits"] or 0), int(row["n"]), 0.5) if row["n"] else 1.0
-    return bars.sparkSession.createDataFrame([(model, row["n"], (row["hits"] or 0) / max(row["n"], 1), p, row["m"])], "model string, n long, accuracy double, p_value double, mean_return double")
+    follow = F.when(F.col("prediction") > 0, F.col("f")).otherwise(-F.col("f"))
+    row = tested.agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("hits"), F.avg(follow).alias("m"), F.stddev_samp(follow).alias("s")).first()
+    data.unpersist()
+    share, p = row["hits"] / row["n"], binomial_sf(int(row["hits"]), int(row["n"]), 0.5)
+    sharpe = row["m"] / row["s"] * (252 / ahead) ** 0.5 if row["s"] else 0.0
+    return _row(spark, model, {"n": row["n"], "m": row["m"], "s": row["s"], "t": (share - 0.5) / (0.25 / row["n"]) ** 0.5, "p": p, "w": share, "sharpe": sharpe, "sig": bool(p < 0.05 and share > 0.52)})
 
 
 def regimes(bars: DataFrame, k: int = 3) -> DataFrame:
-    """Forward returns by cluster of volatility, range and return."""
-    data = VectorAssembler(inputCols=["vol", "rng", "r1"], outputCol="raw").transform(frame(bars))
+    """Every bar with its ``regime``: clusters of standardised volatility, trend strength and 20-bar return."""
+    data, names = frame(bars, columns=REGIME)
+    data = VectorAssembler(inputCols=names, outputCol="raw").transform(data)
     data = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data).transform(data)
-    out = KMeans(k=k, seed=42).fit(data).transform(data)
-    return out.groupBy(F.col("prediction").alias("regime")).agg(F.count("*").alias("n"), F.avg("f10").alias("mean_return"))
+    return KMeans(k=k, seed=42).fit(data).transform(data).select("symbol", "t", *names, "f", F.col("prediction").alias("regime"))
+
+
+def regime_edges(bars: DataFrame, k: int = 3, ahead: int = 10) -> DataFrame:
+    """One t-test of the forward returns for each regime with 30 bars or more."""
+    out = regimes(bars, k).groupBy("regime").agg(F.count("*").alias("n"), F.avg("f").alias("mean_return"), F.stddev_samp("f").alias("std_return"), F.avg((F.col("f") > 0).cast("double")).alias("win_rate")).filter("n >= 30")
+    out = out.withColumn("t_statistic", F.expr("mean_return / nullif(std_return / sqrt(n), 0)"))
+    out = out.withColumn("p_value", t_p(F.col("t_statistic"), F.col("n") - 1)).withColumn("sharpe_ratio", F.expr(f"coalesce(mean_return / nullif(std_return, 0) * sqrt(252 / {ahead}), 0D)"))
+    return out.select(F.concat(F.lit("regime_"), "regime").alias("edge_key"), "n", "mean_return", "std_return", "t_statistic", "p_value", "win_rate", "sharpe_ratio", (F.col("p_value") < 0.05).alias("is_significant"))
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
@@ -71,18 +103,32 @@ def _depth(x: np.ndarray, tree: tuple, at: int = 0) -> np.ndarray:
 
 
 def anomalies(bars: DataFrame, trees: int = 100, sample: int = 256, share: float = 0.05) -> DataFrame:
-    """Isolation forest: trees on ``sample`` rows each, all rows scored in Arrow batches, the highest ``share`` flagged."""
-    data = frame(bars).select("symbol", "t", *FEATURES, "f10")
-    rows = np.array([[r[c] for c in FEATURES] for r in data.orderBy(F.xxhash64("symbol", "t")).limit(sample * 8).collect()])
+    """Isolation forest: trees on ``sample`` rows each, out of at most ``8 * sample``; all rows scored in Arrow batches, the highest ``share`` flagged."""
+    data, names = frame(bars, columns=ANOMALY)
+    rows = np.array([[r[c] for c in names] for r in data.orderBy(F.xxhash64("symbol", "t")).limit(sample * 8).collect()])
     rng = np.random.default_rng(42)
     forest = [_tree(rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], rng, 8) for _ in range(trees)] if len(rows) else []
     norm = _expected(min(sample, len(rows))) or 1.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[FEATURES].to_numpy()
-            yield pdf.assign(score=2 ** (-np.mean([_depth(x, t) for t in forest], axis=0) / norm))
+            x = pdf[names].to_numpy()
+            yield pdf[["symbol", "t", "f"]].assign(score=2 ** (-np.mean([_depth(x, t) for t in forest], axis=0) / norm))
 
-    scored = data.mapInPandas(score, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema) + ", score double")
+    path = shared(bars.sparkSession, "anomaly-scores")
+    data.mapInPandas(score, "symbol string, t double, f double, score double").write.parquet(path)
+    scored = bars.sparkSession.read.parquet(path)
     cut = scored.agg(F.percentile("score", F.lit(1 - share)).alias("cut"))
-    return scored.join(F.broadcast(cut)).select("symbol", "t", "score", (F.col("score") > F.col("cut")).alias("is_anomaly"))
+    return scored.join(F.broadcast(cut)).select("symbol", F.col("t").cast("long").alias("t"), "f", "score", (F.col("score") > F.col("cut")).alias("is_anomaly"))
+
+
+def anomaly_edge(bars: DataFrame, ahead: int = 10) -> DataFrame:
+    """Sizes of forward returns after anomalies against those after other bars (pooled t-test), and the returns after anomalies; no row under 30 of them."""
+    x = anomalies(bars)
+    out = x.groupBy().agg(
+        F.count(F.when(F.col("is_anomaly"), 1)).alias("n"), F.avg(F.when(F.col("is_anomaly"), F.col("f"))).alias("mean_return"), F.stddev_samp(F.when(F.col("is_anomaly"), F.col("f"))).alias("std_return"),
+        F.avg(F.when(F.col("is_anomaly"), (F.col("f") > 0).cast("double"))).alias("win_rate"), *(f(F.when(F.col("is_anomaly") == hit, F.abs("f"))).alias(f"{name}_{int(hit)}") for hit in (True, False) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))),
+    ).filter("n >= 30")
+    out = out.withColumn("t_statistic", F.expr("(m_1 - m_0) / nullif(sqrt(((n_1 - 1) * v_1 + (n_0 - 1) * v_0) / (n_1 + n_0 - 2) * (1D / n_1 + 1D / n_0)), 0)"))
+    out = out.withColumn("p_value", t_p(F.col("t_statistic"), F.col("n_1") + F.col("n_0") - 2)).withColumn("sharpe_ratio", F.expr(f"coalesce(mean_return / nullif(std_return, 0) * sqrt(252 / {ahead}), 0D)"))
+    return out.select(F.lit("anomaly").alias("edge_key"), "n", "mean_return", "std_return", "t_statistic", "p_value", "win_rate", "sharpe_ratio", (F.col("p_value") < 0.05).alias("is_significant"))

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.operators import learning, report
 from barwright.plans.registry import ORACLES, QUERIES, query
 from barwright.sources import bars
+from barwright.sources.bars import shared
 from barwright.streaming import ticks
 
 _SECONDS = "CAST(datediff(to_date(time), DATE'1970-01-01') AS BIGINT) * 24 + hour(time)"
 
 
 def _drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barwright-stream-")
-    name = f"stream_{uuid.uuid4().hex}"
-    return ticks.drain(stream, name, f"{folder.rstrip('/')}/{name}", mode)
+    return ticks.drain(stream, shared(spark, "stream"), mode)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +60,7 @@ def src_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.simulate(spark, bars.SIMULATED_SYMBOLS[:3], "H4", "2022-01-03", "2022-02-28")
 
 
-@query("src_05")
+@query("src_05", "SELECT unnest([" + ", ".join(f"'{x}'" for x in bars.SIMULATED_SYMBOLS) + "]) AS symbol")
 def src_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.Resolver(spark).symbols()
 
@@ -145,15 +141,31 @@ def src_14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_17")
 def src_17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.simulate(spark, ["EURUSD", "GBPUSD", "USDJPY"], "H1", "2022-01-03", "2022-02-28", seed=7)
+    """Hourly bars of three pairs, two of which move with and against the first, livelier in the London and New York sessions."""
+    return bars.demo(spark)
 
 
 @query("ml_06")
 def ml_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.regimes(bars.bars_h1(spark, sf_dir), 4)
+    return learning.regime_edges(bars.bars_h1(spark, sf_dir))
+
+
+@query("ml_08")
+def ml_08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.anomaly_edge(bars.bars_h1(spark, sf_dir))
 
 
-@query("str_05")
+@query("str_05", "WITH b AS (SELECT event_type AS symbol, (epoch(date_trunc('hour', ts)) / 3600)::BIGINT AS t, arg_min(value, struct_pack(a := ts, b := event_id)) AS open, arg_max(value, struct_pack(a := ts, b := event_id)) AS close, count(*) AS volume FROM events GROUP BY ALL) SELECT * FROM b WHERE (t + 1) * 3600 <= (SELECT epoch(max(ts)) - 3600 FROM events)")
 def str_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars in append mode: windows come out once the watermark has passed them, later ticks are dropped."""
-    return _drain(spark, ticks.tumbling_bars(_stream(spark, sf_dir)), "append").selectExpr("symbol", f"{_SECONDS} AS t", "open", "close", "volume")
+    """Bars in append mode: a window comes out once the watermark has passed it. A last file brings ticks for hours long past, which are dropped."""
+    path = shared(spark, "late-ticks")
+    events = bars.events(spark, sf_dir)
+    first, middle = events.agg(F.min("ts"), F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()
+    half = F.unix_micros(F.col("ts").cast("timestamp")) <= F.lit(middle)
+    # Spark holds late rows against the watermark of the batch before, so two batches come before the late one.
+    events.filter(half).coalesce(1).write.parquet(path)
+    events.filter(~half).coalesce(1).write.mode("append").parquet(path)
+    late = events.filter(F.col("ts") < F.lit(first) + F.expr("INTERVAL 2 HOURS")).withColumns({"value": F.col("value") + 1e6, "event_id": -F.col("event_id")})
+    late.coalesce(1).write.mode("append").parquet(path)
+    bars_ = ticks.tumbling_bars(ticks.ticks(spark, path, 1))
+    return _drain(spark, bars_, "append").selectExpr("symbol", f"{_SECONDS} AS t", "open", "close", "volume")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from barwright.operators import report
 from barwright.plans.edges import detect, detect_sql
 from barwright.plans.registry import query
 from barwright.sources import bars as source
-from barwright.sources.bars import BARS_H1, bars_h1
+from barwright.sources.bars import BARS_H1, bars_h1, shared
 
 #: Trading sessions by hour.
 SESSIONS = [("asian", 0, 8), ("london", 7, 16), ("ny", 12, 21)]
@@ -29,16 +26,6 @@ def _sql6(x: str, name: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5e0) / 1e6 AS {name}"
 
 
-def shared(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one in local mode if none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="barwright-")
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 # --- joins ---
 @query("join_01", f"WITH {_B} SELECT x.t, x.symbol AS a, y.symbol AS b, {_sql6('x.close - y.close', 'spread')} FROM b x JOIN b y ON x.t = y.t WHERE x.symbol = 'click' AND y.symbol = 'view'")
 def join_01(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,16 @@ SIMULATED_SYMBOLS = ["EURUSD", "GBPUSD", "USDJPY", "USDCHF", "AUDUSD", "USDCAD",
 SCHEMA = "time timestamp, open double, high double, low double, close double, tick_volume bigint, real_volume bigint, spread double"
 
 
+def shared(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one in local mode if none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="barwright-")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -116,6 +129,31 @@ def write_csv(bars: DataFrame, folder: str) -> None:
     stamped.select(name.alias("file"), *columns).write.partitionBy("file").option("header", True).csv(folder)
 
 
+#: Opening prices, and correlation of each pair's steps with those of the first.
+DEMO = {"EURUSD": (1.10, 1.0), "GBPUSD": (1.25, 0.7), "USDJPY": (130.0, -0.5)}
+
+
+def demo(spark: SparkSession, days: int = 60, seed: int = 42) -> DataFrame:
+    """Hourly weekday bars of three pairs whose steps are correlated as ``DEMO`` says, larger by 1.3 in the London session and by 1.2 in the rest of the New York one."""
+    step = 0.10 / (252 * 24) ** 0.5
+    hours = spark.range(days * 24).select((F.col("id") + 24 * F.lit(18995)).alias("t"))  # from 2022-01-03, a Monday
+    hours = hours.filter(F.expr("(floor(t / 24) + 3) % 7") < 5)
+    uniform = lambda *key: (F.pmod(F.xxhash64(*key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    normal = lambda *key: F.sqrt(-2 * F.ln(uniform(*key, F.lit(seed)))) * F.cos(2 * 3.141592653589793 * uniform(*key, F.lit(seed + 1)))
+    hour = F.col("t") % 24
+    lively = F.when((hour >= 7) & (hour < 16), 1.3).when((hour >= 12) & (hour < 21), 1.2).otherwise(1.0)
+    pairs = spark.createDataFrame([(k, *v) for k, v in DEMO.items()], "symbol string, base double, rho double")
+    df = hours.join(F.broadcast(pairs))
+    shared_step = normal(F.lit("shared"), "t") * lively
+    df = df.withColumn("step", step * (F.col("rho") * shared_step + F.sqrt(1 - F.col("rho") * F.col("rho")) * normal("symbol", "t")))
+    df = df.withColumn("close", F.col("base") * F.exp(F.expr("sum(step) OVER (PARTITION BY symbol ORDER BY t)")))
+    noise = lambda k, size: size * step * normal(F.lit(k), "symbol", "t")
+    df = df.withColumn("open", F.col("close") * (1 + noise("open", 0.3)))
+    df = df.withColumn("high", F.greatest("open", "close") * (1 + F.abs(noise("high", 0.5)))).withColumn("low", F.least("open", "close") * (1 - F.abs(noise("low", 0.5))))
+    volume = F.floor(1000 * (1 + 2 * uniform(F.lit("volume"), "t"))).cast("long")
+    return df.select("symbol", F.lit("H1").alias("timeframe"), F.timestamp_seconds(F.col("t") * 3600).alias("time"), "open", "high", "low", "close", volume.alias("tick_volume"))
+
+
 class Source:
     """Where bars come from: ``load`` gives those of some symbols at a timeframe, ``symbols`` names what there is, ``available`` tells whether it can be asked."""
 
@@ -167,7 +205,7 @@ def simulate(spark: SparkSession, symbols: list[str], timeframe: str = "H1", sta
     return df.withColumn("tick_volume", volume).select("symbol", F.lit(timeframe).alias("timeframe"), "time", "open", "high", "low", "close", "tick_volume", (F.col("tick_volume") * 10).alias("real_volume"), (1 + 2 * uniform(9)).alias("spread"))
 
 
-class Resolver:
+class Resolver(Source):
     """The first source that has the bars: a table, a folder of CSV files, simulation."""
 
     def __init__(self, spark: SparkSession, table: str | None = None, csv: str | None = None):

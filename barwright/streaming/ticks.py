@@ -15,10 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DELAY = "1 hour"
 
 
-def ticks(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the parquet files that match ``path``. Timestamps without a zone are read in the session's."""
+def ticks(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of the parquet files that match ``path``, oldest first. Timestamps without a zone are read in the session's."""
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).parquet(path)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), "event_id", "value")
 
 
@@ -66,8 +66,23 @@ def gaps(stream: DataFrame, seconds: float = 5400.0) -> DataFrame:
     )
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a bounded stream to its end and return what it wrote, as a table in memory: for tests and small results."""
-    run = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Run a bounded stream to its end and return the table that it wrote under ``path``, a folder that driver and executors share.
+
+    Each batch is a folder of its own, overwritten if the batch is repeated after a failure. In complete mode the last batch is the result, in append mode all are.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    done = run.lastProgress
+    if done is None:
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/batches")
+    if mode == "complete":
+        last = out.agg(F.max("batch")).first()[0]
+        out = out.filter(F.col("batch") == F.lit(last))
+    return out.drop("batch")
