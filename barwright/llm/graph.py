@@ -19,6 +19,12 @@ def _with_least(rows: DataFrame, edges: int) -> DataFrame:
     return rows.join(heavy, "u").unionByName(light)
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: a node keeps the one to its least neighbour, and its other neighbours, which many nodes share, are tied to that."""
+    least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return least.select("u", F.col("m").alias("v")).unionByName(least.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
 def _both(a: str, b: str) -> list[Column]:
     return [F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v"))]
 
@@ -29,7 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nulls and loops are left out. What a step leaves is written to the shared folder.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    edges = stash(edges, "edges")
+    edges = stash(_thinned(stash(edges, "edges")), "edges")
     state, size = None, edges.count()
     if not size:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
