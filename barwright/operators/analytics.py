@@ -177,9 +177,6 @@ SELECT symbol, edge_key, n, {r("m", "mean_return")}, {r("sd", "std_return")}, {r
     f"z AS (SELECT symbol, count(*) AS n_paths, {', '.join(f'{quantile_of(LAST, q / 100)} AS q{q:02d}' for q in QUANTILES)}, avg(last) AS m, stddev_pop(last) AS sd, avg(CASE WHEN last > 1 THEN 1e0 ELSE 0e0 END) AS up, avg(dd) AS dd, {quantile_of('dd', 0.05)} AS worst FROM f GROUP BY symbol) "
     f"SELECT symbol, n_paths, {', '.join(sig(f'q{q:02d}', f'p{q:02d}') for q in QUANTILES)}, {sig('m', 'mean_final')}, {sig('sd', 'std_final')}, {r('up', 'prob_profit')}, {r('dd', 'expected_max_dd')}, {r('worst', 'worst_case_dd')} FROM z",
     "boo_06": _boot("avg(y) - 0.001", "mean_over_target"),
-    # features and targets
-    "ml_01": f"WITH {RETURNS}, l AS (SELECT symbol, ntile(5) OVER (PARTITION BY symbol ORDER BY lag_y, t) AS a, ntile(5) OVER (PARTITION BY symbol ORDER BY y, t) AS b FROM (SELECT symbol, t, y, lag(y) {W} AS lag_y FROM x) z WHERE lag_y IS NOT NULL), c AS (SELECT symbol, a, b, CAST(count(*) AS DOUBLE) AS n FROM l GROUP BY symbol, a, b), m AS (SELECT *, sum(n) OVER (PARTITION BY symbol) AS s, sum(n) OVER (PARTITION BY symbol, a) AS na, sum(n) OVER (PARTITION BY symbol, b) AS nb FROM c) SELECT symbol, {r('sum(n / s * ln(n * s / (na * nb)))', 'mutual_information')} FROM m GROUP BY symbol",
-    "ml_02": f"WITH {RETURNS}, f AS (SELECT symbol, lead(y) {W} AS target, y, volume, high - low AS rng FROM x), s AS (SELECT symbol, 'return_1' AS feature_name, abs(corr(y, target)) AS c FROM f GROUP BY symbol UNION ALL SELECT symbol, 'volume' AS feature_name, abs(corr(volume, target)) AS c FROM f GROUP BY symbol UNION ALL SELECT symbol, 'range' AS feature_name, abs(corr(rng, target)) AS c FROM f GROUP BY symbol) SELECT symbol, feature_name, {r('c', 'importance')}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY c DESC) AS BIGINT) AS rk FROM s",
 }
 
 SQL["pre_12"] = SQL["join_02"]
@@ -200,4 +197,3 @@ SQL["src_10"] = "SELECT symbol, t, close FROM BARS WHERE t % 24 < 6 AND volume >
 SQL["src_03"] = "SELECT DISTINCT split_part(concat(symbol, '_H1'), '_', 1) AS symbol FROM BARS"
 SQL["src_15"] = "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM BARS GROUP BY symbol"
 SQL["par_11"] = f"SELECT pair, lag_bars, n, correlation FROM ({SQL['par_03']}) z WHERE p_value < 0.05 AND abs(correlation) > 0.1"
-SQL["ml_09"] = f"SELECT a.symbol, a.feature_name, {r('a.importance + coalesce(b.mutual_information, 0)', 'score')} FROM ({SQL['ml_02']}) a LEFT JOIN ({SQL['ml_01']}) b ON a.symbol = b.symbol AND a.feature_name = 'return_1'"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.dist import binomial_sf, t_p
@@ -26,18 +26,76 @@ _OWN = [{"return_1": f"{div('close', lag('close'))} - 1", "return_20": f"{div('c
 LEAST = 200
 
 
-def frame(bars: DataFrame, ahead: int = 10, columns: tuple[str, ...] | None = None) -> tuple[DataFrame, list[str]]:
-    """Features of every bar in one plan, the forward return ``f``, and the bar's ``place`` in its series from 0 to 1; and the names of the features. Rows without all of them are left out."""
+def _plan(ahead: int, columns: tuple[str, ...] | None = None) -> tuple[list[dict], dict[str, str]]:
+    """One plan of all features, the forward return ``f`` and the bar's ``place``, and what each is called in it."""
     plans = [(PLANS[name].levels, [Contrast(c, c, "true") for c, digits in PLANS[name].out.items() if digits is not None]) for name in PLANS_OF_FRAME if columns is None or set(columns) & set(PLANS[name].out)]
     own = [Contrast(c, c, "true") for c in ("return_1", "return_20", "rng", "vol_std_20")]
     extra = [{"f": f"{div(lead('close', ahead), 'close')} - 1", "place": "percent_rank() OVER (PARTITION BY symbol ORDER BY t)"}]
     levels, wanted = merged([*plans, (_OWN, own), (extra, [Contrast("f", "f", "true"), Contrast("place", "place", "true")])])
-    names = {test.key: test.value for test in wanted} | {"volume": "volume"}
+    return levels, {test.key: test.value for test in wanted} | {"volume": "volume"}
+
+
+def frame(bars: DataFrame, ahead: int = 10, columns: tuple[str, ...] | None = None) -> tuple[DataFrame, list[str]]:
+    """Features of every bar in one plan, the forward return ``f``, and the bar's ``place`` in its series from 0 to 1; and the names of the features. Rows without all of them are left out."""
+    levels, names = _plan(ahead, columns)
     features = [c for c in (columns or names) if c not in ("f", "place")]
     df = Plan(levels).spark(bars).selectExpr("symbol", "t", *(f"CAST(`{names[c]}` AS DOUBLE) AS `{c}`" for c in [*features, "f", "place"]))
     return df.dropna(subset=[*features, "f"]), features
 
 
+def _long(bars: DataFrame) -> DataFrame:
+    df, names = frame(bars)
+    return df.select("symbol", "t", "f", *names).unpivot(["symbol", "t", "f"], names, "feature_name", "x")
+
+
+def importance(bars: DataFrame) -> DataFrame:
+    """Size of each feature's correlation with the forward return, 0 for one that does not vary, and its place in its series."""
+    spread = lambda c: F.when(F.stddev_pop(c) > 1e-9, F.stddev_pop(c))
+    out = _long(bars).groupBy("symbol", "feature_name").agg(F.coalesce(F.abs(F.covar_pop("x", "f")) / (spread("x") * spread("f")), F.lit(0.0)).alias("importance"))
+    out = out.withColumn("importance", F.floor(F.col("importance") * 1e6 + 0.5) / 1e6)
+    return out.withColumn("rk", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("importance"), "feature_name")).cast("long"))
+
+
+SHARES = (0.2, 0.4, 0.6, 0.8)
+
+
+def mutual_information(bars: DataFrame) -> DataFrame:
+    """Mutual information of each feature with the forward return, both in five bins of equal shares of their series."""
+    long, shares = _long(bars), F.array(*map(F.lit, SHARES))
+    cuts = long.groupBy("symbol", "feature_name").agg(F.percentile("x", shares).alias("cx"), F.percentile("f", shares).alias("cf"))
+    above = lambda value, edges: F.size(F.filter(edges, lambda e: F.col(value) > e))
+    cells = long.join(cuts, ["symbol", "feature_name"]).groupBy("symbol", "feature_name", above("x", "cx").alias("a"), above("f", "cf").alias("b")).agg(F.count("*").cast("double").alias("n"))
+    own = ["symbol", "feature_name"]
+    side = lambda *keys: F.sum("n").over(Window.partitionBy(*own, *keys))
+    cells = cells.withColumns({"s": side(), "na": side("a"), "nb": side("b")})
+    out = cells.groupBy(*own).agg(F.sum(F.expr("n / s * ln(n * s / (na * nb))")).alias("mutual_information"))
+    return out.withColumn("mutual_information", F.floor(F.col("mutual_information") * 1e5 + 0.5) / 1e5)
+
+
+def ranking(bars: DataFrame) -> DataFrame:
+    """Features by correlation and information together."""
+    both = importance(bars).join(mutual_information(bars), ["symbol", "feature_name"])
+    return both.select("symbol", "feature_name", (F.floor((F.col("importance") + F.col("mutual_information")) * 1e4 + 0.5) / 1e4).alias("score"))
+
+
+def long_sql(base: str, ahead: int = 10) -> str:
+    """DuckDB form of the features in rows: ``u`` (symbol, t, f, feature_name, x), to be followed by a query of it."""
+    levels, names = _plan(ahead)
+    inner = Plan(levels, {}).sql(base)
+    inner = inner[: inner.rindex(" SELECT symbol, t, ")]
+    last = inner.rsplit(" AS (SELECT *", 1)[0].rsplit(" ", 1)[-1]
+    features = [c for c in names if c not in ("f", "place")]
+    columns = ", ".join(f"{names[c]}::DOUBLE AS {c}" for c in features)
+    every = " AND ".join(f"{c} IS NOT NULL" for c in [*features, "f"])
+    return f"{inner}, w AS (SELECT symbol, t, {names['f']}::DOUBLE AS f, {columns} FROM {last}), fr AS MATERIALIZED (SELECT * FROM w WHERE {every}), u AS (UNPIVOT fr ON {', '.join(features)} INTO NAME feature_name VALUE x)"
+
+
+IMPORTANCE_SQL = "i0 AS (SELECT symbol, feature_name, floor(coalesce(CASE WHEN stddev_pop(x) > 1e-9 AND stddev_pop(f) > 1e-9 THEN abs(corr(x, f)) END, 0) * 1e6 + 0.5e0) / 1e6 AS importance FROM u GROUP BY ALL), imp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY importance DESC, feature_name) AS rk FROM i0)"
+_CUTS = ", ".join(f"quantile_cont({c}, {q}) AS {c}{k}" for c in ("x", "f") for k, q in enumerate(SHARES))
+_ABOVE = ", ".join(f"{' + '.join(f'(u.{c} > k.{c}{k})::INT' for k in range(len(SHARES)))} AS {name}" for c, name in (("x", "a"), ("f", "b")))
+INFORMATION_SQL = f"k AS (SELECT symbol, feature_name, {_CUTS} FROM u GROUP BY ALL), c0 AS (SELECT u.symbol, u.feature_name, {_ABOVE} FROM u JOIN k ON k.symbol = u.symbol AND k.feature_name = u.feature_name), c1 AS (SELECT symbol, feature_name, a, b, count(*)::DOUBLE AS n FROM c0 GROUP BY ALL), c2 AS (SELECT *, sum(n) OVER (PARTITION BY symbol, feature_name) AS s, sum(n) OVER (PARTITION BY symbol, feature_name, a) AS na, sum(n) OVER (PARTITION BY symbol, feature_name, b) AS nb FROM c1), inf AS (SELECT symbol, feature_name, floor(sum(n / s * ln(n * s / (na * nb))) * 1e5 + 0.5e0) / 1e5 AS mutual_information FROM c2 GROUP BY ALL)"
+
+
 def _row(spark, name: str, values: dict) -> DataFrame:
     return spark.createDataFrame([(name, *values.values())], "edge_key string, n long, mean_return double, std_return double, t_statistic double, p_value double, win_rate double, sharpe_ratio double, is_significant boolean")
 

@@ -65,6 +65,24 @@ def src_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.Resolver(spark).symbols()
 
 
+_FEATURES = learning.long_sql(bars.BARS_H1)
+
+
+@query("ml_01", f"{_FEATURES}, {learning.INFORMATION_SQL} SELECT * FROM inf")
+def ml_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.mutual_information(bars.bars_h1(spark, sf_dir))
+
+
+@query("ml_02", f"{_FEATURES}, {learning.IMPORTANCE_SQL} SELECT * FROM imp")
+def ml_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.importance(bars.bars_h1(spark, sf_dir))
+
+
+@query("ml_09", f"{_FEATURES}, {learning.IMPORTANCE_SQL}, {learning.INFORMATION_SQL} SELECT symbol, feature_name, floor((importance + mutual_information) * 1e4 + 0.5e0) / 1e4 AS score FROM imp JOIN inf USING (symbol, feature_name)")
+def ml_09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.ranking(bars.bars_h1(spark, sf_dir))
+
+
 @query("ml_03")
 def ml_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.direction(bars.bars_h1(spark, sf_dir), "forest")
