@@ -14,10 +14,14 @@ from barwright.sources.bars import BARS_H1, bars_h1, shared
 
 #: Trading sessions by hour.
 SESSIONS = [("asian", 0, 8), ("london", 7, 16), ("ny", 12, 21)]
-ORDER = Window.partitionBy("symbol").orderBy("t")
 _B = f"b AS ({BARS_H1})"
 
 
+def _order():
+    """Each symbol's bars in their order."""
+    return Window.partitionBy("symbol").orderBy("t")
+
+
 def _six(name: str):
     return (F.floor(F.col(name) * 1e6 + 0.5) / 1e6).alias(name)
 
@@ -83,7 +87,7 @@ def agg_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.select("symbol", "t", (F.col("t") == F.min("t").over(day)).alias("first_of_day"), (F.col("t") == F.max("t").over(day)).alias("last_of_day"))
 
 
-@query("agg_03", f"WITH {_B}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, t // 24 ORDER BY t) AS i, row_number() OVER (PARTITION BY symbol, t // 24 ORDER BY t DESC) AS j FROM b) SELECT symbol, (t // 24)::BIGINT AS day, {_sql6('max(CASE WHEN i = 1 THEN open END)', 'open')}, {_sql6('max(high)', 'high')}, {_sql6('min(low)', 'low')}, {_sql6('max(CASE WHEN j = 1 THEN close END)', 'close')}, sum(volume) AS volume FROM r GROUP BY symbol, t // 24")
+@query("agg_03", f"WITH {_B}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, t // 24 _order() BY t) AS i, row_number() OVER (PARTITION BY symbol, t // 24 _order() BY t DESC) AS j FROM b) SELECT symbol, (t // 24)::BIGINT AS day, {_sql6('max(CASE WHEN i = 1 THEN open END)', 'open')}, {_sql6('max(high)', 'high')}, {_sql6('min(low)', 'low')}, {_sql6('max(CASE WHEN j = 1 THEN close END)', 'close')}, sum(volume) AS volume FROM r GROUP BY symbol, t // 24")
 def agg_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last of a group by the bars' order, not by the rows'."""
     days = source.resample(bars_h1(spark, sf_dir), 24)
@@ -115,44 +119,44 @@ def window(name: str, sql: str):
     return wrap
 
 
-_RN = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM b)"
+_RN = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol _order() BY t) AS rn FROM b)"
 
 
 @window("win_01", f", {_RN} SELECT n.symbol, n.t, {_sql6('p.close', 'before')}, {_sql6('q.close', 'after')} FROM n LEFT JOIN n p ON p.symbol = n.symbol AND p.rn = n.rn - 2 LEFT JOIN n q ON q.symbol = n.symbol AND q.rn = n.rn + 3")
 def win_01(bars: DataFrame) -> DataFrame:
-    return bars.select("symbol", "t", F.lag("close", 2).over(ORDER).alias("before"), F.lead("close", 3).over(ORDER).alias("after")).select("symbol", "t", _six("before"), _six("after"))
+    return bars.select("symbol", "t", F.lag("close", 2).over(_order()).alias("before"), F.lead("close", 3).over(_order()).alias("after")).select("symbol", "t", _six("before"), _six("after"))
 
 
 @window("win_02", f", {_RN} SELECT n.symbol, n.t, {_sql6('avg(p.close)', 'mean10')}, {_sql6('max(p.high)', 'high10')} FROM n JOIN n p ON p.symbol = n.symbol AND p.rn BETWEEN n.rn - 9 AND n.rn GROUP BY n.symbol, n.t, n.rn HAVING count(*) = 10")
 def win_02(bars: DataFrame) -> DataFrame:
-    last = ORDER.rowsBetween(-9, 0)
+    last = _order().rowsBetween(-9, 0)
     out = bars.select("symbol", "t", F.avg("close").over(last).alias("mean10"), F.max("high").over(last).alias("high10"), F.count("*").over(last).alias("n"))
     return out.filter("n = 10").select("symbol", "t", _six("mean10"), _six("high10"))
 
 
 @window("win_03", f"SELECT x.symbol, x.t, sum(y.volume) AS volume, {_sql6('max(y.high)', 'top')} FROM b x JOIN b y ON y.symbol = x.symbol AND y.t <= x.t GROUP BY x.symbol, x.t")
 def win_03(bars: DataFrame) -> DataFrame:
-    so_far = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _order().rowsBetween(Window.unboundedPreceding, 0)
     return bars.select("symbol", "t", F.sum("volume").over(so_far).alias("volume"), F.max("high").over(so_far).alias("top")).select("symbol", "t", "volume", _six("top"))
 
 
 @window("win_04", f", {_RN} SELECT n.symbol, n.t FROM n JOIN n p ON p.symbol = n.symbol AND abs(p.rn - n.rn) <= 5 GROUP BY n.symbol, n.t, n.high HAVING count(*) = 11 AND n.high = max(p.high)")
 def win_04(bars: DataFrame) -> DataFrame:
     """Bars that are the highest of the five before and after."""
-    around = ORDER.rowsBetween(-5, 5)
+    around = _order().rowsBetween(-5, 5)
     return bars.select("symbol", "t", "high", F.max("high").over(around).alias("top"), F.count("*").over(around).alias("n")).filter("n = 11 AND high = top").select("symbol", "t")
 
 
 @window("win_05", f", {_RN} SELECT n.symbol, n.t, {_sql6('quantile_cont(p.close, 0.25)', 'q25')} FROM n JOIN n p ON p.symbol = n.symbol AND p.rn BETWEEN n.rn - 19 AND n.rn GROUP BY n.symbol, n.t HAVING count(*) = 20")
 def win_05(bars: DataFrame) -> DataFrame:
-    last = ORDER.rowsBetween(-19, 0)
+    last = _order().rowsBetween(-19, 0)
     return bars.select("symbol", "t", F.expr("percentile(close, 0.25)").over(last).alias("q25"), F.count("*").over(last).alias("n")).filter("n = 20").select("symbol", "t", _six("q25"))
 
 
 @window("win_06", f", {_RN} SELECT n.symbol, n.t, {_sql6('(count(*) FILTER (WHERE p.close < n.close) + (count(*) FILTER (WHERE p.close = n.close) + 1) / 2e0) / 20', 'share')} FROM n JOIN n p ON p.symbol = n.symbol AND p.rn BETWEEN n.rn - 19 AND n.rn GROUP BY n.symbol, n.t HAVING count(*) = 20")
 def win_06(bars: DataFrame) -> DataFrame:
     """Rank of the last of 20 closes among them, ties averaged."""
-    kept = bars.select("symbol", "t", "close", F.collect_list("close").over(ORDER.rowsBetween(-19, 0)).alias("x")).filter(F.size("x") == 20)
+    kept = bars.select("symbol", "t", "close", F.collect_list("close").over(_order().rowsBetween(-19, 0)).alias("x")).filter(F.size("x") == 20)
     less, same = F.size(F.filter("x", lambda v: v < F.col("close"))), F.size(F.filter("x", lambda v: v == F.col("close")))
     return kept.withColumn("share", (less + (same + 1) / 2) / 20).select("symbol", "t", _six("share"))
 
@@ -160,7 +164,7 @@ def win_06(bars: DataFrame) -> DataFrame:
 @window("win_07", f", {_RN}, m AS (SELECT n.symbol, n.rn, n.t, avg(p.close) AS mean FROM n JOIN n p ON p.symbol = n.symbol AND p.rn BETWEEN n.rn - 19 AND n.rn GROUP BY n.symbol, n.rn, n.t HAVING count(*) = 20) SELECT m.symbol, m.t, {_sql6('avg(abs(p.close - m.mean))', 'deviation')} FROM m JOIN n p ON p.symbol = m.symbol AND p.rn BETWEEN m.rn - 19 AND m.rn GROUP BY m.symbol, m.t")
 def win_07(bars: DataFrame) -> DataFrame:
     """Mean absolute deviation of the last 20 closes from their mean: higher-order functions instead of a user function."""
-    last = ORDER.rowsBetween(-19, 0)
+    last = _order().rowsBetween(-19, 0)
     kept = bars.select("symbol", "t", F.avg("close").over(last).alias("mean"), F.collect_list("close").over(last).alias("x")).filter(F.size("x") == 20)
     return kept.withColumn("deviation", F.aggregate(F.transform("x", lambda v: F.abs(v - F.col("mean"))), F.lit(0.0), lambda a, v: a + v) / 20).select("symbol", "t", _six("deviation"))
 
@@ -177,7 +181,7 @@ def win_08(bars: DataFrame) -> DataFrame:
 @window("win_09", f", g AS (SELECT symbol, t, CASE WHEN t % 3 = 0 THEN close END AS x FROM b) SELECT symbol, t, {_sql6('(SELECT max_by(z.x, z.t) FROM g z WHERE z.symbol = g.symbol AND z.t <= g.t AND z.x IS NOT NULL)', 'filled')} FROM g")
 def win_09(bars: DataFrame) -> DataFrame:
     holes = bars.withColumn("x", F.when(F.col("t") % 3 == 0, F.col("close")))
-    return holes.select("symbol", "t", F.last("x", ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)).alias("filled")).select("symbol", "t", _six("filled"))
+    return holes.select("symbol", "t", F.last("x", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0)).alias("filled")).select("symbol", "t", _six("filled"))
 
 
 @window("win_10", "SELECT symbol, t, (SELECT count(*) FROM b z WHERE z.symbol = b.symbol AND (z.volume > b.volume OR (z.volume = b.volume AND z.t <= b.t)))::BIGINT AS place FROM b")
@@ -188,7 +192,7 @@ def win_10(bars: DataFrame) -> DataFrame:
 @window("win_11", f"SELECT x.symbol, x.t, count(*) AS n, {_sql6('avg(y.close)', 'mean_day')} FROM b x JOIN b y ON y.symbol = x.symbol AND y.t > x.t - 24 AND y.t <= x.t GROUP BY x.symbol, x.t")
 def win_11(bars: DataFrame) -> DataFrame:
     """The last 24 hours, however many bars they have: a range frame, where gaps leave row frames too long."""
-    day = ORDER.rangeBetween(-23, 0)
+    day = _order().rangeBetween(-23, 0)
     return bars.select("symbol", "t", F.count("*").over(day).alias("n"), F.avg("close").over(day).alias("mean_day")).select("symbol", "t", "n", _six("mean_day"))
 
 
@@ -196,15 +200,15 @@ def win_11(bars: DataFrame) -> DataFrame:
 def win_12(bars: DataFrame) -> DataFrame:
     """How many bars in a row, this one included, went the same way."""
     up = bars.withColumn("up", F.col("close") > F.col("open"))
-    turn = up.withColumn("turn", F.coalesce(F.col("up") != F.lag("up").over(ORDER), F.lit(True)).cast("int"))
-    island = turn.withColumn("island", F.sum("turn").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = up.withColumn("turn", F.coalesce(F.col("up") != F.lag("up").over(_order()), F.lit(True)).cast("int"))
+    island = turn.withColumn("island", F.sum("turn").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     return island.select("symbol", "t", F.row_number().over(Window.partitionBy("symbol", "island").orderBy("t")).cast("long").alias("run"))
 
 
 # --- several timeframes, and what is written of them ---
 _MULTI = source.multi_timeframe_sql(BARS_H1)
 _FOUND = f"e AS (SELECT * REPLACE (split_part(symbol, '|', 1) AS symbol), split_part(symbol, '|', 2) AS timeframe FROM ({detect_sql(_MULTI)}))"
-_BEST = "k AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY is_significant DESC, sharpe_ratio DESC, edge_key DESC) AS place, count(*) OVER g AS total_edges, sum(is_significant::INT) OVER g::BIGINT AS significant_edges FROM e WINDOW g AS (PARTITION BY symbol, timeframe))"
+_BEST = "k AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe _order() BY is_significant DESC, sharpe_ratio DESC, edge_key DESC) AS place, count(*) OVER g AS total_edges, sum(is_significant::INT) OVER g::BIGINT AS significant_edges FROM e WINDOW g AS (PARTITION BY symbol, timeframe))"
 _MATRIX = f"WITH {_FOUND}, {_BEST} SELECT symbol, timeframe, total_edges, significant_edges, CASE WHEN significant_edges > 0 THEN edge_key ELSE 'None' END AS top_edge, CASE WHEN significant_edges > 0 THEN split_part(edge_key, '_', 1) ELSE '-' END AS top_edge_type, CASE WHEN significant_edges > 0 THEN sharpe_ratio ELSE 0 END AS sharpe_ratio, CASE WHEN significant_edges > 0 THEN win_rate ELSE 0 END AS win_rate, CASE WHEN significant_edges > 0 THEN p_value ELSE 1 END AS p_value, CASE WHEN significant_edges > 0 THEN n ELSE 0 END AS sample_size FROM k WHERE place = 1"
 
 
