@@ -56,6 +56,14 @@ def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python at most so many rows at once in this session: what a worker holds follows it. A smaller setting stays, so plans that are chained keep what each asks for."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def unused(columns: list[str], *stems: str) -> list[str]:
     """A name for each stem that none of ``columns`` has."""
     taken, out = {c.lower() for c in columns}, []

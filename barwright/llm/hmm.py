@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import Interner, hash_words, stash
+from barwright.llm.common import Interner, arrow_rows, hash_words, stash
 
 STATES, CLASSES, ROUNDS = 6, 4096, 8
 #: Tokens of a span, and of the spans that are worked off at once.
@@ -340,6 +340,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, logs being to base 10. Null texts are empty: their one token is the end. Rows without
     a doc_id are trained on; repeated rows count as often as they are there. An empty table gives an empty table.
     """
+    arrow_rows(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), F.col("text").cast("string").alias("text"))
     blocks = stash(docs.mapInArrow(_read, _BLOCK_SQL), "hmm-blocks")
     words = blocks.select("block", "hashes", "train").mapInArrow(_words, "block long, hash long, train long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.common import scale_partitions, scratch_path, stash
+from barwright.llm.common import arrow_rows, scale_partitions, scratch_path, stash
 from barwright.llm.tokens import default_path, encoder
 
 END_ID = 0
@@ -198,6 +198,7 @@ def write_archive(docs: DataFrame, path: str, tokenizer: str | None = None, spec
     Null texts are empty; every document ends with id 0. Documents stand in ascending doc_id order, null first; equal doc_ids follow their texts.
     """
     spark = docs.sparkSession
+    arrow_rows(spark)
     tokenizer = tokenizer or default_path()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import hash_words, intern_words, mix, rolling, stash, unused
+from barwright.llm.common import arrow_rows, hash_words, intern_words, mix, rolling, stash, unused
 from barwright.llm.graph import components
 
 N, THRESHOLD = 5, 0.8
@@ -273,6 +273,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     links connect, and ``group`` names them for rows without a doc_id. Texts without words, null ones too, are linked to nothing and stand alone; repeated rows are copies. An
     empty table gives an empty table. Texts count whole, however long.
     """
+    arrow_rows(docs.sparkSession)
     bands, rows = band_shape(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))

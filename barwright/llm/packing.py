@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import stash
+from barwright.llm.common import arrow_rows, stash
 from barwright.llm.tokens import default_path, encoder
 
 END_ID = 0
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, most: int = LENGTH, keep
     Repeated rows are packed as documents of their own; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    arrow_rows(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = _PIECE + (", ids array<int>" if keep_ids else "")
     pieces = stash(source.mapInArrow(_pieces(tokenizer or default_path(), most, keep_ids, specials_as_text), schema), "packing-pieces")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import hash_words, intern_words, mix, rolling
+from barwright.llm.common import arrow_rows, hash_words, intern_words, mix, rolling
 
 WINDOW = 20
 #: Bytes of text in a cell and windows in a hash range, about, for inputs of ``BASE`` bytes; both grow as its square root, up to ``MOST`` times.
@@ -166,6 +166,7 @@ def _finish(n: int, bits: int, digest: bool, columns: list[str]):
 
 
 def _run(docs: DataFrame, n: int, digest: bool) -> DataFrame:
+    arrow_rows(docs.sparkSession)
     docs = docs.select("doc_id", "text") if digest else docs
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     size = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).agg(F.sum("bytes").alias("bytes"), F.count("doc_id").alias("ids")).first()

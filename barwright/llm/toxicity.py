@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import MULTIPLIER, hash_words, intern_words, mix, stash
+from barwright.llm.common import MULTIPLIER, arrow_rows, hash_words, intern_words, mix, stash
 
 #: Labelled texts of each class that the models are fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 8000
@@ -235,6 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     A column ``score`` of the input is replaced, all others stay. Repeated rows are scored alike; an empty table gives an empty table.
     """
+    arrow_rows(docs.sparkSession)
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
