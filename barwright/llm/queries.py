@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import hamming, hmm, huffman, jaccard, mixing, packing, quality, sql, substrings, toxicity, warc
+from barwright.llm import hamming, hmm, huffman, jaccard, merkle, mixing, packing, quality, resampling, sql, substrings, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,26 @@ def op5_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return hamming.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query("op11_merkle_manifest", sql.MERKLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof, folded from its leaf; where 7 divides the CRC of the id, from the leaf of a row with one more in ``n_chars``."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = [F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in columns]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.digest(*more))
+    rows = merkle.manifest(docs, columns, also={"changed": changed})
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof"))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, specials_as_text=False).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op13_importance_resampling", sql.RESAMPLING)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

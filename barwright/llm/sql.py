@@ -99,3 +99,65 @@ g AS (SELECT r, i, max(again::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN
 o AS (SELECT r, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM w JOIN g USING (r, i) GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (r)
 """
+
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text by the table ``crc.t``."""
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+RESAMPLING = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+f AS (SELECT r, word, count(*) AS k FROM (SELECT r, unnest(words) AS word FROM d) GROUP BY ALL),
+g AS (SELECT word, count(*) AS k FROM (SELECT unnest(words) AS word FROM b) GROUP BY ALL),
+h AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM g), crc),
+s AS (SELECT bucket, sum(k) AS s FROM f JOIN h USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(k) AS t FROM g JOIN h USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+w AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (ss + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (tt + 10000))))::BIGINT AS gain
+  FROM range(10000) x(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n),
+v AS (SELECT r, sum(k * gain)::BIGINT AS weight FROM f JOIN h USING (word) JOIN w USING (bucket) GROUP BY r),
+c AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0))))::BIGINT AS score
+  FROM d LEFT JOIN v USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM o
+"""
+
+_PART = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_STEP = "list_transform(range((len(hs) + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], '')))"
+_SIBLING = "coalesce(hs[xor(pos, 1) + 1], '')"
+_FOLD = "sha256(CASE WHEN pos & 1 = 1 THEN {0} || fold ELSE fold || {0} END)".format(_SIBLING)
+
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({" || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+         CASE WHEN coalesce({_crc32("doc_id::VARCHAR")} % 7 = 0, false) THEN sha256({" || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))}) END AS changed
+  FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+up(tree, level, hs) AS (
+  SELECT tree, 0, list(leaf ORDER BY pos) FROM l GROUP BY tree
+  UNION ALL SELECT tree, level + 1, {_STEP} FROM up WHERE len(hs) > 1),
+subroots AS (SELECT tree, hs[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM up WHERE len(hs) = 1),
+crown(level, hs) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL SELECT level + 1, {_STEP} FROM crown WHERE len(hs) > 1),
+top AS (SELECT hs[1] AS root FROM crown WHERE len(hs) = 1),
+walk(tree, doc_id, leaf, pos, level, proof, fold) AS (
+  SELECT tree, doc_id, leaf, pos, 0, '', coalesce(changed, leaf) FROM l
+  UNION ALL SELECT walk.tree, doc_id, leaf, pos // 2, walk.level + 1, proof || {_SIBLING}, {_FOLD} FROM walk JOIN up ON up.tree = walk.tree AND up.level = walk.level WHERE len(hs) > 1),
+ends AS (SELECT w.* FROM walk w JOIN up ON up.tree = w.tree AND up.level = w.level WHERE len(hs) = 1),
+rise(tree, doc_id, leaf, pos, level, proof, fold) AS (
+  SELECT tree, doc_id, leaf, place, 0, proof, fold FROM ends JOIN subroots USING (tree)
+  UNION ALL SELECT tree, doc_id, leaf, pos // 2, rise.level + 1, proof || {_SIBLING}, {_FOLD} FROM rise JOIN crown ON crown.level = rise.level WHERE len(hs) > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM rise JOIN crown ON crown.level = rise.level AND len(hs) = 1 JOIN subroots USING (tree), top
+"""
