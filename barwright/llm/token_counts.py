@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm.common import arrow_rows
-from barwright.llm.tokens import _UNSAFE, default_path
+from barwright.llm.tokens import _PUNCTUATION, _UNSAFE, default_path
 
 #: Pre-tokens in a summary and in the broadcast table, at most. A pre-token that is more than one in ENTRIES of all is always in the table.
 ENTRIES = 1 << 14
@@ -113,21 +113,35 @@ def _units(splitter: Splitter, texts: pa.Array) -> Iterator[tuple[list[str], np.
             first = np.zeros(len(codes), bool)
             first[offsets[:-1]] = True
             after, opening = np.unique(codes[~first]).tolist(), np.unique(codes[first]).tolist()
-            # Words after a space neither begin nor end with white space: each begins where a pre-token begins with the sign of the space.
-            named = np.array([k for k in after if words[k]], np.int64)
-            pre = splitter.cut("".join(f" {words[k]}" for k in named))
-            owners = [named[np.cumsum(np.fromiter((p[0] == "Ġ" for p in pre), bool, len(pre))) - 1]] if pre else []
-            if len(named) < len(after):
-                # A space that ends a text.
-                pre.append("Ġ")
-                owners.append([words.index("")])
+            # Words after a space neither begin nor end with white space: each begins where a pre-token begins with the sign of the space. Letters are
+            # one pre-token, and a mark after them another; the tokenizer cuts the rest.
+            pre, owners, named = [], [], []
+            for k in after:
+                w = words[k]
+                if w.isascii() and w.isalpha():
+                    pre.append("Ġ" + w)
+                    owners.append(k)
+                elif w.isascii() and w[:-1].isalpha() and w[-1] in _PUNCTUATION:
+                    pre += ["Ġ" + w[:-1], w[-1]]
+                    owners += [k, k]
+                elif w:
+                    named.append(k)
+                else:
+                    # A space that ends a text.
+                    pre.append("Ġ")
+                    owners.append(k)
+            owners = [owners]
+            if named:
+                own = splitter.cut("".join(f" {words[k]}" for k in named))
+                pre += own
+                owners.append(np.array(named)[np.cumsum(np.fromiter((p[0] == "Ġ" for p in own), bool, len(own))) - 1])
             # First words have no space before them: units of their own, after the others.
             for k in opening:
                 own = splitter.cut(words[k]) if words[k] else []
                 pre += own
                 owners.append(np.full(len(own), len(words) + k))
             codes[first] += len(words)
-            owner = np.concatenate(owners) if owners else np.zeros(0)
+            owner = np.concatenate(owners)
             yield pre, owner.astype(np.int64), codes, np.repeat(places, np.diff(offsets))
             group, size = [], 0
     for k in odd:
