@@ -180,10 +180,6 @@ SELECT symbol, edge_key, n, {r("m", "mean_return")}, {r("sd", "std_return")}, {r
 }
 
 SQL["pre_12"] = SQL["join_02"]
-SQL["par_04"] = (
-    f"WITH {PAIRS}, o AS (SELECT pair, regr_slope(ca, cb) AS b, regr_intercept(ca, cb) AS a FROM ab GROUP BY pair), e AS (SELECT ab.pair, t, ca - a - b * cb AS e FROM ab JOIN o ON ab.pair = o.pair), d AS (SELECT pair, e - lag(e) OVER (PARTITION BY pair ORDER BY t) AS de, lag(e) OVER (PARTITION BY pair ORDER BY t) AS pe FROM e), "
-    f"c AS (SELECT pair, count(*) AS n, sum(de * pe) AS sxy, sum(pe * pe) AS sxx, sum(de * de) AS syy FROM d WHERE de IS NOT NULL GROUP BY pair), u AS (SELECT pair, n, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx) AS adf FROM c) SELECT pair, n, {r('adf', 'adf_statistic', 4)}, CASE WHEN adf < -3.34 THEN 1 ELSE 0 END AS cointegrated FROM u"
-)
 SQL["boo_05"] = (
     f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, count(CASE WHEN rn % 2 = 0 THEN 1 END) AS n1, sum(y) AS total, avg(CASE WHEN rn % 2 = 0 THEN y END) - avg(CASE WHEN rn % 2 = 1 THEN y END) AS obs FROM h GROUP BY symbol HAVING count(*) >= 30), "
     f"bs AS (SELECT symbol, n1, {series(PERMUTATIONS)} AS b FROM c), g AS (SELECT h.symbol, bs.n1, bs.b, h.rn AS i, h.y FROM h JOIN bs ON h.symbol = bs.symbol), {draws('g', 'symbol, n1, y')}, "

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barwright.functions import dist
 from barwright.functions.dsl import dialect
-from barwright.operators.analytics import SQL
+from barwright.operators.analytics import PAIRS, SQL
+from barwright.operators.cointegration import engle_granger
 from barwright.plans.registry import query
 from barwright.sources.bars import BARS_H1, bars_h1
 
@@ -20,3 +21,10 @@ def run(spark: SparkSession, text: str, bars: DataFrame) -> DataFrame:
 
 for _name, _text in SQL.items():
     query(_name, dialect(_text, False).replace("BARS", f"({BARS_H1})"))(lambda spark, sf_dir, text=_text: run(spark, text, bars_h1(spark, sf_dir)))
+
+
+@query("par_04")
+def par_04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engle-Granger test of every pair of symbols; SQL has no regression on many lags."""
+    pairs = run(spark, f"WITH {PAIRS} SELECT pair, t, ca, cb FROM ab", bars_h1(spark, sf_dir))
+    return engle_granger(pairs)
