@@ -2,7 +2,8 @@
 
 A level is a dict of column -> expression over columns of earlier levels, so each level is one projection and windows of one specification share an
 exchange and a sort. ``{{spark¦duckdb}}`` marks the few places where the dialects differ. Recursions (exponential averages, Wilder's average) run in
-one Arrow kernel per level; their SQL form is a pair of scaled running sums.
+one Arrow kernel per level; their SQL form is a pair of scaled running sums. Rolling ranks and quantiles are kernels too, with one sorted window.
+:meth:`Plan.long` runs a plan by chunks of rows instead of by whole series.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from barwright.functions import chunks
+
 ORDER = "PARTITION BY symbol ORDER BY t"
 RUNNING = f"OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 WHOLE = "OVER (PARTITION BY symbol)"
@@ -97,28 +100,66 @@ class Wilder:
     n: int
 
 
+@dataclass(frozen=True)
+class Rank:
+    """Rank of ``source`` among its last ``n`` values, ties averaged, as a share; null until there are ``n``."""
+
+    source: str
+    n: int
+
+    @property
+    def bounded(self) -> int:
+        return self.n - 1
+
+
+@dataclass(frozen=True)
+class Quantile:
+    """Quantile ``q`` of the last ``n`` values of ``source``, between neighbours in proportion; null until there are ``n``."""
+
+    source: str
+    q: float
+    n: int
+
+    @property
+    def bounded(self) -> int:
+        return self.n - 1
+
+
 def dialect(text: str, spark: bool) -> str:
     return re.sub(r"\{\{(.*?)¦(.*?)\}\}", lambda m: m[1 if spark else 2], text, flags=re.S)
 
 
-def _recurse(specs: dict[str, Ewm | Wilder]):
+def _column(x: pd.Series, spec: Ewm | Wilder | Rank | Quantile) -> pd.Series:
+    """One kernel over a series in order. Ranks and quantiles keep one sorted window, whatever the number of rows."""
+    if isinstance(spec, Ewm):
+        return x.ewm(span=spec.span, adjust=True, min_periods=spec.span).mean()
+    if isinstance(spec, Rank):
+        return x.rolling(spec.n, min_periods=spec.n).rank(method="average", pct=True)
+    if isinstance(spec, Quantile):
+        return x.rolling(spec.n, min_periods=spec.n).quantile(spec.q, interpolation="linear")
+    return pd.Series(chunks._seeded(x.to_numpy(float), spec.n)).ewm(alpha=1 / spec.n, adjust=False).mean()
+
+
+def _recurse(specs: dict[str, Ewm | Wilder | Rank | Quantile]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", ignore_index=True)
         for name, spec in specs.items():
-            x = pdf[spec.source].astype(float)
-            if isinstance(spec, Ewm):
-                pdf[name] = x.ewm(span=spec.span, adjust=True, min_periods=spec.span).mean()
-            else:
-                seeded = x.copy()
-                seeded.iloc[: spec.n - 1] = float("nan")
-                if len(x) >= spec.n:
-                    seeded.iloc[spec.n - 1] = x.iloc[: spec.n].mean()
-                pdf[name] = seeded.ewm(alpha=1 / spec.n, adjust=False).mean()
+            pdf[name] = _column(pdf[spec.source].astype(float), spec)
         return pdf
 
     return run
 
 
+def _kernel(df: DataFrame, keys: list[str], specs: dict) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{k}` double" for k in specs)
+    return df.groupBy(*keys).applyInPandas(_recurse(specs), schema)
+
+
+def _nulls(df: DataFrame, names: dict) -> DataFrame:
+    """NaN of these columns as null."""
+    return df.selectExpr("*", *[f"nanvl(`{k}`, NULL) AS `{k}__`" for k in names]).drop(*names).withColumnsRenamed({f"{k}__": k for k in names})
+
+
 @dataclass
 class Plan:
     levels: list[dict] = field(default_factory=list)
@@ -132,11 +173,38 @@ class Plan:
             if plain:
                 df = df.selectExpr("*", *plain)
             if recursive:
-                schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{k}` double" for k in recursive)
-                df = df.groupBy("symbol").applyInPandas(_recurse(recursive), schema)
-                df = df.selectExpr("*", *[f"nanvl(`{k}`, NULL) AS `{k}__`" for k in recursive]).drop(*recursive).withColumnsRenamed({f"{k}__": k for k in recursive})
+                df = _nulls(_kernel(df, ["symbol"], recursive), recursive)
         return df
 
+    def long(self, bars: DataFrame, rows: int = chunks.CHUNK) -> DataFrame:
+        """The same columns for series of any length, in chunks of ``rows`` bars: as many tasks as there are chunks. Needs a time of its own for each bar of a series.
+
+        Columns that depend on a whole series (its maximum, or groups of any length) raise; a chunk must be as long as the plan looks back and ahead.
+        """
+        reach = [chunks.reach([dialect(v, True) if isinstance(v, str) else v for v in level.values()]) for level in self.levels]
+        seeds = max([v.n for level in self.levels for v in level.values() if isinstance(v, Wilder)], default=0)
+        back, ahead = (sum(r[k] for r in reach) for k in (0, 1))
+        if rows < seeds:
+            raise ValueError(f"chunks of {rows} rows are shorter than the {seeds} that an average begins with")
+        df = chunks.cut(chunks.numbered(bars), rows, back, ahead)
+        for k, level in enumerate(self.levels):
+            later = sum(r[0] for r in reach[k + 1 :])
+            text = {c: dialect(v, True) for c, v in level.items() if isinstance(v, str)}
+            carried = {c: v for c, v in level.items() if isinstance(v, Ewm | Wilder)}
+            bounded = {c: v for c, v in level.items() if isinstance(v, Rank | Quantile)}
+            if text:
+                df = chunks.plain(df, text, rows, later)
+            if carried:
+                df = chunks.recursions(df, carried, lambda s: chunks.Average(s) if isinstance(s, Ewm) else chunks.Smoothed(s), rows, later)
+            if bounded:
+                df = _kernel(df, ["symbol", "chunk"], bounded)
+            if carried or bounded:
+                df = _nulls(df, carried | bounded)
+        return df.filter("own").drop("own", "chunk", "rn")
+
+    def long_query(self, bars: DataFrame, rows: int = chunks.CHUNK) -> DataFrame:
+        return self.long(bars, rows).selectExpr("symbol", "t", *self._columns(True))
+
     def query(self, bars: DataFrame) -> DataFrame:
         return self.spark(bars).selectExpr("symbol", "t", *self._columns(True))
 
@@ -159,6 +227,14 @@ class Plan:
             if plain:
                 add(plain)
             specs = {k: v for k, v in level.items() if not isinstance(v, str)}
+            if specs:
+                ordered = {k: v for k, v in specs.items() if isinstance(v, Rank | Quantile)}
+                specs = {k: v for k, v in specs.items() if k not in ordered}
+                if ordered:
+                    ranks = {k: v for k, v in ordered.items() if isinstance(v, Rank)}
+                    if ranks:
+                        add([f"{dialect(items(v.source, v.n), False)} AS w_{k}" for k, v in ranks.items()])
+                    add([f"{dialect(rank_of(f'w_{k}', v.source, v.n) if k in ranks else quantile(v.source, v.q, v.n), False)} AS {k}" for k, v in ordered.items()])
             if specs:
                 add([f"row_number() OVER ({ORDER}) - 1 AS i_{k}, count({v.source}) {RUNNING} AS n_{k}" for k, v in specs.items()])
                 mid, last = [], []

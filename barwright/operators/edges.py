@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions.dist import t_p, t_p_sql
-from barwright.functions.dsl import ORDER, Plan, dialect, div, fill, lag, last_n, lead, quantile, rank_of, roll, items, rounded
+from barwright.functions.dsl import ORDER, Plan, Quantile, Rank, dialect, div, fill, lag, last_n, lead, quantile, roll, rounded
 from barwright.operators.features import ADX, BB, DAY, RUNS, SQUEEZE, STOCH, TP, TR, VWAP, rsi
 
 MIN_SAMPLE, ALPHA = 30, 0.05
@@ -147,7 +147,7 @@ SIGNED["mrv_07"] = ([*VWAP, forward(10)], [Signed("vwap_deviation", "(close - vw
 _levels = [{"prev": lag("close")}, {"tr": TR}, {"a14": roll("avg", "tr", 14)}, {"pa": lag("a14")}, forward(10)]
 SIGNED["vle_05"] = (_levels, [Signed(f"atr_breakout_{int(m * 10)}", f"close > prev + {m} * pa", f"close < prev - {m} * pa") for m in (1.0, 1.5, 2.0)])
 SIGNED["vle_06"] = (
-    [{"lr": f"CASE WHEN close > 0 AND {lag('close')} > 0 THEN ln(close / {lag('close')}) END"}, {"hv": f"sqrt(252) * ({roll('stddev_samp', 'lr', 20)})"}, {"lo": quantile("hv", 0.25, 100), "hi": quantile("hv", 0.75, 100)} | forward(10)],
+    [{"lr": f"CASE WHEN close > 0 AND {lag('close')} > 0 THEN ln(close / {lag('close')}) END"}, {"hv": f"sqrt(252) * ({roll('stddev_samp', 'lr', 20)})"}, {"lo": Quantile("hv", 0.25, 100), "hi": Quantile("hv", 0.75, 100)} | forward(10)],
     [Signed("regime_low", "hv < lo", "false"), Signed("regime_normal", "NOT coalesce(hv < lo, false) AND NOT coalesce(hv > hi, false)", "false"), Signed("regime_high", "hv > hi", "false")],
 )
 _round = {f"n{d}": f"{{{{rint(close / {d}e-1)¦round_even(close / {d}e-1, 0)}}}} * {d}e-1" for d in (25, 50, 100)}
@@ -183,7 +183,7 @@ def ahead(k: int) -> dict:
 
 
 CONTRASTS["vle_02"] = (
-    [{"prev": lag("close")}, {"tr": TR}, {"atrp": f"({roll('avg', 'tr', 20)}) / nullif(close, 0)"}, {"w": items("atrp", 100)}, {"rank100": f"100 * ({rank_of('w', 'atrp', 100)})"} | ahead(20)],
+    [{"prev": lag("close")}, {"tr": TR}, {"atrp": f"({roll('avg', 'tr', 20)}) / nullif(close, 0)"}, {"share100": Rank("atrp", 100)}, {"rank100": "100 * share100"} | ahead(20)],
     [Contrast(f"contraction_{p}", "range20", f"rank100 < {p}") for p in (10, 20, 30)],
 )
 CONTRASTS["vle_03"] = ([*SQUEEZE, ahead(20)], [Contrast("bollinger_squeeze", "range20", "vol_squeeze = 1")])

@@ -5,7 +5,7 @@ Formulas are the textbook ones. Comparisons with a missing value are false; rati
 
 from __future__ import annotations
 
-from barwright.functions.dsl import RUNNING, WHOLE, Ewm, Plan, Wilder, deviation, div, fill, flag, items, lag, last_n, lead, ln, quantile, rank_of, roll, root, running
+from barwright.functions.dsl import RUNNING, WHOLE, Ewm, Plan, Quantile, Rank, Wilder, deviation, div, fill, flag, items, lag, last_n, lead, ln, roll, root, running
 
 TP = "((high + low + close) / 3)"
 BODY, RANGE = "abs(close - open)", "(high - low)"
@@ -45,8 +45,7 @@ PARK = ln("high / nullif(low, 0)")
 add("pre_10", [R1, RETURNS | {"hl2": f"pow({PARK}, 2)", "co2": f"pow({ln('close / nullif(open, 0)')}, 2)"},
     {f"vol_std_{n}": roll("stddev_samp", "r1", n) for n in (5, 10, 20, 50)} | {f"vol_log_{n}": roll("stddev_samp", "lr1", n) for n in (5, 10, 20, 50)} | {f"parkinson_vol_{n}": f"sqrt({roll('sum', 'hl2', n)} / (4 * {n} * ln(2)))" for n in (5, 10, 20, 50)}
     | {f"atr_{n}": roll("avg", "tr", n) for n in (5, 10, 20, 50)} | {"gk": root("0.5 * hl2 - (2 * ln(2) - 1) * co2")},
-    {f"atr_pct_{n}": div(f"atr_{n}", "close") for n in (5, 10, 20, 50)} | {"garman_klass_vol": roll("avg", "gk", 20), "vol_ratio": div("vol_std_5", "vol_std_20"), "l20": items("vol_std_20", 20), "l50": items("vol_std_20", 50)},
-    {"vol_rank_20": rank_of("l20", "vol_std_20", 20), "vol_rank_50": rank_of("l50", "vol_std_20", 50)}],
+    {f"atr_pct_{n}": div(f"atr_{n}", "close") for n in (5, 10, 20, 50)} | {"garman_klass_vol": roll("avg", "gk", 20), "vol_ratio": div("vol_std_5", "vol_std_20"), "vol_rank_20": Rank("vol_std_20", 20), "vol_rank_50": Rank("vol_std_20", 50)}],
     [f"{a}_{n}" for a in ("vol_log", "parkinson_vol", "atr") for n in (5, 10, 20, 50)] + ["garman_klass_vol", "vol_rank_20", "vol_rank_50"], 4)
 
 # --- momentum ---
@@ -114,11 +113,11 @@ add("vol_07", [{"hl2": f"pow({PARK}, 2)"}, {"parkinson": f"sqrt(({roll('sum', 'h
 add("vol_08", [{"v": f"0.5 * pow({PARK}, 2) - (2 * ln(2) - 1) * pow({ln('close / nullif(open, 0)')}, 2)"}, {"m": roll("avg", "v", 20)}, {"garman_klass": root("m")}], ["garman_klass"])
 add("vol_09", [R1, {"o": ln("open / nullif(prev, 0)"), "c": ln("close / nullif(open, 0)"), "rs": f"pow({PARK}, 2) - 2 * pow({ln('close / nullif(open, 0)')}, 2)"}, {"v": f"({roll('var_samp', 'o', 20)}) + {0.34 / (1.34 + 21 / 19)!r}D * ({roll('var_samp', 'c', 20)}) + {1 - 0.34 / (1.34 + 21 / 19)!r}D * ({roll('avg', 'rs', 20)})".replace("D *", "e0 *")}, {"yang_zhang": root("v")}], ["yang_zhang"])
 add("vol_10", [R1, RETURNS, {"s5": roll("stddev_samp", "lr1", 5), "s20": roll("stddev_samp", "lr1", 20)}, {"vol_ratio": div("s5", "s20")}], ["vol_ratio"], 4)
-PCTL = [*HV, {"l252": items("hist_vol_20", 252)}, {"vol_percentile": f"100 * ({rank_of('l252', 'hist_vol_20', 252)})"}]
+PCTL = [*HV, {"rank252": Rank("hist_vol_20", 252)}, {"vol_percentile": "100 * rank252"}]
 add("vol_11", PCTL, ["vol_percentile"], 4)
 SQUEEZE = [*BB, *KC, {"vol_squeeze": flag("bb_upper < kc_upper AND bb_lower > kc_lower")}]
 add("vol_12", SQUEEZE, {"vol_squeeze": None})
-add("vol_13", [*BB, *PCTL, {"q": quantile("bb_bandwidth", 0.2, 20)}, {"bb_squeeze": flag("bb_bandwidth < q - 1e-12"), "bb_upper_touch": flag("close >= bb_upper * 0.99"), "bb_lower_touch": flag("close <= bb_lower * 1.01"),
+add("vol_13", [*BB, *PCTL, {"q": Quantile("bb_bandwidth", 0.2, 20)}, {"bb_squeeze": flag("bb_bandwidth < q - 1e-12"), "bb_upper_touch": flag("close >= bb_upper * 0.99"), "bb_lower_touch": flag("close <= bb_lower * 1.01"),
                "vol_regime": "CASE WHEN vol_percentile > 0 AND vol_percentile <= 25 THEN 'low' WHEN vol_percentile <= 75 THEN 'normal' WHEN vol_percentile <= 100 THEN 'high' ELSE 'nan' END"}], dict.fromkeys(["bb_squeeze", "bb_upper_touch", "bb_lower_touch", "vol_regime"]))
 
 # --- volume ---

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwright.functions.dsl import Ewm, Plan
+from barwright.functions.dsl import ORDER, Ewm, Plan, fill, last_n
 from barwright.operators import report
 from barwright.plans.edges import detect, detect_sql
-from barwright.plans.registry import query
+from barwright.plans.registry import ORACLES, query
 from barwright.sources import bars as source
 from barwright.sources.bars import BARS_H1, bars_h1, shared
 
@@ -184,6 +184,19 @@ def win_09(bars: DataFrame) -> DataFrame:
     return holes.select("symbol", "t", F.last("x", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0)).alias("filled")).select("symbol", "t", _six("filled"))
 
 
+#: The windows of win_02, win_04, win_08 and win_09 as plans, by chunks of rows with halos and carried states.
+_LONG = {
+    "win_02": (Plan([{"mean10": f"avg(close) {last_n(10)}", "high10": f"max(high) {last_n(10)}", "n": f"count(*) {last_n(10)}"}]), "n = 10", ["mean10", "high10"]),
+    "win_04": (Plan([{"top": f"max(high) OVER ({ORDER} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)", "n": f"count(*) OVER ({ORDER} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"}]), "n = 11 AND high = top", []),
+    "win_08": (Plan([{"ewm": Ewm("close", 12)}]), "ewm IS NOT NULL", ["ewm"]),
+    "win_09": (Plan([{"x": "CASE WHEN t % 3 = 0 THEN close END"}, {"filled": fill("x")}]), "true", ["filled"]),
+}
+for _name, (_plan, _kept, _columns) in _LONG.items():
+    query(f"{_name}_long", ORACLES[_name])(
+        lambda spark, sf_dir, plan=_plan, kept=_kept, columns=_columns: plan.long(bars_h1(spark, sf_dir), 128).filter(kept).select("symbol", "t", *map(_six, columns))
+    )
+
+
 @window("win_10", "SELECT symbol, t, (SELECT count(*) FROM b z WHERE z.symbol = b.symbol AND (z.volume > b.volume OR (z.volume = b.volume AND z.t <= b.t)))::BIGINT AS place FROM b")
 def win_10(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "t", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("volume"), "t")).cast("long").alias("place"))
