@@ -6,6 +6,7 @@ Series are partitioned by symbol throughout, so no symbol sees another's rows.
 
 from __future__ import annotations
 
+from barwright.config import Validation
 from barwright.functions.dist import chi2_p_sql, normal_p_sql, t_p_sql
 from barwright.functions.dsl import rounded as _r
 
@@ -38,10 +39,14 @@ PAIRS = f"{RETURNS}, ab AS (SELECT concat(a.symbol, '/', b.symbol) AS pair, a.sy
 HALVES = f"{RETURNS}, h AS (SELECT symbol, t, y, row_number() {W} AS rn FROM x)"
 RANKED = "k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY v) + (count(*) OVER (PARTITION BY symbol, v) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY symbol, v) AS ties FROM g)"
 FOLDS = "n AS (SELECT symbol, count(*) AS rows_all FROM BARS GROUP BY symbol)"
-#: Every row once for each fold that it lies in, to the end of its series (in Spark; the DuckDB form joins the first 41 folds). Folds that the series ends in are kept.
-IN_FOLDS = "f AS (SELECT {{*, explode(sequence(greatest((rn - 295) DIV 21, 0), (rn - 1) DIV 21))¦unnest(range(0, 41))}} AS k{{ FROM h¦}})"
+#: Every bar once for each fold that it lies in, of the folds that end within its series.
+IN_FOLDS = (
+    f"{RETURNS.split(', x AS')[0]}, h AS (SELECT symbol, y, row_number() {W} AS rn, count(*) OVER (PARTITION BY symbol) AS rows_all FROM x0), "
+    "f0 AS (SELECT *, greatest((rn - 295) {{DIV¦//}} 21, 0) AS a, least((rn - 1) {{DIV¦//}} 21, (rows_all - 315) {{DIV¦//}} 21) AS z FROM h WHERE rows_all >= 315), "
+    "f AS (SELECT symbol, y, rn, {{explode(sequence(a, z))¦unnest(generate_series(a, z))}} AS k FROM f0 WHERE a <= z)"
+)
 #: Replicates of a resampled statistic, steps of a simulated path, permutations.
-REPLICATES, STEPS, PERMUTATIONS = 1000, 252, 500
+REPLICATES, PATHS, STEPS, PERMUTATIONS = Validation().bootstrap, 1000, 252, Validation().bootstrap
 QUANTILES, LAST = (5, 25, 50, 75, 95), "last"
 
 
@@ -76,10 +81,10 @@ def quantile_of(x: str, q: float) -> str:
     return f"{{{{percentile({x}, {q})¦quantile_cont({x}, {q})}}}}"
 
 
-def _boot(stat: str, name: str) -> str:
-    """As many draws with replacement as the series has returns, for each replicate; the statistic of the series itself stands beside those of the replicates."""
+def boot_sql(stat: str, name: str, least: int = 10) -> str:
+    """DuckDB form of :mod:`barwright.operators.bootstrap` for series of one part: a row for each draw, as many as the series has returns, for each replicate."""
     return (
-        f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, {stat} AS observed FROM h GROUP BY symbol HAVING count(*) >= 10), "
+        f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, {stat} AS observed FROM h GROUP BY symbol HAVING count(*) >= {least}), "
         f"bs AS (SELECT symbol, n, {series(REPLICATES)} AS b FROM c), g AS (SELECT symbol, n, b, {series('n')} AS i FROM bs), {draws('g', 'symbol, n')}, "
         f"v AS (SELECT w.symbol, w.b, h.y FROM w JOIN h ON h.symbol = w.symbol AND h.rn = w.u % w.n + 1), s AS (SELECT symbol, b, {stat} AS s FROM v GROUP BY symbol, b), "
         f"a AS (SELECT symbol, count(*) AS n_bootstrap, avg(s) AS m, stddev_pop(s) AS sd, {quantile_of('s', 0.025)} AS lo, {quantile_of('s', 0.975)} AS hi, avg(CASE WHEN s <= 0 THEN 1e0 ELSE 0e0 END) AS down, avg(CASE WHEN s >= 0 THEN 1e0 ELSE 0e0 END) AS up FROM s GROUP BY symbol), "
@@ -163,30 +168,31 @@ SELECT symbol, edge_key, n, {r("m", "mean_return")}, {r("sd", "std_return")}, {r
     "par_10": f"WITH {PAIRS}, m AS (SELECT t, sa, sb, ya - yb AS v FROM ab), l AS (SELECT t, sa AS ccy, v FROM m UNION ALL SELECT t, sb AS ccy, -v AS v FROM m), a AS (SELECT t, ccy, {_r('avg(v)', 9)} AS s FROM l GROUP BY t, ccy), k AS (SELECT t, ccy, row_number() OVER (PARTITION BY t ORDER BY s DESC, ccy) AS hi, row_number() OVER (PARTITION BY t ORDER BY s, ccy) AS lo FROM a) SELECT t, max(CASE WHEN hi = 1 THEN ccy END) AS strongest, max(CASE WHEN lo = 1 THEN ccy END) AS weakest FROM k GROUP BY t",
     # folds
     "wfo_01": f"WITH {FOLDS}, k AS (SELECT {{{{symbol AS of, explode(sequence(0, greatest(rows_all - 315, 0) DIV 21))¦unnest(range(0, 41))}}}} AS k{{{{ FROM n¦}}}}) SELECT symbol, CAST(k AS BIGINT) AS fold, CAST(k * 21 AS BIGINT) AS train_start, CAST(k * 21 + 252 AS BIGINT) AS train_end, CAST(k * 21 + 315 AS BIGINT) AS test_end FROM n {{{{JOIN k ON symbol = of¦CROSS JOIN k}}}} WHERE k * 21 + 315 <= rows_all",
-    "wfo_02": f"WITH {HALVES}, {IN_FOLDS} SELECT symbol, CAST(k AS BIGINT) AS fold, CASE WHEN rn <= k * 21 + 252 THEN 'train' ELSE 'test' END AS role, count(*) AS n, {r('avg(y)', 'mean_return')}, {r('avg(y) / nullif(stddev_samp(y), 0) * sqrt(252)', 'sharpe', 4)} FROM {{{{f¦h JOIN f ON rn > k * 21 AND rn <= k * 21 + 315}}}} GROUP BY ALL",
-    "wfo_03": f"WITH {HALVES}, {IN_FOLDS}, m AS (SELECT symbol, k, avg(CASE WHEN rn <= k * 21 + 252 THEN y END) AS tr, avg(CASE WHEN rn > k * 21 + 252 THEN y END) AS te FROM {{{{f¦h JOIN f ON rn > k * 21 AND rn <= k * 21 + 315}}}} GROUP BY symbol, k) SELECT symbol, count(*) AS folds, {r('avg(tr)', 'train_mean')}, {r('avg(te)', 'test_mean')}, {r('stddev_pop(te)', 'test_std')}, {r('avg(te) / nullif(avg(tr), 0)', 'efficiency', 3)}, CASE WHEN avg(te) < 0.5 * avg(tr) THEN 'overfit' ELSE 'stable' END AS verdict FROM m GROUP BY symbol",
+    "wfo_02": f"WITH {IN_FOLDS} SELECT symbol, CAST(k AS BIGINT) AS fold, CASE WHEN rn <= k * 21 + 252 THEN 'train' ELSE 'test' END AS role, count(y) AS n, {r('avg(y)', 'mean_return')}, {r('avg(y) / nullif(stddev_samp(y), 0) * sqrt(252)', 'sharpe', 4)}, {r('avg(CASE WHEN y > 0 THEN 1e0 WHEN y <= 0 THEN 0e0 END)', 'win_rate')} FROM f GROUP BY ALL",
+    "wfo_03": f"WITH {IN_FOLDS}, g AS (SELECT symbol, k, CASE WHEN rn <= k * 21 + 252 THEN 0 ELSE 1 END AS oos, avg(y) AS m, coalesce(avg(y) / nullif(stddev_samp(y), 0) * sqrt(252), 0) AS s FROM f GROUP BY ALL), "
+    f"m AS (SELECT symbol, count(CASE WHEN oos = 1 THEN 1 END) AS folds, avg(CASE WHEN oos = 0 THEN m END) AS tr, avg(CASE WHEN oos = 1 THEN m END) AS te, avg(CASE WHEN oos = 0 THEN s END) AS tr_s, avg(CASE WHEN oos = 1 THEN s END) AS te_s, stddev_pop(CASE WHEN oos = 1 THEN s END) AS sd_s, avg(CASE WHEN oos = 1 AND s > 0 THEN 1e0 WHEN oos = 1 THEN 0e0 END) AS steady FROM g GROUP BY symbol), "
+    f"u AS (SELECT *, coalesce(te_s / nullif(tr_s, 0), 0) AS eff, coalesce((tr_s - te_s) / nullif(tr_s, 0), 0) AS lost FROM m) SELECT symbol, folds, {r('tr', 'train_mean')}, {r('te', 'test_mean')}, {r('tr_s', 'is_sharpe_mean', 4)}, {r('te_s', 'oos_sharpe_mean', 4)}, {r('sd_s', 'oos_sharpe_std', 4)}, {r('eff', 'efficiency', 3)}, {r('tr_s - te_s', 'degradation', 4)}, {r('lost', 'degradation_pct', 3)}, {r('steady', 'fold_consistency')}, eff < 0.5 AS is_overfitted, "
+    f"concat_ws('; ', CASE WHEN eff < 0.3 THEN 'very low efficiency' WHEN eff < 0.5 THEN 'low efficiency' END, CASE WHEN lost > 0.7 THEN 'large degradation out of sample' END, CASE WHEN steady < 0.5 THEN 'inconsistent across folds' END) AS warnings FROM u",
     "wfo_04": f"WITH {FOLDS}, k AS (SELECT {{{{explode(sequence(1, 5))¦unnest(range(1, 6))}}}} AS k) SELECT symbol, CAST(k AS BIGINT) AS fold, CAST(floor(rows_all / 6e0) * k AS BIGINT) AS train_end, CAST(CASE WHEN k = 5 THEN rows_all ELSE floor(rows_all / 6e0) * (k + 1) END AS BIGINT) AS test_end FROM n CROSS JOIN k",
     "wfo_05": f"WITH {FOLDS}, k AS (SELECT {{{{explode(sequence(0, 4))¦unnest(range(0, 5))}}}} AS k), s AS (SELECT symbol, k, rows_all, CAST(floor(rows_all / 5e0) AS BIGINT) AS size FROM n CROSS JOIN k), b AS (SELECT symbol, k, rows_all, size * k AS a, CASE WHEN k = 4 THEN rows_all ELSE size * (k + 1) END AS z FROM s) SELECT symbol, CAST(k AS BIGINT) AS fold, a AS test_start, z AS test_end, greatest(a - 10, 0) + greatest(rows_all - z - 5, 0) AS train_rows FROM b",
     # resampling
-    "boo_01": _boot("avg(y)", "mean"),
-    "boo_02": _boot("avg(y) / nullif(stddev_pop(y), 0) * sqrt(252)", "sharpe"),
-    "boo_03": _boot("avg(CASE WHEN y > 0 THEN 1e0 ELSE 0e0 END) - 0.5", "win_rate_over_half"),
-    "boo_04": f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n FROM h GROUP BY symbol HAVING count(*) >= 30), bs AS (SELECT symbol, n, {series(REPLICATES)} AS b FROM c), g AS (SELECT symbol, n, b, {series(STEPS)} AS i FROM bs), {draws('g', 'symbol, n')}, v AS (SELECT w.symbol, w.b, w.i, h.y FROM w JOIN h ON h.symbol = w.symbol AND h.rn = w.u % w.n + 1), "
+    "boo_04": f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n FROM h GROUP BY symbol HAVING count(*) >= 30), bs AS (SELECT symbol, n, {series(PATHS)} AS b FROM c), g AS (SELECT symbol, n, b, {series(STEPS)} AS i FROM bs), {draws('g', 'symbol, n')}, v AS (SELECT w.symbol, w.b, w.i, h.y FROM w JOIN h ON h.symbol = w.symbol AND h.rn = w.u % w.n + 1), "
     f"e AS (SELECT symbol, b, i, sum({GROWTH}) OVER (PARTITION BY symbol, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grown FROM v), k AS (SELECT symbol, b, i, grown, greatest(max(grown) OVER (PARTITION BY symbol, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS peak FROM e), "
     f"f AS (SELECT symbol, b, exp(max(CASE WHEN i = {STEPS - 1} THEN grown END)) AS last, exp(least(min(grown - peak), 0)) - 1 AS dd FROM k GROUP BY symbol, b), "
     f"z AS (SELECT symbol, count(*) AS n_paths, {', '.join(f'{quantile_of(LAST, q / 100)} AS q{q:02d}' for q in QUANTILES)}, avg(last) AS m, stddev_pop(last) AS sd, avg(CASE WHEN last > 1 THEN 1e0 ELSE 0e0 END) AS up, avg(dd) AS dd, {quantile_of('dd', 0.05)} AS worst FROM f GROUP BY symbol) "
     f"SELECT symbol, n_paths, {', '.join(sig(f'q{q:02d}', f'p{q:02d}') for q in QUANTILES)}, {sig('m', 'mean_final')}, {sig('sd', 'std_final')}, {r('up', 'prob_profit')}, {r('dd', 'expected_max_dd')}, {r('worst', 'worst_case_dd')} FROM z",
-    "boo_06": _boot("avg(y) - 0.001", "mean_over_target"),
 }
 
 SQL["pre_12"] = SQL["join_02"]
-SQL["boo_05"] = (
-    f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, count(CASE WHEN rn % 2 = 0 THEN 1 END) AS n1, sum(y) AS total, avg(CASE WHEN rn % 2 = 0 THEN y END) - avg(CASE WHEN rn % 2 = 1 THEN y END) AS obs FROM h GROUP BY symbol HAVING count(*) >= 30), "
+#: DuckDB form of the permutations: the first n1 rows of a random order are group one, so a permutation keeps the sizes of both groups.
+PERMUTED_SQL = (
+    f"WITH {HALVES}, c AS (SELECT symbol, count(*) AS n, count(CASE WHEN rn % 2 = 0 THEN 1 END) AS n1, avg(CASE WHEN rn % 2 = 0 THEN y END) - avg(CASE WHEN rn % 2 = 1 THEN y END) AS obs, "
+    f"quantile_cont(CASE WHEN rn % 2 = 0 THEN y END, 0.5) - quantile_cont(CASE WHEN rn % 2 = 1 THEN y END, 0.5) AS obs_median FROM h GROUP BY symbol HAVING count(*) >= 30), "
     f"bs AS (SELECT symbol, n1, {series(PERMUTATIONS)} AS b FROM c), g AS (SELECT h.symbol, bs.n1, bs.b, h.rn AS i, h.y FROM h JOIN bs ON h.symbol = bs.symbol), {draws('g', 'symbol, n1, y')}, "
-    # A permutation keeps the sizes of both groups: the first n1 rows of a random order are group one.
     f"o AS (SELECT symbol, b, y, CASE WHEN row_number() OVER (PARTITION BY symbol, b ORDER BY u, i) <= n1 THEN 1 ELSE 0 END AS one FROM w), "
-    f"s AS (SELECT symbol, b, avg(CASE WHEN one = 1 THEN y END) - avg(CASE WHEN one = 0 THEN y END) AS s FROM o GROUP BY symbol, b) "
-    f"SELECT s.symbol, count(*) AS n_permutations, {r('max(c.obs)', 'observed')}, {r('avg(s)', 'permutation_mean')}, {r('stddev_pop(s)', 'permutation_std')}, {r(quantile_of('s', 0.025), 'ci_lo')}, {r(quantile_of('s', 0.975), 'ci_hi')}, {r('avg(CASE WHEN abs(s) >= abs(c.obs) THEN 1e0 ELSE 0e0 END)', 'p_value')} FROM s JOIN c ON s.symbol = c.symbol GROUP BY s.symbol"
+    f"s AS (SELECT symbol, b, avg(CASE WHEN one = 1 THEN y END) - avg(CASE WHEN one = 0 THEN y END) AS s, quantile_cont(CASE WHEN one = 1 THEN y END, 0.5) - quantile_cont(CASE WHEN one = 0 THEN y END, 0.5) AS sm FROM o GROUP BY symbol, b) "
+    f"SELECT s.symbol, count(*) AS n_permutations, {r('max(c.obs)', 'observed')}, {r('avg(s)', 'permutation_mean')}, {r('stddev_pop(s)', 'permutation_std')}, {r(quantile_of('s', 0.025), 'ci_lo')}, {r(quantile_of('s', 0.975), 'ci_hi')}, {r('avg(CASE WHEN abs(s) >= abs(c.obs) THEN 1e0 ELSE 0e0 END)', 'p_value')}, "
+    f"{r('max(c.obs_median)', 'observed_median')}, {r('avg(CASE WHEN abs(sm) >= abs(c.obs_median) THEN 1e0 ELSE 0e0 END)', 'median_p_value')} FROM s JOIN c ON s.symbol = c.symbol GROUP BY s.symbol"
 )
 SQL["vlm_01"] = "SELECT symbol, t, coalesce(volume, 1) AS volume FROM BARS"
 SQL["src_10"] = "SELECT symbol, t, close FROM BARS WHERE t % 24 < 6 AND volume > 1"

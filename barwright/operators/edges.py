@@ -51,16 +51,26 @@ def _result_columns() -> list[str]:
     return [f"{rounded('mean_return')} AS mean_return", f"{rounded('std_return')} AS std_return", f"{rounded('t_statistic', 5)} AS t_statistic", f"{rounded('p_value', 5)} AS p_value", f"{rounded('win_rate')} AS win_rate", f"{rounded('sharpe_ratio', 5)} AS sharpe_ratio", f"coalesce(p_value < {ALPHA}, false) AS is_significant"]
 
 
-def signed_spark(levels: list[dict], edges: list[Signed], bars: DataFrame) -> DataFrame:
+def signed_cells(levels: list[dict], edges: list[Signed], bars: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The signed returns of every test: symbol, edge_key, scale, r, and, if columns of the bars are kept, those and ``side`` (0 for up, 1 for down)."""
     df = Plan(levels).spark(bars)
-    cells = [f"'{e.key}', CAST({e.scale()!r} AS DOUBLE), CAST(CASE WHEN {mask} THEN {sign}{e.returns()} END AS DOUBLE)" for e in edges for mask, sign in ((e.up, ""), (e.down, "-"))]
-    rows = df.selectExpr("symbol", dialect(f"stack({len(cells)}, {', '.join(cells)}) AS (edge_key, scale, r)", True)).filter("r IS NOT NULL")
+    cells = [f"'{e.key}', CAST({e.scale()!r} AS DOUBLE), {side}, CAST(CASE WHEN {mask} THEN {sign}{e.returns()} END AS DOUBLE)" for e in edges for side, (mask, sign) in enumerate(((e.up, ""), (e.down, "-")))]
+    rows = df.selectExpr("symbol", *(keep or []), dialect(f"stack({len(cells)}, {', '.join(cells)}) AS (edge_key, scale, side, r)", True)).filter("r IS NOT NULL")
+    return rows if keep else rows.drop("side")
+
+
+def signed_results(rows: DataFrame) -> DataFrame:
+    """One row for each series and test with enough returns."""
     out = rows.groupBy("symbol", "edge_key", "scale").agg(F.count("*").alias("n"), F.avg("r").alias("mean_return"), F.stddev_samp("r").alias("std_return"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate")).filter(F.col("n") >= MIN_SAMPLE)
     out = out.withColumn("t_statistic", F.expr("mean_return / nullif(std_return / sqrt(n), 0)"))
     out = out.withColumns({"p_value": t_p(F.col("t_statistic"), F.col("n") - 1), "sharpe_ratio": F.expr("coalesce(mean_return / nullif(std_return, 0) * scale, 0D)")})
     return out.selectExpr("symbol", "edge_key", "n", *_result_columns())
 
 
+def signed_spark(levels: list[dict], edges: list[Signed], bars: DataFrame) -> DataFrame:
+    return signed_results(signed_cells(levels, edges, bars))
+
+
 def signed_sql(levels: list[dict], edges: list[Signed], base: str) -> str:
     inner = Plan(levels, {}).sql(base)
     inner = inner[: inner.rindex(" SELECT symbol, t, ")] + " "

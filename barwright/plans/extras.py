@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.operators import learning, report
+from barwright.operators import learning, report, validation
 from barwright.plans.registry import ORACLES, QUERIES, query
 from barwright.sources import bars
 from barwright.sources.bars import shared
@@ -132,11 +132,10 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_json(QUERIES["eng_03"](spark, sf_dir))
 
 
-@query("eng_04", f"SELECT e.symbol, count(*) AS validated, max(b.bootstrap_mean) AS bootstrap_mean, max(b.ci_lo) AS ci_lo, max(b.ci_hi) AS ci_hi FROM ({ORACLES['eng_03']}) e JOIN ({ORACLES['boo_01']}) b ON e.symbol = b.symbol WHERE e.is_significant GROUP BY e.symbol")
+@query("eng_04")
 def eng_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Significant edges of each symbol beside the bootstrap of its returns."""
-    found = QUERIES["eng_03"](spark, sf_dir).filter("is_significant").groupBy("symbol").agg(F.count("*").alias("validated"))
-    return found.join(QUERIES["boo_01"](spark, sf_dir), "symbol").select("symbol", "validated", "bootstrap_mean", "ci_lo", "ci_hi")
+    """Every significant signed edge with the bootstrap of its mean and its walk-forward folds."""
+    return validation.validate(bars.bars_h1(spark, sf_dir))
 
 
 @query("src_11", "SELECT o_orderkey AS ticket, (epoch(o_orderdate) / 3600)::BIGINT AS t, o_orderpriority AS symbol, o_orderstatus AS type, o_totalprice AS price FROM orders")

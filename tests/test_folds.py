@@ -23,20 +23,21 @@ def test_folds_run_to_the_end_of_the_series(spark, bars):
     assert got == sorted((s, k, k * 21, k * 21 + 252, k * 21 + 315) for s, n in BARS.items() for k in range(n) if k * 21 + 315 <= n)
 
 
-def test_every_fold_has_its_rows(spark, bars):
+def test_complete_folds_alone_have_rows(spark, bars):
     x = pd.DataFrame(rows(), columns=["symbol", "t", "close", "high", "low", "volume"])
     x["y"] = x.groupby("symbol").close.pct_change()
-    want, means = {}, {}
-    for s, own in x.dropna().groupby("symbol"):
-        y = own.y.to_numpy()
-        for k in range(-(-len(y) // 21)):
+    want, sharpes = {}, {}
+    for s, own in x.groupby("symbol"):
+        y = own.y
+        for k in range((len(y) - 315) // 21 + 1 if len(y) >= 315 else 0):
             for role, part in (("train", y[k * 21 : k * 21 + 252]), ("test", y[k * 21 + 252 : k * 21 + 315])):
-                if len(part):
-                    want[s, k, role] = (len(part), part.mean())
-                    means.setdefault((s, role), []).append(part.mean())
+                want[s, k, role] = (part.count(), part.mean())
+                sharpes.setdefault((s, role), []).append(part.mean() / part.std() * 252**0.5)
     got = {(r.symbol, r.fold, r.role): (r.n, r.mean_return) for r in run(spark, SQL["wfo_02"], bars).collect()}
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and {k[0] for k in got} == {"long", "short"}
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
     for r in run(spark, SQL["wfo_03"], bars).collect():
-        train = means[r.symbol, "train"]
-        assert r.folds == len(train) and abs(r.train_mean - sum(train) / len(train)) < 2e-6
+        inside, outside = (pd.Series(sharpes[r.symbol, role]) for role in ("train", "test"))
+        assert r.folds == len(inside) and abs(r.is_sharpe_mean - inside.mean()) < 1e-3 and abs(r.oos_sharpe_std - outside.std(ddof=0)) < 1e-3
+        assert abs(r.efficiency - outside.mean() / inside.mean()) < 2e-3 and r.is_overfitted == (outside.mean() / inside.mean() < 0.5)
+        assert ("inconsistent" in r.warnings) == ((outside > 0).mean() < 0.5)

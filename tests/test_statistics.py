@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 
 from barwright.functions import dist
-from barwright.operators.analytics import PERMUTATIONS, REPLICATES, SQL, STEPS
-from barwright.plans.analytics import run
+from barwright.operators.analytics import PATHS, PERMUTATIONS, REPLICATES, SQL, STEPS
+from barwright.plans.analytics import resampled, run, shuffled
 
 N = 360
 
@@ -172,9 +172,11 @@ def test_histogram_spans_all_returns(returns, frame, spark):
         assert got.sum() == len(y) and abs(got - want).max() <= 1
 
 
-def test_resampling_draws_as_many_as_there_are(returns, ask):
+def test_resampling_draws_as_many_as_there_are(spark, frame, returns, ask):
     """Means and spreads of replicates are known in closed form."""
-    mean, rate, over, paths, shuffled = (ask(f"boo_0{k}") for k in (1, 3, 6, 4, 5))
+    bars = spark.createDataFrame(frame).repartition(3)
+    mean, rate, over = ({r.symbol: r for r in resampled(bars, s).collect()} for s in ("mean", "win_rate_over_half", "mean_over_target"))
+    paths, permuted = ask("boo_04"), {r.symbol: r for r in shuffled(bars).collect()}
     for s, y in returns.items():
         spread = y.std() / math.sqrt(len(y))
         assert mean[s].n_bootstrap == REPLICATES
@@ -186,15 +188,18 @@ def test_resampling_draws_as_many_as_there_are(returns, ask):
         assert abs(rate[s].bootstrap_std / math.sqrt(p * (1 - p) / len(y)) - 1) < 0.12
         near(over[s].observed_value, y.mean() - 0.001)
         growth = np.log1p(y)
-        assert paths[s].n_paths == REPLICATES and -1 <= paths[s].worst_case_dd <= paths[s].expected_max_dd < 0
-        assert abs(math.log(paths[s].p50) - STEPS * growth.mean()) < 5 * 1.25 * growth.std() * math.sqrt(STEPS / REPLICATES)
+        assert paths[s].n_paths == PATHS and -1 <= paths[s].worst_case_dd <= paths[s].expected_max_dd < 0
+        assert abs(math.log(paths[s].p50) - STEPS * growth.mean()) < 5 * 1.25 * growth.std() * math.sqrt(STEPS / PATHS)
         assert paths[s].p05 < paths[s].p25 < paths[s].p50 < paths[s].p75 < paths[s].p95
         a, b = halves(y)
         rng = np.random.default_rng(1)
         other = np.array([(z := rng.permutation(y))[: len(a)].mean() - z[len(a) :].mean() for _ in range(4000)])
-        near(shuffled[s].observed, a.mean() - b.mean())
-        assert shuffled[s].n_permutations == PERMUTATIONS and abs(shuffled[s].permutation_std / other.std() - 1) < 0.12
-        assert abs(shuffled[s].p_value - (abs(other) >= abs(a.mean() - b.mean())).mean()) < 5 * 0.5 / math.sqrt(PERMUTATIONS)
+        near(permuted[s].observed, a.mean() - b.mean())
+        near(permuted[s].observed_median, np.median(a) - np.median(b))
+        middle = np.array([np.median((z := rng.permutation(y))[: len(a)]) - np.median(z[len(a) :]) for _ in range(4000)])
+        assert abs(permuted[s].median_p_value - (abs(middle) >= abs(np.median(a) - np.median(b))).mean()) < 5 * 0.5 / math.sqrt(4000)
+        assert permuted[s].n_permutations == PERMUTATIONS and abs(permuted[s].permutation_std / other.std() - 1) < 0.12
+        assert abs(permuted[s].p_value - (abs(other) >= abs(a.mean() - b.mean())).mean()) < 5 * 0.5 / math.sqrt(4000)
 
 
 def test_volume_profile_and_regime_of_a_trend(spark):
