@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from barwright.functions.dist import binomial_sf, t_p
 from barwright.functions.dsl import Plan, div, lag, lead, roll
 from barwright.operators.edges import Contrast, merged
 from barwright.operators.features import PLANS
-from barwright.sources.bars import shared
+from barwright.sources.bars import kept
 
 #: Plans whose columns are a model's features: they look back only.
 PLANS_OF_FRAME = ("mom_02", "mom_03", "mom_04", "mom_05", "mom_06", "mom_07", "mom_08", "mom_09", "trd_03", "trd_05", "trd_08", "vol_02", "vol_03", "vol_06", "vol_07", "vol_08", "vol_10", "vlm_02", "vlm_06", "cnd_01")
@@ -118,12 +119,13 @@ def direction(bars: DataFrame, model: str = "forest", test_share: float = 0.3, a
     return _row(spark, model, {"n": row["n"], "m": row["m"], "s": row["s"], "t": (share - 0.5) / (0.25 / row["n"]) ** 0.5, "p": p, "w": share, "sharpe": sharpe, "sig": bool(p < 0.05 and share > 0.52)})
 
 
-def regimes(bars: DataFrame, k: int = 3) -> DataFrame:
-    """Every bar with its ``regime``: clusters of standardised volatility, trend strength and 20-bar return."""
+def regimes(bars: DataFrame, k: int = 3, starts: int = 5) -> DataFrame:
+    """Every bar with its ``regime``: clusters of standardised volatility, trend strength and 20-bar return, those of least cost out of several starts."""
     data, names = frame(bars, columns=REGIME)
     data = VectorAssembler(inputCols=names, outputCol="raw").transform(data)
-    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data).transform(data)
-    return KMeans(k=k, seed=42).fit(data).transform(data).select("symbol", "t", *names, "f", F.col("prediction").alias("regime"))
+    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data).transform(data).cache()
+    best = min((KMeans(k=k, seed=seed, maxIter=50).fit(data) for seed in range(1, starts + 1)), key=lambda m: m.summary.trainingCost)
+    return best.transform(data).select("symbol", "t", *names, "f", F.col("prediction").alias("regime"))
 
 
 def regime_edges(bars: DataFrame, k: int = 3, ahead: int = 10) -> DataFrame:
@@ -160,22 +162,53 @@ def _depth(x: np.ndarray, tree: tuple, at: int = 0) -> np.ndarray:
     return out
 
 
+def _samples(names: list[str], trees: int, sample: int):
+    """Of the rows of a task, those with the least hashes for each tree: no tree can need others."""
+    tree_keys = (np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, x = np.zeros((0, trees), np.uint64), np.zeros((0, trees, len(names)))
+        for pdf in batches:
+            own = pdf["hash"].to_numpy(np.int64).view(np.uint64)[:, None] ^ tree_keys
+            own = (own ^ (own >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            own = (own ^ (own >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = np.concatenate([h, own ^ (own >> np.uint64(31))])
+            rows = np.broadcast_to(pdf[names].to_numpy(float)[:, None, :], (len(pdf), trees, len(names)))
+            least = np.argsort(h, axis=0, kind="stable")[:sample]
+            x = np.take_along_axis(np.concatenate([x, rows]), least[:, :, None], axis=0)
+            h = np.take_along_axis(h, least, axis=0)
+        for k in range(trees):
+            yield pd.DataFrame({"tree": k, "h": h[:, k].view(np.int64), **{c: x[:, k, j] for j, c in enumerate(names)}})
+
+    return run
+
+
+def isolation_forest(data: DataFrame, names: list[str], trees: int = 100, sample: int = 256) -> tuple[list[tuple], int]:
+    """Trees over ``sample`` rows each, drawn from the whole of ``data`` (with a ``hash`` of each row), and how many rows a tree has. Trees are grown in tasks of their own."""
+    drawn = data.mapInPandas(_samples(names, trees, sample), "tree int, h long, " + ", ".join(f"`{c}` double" for c in names))
+
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        least = pdf.assign(u=pdf["h"].to_numpy(np.int64).view(np.uint64)).nsmallest(sample, "u").sort_values("u")
+        tree = _tree(least[names].to_numpy(float), np.random.default_rng([42, int(key[0])]), 8)
+        return pd.DataFrame({"tree": [key[0]], "rows": [len(least)], "grown": [pickle.dumps(tree)]})
+
+    grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, rows int, grown binary").orderBy("tree").collect()
+    return [pickle.loads(bytes(r.grown)) for r in grown], max((r.rows for r in grown), default=0)
+
+
 def anomalies(bars: DataFrame, trees: int = 100, sample: int = 256, share: float = 0.05) -> DataFrame:
-    """Isolation forest: trees on ``sample`` rows each, out of at most ``8 * sample``; all rows scored in Arrow batches, the highest ``share`` flagged."""
+    """Isolation forest: trees on ``sample`` rows each, drawn from all rows; all rows scored in Arrow batches, the highest ``share`` flagged."""
     data, names = frame(bars, columns=ANOMALY)
-    rows = np.array([[r[c] for c in names] for r in data.orderBy(F.xxhash64("symbol", "t")).limit(sample * 8).collect()])
-    rng = np.random.default_rng(42)
-    forest = [_tree(rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], rng, 8) for _ in range(trees)] if len(rows) else []
-    norm = _expected(min(sample, len(rows))) or 1.0
+    data = kept(data.withColumn("hash", F.xxhash64("symbol", "t")), "anomaly-rows")
+    forest, rows = isolation_forest(data, names, trees, sample)
+    norm = _expected(rows) or 1.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[names].to_numpy()
             yield pdf[["symbol", "t", "f"]].assign(score=2 ** (-np.mean([_depth(x, t) for t in forest], axis=0) / norm))
 
-    path = shared(bars.sparkSession, "anomaly-scores")
-    data.mapInPandas(score, "symbol string, t double, f double, score double").write.parquet(path)
-    scored = bars.sparkSession.read.parquet(path)
+    scored = kept(data.mapInPandas(score, "symbol string, t double, f double, score double"), "anomaly-scores")
     cut = scored.agg(F.percentile("score", F.lit(1 - share)).alias("cut"))
     return scored.join(F.broadcast(cut)).select("symbol", F.col("t").cast("long").alias("t"), "f", "score", (F.col("score") > F.col("cut")).alias("is_anomaly"))
 

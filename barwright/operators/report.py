@@ -7,11 +7,12 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.operators.edges import type_sql
+
 
 def summary(edges: DataFrame) -> DataFrame:
-    """Tests and significant tests by family, the part of the key before its first ``_``."""
-    family = F.split("edge_key", "_")[0]
-    return edges.groupBy(family.alias("family")).agg(F.count("*").alias("total"), F.sum(F.col("is_significant").cast("long")).alias("significant"))
+    """Tests and significant tests by type of edge."""
+    return edges.groupBy(F.expr(type_sql()).alias("edge_type")).agg(F.count("*").alias("total"), F.sum(F.col("is_significant").cast("long")).alias("significant"))
 
 
 def significant(edges: DataFrame, least: int = 100, alpha: float = 0.05, win_rate: float = 0.45) -> DataFrame:
@@ -19,7 +20,8 @@ def significant(edges: DataFrame, least: int = 100, alpha: float = 0.05, win_rat
 
 
 def top_edges(edges: DataFrame, k: int = 10) -> DataFrame:
-    return edges.orderBy(F.desc("sharpe_ratio"), "symbol", "edge_key").limit(k)
+    """The ``k`` significant tests of the highest Sharpe ratios."""
+    return edges.filter("is_significant").orderBy(F.desc("sharpe_ratio"), "symbol", "edge_key").limit(k)
 
 
 def matrix(edges: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def matrix(edges: DataFrame) -> DataFrame:
     out = edges.groupBy("symbol", "timeframe").agg(F.count("*").alias("total_edges"), F.sum(F.col("is_significant").cast("long")).alias("significant_edges"), best.alias("best"))
     found = F.col("significant_edges") > 0
     return out.select(
-        "symbol", "timeframe", "total_edges", "significant_edges", F.when(found, F.col("best.edge_key")).otherwise("None").alias("top_edge"), F.when(found, F.split("best.edge_key", "_")[0]).otherwise("-").alias("top_edge_type"),
+        "symbol", "timeframe", "total_edges", "significant_edges", F.when(found, F.col("best.edge_key")).otherwise("None").alias("top_edge"), F.when(found, F.expr(type_sql("best.edge_key"))).otherwise("-").alias("top_edge_type"),
         *(F.when(found, F.col(f"best.{c}")).otherwise(F.lit(d)).alias(c) for c, d in (("sharpe_ratio", 0.0), ("win_rate", 0.0), ("p_value", 1.0))), F.when(found, F.col("best.n")).otherwise(0).cast("long").alias("sample_size"),
     )
 
@@ -47,9 +49,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def nested(edges: DataFrame, k: int = 10) -> DataFrame:
-    """The whole report as one row: counts, counts by family, the top ``k``. Results stay a table of their own, which grows with the series (:func:`write_report`)."""
+    """The whole report as one row: counts, counts by type, the top ``k``. Results stay a table of their own, which grows with the series (:func:`write_report`)."""
     totals = edges.agg(F.count("*").alias("total_edges"), F.sum(F.col("is_significant").cast("long")).alias("significant_edges"))
-    families = summary(edges).agg(F.sort_array(F.collect_list(F.struct("family", "total", "significant"))).alias("families"))
+    families = summary(edges).agg(F.sort_array(F.collect_list(F.struct("edge_type", "total", "significant"))).alias("types"))
     fields = [c for c in ("sharpe_ratio", "symbol", "edge_key", "n", "win_rate", "p_value", "is_significant") if c in edges.columns]
     best = top_edges(edges, k).agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("top"))
     return totals.join(families).join(best)
@@ -64,5 +66,5 @@ def write_report(edges: DataFrame, path: str, k: int = 10) -> None:
 def to_html(edges: DataFrame, title: str = "Edge report", k: int = 20) -> str:
     """Header, summary, and the table of the top ``k``."""
     table = lambda rows, names: "<table><tr>" + "".join(f"<th>{html.escape(n)}</th>" for n in names) + "</tr>" + "".join("<tr>" + "".join(f"<td>{html.escape(str(r[n]))}</td>" for n in names) + "</tr>" for r in rows) + "</table>"
-    families, top = summary(edges).orderBy("family"), top_edges(edges, k)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><h2>Families</h2>{table(families.collect(), families.columns)}<h2>Top edges</h2>{table(top.collect(), top.columns)}</body></html>"
+    families, top = summary(edges).orderBy("edge_type"), top_edges(edges, k)
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><h2>Types</h2>{table(families.collect(), families.columns)}<h2>Top edges</h2>{table(top.collect(), top.columns)}</body></html>"

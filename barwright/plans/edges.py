@@ -12,7 +12,7 @@ from barwright.operators import edges
 from barwright.operators.analytics import SQL
 from barwright.plans.analytics import run
 from barwright.plans.registry import query
-from barwright.sources.bars import BARS_D1, BARS_H1, bars_d1, bars_h1
+from barwright.sources.bars import BARS_D1, BARS_H1, bars_d1, bars_h1, kept
 
 DAILY = {"tim_02", "tim_04"}
 
@@ -43,6 +43,8 @@ def detect(bars: DataFrame, families: tuple[str, ...] = tuple(edges.FAMILIES)) -
     All signed tests are cells of one plan over one exchange of the bars, all contrasts of another.
     """
     signed, contrasts, extra = [sum(x, []) for x in zip(*(edges.catalogue(f) for f in families), strict=True)]
+    if bool(signed) + bool(contrasts) + len(extra) > 1:
+        bars = kept(bars, "series")
     parts = [edges.signed_spark(*edges.merged(signed), bars)] if signed else []
     if contrasts:
         parts.append(edges.contrast_spark(*edges.merged(contrasts), bars).selectExpr(*edges.CONTRAST_RESULT))

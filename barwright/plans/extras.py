@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.operators import learning, report, validation
+from barwright.operators import edges, learning, report, validation
 from barwright.plans.registry import ORACLES, QUERIES, query
 from barwright.sources import bars
 from barwright.sources.bars import shared
@@ -112,19 +112,19 @@ def eng_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.significant(QUERIES["eng_03"](spark, sf_dir))
 
 
-@query("eng_02", f"SELECT * FROM ({_ALL}) ORDER BY sharpe_ratio DESC, symbol, edge_key LIMIT 10")
+@query("eng_02", f"SELECT * FROM ({_ALL}) WHERE is_significant ORDER BY sharpe_ratio DESC, symbol, edge_key LIMIT 10")
 def eng_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_edges(QUERIES["eng_03"](spark, sf_dir))
 
 
-@query("rpt_08", f"SELECT split_part(edge_key, '_', 1) AS family, count(*) AS total, sum(is_significant::INT)::BIGINT AS significant FROM ({_ALL}) GROUP BY ALL")
+@query("rpt_08", f"SELECT {edges.type_sql()} AS edge_type, count(*) AS total, sum(is_significant::INT)::BIGINT AS significant FROM ({_ALL}) GROUP BY ALL")
 def rpt_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary(QUERIES["eng_03"](spark, sf_dir))
 
 
 @query("rpt_05", f"SELECT * FROM ({_ALL}) WHERE is_significant ORDER BY sharpe_ratio DESC, symbol, edge_key LIMIT 15")
 def rpt_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.top_edges(QUERIES["eng_03"](spark, sf_dir).filter("is_significant"), 15)
+    return report.top_edges(QUERIES["eng_03"](spark, sf_dir), 15)
 
 
 @query("snk_01")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.dsl import ORDER, Ewm, Plan, fill, last_n
 from barwright.operators import report
+from barwright.operators.edges import type_sql
 from barwright.plans.edges import detect, detect_sql
 from barwright.plans.registry import ORACLES, query
 from barwright.sources import bars as source
@@ -222,7 +223,7 @@ def win_12(bars: DataFrame) -> DataFrame:
 _MULTI = source.multi_timeframe_sql(BARS_H1)
 _FOUND = f"e AS (SELECT * REPLACE (split_part(symbol, '|', 1) AS symbol), split_part(symbol, '|', 2) AS timeframe FROM ({detect_sql(_MULTI)}))"
 _BEST = "k AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY is_significant DESC, sharpe_ratio DESC, edge_key DESC) AS place, count(*) OVER g AS total_edges, sum(is_significant::INT) OVER g::BIGINT AS significant_edges FROM e WINDOW g AS (PARTITION BY symbol, timeframe))"
-_MATRIX = f"WITH {_FOUND}, {_BEST} SELECT symbol, timeframe, total_edges, significant_edges, CASE WHEN significant_edges > 0 THEN edge_key ELSE 'None' END AS top_edge, CASE WHEN significant_edges > 0 THEN split_part(edge_key, '_', 1) ELSE '-' END AS top_edge_type, CASE WHEN significant_edges > 0 THEN sharpe_ratio ELSE 0 END AS sharpe_ratio, CASE WHEN significant_edges > 0 THEN win_rate ELSE 0 END AS win_rate, CASE WHEN significant_edges > 0 THEN p_value ELSE 1 END AS p_value, CASE WHEN significant_edges > 0 THEN n ELSE 0 END AS sample_size FROM k WHERE place = 1"
+_MATRIX = f"WITH {_FOUND}, {_BEST} SELECT symbol, timeframe, total_edges, significant_edges, CASE WHEN significant_edges > 0 THEN edge_key ELSE 'None' END AS top_edge, CASE WHEN significant_edges > 0 THEN {type_sql()} ELSE '-' END AS top_edge_type, CASE WHEN significant_edges > 0 THEN sharpe_ratio ELSE 0 END AS sharpe_ratio, CASE WHEN significant_edges > 0 THEN win_rate ELSE 0 END AS win_rate, CASE WHEN significant_edges > 0 THEN p_value ELSE 1 END AS p_value, CASE WHEN significant_edges > 0 THEN n ELSE 0 END AS sample_size FROM k WHERE place = 1"
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,13 @@ def shared(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there: what is read several times is made once."""
+    path = shared(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 

@@ -52,3 +52,16 @@ def test_spikes_are_anomalies(spark):
     got = learning.anomalies(bars).toPandas().set_index("t")
     assert 0.03 < got.is_anomaly.mean() <= 0.051 and got.is_anomaly.loc[[460_000 + k for k in spikes if 460_000 + k in got.index]].mean() > 0.9
     assert learning.anomaly_edge(bars).first().n == got.is_anomaly.sum()
+
+
+def test_trees_draw_from_the_whole_table(spark):
+    """Every row has the same chance for each tree, wherever it stands, and every tree its own rows."""
+    n, sample = 40_000, 64
+    data = spark.range(n).selectExpr("CAST(id AS DOUBLE) AS x", "xxhash64(id) AS hash").repartition(9)
+    drawn = data.mapInPandas(learning._samples(["x"], 30, sample), "tree int, h long, x double").toPandas()
+    drawn["u"] = drawn.h.to_numpy(np.int64).view(np.uint64)
+    kept = drawn.sort_values("u").groupby("tree").head(sample)
+    assert (kept.groupby("tree").x.nunique() == sample).all() and kept.x.nunique() > 0.9 * 30 * sample
+    assert abs(kept.x.mean() / n - 0.5) < 0.03 and (kept.x > 0.9 * n).mean() > 0.07
+    forest, rows = learning.isolation_forest(data, ["x"], 30, sample)
+    assert len(forest) == 30 and rows == sample

@@ -22,12 +22,12 @@ def test_simulation_is_sound_and_repeats(spark):
 
 
 def test_reports(spark, tmp_path):
-    df = spark.createDataFrame([("a", "x_1", 200, 0.01, 0.6, 1.5, True), ("a", "y_1", 20, 0.5, 0.4, -1.0, False)], "symbol string, edge_key string, n long, p_value double, win_rate double, sharpe_ratio double, is_significant boolean")
+    df = spark.createDataFrame([("a", "hour_12", 200, 0.01, 0.6, 1.5, True), ("a", "swing_3", 20, 0.5, 0.4, -1.0, False)], "symbol string, edge_key string, n long, p_value double, win_rate double, sharpe_ratio double, is_significant boolean")
     report.write_report(df, str(tmp_path / "r"))
     body = json.loads(next((tmp_path / "r" / "report").glob("part*")).read_text())
-    assert body["total_edges"] == 2 and body["top"][0]["edge_key"] == "x_1" and body["families"] == [{"family": "x", "total": 1, "significant": 1}, {"family": "y", "total": 1, "significant": 0}]
+    assert body["total_edges"] == 2 and body["top"][0]["edge_key"] == "hour_12" and body["types"] == [{"edge_type": "structure", "total": 1, "significant": 0}, {"edge_type": "time_hour", "total": 1, "significant": 1}]
     assert spark.read.json(str(tmp_path / "r" / "results")).count() == 2
-    assert "x_1" in report.to_html(df) and report.significant(df).count() == 1
+    assert "hour_12" in report.to_html(df) and report.significant(df).count() == 1
 
 
 def test_config():
