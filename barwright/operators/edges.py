@@ -177,8 +177,10 @@ SIGNED["vle_06"] = (
     [{"lr": f"CASE WHEN close > 0 AND {lag('close')} > 0 THEN ln(close / {lag('close')}) END"}, {"hv": f"sqrt(252) * ({roll('stddev_samp', 'lr', 20)})"}, {"lo": Quantile("hv", 0.25, 100), "hi": Quantile("hv", 0.75, 100)} | forward(10)],
     [Signed("regime_low", "hv < lo", "false"), Signed("regime_normal", "NOT coalesce(hv < lo, false) AND NOT coalesce(hv > hi, false)", "false"), Signed("regime_high", "hv > hi", "false")],
 )
-_round = {f"n{d}": f"{{{{rint(close / {d}e-1)¦round_even(close / {d}e-1, 0)}}}} * {d}e-1" for d in (25, 50, 100)}
-SIGNED["str_e1"] = ([_round | forward(10)], [Signed(f"round_number_{d}", f"close < n{d} - 1e-9", f"close > n{d} + 1e-9") for d in (25, 50, 100)])
+#: Levels of 25, 50 and 100 pips: a pip is a ten-thousandth of the power of ten that the mean price begins with (0.0001 at 1.10, 0.01 at 130).
+_pip = {"pip": "1e-4 * pow(1e1, floor(log10(nullif(greatest(avg(close) OVER (PARTITION BY symbol), 0), 0))))"}
+_round = {f"n{d}": f"{{{{rint(close / ({d} * pip))¦round_even(close / ({d} * pip), 0)}}}} * ({d} * pip)" for d in (25, 50, 100)}
+SIGNED["str_e1"] = ([_pip, _round | forward(10)], [Signed(f"round_number_{d}", f"close < n{d} - 1e-9", f"close > n{d} + 1e-9") for d in (25, 50, 100)])
 
 
 def swings(p: int) -> list[dict]:

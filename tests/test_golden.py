@@ -56,6 +56,8 @@ def test_published_report(spark, golden):
              "volatility_clustering": 1, "contraction": 3, "bollinger_squeeze": 1, "nr": 2, "atr_breakout": 3, "regime": 3, "round_number": 3, "prev": 3, "swing": 3, "breakout_retest": 1, "failed_breakout": 1, "hh_hl_trend": 1}
     got = {k: sum(key.startswith(k) for key in found) for k in kinds}
     assert got == kinds
+    # 19 of them are significant in the report, where ADX is missing throughout.
+    assert len([k for k, r in found.items() if r.is_significant and k != "adx_ranging"]) == 19
     hurst, level = found["hurst"], found["prev_close"]
     assert hurst.n == 9599 and abs(hurst.p_value - 0.258940) < 2e-5
     assert level.n == 1952 and abs(level.win_rate - 0.532787) < 2e-6 and abs(level.sharpe_ratio - 0.333529) < 2e-5 and abs(level.p_value - 0.0230495) < 2e-5
