@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,6 +109,62 @@ def _normal(z: pd.Series) -> pd.Series:
     return pd.Series([normal_two_sided(a) for a in z.astype(float)])
 
 
+def _sum_counts(terms: list[int], divisors: list[int]) -> list[int]:
+    """Coefficients of the product of (1 - x**a) over that of (1 - x**b): how many arrangements have each sum."""
+    size = sum(terms) - sum(divisors) + 1
+    out = [1] + [0] * (size - 1)
+    for a in terms:
+        for k in range(size - 1, a - 1, -1):
+            out[k] -= out[k - a]
+    for b in divisors:
+        for k in range(b, size):
+            out[k] += out[k - b]
+    return out
+
+
+@lru_cache(maxsize=256)
+def _u_counts(n1: int, n2: int) -> tuple[int, ...]:
+    return tuple(_sum_counts([n2 + i for i in range(1, n1 + 1)], list(range(1, n1 + 1))))
+
+
+@lru_cache(maxsize=256)
+def _w_counts(n: int) -> tuple[int, ...]:
+    out = [1] + [0] * (n * (n + 1) // 2)
+    for i in range(1, n + 1):
+        for k in range(len(out) - 1, i - 1, -1):
+            out[k] += out[k - i]
+    return tuple(out)
+
+
+def _two_sided(counts: tuple[int, ...], at: float) -> float:
+    low = math.floor(min(at, len(counts) - 1 - at) + 1e-9)
+    return min(1.0, 2 * sum(counts[: low + 1]) / sum(counts))
+
+
+def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided chance of a U as far from its mean, of samples without ties."""
+    return _two_sided(_u_counts(int(n1), int(n2)), u)
+
+
+def wilcoxon_exact(w: float, n: int) -> float:
+    """Two-sided chance of a signed-rank sum as far from its mean, of differences without ties or zeros."""
+    return _two_sided(_w_counts(int(n)), w)
+
+
+#: Samples up to these sizes, without ties, have exact chances; larger ones the normal tail.
+EXACT_U, EXACT_W = 25, 50
+
+
+@F.pandas_udf(DoubleType())
+def _u_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tie: pd.Series, z: pd.Series) -> pd.Series:
+    return pd.Series([mann_whitney_exact(a, b, c) if t == 0 and 0 < b <= EXACT_U and 0 < c <= EXACT_U else normal_two_sided(d) for a, b, c, t, d in zip(*(x.astype(float) for x in (u, n1, n2, tie, z)), strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def _w_p(w: pd.Series, n: pd.Series, tie: pd.Series, z: pd.Series) -> pd.Series:
+    return pd.Series([wilcoxon_exact(a, b) if t == 0 and 0 < b <= EXACT_W else normal_two_sided(d) for a, b, t, d in zip(*(x.astype(float) for x in (w, n, tie, z)), strict=True)])
+
+
 def t_p(t: Column, df: Column) -> Column:
     return F.nanvl(_t(t, df.cast("double")), F.lit(None).cast("double"))
 

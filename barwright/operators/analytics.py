@@ -135,15 +135,12 @@ SELECT symbol, edge_key, n, {r("m", "mean_return")}, {r("sd", "std_return")}, {r
     "sta_01": f"WITH {RETURNS}, s AS (SELECT symbol, count(y) AS n, avg(y) AS m, stddev_samp(y) AS sd FROM x GROUP BY symbol), u AS (SELECT *, m / nullif(sd / sqrt(n), 0) AS t0 FROM s) SELECT symbol, n, {r('t0', 'statistic', 5)}, {r(t_p('t0', 'n - 1'), 'p_value', 5)}, {r('m / nullif(sd, 0)', 'effect_size')} FROM u",
     "sta_02": f"WITH {HALVES}, s AS (SELECT symbol, CAST(count(CASE WHEN rn % 2 = 0 THEN y END) AS DOUBLE) AS n1, avg(CASE WHEN rn % 2 = 0 THEN y END) AS m1, var_samp(CASE WHEN rn % 2 = 0 THEN y END) AS v1, CAST(count(CASE WHEN rn % 2 = 1 THEN y END) AS DOUBLE) AS n2, avg(CASE WHEN rn % 2 = 1 THEN y END) AS m2, var_samp(CASE WHEN rn % 2 = 1 THEN y END) AS v2 FROM h GROUP BY symbol), u AS (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t0, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM s) SELECT symbol, {r('t0', 'statistic', 5)}, {r('df', 'df', 3)}, {r(t_p('t0', 'df'), 'p_value', 5)}, {r('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))', 'effect_size')} FROM u",
     "sta_03": f"WITH {HALVES}, d AS (SELECT a.symbol, a.y - b.y AS v FROM h a JOIN h b ON a.symbol = b.symbol AND b.rn = a.rn + 1), s AS (SELECT symbol, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM d GROUP BY symbol), u AS (SELECT *, m / nullif(sd / sqrt(n), 0) AS t0 FROM s) SELECT symbol, n, {r('t0', 'statistic', 5)}, {r(t_p('t0', 'n - 1'), 'p_value', 5)}, {r('-m / nullif(sd, 0)', 'effect_size')} FROM u",
-    "sta_04": f"WITH {HALVES}, g AS (SELECT symbol, rn % 2 AS grp, {_r('y', 9)} AS v FROM h), {RANKED}, s AS (SELECT symbol, sum(CASE WHEN grp = 0 THEN rk END) AS r1, CAST(count(CASE WHEN grp = 0 THEN 1 END) AS DOUBLE) AS n1, CAST(count(CASE WHEN grp = 1 THEN 1 END) AS DOUBLE) AS n2, sum(pow(ties, 2) - 1) AS tie FROM k GROUP BY symbol), u AS (SELECT symbol, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM s), z AS (SELECT *, (abs(u1 - n1 * n2 / 2) - 0.5) / sd AS z FROM u) SELECT symbol, {r('u1', 'statistic', 2)}, {r(normal_p('z'), 'p_value', 5)}, {r('1 - 2 * u1 / (n1 * n2)', 'effect_size')} FROM z",
-    "sta_05": f"WITH {HALVES}, g AS (SELECT symbol, {_r('abs(y)', 9)} AS v, CASE WHEN y > 0 THEN 1 ELSE 0 END AS up FROM h WHERE y <> 0), {RANKED}, s AS (SELECT symbol, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN up = 1 THEN rk ELSE 0 END) AS wp, sum(CASE WHEN up = 0 THEN rk ELSE 0 END) AS wm, sum(pow(ties, 2) - 1) AS tie FROM k GROUP BY symbol), z AS (SELECT *, (least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM s) SELECT symbol, {r('least(wp, wm)', 'statistic', 2)}, {r(normal_p('z'), 'p_value', 5)}, {r('least(wp, wm) / (n * (n + 1) / 4)', 'effect_size')} FROM z",
+    "sta_04": f"WITH {HALVES}, g AS (SELECT symbol, rn % 2 AS grp, {_r('y', 9)} AS v FROM h), {RANKED}, s AS (SELECT symbol, sum(CASE WHEN grp = 0 THEN rk END) AS r1, CAST(count(CASE WHEN grp = 0 THEN 1 END) AS DOUBLE) AS n1, CAST(count(CASE WHEN grp = 1 THEN 1 END) AS DOUBLE) AS n2, sum(pow(ties, 2) - 1) AS tie FROM k GROUP BY symbol), u AS (SELECT symbol, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1, tie, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM s), z AS (SELECT *, (abs(u1 - n1 * n2 / 2) - 0.5) / sd AS z FROM u) SELECT symbol, {r('u1', 'statistic', 2)}, {r('{{u_p(u1, n1, n2, CAST(tie AS DOUBLE), z)¦' + normal_p_sql('z') + '}}', 'p_value', 5)}, {r('1 - 2 * u1 / (n1 * n2)', 'effect_size')} FROM z",
+    "sta_05": f"WITH {HALVES}, g AS (SELECT symbol, {_r('abs(y)', 9)} AS v, CASE WHEN y > 0 THEN 1 ELSE 0 END AS up FROM h WHERE y <> 0), {RANKED}, s AS (SELECT symbol, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN up = 1 THEN rk ELSE 0 END) AS wp, sum(CASE WHEN up = 0 THEN rk ELSE 0 END) AS wm, sum(pow(ties, 2) - 1) AS tie FROM k GROUP BY symbol), z AS (SELECT *, (least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM s) SELECT symbol, {r('least(wp, wm)', 'statistic', 2)}, {r('{{w_p(least(wp, wm), n, CAST(tie AS DOUBLE), z)¦' + normal_p_sql('z') + '}}', 'p_value', 5)}, {r('least(wp, wm) / (n * (n + 1) / 4)', 'effect_size')} FROM z",
     "sta_06": f"WITH {HALVES}, g AS (SELECT symbol, rn % 3 AS grp, {_r('y', 9)} AS v FROM h), {RANKED}, c AS (SELECT symbol, grp, CAST(count(*) AS DOUBLE) AS n, sum(rk) AS s, sum(pow(ties, 2) - 1) AS tie FROM k GROUP BY symbol, grp), a AS (SELECT symbol, sum(n) AS n, sum(s * s / n) AS q, sum(tie) AS tie FROM c GROUP BY symbol), z AS (SELECT *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tie / (pow(n, 3) - n)) AS h0 FROM a) SELECT symbol, {r('h0', 'statistic', 4)}, {r(chi2_p('h0', 2), 'p_value', 5)}, {r('(h0 - 2) / (n - 3)', 'effect_size', 5)} FROM z",
     "sta_07": f"WITH d AS (SELECT symbol, CAST(t % 24 / 6 AS INT) AS q FROM BARS), c AS (SELECT symbol, q, CAST(count(*) AS DOUBLE) AS o FROM (SELECT symbol, CAST(floor(t % 24 / 8) AS INT) AS q FROM BARS) z GROUP BY symbol, q), e AS (SELECT *, sum(o) OVER (PARTITION BY symbol) AS n FROM c), s AS (SELECT symbol, max(n) AS n, sum(pow(o - n / 3, 2) / (n / 3)) AS chi FROM e GROUP BY symbol) SELECT symbol, {r('chi', 'statistic', 4)}, {r(chi2_p('chi', 2), 'p_value', 5)}, {r('sqrt(chi / n)', 'effect_size', 5)} FROM s",
     "sta_08": f"WITH {HALVES}, c AS (SELECT symbol, CAST(count(CASE WHEN y > 0 AND rn % 2 = 0 THEN 1 END) AS DOUBLE) AS a, CAST(count(CASE WHEN y > 0 AND rn % 2 = 1 THEN 1 END) AS DOUBLE) AS b, CAST(count(CASE WHEN y <= 0 AND rn % 2 = 0 THEN 1 END) AS DOUBLE) AS c, CAST(count(CASE WHEN y <= 0 AND rn % 2 = 1 THEN 1 END) AS DOUBLE) AS d FROM h GROUP BY symbol), s AS (SELECT symbol, a + b + c + d AS n, (a + b + c + d) * pow(greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi FROM c) SELECT symbol, {r('chi', 'statistic', 5)}, {r(chi2_p('chi', 1), 'p_value', 5)}, {r('sqrt(chi / n)', 'cramers_v', 5)} FROM s",
     "sta_09": f"WITH {PAIRS}, q AS (SELECT pair, count(*) AS n, corr(ya, yb) AS rho FROM ab GROUP BY pair HAVING count(*) > 2), u AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t0 FROM q) SELECT pair, n, {r('rho', 'statistic')}, {r(t_p('t0', 'n - 2'), 'p_value', 5)} FROM u",
-    "sta_10": f"WITH {FAMILY} SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(p * count(*) OVER (PARTITION BY 1), 1)', 'adjusted', 5)} FROM p",
-    "sta_11": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(max(p * (n - i + 1)) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)', 'adjusted', 5)} FROM o",
-    "sta_12": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(min(p * n / i) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1)', 'adjusted', 5)} FROM o",
     "sta_13": f"WITH {PAIRS}, q AS (SELECT pair, abs(corr(ya, yb)) AS rho FROM ab GROUP BY pair) SELECT pair, CASE WHEN rho < 0.1 THEN 'negligible' WHEN rho < 0.3 THEN 'weak' WHEN rho < 0.5 THEN 'moderate' WHEN rho < 0.7 THEN 'strong' ELSE 'very strong' END AS strength FROM q",
     # metrics and reports
     "met_01": f"WITH {RETURNS}, {ISLANDS}, m AS (SELECT symbol, count(*) AS n, count(CASE WHEN y > 0 THEN 1 END) AS wins, count(CASE WHEN y < 0 THEN 1 END) AS losses, coalesce(avg(CASE WHEN y > 0 THEN y END), 0) AS aw, coalesce(-avg(CASE WHEN y < 0 THEN y END), 0) AS al, coalesce(sum(CASE WHEN y > 0 THEN y END), 0) AS gp, coalesce(-sum(CASE WHEN y < 0 THEN y END), 0) AS gl, CAST(max(ws) AS BIGINT) AS mw, CAST(max(ls) AS BIGINT) AS ml FROM j GROUP BY symbol) SELECT symbol, n AS total_trades, wins AS winning_trades, losses AS losing_trades, {r('CAST(wins AS DOUBLE) / n', 'win_rate')}, {r('aw', 'avg_win')}, {r('al', 'avg_loss')}, {r('coalesce(aw / nullif(al, 0), 0)', 'win_loss_ratio')}, {r('CAST(wins AS DOUBLE) / n * aw - (1 - CAST(wins AS DOUBLE) / n) * al', 'expectancy')}, {r('coalesce(gp / nullif(gl, 0), 0)', 'profit_factor')}, mw AS max_consecutive_wins, ml AS max_consecutive_losses FROM m",
@@ -199,3 +196,9 @@ SQL["src_10"] = "SELECT symbol, t, close FROM BARS WHERE t % 24 < 6 AND volume >
 SQL["src_03"] = "SELECT DISTINCT split_part(concat(symbol, '_H1'), '_', 1) AS symbol FROM BARS"
 SQL["src_15"] = "SELECT symbol, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM BARS GROUP BY symbol"
 SQL["par_11"] = f"SELECT pair, lag_bars, n, correlation FROM ({SQL['par_03']}) z WHERE p_value < 0.05 AND abs(correlation) > 0.1"
+#: DuckDB forms of :mod:`barwright.operators.corrections`.
+CORRECTED_SQL = {
+    "sta_10": f"WITH {FAMILY} SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(p * count(*) OVER (PARTITION BY 1), 1)', 'adjusted', 5)} FROM p",
+    "sta_11": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(max(p * (n - i + 1)) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)', 'adjusted', 5)} FROM o",
+    "sta_12": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(min(p * n / i) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1)', 'adjusted', 5)} FROM o",
+}

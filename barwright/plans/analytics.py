@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from barwright.functions import dist
 from barwright.functions.dsl import dialect, rounded
 from barwright.operators import bootstrap
-from barwright.operators.analytics import HALVES, PAIRS, PERMUTED_SQL, SQL, boot_sql
+from barwright.operators.analytics import CORRECTED_SQL, FAMILY, HALVES, PAIRS, PERMUTED_SQL, SQL, boot_sql
 from barwright.operators.cointegration import engle_granger
+from barwright.operators.corrections import corrected
 from barwright.plans.registry import query
 from barwright.sources.bars import BARS_H1, bars_h1
 
 
 def run(spark: SparkSession, text: str, bars: DataFrame) -> DataFrame:
     """Run a statement over ``bars``; tail probabilities are vectorised functions over its few result rows."""
-    for name, fn in (("t_p", dist._t), ("chi2_p", dist._chi2), ("normal_p", dist._normal)):
+    for name, fn in (("t_p", dist._t), ("chi2_p", dist._chi2), ("normal_p", dist._normal), ("u_p", dist._u_p), ("w_p", dist._w_p)):
         spark.udf.register(name, fn)
     return spark.sql(dialect(text, True).replace("BARS", "{bars}"), bars=bars)
 
@@ -63,3 +64,10 @@ _BOOTSTRAPS = {
 for _name, (_statistic, _form, _least) in _BOOTSTRAPS.items():
     query(_name, dialect(boot_sql(_form, _statistic, _least), False).replace("BARS", f"({BARS_H1})"))(lambda spark, sf_dir, statistic=_statistic, least=_least: resampled(bars_h1(spark, sf_dir), statistic, least))
 query("boo_05", dialect(PERMUTED_SQL, False).replace("BARS", f"({BARS_H1})"))(lambda spark, sf_dir: shuffled(bars_h1(spark, sf_dir)))
+
+
+#: The t-tests of each symbol and hour as one family.
+for _name, _method in (("sta_10", "bonferroni"), ("sta_11", "holm"), ("sta_12", "benjamini_hochberg")):
+    query(_name, dialect(CORRECTED_SQL[_name], False).replace("BARS", f"({BARS_H1})"))(
+        lambda spark, sf_dir, method=_method: corrected(run(spark, f"WITH {FAMILY} SELECT symbol, hour, p FROM p", bars_h1(spark, sf_dir)), ["symbol", "hour"]).selectExpr("symbol", "hour", f"{rounded('p', 5)} AS p_value", f"{rounded(method, 5)} AS adjusted")
+    )

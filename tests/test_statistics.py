@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 
 from barwright.functions import dist
-from barwright.operators.analytics import PATHS, PERMUTATIONS, REPLICATES, SQL, STEPS
+from barwright.operators.analytics import FAMILY, PATHS, PERMUTATIONS, REPLICATES, SQL, STEPS
+from barwright.operators.corrections import corrected
 from barwright.plans.analytics import resampled, run, shuffled
 
 N = 360
@@ -126,12 +127,12 @@ def test_corrections(frame, spark):
     for i in range(m - 1, -1, -1):
         best = min(best, p[order[i]] * m / (i + 1))
         fdr[order[i]] = best
-    for name, want in (("sta_10", {k: min(v * m, 1) for k, v in p.items()}), ("sta_11", holm), ("sta_12", fdr)):
-        got = {(r.symbol, r.hour): r for r in run(spark, SQL[name], bars).collect()}
-        assert len(got) == m == 48
+    got = {(r.symbol, r.hour): r for r in corrected(run(spark, f"WITH {FAMILY} SELECT symbol, hour, p FROM p", bars), ["symbol", "hour"]).collect()}
+    assert len(got) == m == 48
+    for name, want in (("bonferroni", {k: min(v * m, 1) for k, v in p.items()}), ("holm", holm), ("benjamini_hochberg", fdr)):
         for k, r in got.items():
-            near(r.p_value, p[k])
-            near(r.adjusted, want[k], 2e-5)
+            near(r.p, p[k])
+            near(r[name], want[k], 2e-5)
 
 
 def test_metrics(returns, ask):
