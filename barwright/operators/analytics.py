@@ -155,14 +155,9 @@ SELECT symbol, edge_key, n, {r("m", "mean_return")}, {r("sd", "std_return")}, {r
     "rpt_06": f"WITH {RETURNS} SELECT symbol, CAST(t % 24 AS INT) AS hour, count(*) AS n, {r('avg(y)', 'mean_return')} FROM x GROUP BY ALL",
     # pairs
     "par_01": f"WITH {PAIRS}, w AS (SELECT pair, t, count(ya) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n, {corr_over('ya', 'yb', _P20)} AS c FROM ab) SELECT pair, t, {r('c', 'rolling_correlation')} FROM w WHERE n = 20",
-    "par_02": f"WITH {PAIRS}, w AS (SELECT pair, t, CASE WHEN count(ya) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN {corr_over('ya', 'yb', _P20)} END AS c, abs((lead(ca, 10) OVER (PARTITION BY pair ORDER BY t) / nullif(ca, 0)) - (lead(cb, 10) OVER (PARTITION BY pair ORDER BY t) / nullif(cb, 0))) AS dv FROM ab), b AS (SELECT *, CASE WHEN c < -0.3 THEN 1 ELSE 0 END AS broken FROM w) SELECT pair, broken, count(dv) AS n, {r('avg(dv)', 'mean_divergence', 5)} FROM b WHERE dv IS NOT NULL GROUP BY pair, broken",
     "par_03": f"WITH {PAIRS}, k AS (SELECT {{{{explode(sequence(1, 10))¦unnest(range(1, 11))}}}} AS k), n AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t) AS rn FROM ab), c AS (SELECT a.pair, CAST(k.k AS BIGINT) AS lag_bars, count(*) AS n, corr(a.ya, b.yb) AS rho FROM k JOIN n a ON true JOIN n b ON a.pair = b.pair AND b.rn = a.rn + k.k GROUP BY a.pair, k.k) SELECT pair, lag_bars, n, {r('rho', 'correlation')}, {r(t_p('rho * sqrt(n - lag_bars)', 'n - 2'), 'p_value', 5)} FROM c",
     "par_05": f"WITH {PAIRS}, o AS (SELECT pair, regr_slope(ca, cb) AS b, regr_intercept(ca, cb) AS a FROM ab GROUP BY pair), e AS (SELECT ab.pair, t, ca - a - b * cb AS e FROM ab JOIN o ON ab.pair = o.pair), d AS (SELECT pair, e - lag(e) OVER (PARTITION BY pair ORDER BY t) AS de, lag(e) OVER (PARTITION BY pair ORDER BY t) AS pe FROM e), c AS (SELECT pair, count(*) AS n, corr(de, pe) AS rho FROM d WHERE de IS NOT NULL GROUP BY pair), u AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t0 FROM c) SELECT pair, n, {r('rho', 'statistic')}, {r(t_p('t0', 'n - 2'), 'p_value', 5)} FROM u",
     "par_06": f"WITH {PAIRS}, s AS (SELECT pair, ca - cb AS s, ca - cb - lag(ca - cb) OVER (PARTITION BY pair ORDER BY t) AS ds, lag(ca - cb) OVER (PARTITION BY pair ORDER BY t) AS ps FROM ab), l AS (SELECT pair, regr_slope(ds, ps) AS lambda_ FROM s GROUP BY pair) SELECT pair, {r('CASE WHEN lambda_ < 0 THEN -ln(2) / lambda_ END', 'half_life')} FROM l",
-    "par_07": f"WITH {PAIRS}, o AS (SELECT pair, count(*) AS n, regr_slope(ca, cb) AS b FROM ab GROUP BY pair HAVING count(*) >= 100), s AS (SELECT ab.pair, t, ca - o.b * cb AS s, o.b, o.n FROM ab JOIN o ON ab.pair = o.pair), d AS (SELECT pair, b, n, s - lag(s) OVER (PARTITION BY pair ORDER BY t) AS ds, lag(s) OVER (PARTITION BY pair ORDER BY t) AS ps FROM s), l AS (SELECT pair, max(b) AS b, max(n) AS n, regr_slope(ds, ps) AS lam FROM d GROUP BY pair) SELECT pair, n, {r('b', 'hedge_ratio')}, {r('CASE WHEN lam < 0 THEN -ln(2) / lam END', 'half_life')} FROM l",
-    "par_08": f"WITH {PAIRS}, s AS (SELECT pair, t, ca - cb AS s FROM ab), z AS (SELECT pair, t, s, (s - avg(s) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) / nullif(stddev_samp(s) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS z, count(s) OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n, lead(s, 10) OVER (PARTITION BY pair ORDER BY t) - s AS f FROM s), g AS (SELECT pair, CASE WHEN z > 2 THEN -f WHEN z < -2 THEN f END AS v FROM z WHERE n = 20) SELECT pair, count(v) AS n, {r('avg(v)', 'mean_return', 5)}, {r('avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END)', 'win_rate')} FROM g WHERE v IS NOT NULL GROUP BY pair",
-    "par_09": f"WITH {PAIRS}, m AS (SELECT t, sa, sb, ya - yb AS v FROM ab), l AS (SELECT t, sa AS ccy, v FROM m UNION ALL SELECT t, sb AS ccy, -v AS v FROM m) SELECT t, ccy, {r('avg(v)', 'strength')} FROM l GROUP BY t, ccy",
-    "par_10": f"WITH {PAIRS}, m AS (SELECT t, sa, sb, ya - yb AS v FROM ab), l AS (SELECT t, sa AS ccy, v FROM m UNION ALL SELECT t, sb AS ccy, -v AS v FROM m), a AS (SELECT t, ccy, {_r('avg(v)', 9)} AS s FROM l GROUP BY t, ccy), k AS (SELECT t, ccy, row_number() OVER (PARTITION BY t ORDER BY s DESC, ccy) AS hi, row_number() OVER (PARTITION BY t ORDER BY s, ccy) AS lo FROM a) SELECT t, max(CASE WHEN hi = 1 THEN ccy END) AS strongest, max(CASE WHEN lo = 1 THEN ccy END) AS weakest FROM k GROUP BY t",
     # folds
     "wfo_01": f"WITH {FOLDS}, k AS (SELECT {{{{symbol AS of, explode(sequence(0, greatest(rows_all - 315, 0) DIV 21))¦unnest(range(0, 41))}}}} AS k{{{{ FROM n¦}}}}) SELECT symbol, CAST(k AS BIGINT) AS fold, CAST(k * 21 AS BIGINT) AS train_start, CAST(k * 21 + 252 AS BIGINT) AS train_end, CAST(k * 21 + 315 AS BIGINT) AS test_end FROM n {{{{JOIN k ON symbol = of¦CROSS JOIN k}}}} WHERE k * 21 + 315 <= rows_all",
     "wfo_02": f"WITH {IN_FOLDS} SELECT symbol, CAST(k AS BIGINT) AS fold, CASE WHEN rn <= k * 21 + 252 THEN 'train' ELSE 'test' END AS role, count(y) AS n, {r('avg(y)', 'mean_return')}, {r('avg(y) / nullif(stddev_samp(y), 0) * sqrt(252)', 'sharpe', 4)}, {r('avg(CASE WHEN y > 0 THEN 1e0 WHEN y <= 0 THEN 0e0 END)', 'win_rate')} FROM f GROUP BY ALL",
@@ -202,3 +197,54 @@ CORRECTED_SQL = {
     "sta_11": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(max(p * (n - i + 1)) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1)', 'adjusted', 5)} FROM o",
     "sta_12": f"WITH {FAMILY}, o AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY p, symbol, hour) AS i, count(*) OVER (PARTITION BY 1) AS n FROM p) SELECT symbol, hour, {r('p', 'p_value', 5)}, {r('least(min(p * n / i) OVER (PARTITION BY 1 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1)', 'adjusted', 5)} FROM o",
 }
+
+
+_TEN = "OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+_HUNDRED = "OVER (PARTITION BY pair ORDER BY t ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
+#: One-sample test of v by ``key``: figures of the samples with 30 values or more.
+ONE_SAMPLE = "count(v) AS n, avg(v) AS m, stddev_samp(v) AS sd, avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END) AS win, avg(v) / nullif(stddev_samp(v) / sqrt(count(v)), 0) AS t0"
+ONE_RESULT = f"n, {r('m', 'mean_return', 5)}, {r('sd', 'std_return', 5)}, {r('t0', 't_statistic', 4)}, {r('p', 'p_value', 5)}, {r('win', 'win_rate')}, {r('coalesce(m / nullif(sd, 0) * sqrt(25.2e0), 0)', 'sharpe_ratio', 4)}, coalesce(p < 0.05, false) AS is_significant"
+# Breakdowns of correlation: the short one falls by a half under its long mean, or under -0.5. What follows is how far the two series part in ten bars; pairs with fewer than 30 breakdowns have no test.
+SQL["par_02"] = (
+    f"WITH {PAIRS}, w AS (SELECT pair, t, CASE WHEN count(ya) {_TEN} = 20 THEN {corr_over('ya', 'yb', _P20)} END AS c, abs((lead(ca, 10) OVER (PARTITION BY pair ORDER BY t) / nullif(ca, 0)) - (lead(cb, 10) OVER (PARTITION BY pair ORDER BY t) / nullif(cb, 0))) AS dv FROM ab), "
+    f"l AS (SELECT *, CASE WHEN count(c) {_HUNDRED} = 100 THEN avg(c) {_HUNDRED} END AS usual FROM w), b AS (SELECT pair, dv, coalesce(c < usual - 0.5, false) OR coalesce(c < -0.5, false) AS broken FROM l WHERE dv IS NOT NULL), k AS (SELECT *, avg(CASE WHEN NOT broken THEN dv END) OVER (PARTITION BY pair) AS other FROM b), "
+    "s AS (SELECT pair, count(CASE WHEN broken THEN 1 END) AS n, count(CASE WHEN NOT broken THEN 1 END) AS n_other, avg(CASE WHEN broken THEN dv END) AS m1, avg(CASE WHEN NOT broken THEN dv END) AS m0, var_samp(CASE WHEN broken THEN dv END) AS v1, var_samp(CASE WHEN NOT broken THEN dv END) AS v0, avg(CASE WHEN broken AND dv > other THEN 1e0 WHEN broken THEN 0e0 END) AS win FROM k GROUP BY pair), "
+    f"u AS (SELECT *, CASE WHEN n >= 30 AND n_other > 1 THEN (m1 - m0) / nullif(sqrt(((n - 1) * v1 + (n_other - 1) * v0) / (n + n_other - 2) * (1e0 / n + 1e0 / n_other)), 0) END AS t0 FROM s), q AS (SELECT *, CASE WHEN t0 IS NOT NULL THEN {t_p('t0', 'n + n_other - 2')} END AS p FROM u) "
+    f"SELECT pair, n, n_other, {r('m1 - m0', 'mean_return', 5)}, {r('sqrt(v1)', 'std_return', 5)}, {r('t0', 't_statistic', 4)}, {r('p', 'p_value', 5)}, {r('win', 'win_rate')}, coalesce(p < 0.05, false) AS is_significant FROM q"
+)
+SQL["par_07"] = (
+    f"WITH {PAIRS}, o AS (SELECT pair, count(*) AS n, corr(ca, cb) AS rho, regr_slope(ca, cb) AS b FROM ab GROUP BY pair HAVING count(*) >= 100), s AS (SELECT ab.pair, t, ca - o.b * cb AS s, o.b, o.n, o.rho FROM ab JOIN o ON ab.pair = o.pair), d AS (SELECT pair, b, n, rho, s - lag(s) OVER (PARTITION BY pair ORDER BY t) AS ds, lag(s) OVER (PARTITION BY pair ORDER BY t) AS ps FROM s), "
+    "l AS (SELECT pair, max(b) AS b, max(n) AS n, max(rho) AS rho, regr_slope(ds, ps) AS lam, avg(ds / nullif(ps, 0)) AS m, stddev_samp(ds / nullif(ps, 0)) AS sd FROM d GROUP BY pair), h AS (SELECT *, CASE WHEN lam < 0 THEN -ln(2) / lam END AS half FROM l) "
+    f"SELECT pair, n, {r('rho', 'correlation')}, {r('b', 'hedge_ratio')}, {r('half', 'half_life')}, {r('coalesce(m / nullif(sd, 0) * sqrt(252), 0)', 'spread_sharpe', 4)}, coalesce(half > 5 AND half < 100, false) AS is_tradeable FROM h"
+)
+SQL["par_08"] = (
+    f"WITH {PAIRS}, s AS (SELECT pair, t, ca - cb AS s FROM ab), z AS (SELECT pair, t, s, (s - avg(s) {_TEN}) / nullif(stddev_samp(s) {_TEN}, 0) AS z, count(s) {_TEN} AS c, lead(s, 10) OVER (PARTITION BY pair ORDER BY t) / nullif(s, 0) - 1 AS f FROM s), "
+    f"g AS (SELECT pair, CASE WHEN z > 2 THEN -f WHEN z < -2 THEN f END AS v FROM z WHERE c = 20), a AS (SELECT pair, {ONE_SAMPLE} FROM g WHERE v IS NOT NULL GROUP BY pair HAVING count(v) >= 30), q AS (SELECT *, {t_p('t0', 'n - 1')} AS p FROM a) SELECT pair, {ONE_RESULT} FROM q"
+)
+#: Cross rates of the series, named by the first three letters of either side as currency pairs are.
+CROSSES = "SELECT upper(concat(substr(a.symbol, 1, 3), substr(b.symbol, 1, 3))) AS symbol, a.t, a.close / nullif(b.close, 0) AS close FROM BARS a JOIN BARS b ON a.t = b.t AND a.symbol < b.symbol"
+
+
+def _strength(source: str) -> str:
+    """Strength of each currency at each time: the mean 20-bar return of its pairs, as base, or less that, as quote; null unless all its pairs have one."""
+    return (
+        f"x AS (SELECT symbol, t, close, close / nullif(lag(close, 20) {W}, 0) - 1 AS y, lead(close, 10) {W} / nullif(close, 0) - 1 AS f FROM ({source}) pairs_ WHERE length(symbol) >= 6), "
+        "l AS (SELECT symbol, t, substr(symbol, 1, 3) AS ccy, y AS v FROM x UNION ALL SELECT symbol, t, substr(symbol, 4, 3) AS ccy, -y AS v FROM x), c AS (SELECT ccy, count(DISTINCT symbol) AS pairs FROM l GROUP BY ccy), "
+        f"m AS (SELECT l.t, l.ccy, CASE WHEN count(v) = max(c.pairs) THEN {_r('avg(v)', 9)} END AS s FROM l JOIN c ON l.ccy = c.ccy GROUP BY l.t, l.ccy)"
+    )
+
+
+def strength_sql(source: str = CROSSES) -> str:
+    return f"WITH {_strength(source)} SELECT t, ccy, {r('s', 'strength')} FROM m WHERE s IS NOT NULL"
+
+
+def strongest_sql(source: str = CROSSES) -> str:
+    """The strongest currency bought against the weakest, by the pair of the two, for ten bars: one test."""
+    return (
+        f"WITH {_strength(source)}, k AS (SELECT t, ccy, row_number() OVER (PARTITION BY t ORDER BY s DESC, ccy) AS hi, row_number() OVER (PARTITION BY t ORDER BY s, ccy) AS lo FROM m WHERE s IS NOT NULL), b AS (SELECT t, max(CASE WHEN hi = 1 THEN ccy END) AS strong, max(CASE WHEN lo = 1 THEN ccy END) AS weak FROM k GROUP BY t), "
+        "g AS (SELECT b.t, CASE WHEN x.symbol = concat(strong, weak) THEN f ELSE -f END AS v FROM b JOIN x ON x.t = b.t AND (x.symbol = concat(strong, weak) OR x.symbol = concat(weak, strong))), "
+        f"a AS (SELECT {ONE_SAMPLE} FROM g WHERE v IS NOT NULL HAVING count(v) >= 30), q AS (SELECT *, {t_p('t0', 'n - 1')} AS p FROM a) SELECT 'strongest_weakest' AS edge_key, {ONE_RESULT} FROM q"
+    )
+
+
+SQL["par_09"], SQL["par_10"] = strength_sql(), strongest_sql()

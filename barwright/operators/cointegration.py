@@ -96,4 +96,10 @@ def engle_granger(pairs: DataFrame) -> DataFrame:
     return out.filter("adf_statistic IS NOT NULL").withColumn("cointegrated", (F.col("p_value") < 0.05).cast("int"))
 
 
-__all__ = ["engle_granger", "p_value"]
+def cointegrated(pairs: DataFrame, figures: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """``figures`` (pair and what is known of it) of the pairs whose p-value is under ``threshold``, the most certain first, with statistic, p-value and lags."""
+    found = engle_granger(pairs).filter(F.col("p_value") < threshold).drop("n", "cointegrated")
+    return figures.join(found, "pair").orderBy("p_value", "adf_statistic", "pair")
+
+
+__all__ = ["cointegrated", "engle_granger", "p_value"]

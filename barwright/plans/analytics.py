@@ -9,7 +9,7 @@ from barwright.functions import dist
 from barwright.functions.dsl import dialect, rounded
 from barwright.operators import bootstrap
 from barwright.operators.analytics import CORRECTED_SQL, FAMILY, HALVES, PAIRS, PERMUTED_SQL, SQL, boot_sql
-from barwright.operators.cointegration import engle_granger
+from barwright.operators.cointegration import cointegrated, engle_granger
 from barwright.operators.corrections import corrected
 from barwright.plans.registry import query
 from barwright.sources.bars import BARS_H1, bars_h1
@@ -26,11 +26,21 @@ for _name, _text in SQL.items():
     query(_name, dialect(_text, False).replace("BARS", f"({BARS_H1})"))(lambda spark, sf_dir, text=_text: run(spark, text, bars_h1(spark, sf_dir)))
 
 
+def _pairs(spark: SparkSession, bars: DataFrame) -> DataFrame:
+    return run(spark, f"WITH {PAIRS} SELECT pair, t, ca, cb FROM ab", bars)
+
+
 @query("par_04")
 def par_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engle-Granger test of every pair of symbols; SQL has no regression on many lags."""
-    pairs = run(spark, f"WITH {PAIRS} SELECT pair, t, ca, cb FROM ab", bars_h1(spark, sf_dir))
-    return engle_granger(pairs)
+    return engle_granger(_pairs(spark, bars_h1(spark, sf_dir)))
+
+
+@query("par_07_cointegrated")
+def par_07_cointegrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cointegrated pairs with hedge ratio, half-life, the spread's Sharpe ratio, and whether it can be traded."""
+    bars = bars_h1(spark, sf_dir)
+    return cointegrated(_pairs(spark, bars), run(spark, SQL["par_07"], bars))
 
 
 def _returns(spark: SparkSession, bars: DataFrame) -> DataFrame:
