@@ -76,3 +76,23 @@ def test_stages_against_brute_force(spark, corpus):
 
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 0
+
+
+MADE = {"score": 7.5, "n_words": 1, "n_removed": "old", "removed_spans": 2, "score_": 3, "taken": 4, "target": 5, "class_id": 6, "N_WORDS_": 8}
+
+
+def test_columns_of_the_input_stay_whatever_their_names(spark, corpus):
+    plain = spark.read.parquet(f"{corpus}/documents.parquet")
+    docs = plain.selectExpr("*", *[f"{v!r} AS `{k}`" for k, v in MADE.items()])
+    for (name, stage), at in zip(corpus_pipeline.STAGES[:-1], range(4), strict=False):
+        out = stage(spark, docs, corpus)
+        assert [c for c, _ in out.dtypes] == docs.columns, name
+        rows = out.collect()
+        assert all(str(r[k]) == str(v) for r in rows for k, v in MADE.items()), name
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in stage(spark, plain, corpus).collect()), at
+
+
+def test_empty_tables(spark, corpus):
+    empty = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, empty, corpus).collect() == []
