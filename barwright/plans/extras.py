@@ -49,6 +49,12 @@ def str_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("symbol").agg(F.count("*").alias("gaps"), (F.floor(F.max("seconds") * 1e3 + 0.5) / 1e3).alias("longest"))
 
 
+@query("str_04_momentum")
+def str_04_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with ticks.rocksdb(spark):
+        return _drain(spark, ticks.momentum(_stream(spark, sf_dir)), "append")
+
+
 @query("str_06", "SELECT event_type AS symbol, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
 def str_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _stream(spark, sf_dir)
