@@ -79,6 +79,11 @@ def ml_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.mutual_information(bars.bars_h1(spark, sf_dir))
 
 
+@query("ml_01_knn")
+def ml_01_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.knn_information(bars.bars_h1(spark, sf_dir))
+
+
 @query("ml_02", f"{_FEATURES}, {learning.IMPORTANCE_SQL} SELECT * FROM imp")
 def ml_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.importance(bars.bars_h1(spark, sf_dir))
