@@ -9,7 +9,6 @@ Blocks hand on k entries per query, which are merged.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +64,9 @@ class Index:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
+        #: Queries that were answered by looking at every code.
+        self.scans = 0
+        self.patterns: dict[tuple[int, int], np.ndarray] = {}
         bits = codes.shape[1] * 64
         # Segments of about log2 of the number of codes bits, so that a bucket holds about one; none much shorter than the others.
         parts = -(-bits // 20) if len(codes) >= 1 << 20 else max(-(-bits // 20), round(bits / max(np.log2(max(len(codes), 2)), 8)))
@@ -84,6 +86,12 @@ class Index:
             value = value | codes[:, word + 1] << np.uint64(64 - shift)
         return (value & np.uint64((1 << n) - 1)).astype(np.int64)
 
+    def masks(self, width: int, radius: int) -> np.ndarray:
+        """Every value of ``width`` bits, 20 at most, with ``radius`` of them set; made when a search first needs them."""
+        if (width, radius) not in self.patterns:
+            self.patterns[width, radius] = np.flatnonzero(np.bitwise_count(np.arange(1 << width)) == radius)
+        return self.patterns[width, radius]
+
     def search(self, queries: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the codes, and their distances, that hold its ``k`` nearest entries, a code counting ``weights`` times; ties at the kth are all there."""
         n, bits = len(queries), self.codes.shape[1] * 64
@@ -96,8 +104,9 @@ class Index:
             for s, (_, w) in enumerate(self.spans):
                 if radius > w:
                     continue
-                masks = np.array([sum(1 << b for b in c) for c in combinations(range(w), radius)], np.int64) if radius <= 4 else None
-                if masks is None or len(masks) * 4 > len(self.codes) + 64:
+                masks = self.masks(w, radius)
+                if len(masks) * 4 > len(self.codes) + 64:
+                    self.scans += len(active)
                     # Looking at every code is less work than the probes: that covers all distances.
                     for q in active:
                         d = np.bitwise_count(self.codes ^ queries[q]).sum(1).astype(np.int64)

@@ -23,6 +23,22 @@ def test_index_against_brute_force(n, bits, flip):
         assert (d[found] == distances).all()
 
 
+def test_wide_uniform_codes_are_searched_by_their_segments():
+    """128 random bits: the tenth nearest of 30,000 codes is some 44 bits off, a radius of 5 in each of 9 segments."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 63, (30_000, 2), dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, (30_000, 2), dtype=np.uint64)
+    asked = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    index = hamming.Index(codes)
+    reached = []
+    masks = index.masks
+    index.masks = lambda w, r: reached.append(r) or masks(w, r)
+    for q, (found, distances) in zip(asked, index.search(asked, np.ones(len(codes), np.int64), 10), strict=True):
+        d = np.bitwise_count(codes ^ q).sum(1)
+        assert sorted(found.tolist()) == np.flatnonzero(d <= np.sort(d)[9]).tolist()
+        assert (d[found] == distances).all()
+    assert index.scans == 0 and max(reached) >= 5
+
+
 @pytest.mark.parametrize("block", [50, 1 << 20])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(hamming, "BLOCK", block)
