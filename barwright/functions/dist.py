@@ -99,6 +99,13 @@ def _t(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t.astype(float), df.astype(float), strict=True)])
 
 
+@F.pandas_udf(DoubleType())
+def _t_interval(df: pd.Series) -> pd.Series:
+    """How many standard errors a 95 % interval of a mean reaches to either side."""
+    at = lru_cache(maxsize=4096)(lambda n: t_quantile(0.975, n) if n > 0 else math.nan)
+    return pd.Series([at(n) for n in df.astype(float)])
+
+
 @F.pandas_udf(DoubleType())
 def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(a, b) for a, b in zip(x.astype(float), df.astype(float), strict=True)])
@@ -193,3 +200,10 @@ def chi2_p_sql(x: str, df: int) -> str:
     if df == 1:
         return normal_p_sql(f"sqrt({x})")
     return f"exp(-({x}) / 2) * ({' + '.join(f'pow(({x}) / 2, {k}) / {math.factorial(k)}' for k in range(df // 2))})"
+
+
+def t_interval_sql(df: str) -> str:
+    """DuckDB form of :func:`_t_interval`: the expansion of Student's quantile about the normal one, to the fourth order, for more than some thirty degrees of freedom."""
+    z = 1.959963984540054
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return f"({z!r}::DOUBLE" + "".join(f" + {c!r}::DOUBLE / pow({df}, {k})" for k, c in enumerate(terms, 1)) + ")"

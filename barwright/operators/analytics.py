@@ -7,7 +7,7 @@ Series are partitioned by symbol throughout, so no symbol sees another's rows.
 from __future__ import annotations
 
 from barwright.config import Validation
-from barwright.functions.dist import chi2_p_sql, normal_p_sql, t_p_sql
+from barwright.functions.dist import chi2_p_sql, normal_p_sql, t_interval_sql, t_p_sql
 from barwright.functions.dsl import rounded as _r
 
 
@@ -15,6 +15,10 @@ def t_p(t: str, df: str) -> str:
     return f"{{{{t_p({t}, CAST({df} AS DOUBLE))¦{t_p_sql(t, df)}}}}}"
 
 
+def t_interval(df: str) -> str:
+    return f"{{{{t_interval(CAST({df} AS DOUBLE))¦{t_interval_sql(df)}}}}}"
+
+
 def normal_p(z: str) -> str:
     return f"{{{{normal_p({z})¦{normal_p_sql(z)}}}}}"
 
@@ -144,7 +148,7 @@ SELECT symbol, edge_key, n, {r("m", "mean_return")}, {r("sd", "std_return")}, {r
     "sta_13": f"WITH {PAIRS}, q AS (SELECT pair, abs(corr(ya, yb)) AS rho FROM ab GROUP BY pair) SELECT pair, CASE WHEN rho < 0.1 THEN 'negligible' WHEN rho < 0.3 THEN 'weak' WHEN rho < 0.5 THEN 'moderate' WHEN rho < 0.7 THEN 'strong' ELSE 'very strong' END AS strength FROM q",
     # metrics and reports
     "met_01": f"WITH {RETURNS}, {ISLANDS}, m AS (SELECT symbol, count(*) AS n, count(CASE WHEN y > 0 THEN 1 END) AS wins, count(CASE WHEN y < 0 THEN 1 END) AS losses, coalesce(avg(CASE WHEN y > 0 THEN y END), 0) AS aw, coalesce(-avg(CASE WHEN y < 0 THEN y END), 0) AS al, coalesce(sum(CASE WHEN y > 0 THEN y END), 0) AS gp, coalesce(-sum(CASE WHEN y < 0 THEN y END), 0) AS gl, CAST(max(ws) AS BIGINT) AS mw, CAST(max(ls) AS BIGINT) AS ml FROM j GROUP BY symbol) SELECT symbol, n AS total_trades, wins AS winning_trades, losses AS losing_trades, {r('CAST(wins AS DOUBLE) / n', 'win_rate')}, {r('aw', 'avg_win')}, {r('al', 'avg_loss')}, {r('coalesce(aw / nullif(al, 0), 0)', 'win_loss_ratio')}, {r('CAST(wins AS DOUBLE) / n * aw - (1 - CAST(wins AS DOUBLE) / n) * al', 'expectancy')}, {r('coalesce(gp / nullif(gl, 0), 0)', 'profit_factor')}, mw AS max_consecutive_wins, ml AS max_consecutive_losses FROM m",
-    "met_02": f"WITH {EQUITY}, g AS (SELECT *, count(CASE WHEN drawdown >= 0 THEN 1 END) {RUN} AS island FROM q), c AS (SELECT symbol, island, count(CASE WHEN drawdown < 0 THEN 1 END) AS len FROM g GROUP BY symbol, island), l AS (SELECT symbol, max(len) AS dur FROM c GROUP BY symbol), m AS (SELECT symbol, count(*) AS n, avg(y) AS mean_y, stddev_samp(y) AS sd, stddev_samp(CASE WHEN y < 0 THEN y END) AS dn, exp(sum({GROWTH})) - 1 AS total, -min(drawdown) AS mdd, sqrt(avg(drawdown * drawdown)) AS ulcer FROM q GROUP BY symbol) SELECT m.symbol, {r('total', 'total_return', 4)}, {r('mean_y * sqrt(252) / nullif(sd, 0)', 'sharpe_ratio', 5)}, {r('mean_y * sqrt(252) / nullif(dn, 0)', 'sortino_ratio', 5)}, {r('mdd', 'max_drawdown')}, l.dur AS max_drawdown_duration, {r('total / nullif(mdd, 0)', 'recovery_factor', 4)}, {r('ulcer', 'ulcer_index')} FROM m JOIN l ON m.symbol = l.symbol",
+    "met_02": f"WITH {EQUITY}, g AS (SELECT *, count(CASE WHEN drawdown >= 0 THEN 1 END) {RUN} AS island FROM q), c AS (SELECT symbol, island, count(CASE WHEN drawdown < 0 THEN 1 END) AS len FROM g GROUP BY symbol, island), l AS (SELECT symbol, max(len) AS dur FROM c GROUP BY symbol), m AS (SELECT symbol, count(*) AS n, avg(y) AS mean_y, stddev_samp(y) AS sd, stddev_samp(CASE WHEN y < 0 THEN y END) AS dn, exp(sum({GROWTH})) - 1 AS total, exp(sum({GROWTH}) * 252e0 / count(*)) - 1 AS yearly, -min(drawdown) AS mdd, sqrt(avg(drawdown * drawdown)) AS ulcer FROM q GROUP BY symbol) SELECT m.symbol, {r('total', 'total_return', 4)}, {r('yearly', 'annualized_return', 4)}, {r('coalesce(yearly / nullif(mdd, 0), 0)', 'calmar_ratio', 4)}, {r('mean_y * sqrt(252) / nullif(sd, 0)', 'sharpe_ratio', 5)}, {r('mean_y * sqrt(252) / nullif(dn, 0)', 'sortino_ratio', 5)}, {r('mdd', 'max_drawdown')}, l.dur AS max_drawdown_duration, {r('total / nullif(mdd, 0)', 'recovery_factor', 4)}, {r('ulcer', 'ulcer_index')} FROM m JOIN l ON m.symbol = l.symbol",
     "met_03": f"WITH {RETURNS}, y AS (SELECT symbol, CAST(extract(year FROM d) AS INT) AS yr, sum(y) AS s, count(*) AS n FROM x GROUP BY ALL) SELECT symbol, yr, n, {r('s', 'yearly_return')} FROM y",
     "met_04": f"WITH {RETURNS}, m AS (SELECT symbol, CAST(count(CASE WHEN y > 0 THEN 1 END) AS DOUBLE) / count(*) AS w, avg(CASE WHEN y > 0 THEN y END) AS aw, -avg(CASE WHEN y < 0 THEN y END) AS al, avg(y) AS mean_y FROM x GROUP BY symbol) SELECT symbol, {r('mean_y - 0.0002', 'net_mean')}, {r('al / (aw + al)', 'breakeven_win_rate')}, {r('greatest(w - (1 - w) / (aw / al), 0)', 'kelly')} FROM m",
     "met_05": f"WITH {RETURNS}, m AS (SELECT symbol, avg(y) * 252 AS a, stddev_samp(y) * sqrt(252) AS s FROM x GROUP BY symbol) SELECT symbol, {r('a - 0.02', 'excess_return')}, {r('(a - 0.02) / nullif(s, 0)', 'sharpe_ratio', 5)}, {r('(a - 0.02) / nullif(s, 0) * 0.15 + 0.02', 'm2_measure', 5)}, {r('s', 'volatility')} FROM m",
@@ -248,3 +252,31 @@ def strongest_sql(source: str = CROSSES) -> str:
 
 
 SQL["par_09"], SQL["par_10"] = strength_sql(), strongest_sql()
+
+#: The last 252 returns.
+_YEAR = "OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+# How steady a series is: Sharpe ratio and win rate of every full window of 252 returns, and its calendar years. Series with fewer returns have no row.
+SQL["met_03_stability"] = (
+    f"WITH {RETURNS}, w AS (SELECT symbol, row_number() {W} AS rn, coalesce(avg(y) {_YEAR} / nullif(stddev_samp(y) {_YEAR}, 0) * sqrt(252), 0) AS s, avg(CASE WHEN y > 0 THEN 1e0 ELSE 0e0 END) {_YEAR} AS wins FROM x), "
+    "a AS (SELECT symbol, count(*) AS windows, avg(s) AS s_mean, stddev_samp(s) AS s_std, min(s) AS s_min, avg(wins) AS w_mean FROM w WHERE rn >= 252 GROUP BY symbol), "
+    "y AS (SELECT symbol, extract(year FROM d) AS yr, sum(y) AS v FROM x GROUP BY symbol, extract(year FROM d)), b AS (SELECT symbol, stddev_samp(v) AS v_std, count(CASE WHEN v > 0 THEN 1 END) AS up, count(CASE WHEN v < 0 THEN 1 END) AS down, max(v) AS best, min(v) AS worst FROM y GROUP BY symbol) "
+    f"SELECT a.symbol, windows, {r('s_mean', 'rolling_sharpe_mean', 5)}, {r('s_std', 'rolling_sharpe_std', 5)}, {r('s_min', 'rolling_sharpe_min', 5)}, {r('w_mean', 'rolling_win_rate_mean')}, {r('v_std', 'yearly_return_std', 5)}, up AS positive_years, down AS negative_years, {r('best', 'best_year', 5)}, {r('worst', 'worst_year', 5)} FROM a JOIN b ON a.symbol = b.symbol"
+)
+# The 95 % interval of the mean return, of series with three returns or more.
+SQL["sta_01_interval"] = (
+    f"WITH {RETURNS}, s AS (SELECT symbol, count(y) AS n, avg(y) AS m, stddev_samp(y) / sqrt(count(y)) AS se FROM x GROUP BY symbol HAVING count(y) >= 3), u AS (SELECT *, se * {t_interval('n - 1')} AS reach FROM s) "
+    f"SELECT symbol, n, {r('m', 'sample_mean')}, {r('m - reach', 'ci_lo')}, {r('m + reach', 'ci_hi')} FROM u"
+)
+# Spearman's correlation: a rank with ties averaged is the mean of the rank from below and that from above, so all windows are by pair.
+_RANK = "(rank() OVER (PARTITION BY pair ORDER BY {0}) + count(*) OVER (PARTITION BY pair) + 1 - rank() OVER (PARTITION BY pair ORDER BY {0} DESC)) / 2e0"
+SQL["sta_09_spearman"] = (
+    f"WITH {PAIRS}, v AS (SELECT pair, {_r('ya', 9)} AS va, {_r('yb', 9)} AS vb FROM ab), k AS (SELECT pair, {_RANK.format('va')} AS ra, {_RANK.format('vb')} AS rb FROM v), q AS (SELECT pair, count(*) AS n, corr(ra, rb) AS rho FROM k GROUP BY pair HAVING count(*) > 2), "
+    f"u AS (SELECT *, rho * sqrt((n - 2) / nullif(1 - rho * rho, 0)) AS t0 FROM q) SELECT pair, n, {r('rho', 'statistic')}, {r('CASE WHEN abs(rho) >= 1 THEN 0e0 ELSE ' + t_p('t0', 'n - 2') + ' END', 'p_value', 5)} FROM u"
+)
+# Size of an effect in words, of the mean against its spread and of the difference of two groups.
+_SIZE = "CASE WHEN abs(effect_size) < 0.2 THEN 'negligible' WHEN abs(effect_size) < 0.5 THEN 'small' WHEN abs(effect_size) < 0.8 THEN 'medium' WHEN abs(effect_size) >= 0.8 THEN 'large' END AS effect"
+SQL["sta_13_effects"] = " UNION ALL ".join(f"SELECT symbol, '{test}' AS test, effect_size, {_SIZE} FROM ({SQL[name]}) {name}_" for name, test in (("sta_01", "one_sample"), ("sta_02", "two_sample")))
+SQL["rpt_06_session"] = (
+    f"WITH {RETURNS} SELECT symbol, CASE WHEN t % 24 < 8 THEN 'asian' WHEN t % 24 < 16 THEN 'london' WHEN t % 24 < 21 THEN 'ny' ELSE 'other' END AS session, count(*) AS n, {r('avg(y)', 'mean_return')} FROM x "
+    "GROUP BY symbol, CASE WHEN t % 24 < 8 THEN 'asian' WHEN t % 24 < 16 THEN 'london' WHEN t % 24 < 21 THEN 'ny' ELSE 'other' END"
+)

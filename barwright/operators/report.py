@@ -40,6 +40,29 @@ def pivot(rows: DataFrame, timeframes: list[str]) -> DataFrame:
     return rows.groupBy("symbol").pivot("timeframe", timeframes).agg(F.first("significant_edges"))
 
 
+def overview(rows: DataFrame) -> DataFrame:
+    """What a :func:`matrix` comes to, one row for each timeframe, each symbol, and each type that is the best of some series: view, name, series, mean of significant tests, Sharpe ratio and win rate.
+
+    Types count only series with a significant test. One aggregation makes all three views.
+    """
+    views = F.array(*(F.struct(F.lit(view).alias("view"), F.col(column).alias("name")) for view, column in (("timeframe", "timeframe"), ("symbol", "symbol"), ("edge_type", "top_edge_type"))))
+    named = rows.withColumn("_view", F.explode(views)).filter("_view.view <> 'edge_type' OR significant_edges > 0")
+    mean = lambda c: F.expr(f"floor(avg({c}) * 1e4 + 0.5e0) / 1e4")
+    return named.groupBy("_view.view", "_view.name").agg(
+        F.count("*").alias("series"), mean("significant_edges").alias("avg_significant"), mean("sharpe_ratio").alias("avg_sharpe"), mean("win_rate").alias("avg_win_rate")
+    )
+
+
+def best_series(rows: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` rows of a :func:`matrix` with the highest Sharpe ratios."""
+    return rows.orderBy(F.desc("sharpe_ratio"), "symbol", "timeframe").limit(k)
+
+
+def data_summary(bars: DataFrame) -> DataFrame:
+    """Of each symbol: bars, first and last time, lowest and highest price, mean volume."""
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min("low").alias("lowest"), F.max("high").alias("highest"), F.avg("volume").alias("mean_volume"))
+
+
 def as_json(edges: DataFrame) -> DataFrame:
     return edges.select("symbol", "edge_key", F.to_json(F.struct(*[c for c in edges.columns if c not in ("symbol", "edge_key")])).alias("payload"))
 
@@ -63,8 +86,13 @@ def write_report(edges: DataFrame, path: str, k: int = 10) -> None:
     edges.write.mode("overwrite").json(f"{path}/results")
 
 
-def to_html(edges: DataFrame, title: str = "Edge report", k: int = 20) -> str:
-    """Header, summary, and the table of the top ``k``."""
-    table = lambda rows, names: "<table><tr>" + "".join(f"<th>{html.escape(n)}</th>" for n in names) + "</tr>" + "".join("<tr>" + "".join(f"<td>{html.escape(str(r[n]))}</td>" for n in names) + "</tr>" for r in rows) + "</table>"
-    families, top = summary(edges).orderBy("edge_type"), top_edges(edges, k)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><h2>Types</h2>{table(families.collect(), families.columns)}<h2>Top edges</h2>{table(top.collect(), top.columns)}</body></html>"
+def to_html(edges: DataFrame, title: str = "Edge report", k: int = 20, bars: DataFrame | None = None) -> str:
+    """Header, summary of the ``bars`` if given (a row for each symbol), types, and the table of the top ``k``."""
+
+    def table(heading: str, df: DataFrame) -> str:
+        cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values) + "</tr>"
+        return f"<h2>{heading}</h2><table>{cells('th', df.columns)}{''.join(cells('td', row) for row in df.collect())}</table>"
+
+    parts = [table("Data", data_summary(bars).orderBy("symbol"))] if bars is not None else []
+    parts += [table("Types", summary(edges).orderBy("edge_type")), table("Top edges", top_edges(edges, k))]
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{''.join(parts)}</body></html>"

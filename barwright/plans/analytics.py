@@ -17,7 +17,7 @@ from barwright.sources.bars import BARS_H1, bars_h1
 
 def run(spark: SparkSession, text: str, bars: DataFrame) -> DataFrame:
     """Run a statement over ``bars``; tail probabilities are vectorised functions over its few result rows."""
-    for name, fn in (("t_p", dist._t), ("chi2_p", dist._chi2), ("normal_p", dist._normal), ("u_p", dist._u_p), ("w_p", dist._w_p)):
+    for name, fn in (("t_p", dist._t), ("t_interval", dist._t_interval), ("chi2_p", dist._chi2), ("normal_p", dist._normal), ("u_p", dist._u_p), ("w_p", dist._w_p)):
         spark.udf.register(name, fn)
     return spark.sql(dialect(text, True).replace("BARS", "{bars}"), bars=bars)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwright.functions.dsl import ORDER, Ewm, Plan, fill, last_n
+from barwright.functions.dsl import ORDER, Ewm, Plan, fill, last_n, rounded
 from barwright.operators import report
 from barwright.operators.edges import type_sql
 from barwright.plans.edges import detect, detect_sql
@@ -233,6 +233,22 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("eng_05", _MATRIX)(_matrix)
 
 
+_VIEWS = {"timeframe": "timeframe", "symbol": "symbol", "edge_type": "top_edge_type"}
+
+
+@query("eng_05_overview", " UNION ALL ".join(
+    f"SELECT '{view}' AS view, {column} AS name, count(*) AS series, {rounded('avg(significant_edges)', 4)} AS avg_significant, {rounded('avg(sharpe_ratio)', 4)} AS avg_sharpe, {rounded('avg(win_rate)', 4)} AS avg_win_rate "
+    f"FROM ({_MATRIX}) WHERE '{view}' <> 'edge_type' OR significant_edges > 0 GROUP BY {column}" for view, column in _VIEWS.items()
+))
+def eng_05_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.overview(_matrix(spark, sf_dir))
+
+
+@query("eng_05_best", f"SELECT * FROM ({_MATRIX}) ORDER BY sharpe_ratio DESC, symbol, timeframe LIMIT 20")
+def eng_05_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.best_series(_matrix(spark, sf_dir))
+
+
 @query("agg_05", f"SELECT symbol, {', '.join(f'max(CASE WHEN timeframe = {tf!r} THEN significant_edges END) AS {tf}' for tf in source.MULTI)} FROM ({_MATRIX}) GROUP BY symbol")
 def agg_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.pivot(_matrix(spark, sf_dir), list(source.MULTI))

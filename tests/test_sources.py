@@ -52,3 +52,23 @@ def test_from_csv_to_edges(spark, tmp_path):
         assert other.n == r.n and abs(other.mean_return - r.mean_return) < 2e-6
     rows = report.matrix(found).collect()
     assert {(r.symbol, r.timeframe) for r in rows} == {("EURUSD", "H1"), ("EURUSD", "M15"), ("USDJPY", "H1")} and all(r.total_edges > 40 for r in rows)
+
+
+def test_overview_of_a_matrix(spark):
+    rows = spark.createDataFrame(
+        [("A", "H1", 4, "x", "time_hour", 2.0, 0.6), ("A", "H4", 0, "None", "-", 0.0, 0.0), ("B", "H1", 2, "y", "time_hour", 1.0, 0.5), ("B", "H4", 1, "z", "rsi", 3.0, 0.7)],
+        "symbol string, timeframe string, significant_edges long, top_edge string, top_edge_type string, sharpe_ratio double, win_rate double",
+    )
+    got = {(r.view, r.name): (r.series, r.avg_significant, r.avg_sharpe, r.avg_win_rate) for r in report.overview(rows).collect()}
+    assert got == {
+        ("timeframe", "H1"): (2, 3.0, 1.5, 0.55), ("timeframe", "H4"): (2, 0.5, 1.5, 0.35), ("symbol", "A"): (2, 2.0, 1.0, 0.3), ("symbol", "B"): (2, 1.5, 2.0, 0.6),
+        ("edge_type", "time_hour"): (2, 3.0, 1.5, 0.55), ("edge_type", "rsi"): (1, 1.0, 3.0, 0.7),
+    }
+    assert [(r.symbol, r.timeframe) for r in report.best_series(rows, 2).collect()] == [("B", "H4"), ("A", "H1")]
+
+
+def test_html_with_data(spark):
+    edges = spark.createDataFrame([("a", "hour_12", 200, 0.01, 0.6, 1.5, True)], "symbol string, edge_key string, n long, p_value double, win_rate double, sharpe_ratio double, is_significant boolean")
+    series = spark.createDataFrame([("<b>", 1, 1.0, 2.0, 0.5, 1.5, 3.0), ("<b>", 2, 1.5, 4.0, 1.0, 2.0, 5.0)], "symbol string, t long, open double, high double, low double, close double, volume double")
+    page = report.to_html(edges, bars=series)
+    assert "<td>&lt;b&gt;</td><td>2</td><td>1</td><td>2</td><td>0.5</td><td>4.0</td><td>4.0</td>" in page and "<h2>Data</h2>" not in report.to_html(edges)

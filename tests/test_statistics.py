@@ -152,6 +152,58 @@ def test_metrics(returns, ask):
         near(two[s].ulcer_index, math.sqrt((down**2).mean()))
 
 
+def test_yearly_figures_and_stability(returns, ask, frame):
+    two, steady = ask("met_02"), ask("met_03_stability")
+    for s, y in returns.items():
+        equity = np.cumprod(1 + y)
+        yearly = equity[-1] ** (252 / len(y)) - 1
+        near(two[s].annualized_return, yearly, 1e-4)
+        near(two[s].calmar_ratio, yearly / -(equity / np.maximum.accumulate(equity) - 1).min(), 1e-3)
+        windows = [y[k : k + 252] for k in range(len(y) - 251)]
+        sharpe = [w.mean() / w.std(ddof=1) * math.sqrt(252) for w in windows]
+        near(steady[s].rolling_sharpe_mean, np.mean(sharpe))
+        near(steady[s].rolling_sharpe_std, np.std(sharpe, ddof=1), 1e-4)
+        near(steady[s].rolling_sharpe_min, min(sharpe))
+        near(steady[s].rolling_win_rate_mean, np.mean([(w > 0).mean() for w in windows]))
+        times = pd.to_datetime(frame[frame.symbol == s].t.to_numpy()[1:] * 3600, unit="s")
+        years = pd.Series(y).groupby(times.year).sum()
+        assert steady[s].windows == len(windows) and steady[s].positive_years == (years > 0).sum() and steady[s].negative_years == (years < 0).sum()
+        near(steady[s].best_year, years.max())
+        near(steady[s].worst_year, years.min())
+
+
+def test_interval_of_the_mean(returns, ask, spark):
+    # Published quantiles of Student's t.
+    for df, at in ((1, 12.7062), (2, 4.3027), (10, 2.2281), (30, 2.0423), (120, 1.9799)):
+        near(dist.t_quantile(0.975, df), at, 2e-5)
+    for s, r in ask("sta_01_interval").items():
+        y = returns[s]
+        reach = dist.t_quantile(0.975, N - 2) * y.std(ddof=1) / math.sqrt(N - 1)
+        near(r.ci_lo, y.mean() - reach)
+        near(r.ci_hi, y.mean() + reach)
+
+
+def test_spearman_with_ties_and_effect_labels(spark, frame, ask):
+    coarse = frame.copy()
+    steps = np.random.default_rng(4).integers(-2, 3, len(coarse)) / 100
+    coarse["close"] = 100 * np.exp(pd.Series(np.log1p(steps)).groupby(coarse.symbol).cumsum())
+    wide = coarse.pivot(index="t", columns="symbol", values="close").pct_change().dropna().round(9)
+    rho = wide.rank().corr().loc["A", "B"]
+    r = run(spark, SQL["sta_09_spearman"], spark.createDataFrame(coarse).repartition(3)).first()
+    assert wide["A"].nunique() < 10 and r.n == len(wide)
+    near(r.statistic, rho)
+    near(r.p_value, dist.t_two_sided(rho * math.sqrt((r.n - 2) / (1 - rho**2)), r.n - 2))
+    # A series that rises and falls with another has a rank correlation of one, whatever the scale.
+    twin = pd.concat([g.assign(symbol=s, close=100 * np.cumprod(np.r_[1, 1 + g.close.pct_change().dropna() ** k])) for (s, k), g in zip((("A", 1), ("B", 3)), [frame[frame.symbol == "A"]] * 2, strict=True)])
+    r = run(spark, SQL["sta_09_spearman"], spark.createDataFrame(twin)).first()
+    assert r.statistic > 0.99 and r.p_value == 0
+    rows = run(spark, SQL["sta_13_effects"], spark.createDataFrame(frame)).collect()
+    one = {r.symbol: r.effect_size for r in ask("sta_01").values()}
+    label = lambda d: next(name for top, name in ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"), (1e9, "large")) if abs(d) < top)
+    assert len(rows) == 4 and all(r.effect == label(r.effect_size) for r in rows)
+    assert all(r.effect_size == one[r.symbol] for r in rows if r.test == "one_sample")
+
+
 def test_clustering(returns, ask):
     for s, r in ask("vle_01").items():
         a = abs(returns[s]) - abs(returns[s]).mean()
