@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from barwright.llm import warc
 
 SCHEMA = "page_id long, url string, html string, payload string"
@@ -108,3 +110,17 @@ def test_large_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
     assert max(p.stat().st_size for p in files) < 60_000 + 200 * 700
     got = {int(r.page_id): r.payload_bytes for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
     assert got == {k: len(h) for k, _, h, _ in rows}
+
+
+def test_damage_fails_instead_of_dropping_rows(spark, tmp_path):
+    sound, hurt = make(1) + make(2), bytearray(make(1) + make(2))
+    hurt[make(1).index(b"hello")] ^= 1
+    (tmp_path / "sound").mkdir()
+    (tmp_path / "sound" / "a.warc").write_bytes(sound)
+    read = lambda name: warc.intact(warc.read_archives(spark, str(tmp_path / name), payloads=False)).select("page_id")
+    assert sorted(r.page_id for r in read("sound").collect()) == ["1", "2"]
+    for name, data in (("payload", bytes(hurt)), ("gap", make(1) + b"lost bytes" + make(2)), ("cut", sound[:-30])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(Exception, match="damaged archive"):
+            read(name).collect()
