@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.dsl import Plan
 from barwright.operators.features import PLANS
+from barwright.sources.bars import SESSIONS
 
 PRICES = ("open", "high", "low", "close")
 #: Feature plans of each step.
@@ -40,6 +41,28 @@ def clean(bars: DataFrame, first: str | None = None) -> DataFrame:
     return filled.dropna()
 
 
+def narrowed(bars: DataFrame, symbols: list[str] | None = None, start: float | None = None, end: float | None = None, session: str | None = None, weekdays: list[int] | None = None, least_volume: float | None = None) -> DataFrame:
+    """Bars of some symbols, from ``start`` to ``end`` inclusive (hours since 1970), within a trading session, on some weekdays (0 is Monday), of at least some volume.
+
+    What isn't given doesn't narrow. Every condition is a comparison of columns, so those on symbol, t and volume reach the files of a stored table. A null volume fails any least one.
+    """
+    t = F.col("t")
+    if symbols is not None:
+        bars = bars.filter(F.col("symbol").isin(symbols))
+    if start is not None:
+        bars = bars.filter(t >= start)
+    if end is not None:
+        bars = bars.filter(t <= end)
+    if least_volume is not None:
+        bars = bars.filter(F.col("volume") >= least_volume)
+    if session is not None:
+        opens, closes = SESSIONS[session]
+        bars = bars.filter((F.pmod(t, F.lit(24)) >= opens) & (F.pmod(t, F.lit(24)) < closes))
+    if weekdays is not None:
+        bars = bars.filter(F.pmod(F.floor(t / 24) + 3, F.lit(7)).isin(weekdays))
+    return bars
+
+
 def plan(*steps: str) -> Plan:
     """The feature plans of some steps as one: what several define alike is computed once."""
     levels, out, known = [], {}, {}

@@ -186,6 +186,12 @@ def pre_13_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STEPS.query(preprocess.clean(_dirty(spark, sf_dir), "o"))
 
 
+@query("pre_14_session", f"SELECT symbol, t, close, volume FROM ({bars.BARS_H1}) WHERE t % 24 >= 7 AND t % 24 < 16 AND (t // 24 + 3) % 7 < 5 AND volume >= 2")
+def pre_14_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the London session on working days with two ticks or more, of every symbol."""
+    return preprocess.narrowed(bars.bars_h1(spark, sf_dir), session="london", weekdays=[0, 1, 2, 3, 4], least_volume=2).select("symbol", "t", "close", "volume")
+
+
 @query("eng_04")
 def eng_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every significant signed edge with the bootstrap of its mean and its walk-forward folds."""
@@ -231,7 +237,7 @@ def str_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars in append mode: a window comes out once the watermark has passed it. A last file brings ticks for hours long past, which are dropped."""
     path = shared(spark, "late-ticks")
     events = bars.events(spark, sf_dir)
-    first, middle = events.agg(F.min("ts"), F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()
+    first, middle = events.agg(F.min("ts"), F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()
     half = F.unix_micros(F.col("ts").cast("timestamp")) <= F.lit(middle)
     # Spark holds late rows against the watermark of the batch before, so two batches come before the late one.
     events.filter(half).coalesce(1).write.parquet(path)

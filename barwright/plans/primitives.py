@@ -262,13 +262,25 @@ def snk_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
+def _as_files(spark: SparkSession, bars: DataFrame) -> str:
+    """Hourly bars as CSV files; where they are."""
+    path = shared(spark, "csv")
+    rows = bars.select("symbol", F.timestamp_seconds(F.col("t") * 3600).alias("time"), "open", "high", "low", "close", F.col("volume").cast("long").alias("tick_volume"), F.lit(0).cast("long").alias("real_volume"), F.lit(0.0).alias("spread"))
+    source.write_csv(rows.withColumn("timeframe", F.lit("H1")), path)
+    return path
+
+
+@query("src_03_files", f"WITH {_B} SELECT DISTINCT symbol FROM b")
+def src_03_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols that a folder of bar files has, by the files' names."""
+    return source.csv_symbols(spark, _as_files(spark, bars_h1(spark, sf_dir)))
+
+
 @query("src_02", f"WITH {_B} SELECT symbol, t, {_sql6('close', 'close')}, volume FROM b WHERE t BETWEEN (SELECT min(t) + 24 FROM b) AND (SELECT min(t) + 96 FROM b)")
 def src_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars through ``<SYMBOL>_<TF>.csv`` files: written, then read back by name and by an inclusive range of times."""
-    bars, path = bars_h1(spark, sf_dir), shared(spark, "csv")
-    least = bars.agg(F.min("t")).first()[0]
-    rows = bars.select("symbol", F.timestamp_seconds(F.col("t") * 3600).alias("time"), "open", "high", "low", "close", F.col("volume").cast("long").alias("tick_volume"), F.lit(0).cast("long").alias("real_volume"), F.lit(0.0).alias("spread"))
-    source.write_csv(rows.withColumn("timeframe", F.lit("H1")), path)
+    bars = bars_h1(spark, sf_dir)
+    path, least = _as_files(spark, bars), bars.agg(F.min("t")).first()[0]
     start, end = (spark.range(1).select(F.timestamp_seconds(F.lit((least + h) * 3600)).cast("string")).first()[0] for h in (24, 96))
     read = source.to_series(source.read_csv(spark, path, timeframe="H1", start=start, end=end).drop("timeframe"))
     return read.select("symbol", F.col("t").cast("long").alias("t"), _six("close"), "volume")

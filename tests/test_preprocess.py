@@ -73,3 +73,17 @@ def test_whole_pipeline(spark):
         assert np.allclose(got, want, equal_nan=True)
     with pytest.raises(KeyError):
         preprocess.plan("nothing")
+
+
+def test_narrowed(spark):
+    # 2022-01-03 is a Monday.
+    monday = 18995 * 24
+    rows = [(s, monday + h, 1.0, 1.0, 1.0, 1.0, float(h % 5) if h % 9 else None) for s in "AB" for h in range(8 * 24)]
+    bars = spark.createDataFrame(rows, SCHEMA)
+    got = lambda **how: sorted((r.symbol, r.t) for r in preprocess.narrowed(bars, **how).collect())
+    assert got() == sorted((r[0], r[1]) for r in rows)
+    assert got(symbols=["A"], start=monday + 5, end=monday + 7) == [("A", monday + h) for h in (5, 6, 7)] and got(symbols=[]) == []
+    assert got(session="ny", weekdays=[0], symbols=["B"]) == [("B", monday + d * 24 + h) for d in (0, 7) for h in range(12, 21)]
+    assert got(least_volume=3) == sorted((r[0], r[1]) for r in rows if r[6] is not None and r[6] >= 3)
+    before = spark.createDataFrame([("A", -24 + 13, 1.0, 1.0, 1.0, 1.0, 1.0)], SCHEMA)  # 1969-12-31, a Wednesday
+    assert preprocess.narrowed(before, session="ny", weekdays=[2]).count() == 1

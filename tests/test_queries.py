@@ -26,7 +26,7 @@ def plain(df: pd.DataFrame) -> list:
     return sorted([tuple(value(v) for v in row) for row in df.itertuples(index=False)], key=str)
 
 
-SAMPLE = ["pre_02", "pre_08", "pre_10", "mom_02", "mom_10", "trd_06", "trd_07", "vol_13", "vlm_08", "cnd_14", "tim_01", "tre_08", "mrv_08", "vle_02", "str_e7", "sta_02", "sta_04", "met_01", "met_02", "par_03", "boo_01", "wfo_02", "join_02", "str_01", "eng_05", "pre_01_issues", "pre_13_pipeline", "met_03_stability", "sta_09_spearman", "rpt_06_session", "snk_01_report", "eng_05_overview"]
+SAMPLE = ["pre_02", "pre_08", "pre_10", "mom_02", "mom_10", "trd_06", "trd_07", "vol_13", "vlm_08", "cnd_14", "tim_01", "tre_08", "mrv_08", "vle_02", "str_e7", "sta_02", "sta_04", "met_01", "met_02", "par_03", "boo_01", "wfo_02", "join_02", "str_01", "eng_05", "pre_01_issues", "pre_13_pipeline", "pre_14_session", "src_02", "src_03_files", "str_05", "met_03_stability", "sta_09_spearman", "rpt_06_session", "snk_01_report", "eng_05_overview"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
