@@ -151,9 +151,10 @@ class Forest:
             tops = paths.filter(ends).select("tree", F.lit(0).cast("long").alias("block"), "path", "subroot")
             if above is not None:
                 tops = tops.unionByName(above.select("payload.tree", F.col("payload.pos").alias("block"), F.col("proof").alias("path"), "subroot"))
-            asked = wanted if j == 0 else self.level(low)
+            # A tree that ends at this level, or below, has nothing above it: its path comes from ``paths``, further down.
+            stored = self.level(low) if j == 0 else self.level(low).filter("n > 1")
+            asked = wanted if j == 0 else stored
             payload = F.struct(*[F.col(c) for c in (asked.columns if j == 0 else ("tree", "pos"))])
-            stored = self.level(low)
             if j < len(self.bands):
                 stored = stored.unionByName(self.bands[j].filter(F.col("level") < low + BAND))
             nodes = stored.select("tree", F.expr(f"shiftright(pos, {low + BAND} - level)").alias("block"), (F.col("level") - low).alias("level"), "pos", "n", F.col("hash").alias("text"))

@@ -2,6 +2,7 @@ import zlib
 from hashlib import sha256
 
 import pytest
+from pyspark.cloudpickle import register_pickle_by_value, unregister_pickle_by_value
 from pyspark.sql import functions as F
 
 from barwright.llm import merkle
@@ -87,6 +88,25 @@ def test_coordinates_of_some_rows_and_stored_levels(spark, tmp_path):
     assert {r.pos: r.proof for r in got} == {p: ",".join(siblings(levels, p)) for p in (0, 1023, 1024, 2499)}
 
 
+@pytest.mark.parametrize("sizes", [(1100, 513, 400), (1025, 1024, 700, 512, 1, 2), (2049, 1100, 600)])
+def test_trees_that_end_where_a_stretch_of_others_begins(spark, sizes):
+    rows = [(k, f"t{k}", f"l{t}", "s", 1) for t, n in enumerate(sizes) for k in range(n)]
+    got = collected(merkle.manifest(spark.createDataFrame(rows, SCHEMA).repartition(4), COLUMNS))
+    assert got == sorted(brute(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+
+
+def test_ends_of_trees_in_every_band(spark, monkeypatch):
+    """With bands of two levels, trees of 1 to 70 leaves have one to four of them."""
+    monkeypatch.setattr(merkle, "BAND", 2)
+    rows = [(k, f"t{k}", f"l{n}", "s", 1) for n in [*range(1, 19), 32, 33, 64, 65, 70] for k in range(n)]
+    register_pickle_by_value(merkle)  # else the workers import the module, with bands of ten
+    try:
+        got = collected(merkle.manifest(spark.createDataFrame(rows, SCHEMA).repartition(4), COLUMNS))
+    finally:
+        unregister_pickle_by_value(merkle)
+    assert got == sorted(brute(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+
+
 def test_empty_and_single(spark):
     assert merkle.manifest(spark.createDataFrame([], SCHEMA), COLUMNS).collect() == []
     r = merkle.manifest(spark.createDataFrame([(1, "a", None, None, None)], SCHEMA), COLUMNS).first()
