@@ -27,6 +27,8 @@ from barwright.llm.tokens import default_path, encoder
 END_ID = 0
 #: Ids of a block, about, and ids between two checkpoints.
 BLOCK_IDS, CHECKPOINT = 1 << 20, 128
+#: Ids packed at once, a multiple of ``CHECKPOINT``.
+STRETCH = 1 << 15
 #: Bytes of text in a partition, at most but for sampling: its file, about half as large, is read in one piece.
 PART_BYTES = 64 << 20
 _HEAD = struct.Struct("<qIIII")
@@ -76,17 +78,22 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, int]:
     """Packed codes, the bit offset of every ``CHECKPOINT``-th id, and the number of bits."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    bits = int(ends[-1]) if len(ids) else 0
-    at = ends - size
-    value = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
-    words = bits // 32 + 2
-    # No two codes share a bit, so sums of halves are unions; they stay under 2**32 and are exact in doubles.
-    place = at >> 5
-    packed = np.bincount(place, (value >> np.uint64(32)).astype(np.float64), words)
-    packed += np.bincount(place + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
-    return packed.astype(">u4").tobytes()[: (bits + 7) // 8], at[::CHECKPOINT].astype(np.uint32), bits
+    packed, checkpoints, bits = np.zeros(int(lengths.max(initial=1)) * len(ids) // 32 + 2), [], 0
+    # In stretches whose arrays fit a core's cache.
+    for a in range(0, len(ids), STRETCH):
+        some = ids[a : a + STRETCH]
+        size = lengths[some].astype(np.int64)
+        ends = np.cumsum(size) + bits
+        at, bits = ends - size, int(ends[-1])
+        checkpoints.append(at[::CHECKPOINT].astype(np.uint32))
+        value = codes[some].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
+        # No two codes share a bit, so sums of halves are unions; they stay under 2**32 and are exact in doubles.
+        place = at >> 5
+        first, n = int(place[0]), int(place[-1] - place[0]) + 2
+        place -= first
+        packed[first : first + n] += np.bincount(place, (value >> np.uint64(32)).astype(np.float64), n)
+        packed[first : first + n] += np.bincount(place + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
+    return packed[: bits // 32 + 1].astype(">u4").tobytes()[: (bits + 7) // 8], np.concatenate(checkpoints) if checkpoints else np.zeros(0, np.uint32), bits
 
 
 class Decoder:

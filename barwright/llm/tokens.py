@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ _UNSAFE = f" {_WHITE}|{_WHITE} "
 _PUNCTUATION = ",.;:!?"
 #: Words that a worker remembers, about: those met since the cache was last half full, and those met in the half before.
 CACHE_WORDS = 600_000
+#: New words that the library gets in one text.
+JOINED_WORDS = 128
 
 
 def default_path() -> str:
@@ -29,7 +32,8 @@ class Encoder:
     """Encodes texts with a byte-level BPE that splits at white space, giving exactly what the library gives for the whole text.
 
     A single space between two characters that aren't white space always starts a new pre-token, so a text is the sum of its
-    words, each with the space before it; the library encodes each distinct word once. It isn't used for tokenizers with a
+    words, each with the space before it; the library encodes each distinct word once. It gets many new words in one text, and
+    a word's ids begin at the one whose token begins with the sign of the space. It isn't used for tokenizers with a
     normalizer or another pre-tokenizer: those get whole texts, as does every text that contains an added token.
 
     ``specials_as_text``: spelled special tokens are ordinary text. Otherwise they are ids of their own, the library's default.
@@ -43,6 +47,11 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and specials_as_text)]
         self.by_word = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether words can be joined by spaces; of each id, whether its token begins with a space.
+        self.joins = not any(" " in t for t in self.added)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         #: Ids of words that follow a space (" ") and of others (""): those met lately, and those met before them.
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
         self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
@@ -53,30 +62,61 @@ class Encoder:
         kind = "H" if self.width == "<u2" else "I"
         return [array(kind, x.ids).tobytes() for x in fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str], space: str) -> list[bytes]:
+        """The ids of distinct words, each with ``space`` before it, packed."""
+        out: list = [None] * len(words)
+        kind, tokenize, sign = ("H" if self.width == "<u2" else "I"), self.tokenizer.model.tokenize, "Ġ" if space else ""
+        joined, alone = [], []
+        for k, w in enumerate(words):
+            if w.isascii() and w.isalpha():
+                # One pre-token.
+                out[k] = array(kind, [x.id for x in tokenize(sign + w)]).tobytes()
+            elif space and self.joins and w and not w[0].isspace() and not w[-1].isspace():
+                joined.append(k)
+            else:
+                alone.append(k)
+        for a in range(0, len(joined), JOINED_WORDS):
+            some = joined[a : a + JOINED_WORDS]
+            raw = self._encode(["".join([" " + words[k] for k in some])])[0]
+            starts = np.flatnonzero(self.opens[np.frombuffer(raw, self.width)])
+            if len(starts) == len(some):
+                bounds = [*(starts * np.dtype(self.width).itemsize).tolist(), len(raw)]
+                for k, (i, j) in zip(some, pairwise(bounds), strict=True):
+                    out[k] = raw[i:j]
+            else:
+                alone += some
+        for k, ids in zip(alone, self._encode([space + words[k] for k in alone]), strict=True):
+            out[k] = ids
+        return out
+
     def _ids(self, words: list[str], space: str) -> list[bytes]:
-        """Ids of distinct words, each with ``space`` before it; a last punctuation mark after a letter is a pre-token of its own."""
+        """Ids of distinct words, each with ``space`` before it; a last punctuation mark after a letter is a pre-token of its own, so is a newline in a word."""
         if len(self.known[space]) > CACHE_WORDS // 2:
             self.older[space], self.known[space] = self.known[space], {}
         known, older = self.known[space], self.older[space]
-        missing = [w for w in words if w not in known]
-        for w in missing:
+        out = list(map(known.get, words))
+        fresh, cut = [], []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = words[k]
             if w in older:
-                known[w] = older[w]
-        fresh, split = {}, []
-        for w in missing:
-            if w not in known:
-                if len(w) > 1 and w[-1] in _PUNCTUATION and w[-2].isalpha():
-                    split.append(w)
-                    if w[:-1] not in known:
-                        fresh[w[:-1]] = None
-                else:
-                    fresh[w] = None
-        known.update(zip(fresh, self._encode([space + w for w in fresh]), strict=True))
-        if split:
-            marks = dict(zip(_PUNCTUATION, self._encode(list(_PUNCTUATION)), strict=True))
-            for w in split:
-                known[w] = known[w[:-1]] + marks[w[-1]]
-        return [known[w] for w in words]
+                out[k] = known[w] = older[w]
+            elif len(w) > 1 and w[-1] in _PUNCTUATION and w[-2].isalpha():
+                cut.append((k, w[:-1], w[-1], ""))
+            elif 0 < (at := w.find("\n")) < len(w) - 1 and w.count("\n") == 1 and not w[at - 1].isspace() and not w[at + 1].isspace():
+                cut.append((k, w[:at], "\n", w[at + 1 :]))
+            else:
+                fresh.append(k)
+        for k, ids in zip(fresh, self._encode_words([words[k] for k in fresh], space), strict=True):
+            out[k] = known[words[k]] = ids
+        if cut:
+            heads = list(dict.fromkeys(head for _, head, _, _ in cut))
+            tails = list(dict.fromkeys(tail for _, _, _, tail in cut if tail))
+            before = dict(zip(heads, self._ids(heads, space), strict=True))
+            after = dict(zip(tails, self._ids(tails, ""), strict=True)) | {"": b""}
+            marks = dict(zip(_PUNCTUATION + "\n", self._encode([*_PUNCTUATION, "\n"]), strict=True))
+            for k, head, mark, tail in cut:
+                out[k] = known[words[k]] = before[head] + marks[mark] + after[tail]
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, null counting as empty."""

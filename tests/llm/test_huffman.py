@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from barwright.llm import huffman
+from barwright.llm import huffman, tokens
 from barwright.llm.tokens import Encoder, default_path
 
 SCHEMA = "doc_id long, text string, ids string"
@@ -24,6 +24,31 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in got] == [ids(t) for t in ODD * 2]
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_encoder_equals_the_library_on_words_of_all_kinds(seed, monkeypatch):
+    """Known and new words, marks, newlines, white space of other kinds, digits, letters of more bytes, in texts that share them."""
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    monkeypatch.setattr(tokens, "JOINED_WORDS", 5)
+    rng = np.random.default_rng(seed)
+    pieces = ["a", "tion", "THE", "é", "ß", "日", "'s", "'", "1", "42", ",", ".", "!!", "?", "-", "Ġ", "Ċ", "\n", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u3000", "\u180e", "\u200b", "\U0001f600", "<|", "|>"]
+    word = lambda: "".join(rng.choice(pieces, rng.integers(1, 6)))
+    texts = ["".join(word() + rng.choice(["", " ", " ", " ", "  "], p=[0.05, 0.3, 0.3, 0.3, 0.05]) for _ in range(rng.integers(0, 8))) for _ in range(1500)]
+    plain = [w for w in pieces if not any(c.isspace() for c in w)]
+    texts += [" ".join("".join(rng.choice(plain, 4)) + rng.choice(["", ".", ".\nNew", "\nold,", "\na\nb"]) for _ in range(9)) for _ in range(300)]
+    ids, encode = library(), Encoder(default_path())
+    for a in range(0, len(texts), 100):
+        assert [x.tolist() for x in encode(texts[a : a + 100])] == [ids(t) for t in texts[a : a + 100]]
+
+
+def test_new_words_are_not_texts_of_their_own_for_the_library(monkeypatch):
+    encode, given = Encoder(default_path()), []
+    one_by_one = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts: given.extend(texts) or one_by_one(texts))
+    text = "start " + " ".join(f"wörd{k}x é{k}." if k % 2 else f"end{k}.\nNext" for k in range(4000))
+    assert encode([text])[0].tolist() == library()(text)
+    assert len(given) < 400
+
+
 def plain_huffman_cost(counts):
     heap, cost = sorted(int(c) for c in counts if c), 0
     heapq.heapify(heap)
@@ -58,6 +83,15 @@ def test_codes_round_trip(n):
     assert got.tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("n", [32767, 32768, 32769, 70001])
+def test_codes_over_several_stretches(n):
+    ids = np.minimum(np.random.default_rng(n).pareto(0.5, n), 999).astype(np.uint16)
+    lengths = huffman.code_lengths(np.bincount(ids, minlength=1000), 12)
+    payload, checkpoints, bits = huffman.encode(ids, huffman.canonical_codes(lengths), lengths)
+    assert len(payload) == (bits + 7) // 8 == (int(lengths[ids].sum()) + 7) // 8
+    assert huffman.Decoder(lengths)(payload, checkpoints, n).tolist() == ids.tolist()
+
+
 def test_archive_round_trip(spark):
     rows = [(k * 7 % 101, ODD[k % len(ODD)], None) for k in range(101)] + [(500, "long text, " * 30000, "x"), (None, "no id", None), (3, "twice", None), (3, "twice", None)]
     got = huffman.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(3), keep_ids=True).collect()
