@@ -171,7 +171,7 @@ def _tokenize(path: str, specials_as_text: bool):
         part, encode_texts = TaskContext.get().partitionId(), encoder(path, specials_as_text)
         counts = np.zeros(encode_texts.tokenizer.get_vocab_size() + 1, np.int64)
         schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("first", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "nulls", "sizes", "ids")), ("seen", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-        place, first = 0, 0
+        place, first, end = 0, 0, np.array([END_ID], encode_texts.width)
 
         def row(**values):
             return pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"part": part} | values], schema)
@@ -179,16 +179,16 @@ def _tokenize(path: str, specials_as_text: bool):
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 piece = batch.slice(a, 2048)
-                got = [np.append(x, x.dtype.type(END_ID)) for x in encode_texts(piece.column(1).to_pylist())]
+                got = encode_texts(piece.column(1))
                 names = piece.column(0)
                 keys, nulls = np.asarray(names.fill_null(0)), np.asarray(names.is_null())
-                sizes = np.fromiter(map(len, got), np.int64, len(got))
+                sizes = np.fromiter(map(len, got), np.int64, len(got)) + 1
                 # Documents are dealt into blocks of about BLOCK_IDS; a longer document is a block of its own.
                 block = np.cumsum(sizes) // BLOCK_IDS
                 for b in np.unique(block):
                     own = np.flatnonzero(block == b)
                     lo, hi = own[0], own[-1] + 1
-                    ids = np.concatenate(got[lo:hi])
+                    ids = np.concatenate([x for own_ids in got[lo:hi] for x in (own_ids, end)])
                     counts += np.bincount(ids, minlength=len(counts))
                     yield row(place=place, first=first, doc_ids=keys[lo:hi].astype("<i8").tobytes(), nulls=nulls[lo:hi].astype(np.uint8).tobytes(), sizes=sizes[lo:hi].astype("<u4").tobytes(), ids=ids.tobytes())
                     place, first = place + 1, first + len(ids)

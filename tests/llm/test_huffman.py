@@ -49,6 +49,28 @@ def test_new_words_are_not_texts_of_their_own_for_the_library(monkeypatch):
     assert len(given) < 400
 
 
+def test_pieces_of_one_kind_are_encoded_once_whatever_stands_beside_them(monkeypatch):
+    encode, given = Encoder(default_path()), []
+    one_by_one = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts: given.extend(texts) or one_by_one(texts))
+    words = [f"{a}{b}ß{c}" for a in "abcdefgh" for b in "éüñж" for c in ("tion", "nach", "EN")]
+    endings = ["", ",", ".", "$$$", ".***", ".\nNächste", "\nder", "!\n\nlos", "7", "(x)"]
+    texts = [" ".join(w + e for w in words) for e in endings]
+    ids = library()
+    assert [x.tolist() for x in encode(texts)] == [ids(t) for t in texts]
+    # Only the empty line isn't one pre-token; of each word there is one entry, and one more if it begins a text.
+    assert sum("ß" in t for t in given) == 0
+    assert len(encode.known.numbers) <= len(words) + 1 + 12
+
+
+def test_encoder_equals_the_library_on_characters_of_all_kinds():
+    chars = [chr(c) for c in (*range(0x800), *range(0x2000, 0x2070), *range(0x3000, 0x3010), 0x4E00, 0xFEFF, 0x1F600)]
+    ids, encode = library(), Encoder(default_path())
+    for around in ("{}", "a{}b", "1{}2", ".{}.", "a {}b", "a{}\nb", "\n{}\n", "a{}'s", "'{}"):
+        texts = [around.format(c) for c in chars]
+        assert [x.tolist() for x in encode(texts)] == [ids(t) for t in texts]
+
+
 def plain_huffman_cost(counts):
     heap, cost = sorted(int(c) for c in counts if c), 0
     heapq.heapify(heap)
