@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import Interner, arrow_rows, hash_words, stash
+from barwright.llm.common import arrow_rows, hash_words, stash
 
 STATES, CLASSES, ROUNDS = 6, 4096, 8
 #: Tokens of a span, and of the spans that are worked off at once.
@@ -37,46 +38,64 @@ def classes_of(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-_BLOCK = [("block", pa.int64()), *((k, pa.binary()) for k in ("docs", "nulls", "held", "sizes", "codes", "hashes", "train"))]
-_BLOCK_SQL = "block long, docs binary, nulls binary, held binary, sizes binary, codes binary, hashes binary, train binary"
+_BLOCK = [("block", pa.int64()), *((k, pa.binary()) for k in ("docs", "nulls", "held", "sizes", "codes", "hashes", "train", "lengths", "symbols"))]
+_BLOCK_SQL = ", ".join(f"{name} {'long' if name == 'block' else 'binary'}" for name, _ in _BLOCK)
+
+
+def _number(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of some texts, each followed by the end, number 0; each text's tokens; the hash of each word. Arrow's white space is the six characters of ``SPACE``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = lists.flatten().dictionary_encode()
+    vocabulary, numbers, sizes = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    numbers = numbers + np.int32(1)
+    if b"" in vocabulary:  # before white space that begins a text, behind such that ends one, and for a text without words
+        none = vocabulary.index(b"")
+        real = numbers != none + 1
+        before = np.concatenate([[0], np.cumsum(real)])
+        ends = np.cumsum(sizes)
+        sizes, numbers = before[ends] - before[ends - sizes], numbers[real]
+        numbers -= numbers > none + 1
+        del vocabulary[none]
+    sizes = sizes.astype(np.int32) + np.int32(1)
+    codes, words = np.zeros(int(sizes.sum()), np.int32), np.ones(int(sizes.sum()), bool)
+    words[np.cumsum(sizes) - 1] = False
+    codes[words] = numbers
+    return codes, sizes, np.concatenate([[END_HASH], hash_words(vocabulary)])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents as word numbers, with the hash of each word and its count in training documents. Number 0 is the end of a text."""
+    """Blocks of documents as word numbers, with the hash of each word and its count in training documents, and the classes of the training texts alone."""
     from pyspark import TaskContext
 
     base, place = TaskContext.get().partitionId() << 32, 0
 
-    def block(rows: list[tuple]) -> pa.RecordBatch:
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         nonlocal place
-        table = Interner({b"": 0})
-        look = table.__getitem__
-        parts = []
-        for _, _, text in rows:
-            got = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            parts.append(np.fromiter(map(look, got), np.int32, len(got)))
-            parts.append(np.zeros(1, np.int32))
-        sizes = np.fromiter((len(a) + 1 for a in parts[::2]), np.int32, len(rows))
-        codes = np.concatenate(parts)
-        held = np.array([h for _, h, _ in rows], bool)
-        train = np.bincount(codes[~np.repeat(held, sizes)], minlength=len(table)).astype(np.uint32)
-        hashes = hash_words(list(table))
-        hashes[0] = END_HASH
-        docs = np.array([0 if d is None else d for d, _, _ in rows], np.int64)
-        values = (docs, np.array([d is None for d, _, _ in rows]), held, sizes, codes, hashes, train)
+        ids, held, texts = (c.combine_chunks() for c in pa.Table.from_batches(parts).columns)
+        codes, sizes, hashes = _number(texts)
+        held = held.to_numpy(zero_copy_only=False)
+        kept = codes[np.repeat(~held, sizes)]
+        train = np.bincount(kept, minlength=len(hashes)).astype(np.uint32)
+        symbols = classes_of(hashes).astype(np.uint16).take(kept)
+        nulls = ids.is_null().to_numpy(zero_copy_only=False)
+        values = (ids.fill_null(0).to_numpy(zero_copy_only=False), nulls, held, sizes, codes, hashes, train, sizes[~held], symbols)
         place += 1
         return pa.RecordBatch.from_pylist([{"block": base + place} | {k: v.tobytes() for (k, _), v in zip(_BLOCK[1:], values, strict=True)}], pa.schema(_BLOCK))
 
-    rows, size = [], 0
+    parts, size = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(k) for k in range(3)), strict=True):
-            rows.append(tuple(x.as_py() for x in row))
-            size += len(rows[-1][2] or "")
+        # A block is full with the row that brings it over its size.
+        ends, at = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(ends):
+            done = ends[at - 1] if at else 0
+            to = min(int(np.searchsorted(ends, BLOCK_BYTES - size + done, side="right")) + 1, len(ends))
+            parts.append(batch.slice(at, to - at))
+            at, size = to, size + int(ends[to - 1] - done)
             if size > BLOCK_BYTES:
-                yield block(rows)
-                rows, size = [], 0
-    if rows:
-        yield block(rows)
+                yield block(parts)
+                parts, size = [], 0
+    if parts:
+        yield block(parts)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +121,12 @@ def _statistics(counted: DataFrame) -> np.ndarray:
 
 
 def vector_sum(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of vectors of ``size`` given as rows of (place, x)."""
-    got = rows.groupBy("place").agg(F.sum("x").alias("x")).toArrow()
-    out = np.zeros(size)
-    out[got["place"].to_numpy()] = got["x"].to_numpy()
-    return out
+    """Sum of vectors of ``size`` given as rows of a place and the values from there on, as many in each row."""
+    values = rows.columns[1:]
+    got = rows.groupBy("place").agg(*(F.sum(c).alias(c) for c in values)).toArrow()
+    out = np.zeros((size // len(values), len(values)))
+    out[got["place"].to_numpy()] = np.stack([got[c].to_numpy() for c in values], 1)
+    return out.ravel()
 
 
 def _by_step(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
@@ -202,50 +222,57 @@ class Model:
         if len(long):
             incoming[long], outgoing[long] = self._messages(symbols, starts[long], length[long], first[long], emit)
         total = np.zeros(len(self.start) * (1 + len(self.start) + CLASSES + 1))
-        done = np.cumsum(length)
+        # Spans of like length meet, so that few are worked off at the later steps.
+        order = np.argsort(-length, kind="stable")
+        starts, length, first, incoming, outgoing = (x[order] for x in (starts, length, first, incoming, outgoing))
+        rows, done = np.ascontiguousarray(self.emit), np.cumsum(length)
         cuts = np.searchsorted(done, np.arange(BATCH, done[-1] + BATCH, BATCH), side="left") + 1
         for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
             if a < min(b, len(text)):
                 part = slice(a, b)
-                total += self._spans(symbols, starts[part], length[part], first[part], incoming[part], outgoing[part], emit)
+                total += self._spans(symbols, starts[part], length[part], first[part], incoming[part], outgoing[part], rows)
         return total
 
     def _spans(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, incoming: np.ndarray, outgoing: np.ndarray, emit: np.ndarray) -> np.ndarray:
         """Expected counts of spans, given what reaches them from both sides. Shares are rescaled every few steps, which cancels in the counts."""
-        k = len(self.start)
+        k, move = len(self.start), self.move
         order, alive, where = _by_step(starts, sizes)
-        opens, before = first[order], incoming[order]
-        symbols = symbols[where]
-        chance, begin = emit[symbols], np.cumsum([0, *alive])
+        opens, before, after = first[order], incoming[order], np.ascontiguousarray(outgoing[order].T)
+        symbols = symbols.take(where)
+        # A row for each state, so that every operation runs along the tokens; steps are written in place.
+        chance, begin = emit.take(symbols, 1), np.cumsum([0, *alive]).tolist()
         alphas, scales = np.empty_like(chance), {}
-        a = np.where(opens[:, None], self.start[None, :], before @ self.move) * chance[: alive[0]]
+        np.multiply(np.where(opens, self.start[:, None], move.T @ before.T), chance[:, : alive[0]], out=alphas[:, : alive[0]])
+        forth = np.ascontiguousarray(move.T)
         for t, n in enumerate(alive):
+            a = alphas[:, begin[t] : begin[t + 1]]
             if t:
-                a = a[:n] @ self.move
-                a *= chance[begin[t] : begin[t + 1]]
+                np.matmul(forth, alphas[:, begin[t - 1] : begin[t - 1] + n], out=a)
+                a *= chance[:, begin[t] : begin[t + 1]]
             if t % RESCALE == 0:
-                scales[t] = a.sum(1, keepdims=True)
+                scales[t] = a.sum(0)
                 a /= scales[t]
-            alphas[begin[t] : begin[t + 1]] = a
-        moves, back = np.zeros((k, k)), np.ascontiguousarray(self.move.T)
-        ahead = np.zeros((0, k))
+        moves, betas, aheads = np.zeros((k, k)), np.empty((k, alive[0])), np.empty((k, alive[0]))
+        m = 0
         for t in range(len(alive) - 1, -1, -1):
-            n, m, own = alive[t], len(ahead), slice(begin[t], begin[t + 1])
-            beta = np.empty((n, k))
-            beta[:m] = ahead @ back
+            n = alive[t]
+            a, beta = alphas[:, begin[t] : begin[t + 1]], betas[:, :n]
+            if m:
+                np.matmul(move, aheads[:, :m], out=beta[:, :m])
             if n > m:
                 # Spans that end here take what comes after them, scaled so that their shares sum to one.
-                beta[m:] = outgoing[order[m:n]]
-                beta[m:] /= (alphas[own][m:] * beta[m:]).sum(1, keepdims=True)
-            ahead = chance[own] * beta
+                beta[:, m:] = after[:, m:n]
+                beta[:, m:] /= (a[:, m:] * beta[:, m:]).sum(0)
+            ahead, m = aheads[:, :n], n
+            np.multiply(chance[:, begin[t] : begin[t + 1]], beta, out=ahead)
             if t in scales:
                 ahead /= scales[t]
             if t:
-                moves += alphas[begin[t - 1] : begin[t - 1] + n].T @ ahead
-            alphas[own] *= beta  # now the shares given the whole text
-        moves += before[~opens].T @ ahead[~opens]
-        counts = np.stack([np.bincount(symbols, alphas[:, z], CLASSES + 1) for z in range(k)])
-        return np.concatenate([alphas[: alive[0]][opens].sum(0), (moves * self.move).ravel(), counts.ravel()])
+                moves += alphas[:, begin[t - 1] : begin[t - 1] + n] @ ahead.T
+            a *= beta  # now the shares given the whole text
+        moves += before[~opens].T @ ahead.T[~opens]
+        counts = np.stack([np.bincount(symbols, x, CLASSES + 1) for x in alphas])
+        return np.concatenate([alphas[:, : alive[0]][:, opens].sum(1), (moves * move).ravel(), counts.ravel()])
 
     def improved(self, total: np.ndarray) -> Model:
         """The model of expected counts, smoothed towards even moves and the classes' shares."""
@@ -279,7 +306,7 @@ def train(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     if not model.tokens:
         return model
     size = len(model.start) * (1 + len(model.start) + CLASSES + 1)
-    rows = blocks.select("held", "sizes", "codes", "hashes")
+    rows, columns = blocks.select("lengths", "symbols"), [f"x{z}" for z in range(len(model.start))]
     for _ in range(rounds):
         shared = blocks.sparkSession.sparkContext.broadcast(model)
 
@@ -287,16 +314,15 @@ def train(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             own, total = shared.value, None
             for batch in batches:
                 for k in range(batch.num_rows):
-                    held, sizes, codes, hashes = _arrays(batch, k, {"held": np.bool_, "sizes": np.int32, "codes": np.int32, "hashes": np.uint64})
-                    kept = ~held
-                    symbols = classes_of(hashes)[codes[np.repeat(kept, sizes)]]
+                    lengths, symbols = _arrays(batch, k, {"lengths": np.int32, "symbols": np.uint16})
                     if len(symbols):
-                        got = own.expected(symbols, sizes[kept].astype(np.int64))
+                        got = own.expected(symbols, lengths.astype(np.int64))
                         total = got if total is None else total + got
             if total is not None:
-                yield pa.RecordBatch.from_pydict({"place": np.arange(len(total)), "x": total})
+                values = np.ascontiguousarray(total.reshape(-1, len(columns)).T)
+                yield pa.RecordBatch.from_pydict({"place": np.arange(len(total) // len(columns)), **dict(zip(columns, values, strict=True))})
 
-        model = model.improved(vector_sum(rows.mapInArrow(expect, "place long, x double"), size))
+        model = model.improved(vector_sum(rows.mapInArrow(expect, ", ".join(["place long", *(f"{c} double" for c in columns)])), size))
     return model
 
 

@@ -3,8 +3,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barwright.llm import hmm
@@ -120,3 +122,41 @@ def test_expected_counts_by_brute_force():
                 emits[z, x] += p / total
     got = model.expected(np.concatenate(seqs), np.array([len(s) for s in seqs]))
     assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+def test_words_are_numbered_as_they_stand():
+    texts = [" A b\x0b\x0cÉ\r\n", "", None, "b", " \t ", "x\x1cy\x85 z\xa0B b", "a "]
+    codes, sizes, hashes = hmm._number(pa.array(texts, pa.string()))
+    tokens = [[w.lower() for w in words(t)] + [b""] for t in texts]
+    kinds = list(dict.fromkeys(w for t in tokens for w in t if w))
+    by_word = dict(zip(kinds, hmm.hash_words(kinds), strict=True)) | {b"": hmm.END_HASH}
+    assert sizes.tolist() == [len(t) for t in tokens]
+    assert hashes[codes].tolist() == [by_word[w] for t in tokens for w in t]
+    assert len(hashes) == len(by_word) and np.array_equal(codes == 0, hashes[codes] == hmm.END_HASH)
+
+
+@pytest.mark.parametrize("size", [2000, 1 << 23])
+def test_blocks_hold_classes_of_training_texts(monkeypatch, size):
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", size)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    texts = ["word " * (50 * (k % 3)) + f"own{k}" for k in range(40)] + [None, "long " * 3000, "", "é"]
+    rows = [(k or None, k % 4 == 0, t) for k, t in enumerate(texts)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.bool_(), pa.string()), strict=True)], ["doc_id", "held", "text"]) for part in (rows[:9], rows[9:])]
+    blocks = [b.to_pylist()[0] for b in hmm._read(iter(batches))]
+    got = lambda b, *names: [np.frombuffer(b[n], t) for n, t in names]
+    assert [b["block"] for b in blocks] == [(3 << 32) + k + 1 for k in range(len(blocks))] and (len(blocks) > 1) == (size == 2000)
+    seen = []
+    for b in blocks:
+        docs, nulls, held, sizes, codes, hashes, lengths, symbols = got(b, ("docs", np.int64), ("nulls", bool), ("held", bool), ("sizes", np.int32), ("codes", np.int32), ("hashes", np.uint64), ("lengths", np.int32), ("symbols", np.uint16))
+        kept = codes[np.repeat(~held, sizes)]
+        assert np.array_equal(lengths, sizes[~held]) and np.array_equal(symbols, hmm.classes_of(hashes)[kept])
+        assert np.array_equal(got(b, ("train", np.uint32))[0], np.bincount(kept, minlength=len(hashes)))
+        seen += zip([None if n else int(d) for d, n in zip(docs, nulls, strict=True)], held.tolist(), sizes.tolist(), strict=True)
+        # A block is full with the row that brings it over its size.
+        assert sum(len((texts[d or 0] or "").encode()) for d in docs[:-1]) <= size
+    assert seen == [(d, h, len(words(t)) + 1) for d, h, t in rows]
+
+
+def test_vectors_are_summed_by_rows_of_several_values(spark):
+    rows = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 4.0), (0, 10.0, 20.0)], "place long, x0 double, x1 double")
+    assert hmm.vector_sum(rows, 6).tolist() == [11.0, 22.0, 3.0, 4.0, 0.0, 0.0]
