@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,48 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+#: What tasks leave in a worker for later tasks of their kind, by name.
+KEPT: dict = {}
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def release() -> None:
+    """Hand memory that isn't in use any more back to the system, Arrow's and the allocator's: workers wait beside the stages that use none."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def drop_kept() -> None:
+    """Empty ``KEPT``. All stages share the workers, and what tasks of one kind left would stand beside the work of others."""
+    KEPT.clear()
+
+
+def tidied(run: Callable) -> Callable:
+    """``run`` for ``applyInArrow``, a function of two arguments, without what other tasks have kept; memory goes back to the system after each group."""
+
+    def tidy(a, b):
+        drop_kept()
+        try:
+            return run(a, b)
+        finally:
+            release()
+
+    return tidy
+
+
+def tidied_batches(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, without what other tasks have kept; memory goes back to the system after the last batch."""
+
+    def tidy(batches):
+        drop_kept()
+        yield from run(batches)
+        release()
+
+    return tidy
+
 
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; ``bytes.split`` cuts at exactly the six characters of ``SPACE``."""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import arrow_rows, hash_words, intern_words, mix, rolling, stash, unused
+from barwright.llm.common import arrow_rows, hash_words, intern_words, mix, rolling, stash, tidied, tidied_batches, unused
 from barwright.llm.graph import components
 
 N, THRESHOLD = 5, 0.8
@@ -107,7 +107,7 @@ def _sign(n: int, bands: int, rows: int):
                     }
                 )
 
-    return run
+    return tidied_batches(run)
 
 
 def _sets(n: int):
@@ -123,7 +123,7 @@ def _sets(n: int):
                 kept = part.drop_columns(["text"]).take(pa.array(same, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([sets[k].tobytes() for k in same], pa.binary())], names=[*kept.schema.names, "grams"])
 
-    return run
+    return tidied_batches(run)
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -211,7 +211,7 @@ def _compare_pairs(threshold: float):
             _counted(names, near, np.array([sets[x][1] for x in names]), out)
         return pa.table(out, schema=_LINKS)
 
-    return run
+    return tidied(run)
 
 
 def _compare_blocks(threshold: float):
@@ -241,7 +241,7 @@ def _compare_blocks(threshold: float):
             _counted(names, every, np.array([members[b, k][1] for b, side in zip((i, j), sides, strict=False) for k in side]), out)
         return pa.table(out, schema=_LINKS)
 
-    return run
+    return tidied(run)
 
 
 def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

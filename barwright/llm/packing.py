@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import arrow_rows, stash
+from barwright.llm.common import arrow_rows, release, stash
 from barwright.llm.tokens import default_path, encoder
 
 END_ID = 0
@@ -52,6 +52,8 @@ def _pieces(path: str, most: int, keep_ids: bool, specials_as_text: bool):
                             columns[name].append(value)
                         seen[size] += 1
                 yield pa.RecordBatch.from_pydict(columns, schema)
+            columns, ids, own = {}, None, None
+            release()
 
     return run
 

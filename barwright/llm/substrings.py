@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import arrow_rows, hash_words, intern_words, mix, rolling
+from barwright.llm.common import arrow_rows, hash_words, intern_words, mix, rolling, tidied, tidied_batches
 
 WINDOW = 20
 #: Bytes of text in a cell and windows in a hash range, about, for inputs of ``BASE`` bytes; both grow as its square root, up to ``MOST`` times.
 CELL_BYTES, RANGE_WINDOWS, BASE, MOST = 8 << 20, 2 << 20, 1 << 29, 3.0
+#: Words whose windows are hashed at once, about.
+PART_WORDS = 1 << 18
 
 
 def pack_table(table: pa.Table) -> bytes:
@@ -57,21 +59,24 @@ def deal(bounds: list[int]):
             for c, rows in zip(cells, np.split(order, starts[1:]), strict=True):
                 yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int64()), "docs": pa.array([pack_table(table.take(rows))], pa.binary())})
 
-    return run
+    return tidied_batches(run)
 
 
 def window_hashes(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Hash and first word of every window, the word numbers, each text's word count, and the vocabulary."""
     table, codes, sizes = intern_words(texts)
     vocabulary = list(table)
-    hashes = mix(rolling(hash_words(vocabulary)[codes], n))
-    ends = np.cumsum(sizes)
-    inside = np.zeros(len(codes) + 1, bool)
-    # A window is of one document if it ends by its document's end.
-    last = np.repeat(ends, sizes)
-    inside[: len(codes)] = np.arange(len(codes)) + n <= last
-    at = np.flatnonzero(inside)
-    return hashes[at], at, codes, sizes, vocabulary
+    values, ends = hash_words(vocabulary), np.cumsum(sizes)
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    # Windows are of one document, so some documents at a time give them all, and what that takes besides stays small.
+    for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(ends // PART_WORDS)) + 1):
+        if len(own) and (stop := ends[own[-1]]) > (start := ends[own[0]] - sizes[own[0]]):
+            # A window is of one document if it ends by its document's end.
+            last = np.repeat(ends[own], sizes[own])
+            at = np.flatnonzero(np.arange(start, stop) + n <= last)
+            hashes.append(mix(rolling(values[codes[start:stop]], n))[at])
+            places.append(at + start)
+    return np.concatenate(hashes), np.concatenate(places), codes, sizes, vocabulary
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -99,7 +104,7 @@ def _send(n: int, bits: int):
         blobs = [pack_sorted(x) for x in np.split(found, starts[1:])] if len(found) else []
         return pa.table({"range": pa.array(ranges.astype(np.int64)), "cell": pa.array([key[0].as_py()] * len(ranges), pa.int64()), "hashes": pa.array(blobs, pa.binary())})
 
-    return run
+    return tidied(run)
 
 
 def _compare(key: tuple, rows: pa.Table) -> pa.Table:
@@ -162,7 +167,7 @@ def _finish(n: int, bits: int, digest: bool, columns: list[str]):
         table = docs.set_column(docs.schema.get_field_index("text"), "text", pa.array(out, pa.string())).select(columns)
         return table.append_column("n_words", pa.array(sizes)).append_column("n_removed", pa.array(removed.astype(np.int64))).append_column("removed_spans", pa.array(spans, pa.list_(pa.int64())))
 
-    return run
+    return tidied(run)
 
 
 def _run(docs: DataFrame, n: int, digest: bool) -> DataFrame:
@@ -180,7 +185,7 @@ def _run(docs: DataFrame, n: int, digest: bool) -> DataFrame:
     bits = max(1, int(total / 6 / (RANGE_WINDOWS * growth)).bit_length())
     dealt = docs.mapInArrow(deal(bounds), "cell long, docs binary")
     sent = dealt.groupBy("cell").applyInArrow(_send(n, bits), "range long, cell long, hashes binary")
-    flags = sent.groupBy("range").applyInArrow(_compare, "cell long, range long, bits binary")
+    flags = sent.groupBy("range").applyInArrow(tidied(_compare), "cell long, range long, bits binary")
     if digest:
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     else:

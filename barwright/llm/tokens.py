@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from barwright.llm.common import KEPT
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A space beside other white space, in the regular expressions of Arrow: such texts are encoded in one piece.
@@ -234,12 +236,9 @@ class Encoder:
         pa.default_memory_pool().release_unused()
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, specials_as_text: bool = True) -> Encoder:
-    """The encoder of this process for a tokenizer file."""
-    key = path, specials_as_text
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
+    """The encoder of this process for a tokenizer file, until a task of another kind drops it."""
+    key = "encoder", path, specials_as_text
+    if key not in KEPT:
+        KEPT[key] = Encoder(path, specials_as_text)
+    return KEPT[key]

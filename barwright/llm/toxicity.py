@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import MULTIPLIER, arrow_rows, hash_words, intern_words, mix, stash
+from barwright.llm.common import MULTIPLIER, arrow_rows, hash_words, intern_words, mix, stash, tidied_batches
 
 #: Labelled texts of each class that the models are fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 8000
@@ -169,7 +169,7 @@ def fit(texts: DataFrame, sample: int = SAMPLE, seed: int = 9, labels: DataFrame
     own = texts.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = own.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")))
     rows = stash(rows.groupBy("text").agg(F.max("_toxic").alias("toxic")).repartition(16), "toxicity-sample")
-    counted = rows.mapInArrow(_counts, "before long, word long, n0 long, n1 long").groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = rows.mapInArrow(tidied_batches(_counts), "before long, word long, n0 long, n1 long").groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = stash(counted, "toxicity-counts")
     pairs, words = counted.filter("before IS NOT NULL"), counted.filter("before IS NULL").drop("before")
     size = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("kinds")).first()
@@ -207,7 +207,7 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
             labels = np.asarray(batch.column(1))
             yield pa.RecordBatch.from_pydict({"margin": shared.value.margins(batch.column(0).to_pylist(), labels), "toxic": labels})
 
-    found = rows.mapInArrow(run, "margin double, toxic long").toPandas()
+    found = rows.mapInArrow(tidied_batches(run), "margin double, toxic long").toPandas()
     y = found["toxic"].to_numpy(float)
     model.prior = float((y.sum() + 1) / (len(y) + 2))
     worded = found["margin"].notna().to_numpy()
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(place).to_pylist()))], names=[*part.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied_batches(run), schema)
 
 
 def held_out(folds: int) -> Column:
